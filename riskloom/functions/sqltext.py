@@ -11,7 +11,7 @@ from riskloom.packs.loader import java_regex
 
 
 def quoted(value: str) -> str:
-    body = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
+    body = value.replace("\\", "\\\\").replace("$", "\\u0024").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
     return f"'{body}'"
 
 

@@ -74,17 +74,22 @@ RULES = {
 }
 
 
-def targets(files: DataFrame) -> DataFrame:
-    """Main-file bodies and text scripts outside documentation paths.
+def instruction_text() -> Column:
+    """The text a chain is looked for in: scripts whole, main files without their front matter.
 
     Front matter is blanked line by line, so line numbers stay those of the file.
     """
     front = F.regexp_extract("content", r"(?s)^\s*---.*?\n---", 0)
     body = F.concat(F.regexp_replace(front, r"[^\n]", ""), F.substr("content", F.length(front) + 1))
+    return T.unix_breaks(F.when(F.col("is_main"), body).otherwise(F.col("content")))
+
+
+def targets(files: DataFrame) -> DataFrame:
+    """Main-file bodies and text scripts outside documentation paths."""
     is_script = (F.col("file_type") == "script") & ~F.col("is_binary") & ~F.col("is_doc_path")
-    chosen = files.where(F.col("is_main") | is_script)
     return (
-        chosen.withColumn("content", T.unix_breaks(F.when(F.col("is_main"), body).otherwise(F.col("content"))))
+        files.where(F.col("is_main") | is_script)
+        .withColumn("content", instruction_text())
         .withColumn("lines", T.physical_lines(F.col("content")))
         .withColumn("folded", F.lower("content"))
     )
@@ -94,8 +99,54 @@ def _has(*literals: str) -> Column:
     return T.contains_any(F.col("folded"), literals)
 
 
-def _lines_of(*patterns: str) -> Column:
-    return T.line_positions(F.col("lines"), lambda s: T.matches_any(s, patterns))
+FETCHERS = ("curl", "wget", "iwr", "invoke-webrequest")
+SENDERS = ("curl", "wget", "iwr", "invoke-restmethod")
+
+# Line numbers each step matches: literals the text must hold, then the test of one line.
+POSITIONS = {
+    "p_fetch_pipe": (FETCHERS, lambda s: T.matches(s, FETCH) & T.matches(s, PIPE_EXEC)),
+    "p_fetch_file": (FETCHERS, lambda s: T.matches(s, FETCH) & T.matches(s, FETCH_TO_FILE)),
+    "p_fetch": (FETCHERS, lambda s: T.matches(s, FETCH) & T.matches_any(s, (FETCH_TO_FILE, FETCH_URL))),
+    "p_run": (FETCHERS, lambda s: T.matches_any(s, (EXEC_COMMAND, PIPE_EXEC, EXEC_BARE))),
+    "p_chmod": (("chmod",), lambda s: T.matches(s, CHMOD_X)),
+    "p_read": (SENDERS, lambda s: T.matches(s, SENSITIVE_READ)),
+    "p_send": (SENDERS, lambda s: T.matches_any(s, (NET_SEND, NET_OUT))),
+    "p_encode": (("base64",), lambda s: T.matches(s, BASE64)),
+    "p_find": (("find",), lambda s: F.contains(F.lower(s), F.lit("find")) & T.matches(s, SENSITIVE_PATH)),
+    "p_upload": (("curl",), lambda s: F.contains(F.lower(s), F.lit("curl")) & T.matches_any(s, (NET_SEND, NET_OUT))),
+    "p_env": (("env",), lambda s: T.matches_any(s, (ENV_PRINT, ENV_SECRET))),
+    "p_secret_env": (("env",), lambda s: T.matches(s, ENV_SECRET)),
+    "p_decode": (("base64",), lambda s: T.matches(s, BASE64_DECODE)),
+    "p_decode_pipe": (("base64",), lambda s: T.matches(s, BASE64_DECODE) & T.matches(s, PIPE_EXEC)),
+    "p_command": (("base64",), lambda s: T.matches(s, EXEC_COMMAND)),
+    "p_pandoc": (("pandoc",), lambda s: F.contains(F.lower(s), F.lit("pandoc"))),
+    "p_pdftotext": (("pdftotext",), lambda s: F.contains(F.lower(s), F.lit("pdftotext"))),
+}
+POSITIONS_OF = {
+    "PIPELINE_FETCH_EXECUTE": ("p_fetch_pipe", "p_fetch_file", "p_run"),
+    "PIPELINE_DOWNLOAD_CHMOD_EXEC": ("p_fetch", "p_chmod", "p_run"),
+    "PIPELINE_SENSITIVE_EXFIL": ("p_read", "p_send", "p_encode", "p_find", "p_upload"),
+    "PIPELINE_FIND_EXEC": (),
+    "PIPELINE_ENV_HARVEST": ("p_env", "p_secret_env", "p_send"),
+    "PIPELINE_BASE64_EXEC": ("p_decode", "p_decode_pipe", "p_command"),
+    "COMPOUND_LAUNDERING_CHAIN": ("p_pandoc", "p_pdftotext"),
+}
+
+
+def with_positions(rows: DataFrame, rule_ids) -> DataFrame:
+    """One projection holds every position list, so later steps never test a line again."""
+    names = sorted({n for r in rule_ids for n in POSITIONS_OF[r]})
+    empty = F.array().cast("array<int>")
+    columns = {}
+    for name in names:
+        literals, test = POSITIONS[name]
+        columns[name] = F.when(_has(*literals), T.line_positions(F.col("lines"), test)).otherwise(empty)
+    return rows.withColumns(columns) if columns else rows
+
+
+def _found(*names: str) -> Column:
+    """All these steps occur. Also keeps the lists apart from the lambdas that read them."""
+    return T.all_of([F.size(n) > 0 for n in names])
 
 
 def _first(positions: Column, condition) -> Column:
@@ -115,28 +166,28 @@ def _place(variant: str, line: Column, end: Column | None = None) -> Column:
 
 
 def fetch_execute() -> Column:
-    same = _first(
-        T.line_positions(F.col("lines"), lambda s: T.matches(s, FETCH) & T.matches(s, PIPE_EXEC)), lambda i: F.lit(True)
-    )
-    saved = T.line_positions(F.col("lines"), lambda s: T.matches(s, FETCH) & T.matches(s, FETCH_TO_FILE))
-    runs = _lines_of(EXEC_COMMAND, PIPE_EXEC, EXEC_BARE)
+    same, saved, runs = F.col("p_fetch_pipe"), F.col("p_fetch_file"), F.col("p_run")
     start = _first(saved, lambda i: T.any_between(runs, i + 1, i + FETCH_EXEC_SPAN))
     end = T.first_between(runs, start + 1, start + FETCH_EXEC_SPAN)
-    found = F.coalesce(_place("same_line", same, same), _place("save_then_run", start, end))
-    return F.when(_has("curl", "wget", "iwr", "invoke-webrequest"), found)
+    return (
+        F.when(_found("p_fetch_pipe"), _place("same_line", same[0], same[0]))
+        .when(_found("p_fetch_file", "p_run"), _place("save_then_run", start, end))
+    )
 
 
 def download_chmod_exec() -> Column:
-    fetched = T.line_positions(
-        F.col("lines"), lambda s: T.matches(s, FETCH) & T.matches_any(s, (FETCH_TO_FILE, FETCH_URL))
-    )
-    chmods = _lines_of(CHMOD_X)
-    runs = _lines_of(EXEC_COMMAND, PIPE_EXEC, EXEC_BARE)
+    fetched, chmods, runs = F.col("p_fetch"), F.col("p_chmod"), F.col("p_run")
     armed = F.filter(chmods, lambda c: T.any_between(runs, c + 1, c + CHMOD_EXEC_SPAN))
-    start = _first(fetched, lambda i: T.any_between(armed, i + 1, i + CHMOD_SPAN))
+    start = _first(
+        fetched,
+        lambda i: F.exists(
+            chmods,
+            lambda c: (c > i) & (c <= i + CHMOD_SPAN) & T.any_between(runs, c + 1, c + CHMOD_EXEC_SPAN),
+        ),
+    )
     chmod = T.first_between(armed, start + 1, start + CHMOD_SPAN)
     end = T.first_between(runs, chmod + 1, chmod + CHMOD_EXEC_SPAN)
-    return F.when(_has("chmod") & _has("curl", "wget", "iwr", "invoke-webrequest"), _place("chmod", start, end))
+    return F.when(_found("p_fetch", "p_chmod", "p_run"), _place("chmod", start, end))
 
 
 def _content_place(variant: str, pattern: str) -> Column:
@@ -145,29 +196,22 @@ def _content_place(variant: str, pattern: str) -> Column:
 
 
 def sensitive_exfil() -> Column:
-    reads = _lines_of(SENSITIVE_READ)
-    sends = _lines_of(NET_SEND, NET_OUT)
-    encodes = _lines_of(BASE64)
+    reads, sends, encodes = F.col("p_read"), F.col("p_send"), F.col("p_encode")
     start = _first(reads, lambda i: T.any_between(sends, i + 1, i + EXFIL_SPAN))
     encoded = T.any_between(encodes, start + 1, start + EXFIL_SPAN)
     last_send = T.last_between(sends, start + 1, start + EXFIL_SPAN)
-    finds = T.line_positions(
-        F.col("lines"), lambda s: T.matches(s, SENSITIVE_PATH) & F.contains(F.lower(s), F.lit("find"))
-    )
-    uploads = T.line_positions(
-        F.col("lines"), lambda s: T.matches_any(s, (NET_SEND, NET_OUT)) & F.contains(F.lower(s), F.lit("curl"))
-    )
+    finds, uploads = F.col("p_find"), F.col("p_upload")
     found = _first(finds, lambda i: T.any_between(uploads, i + 1, i + FIND_SEND_SPAN))
     upload = T.first_between(uploads, found + 1, found + FIND_SEND_SPAN)
     return F.when(
-        _has("curl", "wget", "iwr", "invoke-restmethod"),
+        _has(*SENDERS),
         F.coalesce(
             _content_place("read_encode_send", READ_ENCODE_SEND),
             _content_place("read_send", READ_SEND),
             _content_place("find_send", FIND_KEY_SEND),
-            _place("encode_later", F.when(encoded, start), last_send),
-            _place("send_later", start, last_send),
-            _place("find_send_later", found, upload),
+            F.when(_found("p_read", "p_send", "p_encode"), _place("encode_later", F.when(encoded, start), last_send)),
+            F.when(_found("p_read", "p_send"), _place("send_later", start, last_send)),
+            F.when(_found("p_find", "p_upload"), _place("find_send_later", found, upload)),
         ),
     )
 
@@ -179,36 +223,30 @@ def find_exec() -> Column:
 
 
 def env_harvest() -> Column:
-    prints = _lines_of(ENV_PRINT, ENV_SECRET)
-    secrets = _lines_of(ENV_SECRET)
-    sends = _lines_of(NET_SEND, NET_OUT)
+    prints, secrets, sends = F.col("p_env"), F.col("p_secret_env"), F.col("p_send")
     start = _first(
         prints, lambda i: T.any_between(sends, i + 1, i + ENV_SEND_SPAN) | F.array_contains(secrets, i)
     )
     sent = T.first_between(sends, start + 1, start + ENV_SEND_SPAN)
     later = F.coalesce(_place("send_later", F.when(sent.isNotNull(), start), sent), _place("secret_only", start))
-    return F.when(_has("env"), F.coalesce(_content_place("same_line", ENV_SEND), later))
+    possible = _found("p_env") & (_found("p_send") | _found("p_secret_env"))
+    return F.when(_has("env"), F.coalesce(_content_place("same_line", ENV_SEND), F.when(possible, later)))
 
 
 def base64_exec() -> Column:
-    decodes = _lines_of(BASE64_DECODE)
-    piped = T.line_positions(F.col("lines"), lambda s: T.matches(s, BASE64_DECODE) & T.matches(s, PIPE_EXEC))
-    runs = _lines_of(EXEC_COMMAND)
+    decodes, piped, runs = F.col("p_decode"), F.col("p_decode_pipe"), F.col("p_command")
     start = _first(
         decodes, lambda i: F.array_contains(piped, i) | T.any_between(runs, i + 1, i + DECODE_EXEC_SPAN)
     )
     direct = F.array_contains(piped, start)
     end = T.first_between(runs, start + 1, start + DECODE_EXEC_SPAN)
     found = F.coalesce(_place("same_line", F.when(direct, start), start), _place("run_later", start, end))
-    return F.when(_has("base64"), found)
+    return F.when(_found("p_decode") & (_found("p_decode_pipe") | _found("p_command")), found)
 
 
 def laundering() -> Column:
     """Conversion and read may stand anywhere in the text; the line is the converter's, if it is a known one."""
-    named = F.coalesce(
-        _first(T.line_positions(F.col("lines"), lambda s: F.contains(F.lower(s), F.lit("pandoc"))), lambda i: F.lit(True)),
-        _first(T.line_positions(F.col("lines"), lambda s: F.contains(F.lower(s), F.lit("pdftotext"))), lambda i: F.lit(True)),
-    )
+    named = F.coalesce(F.get("p_pandoc", F.lit(0)), F.get("p_pdftotext", F.lit(0)))
     both = T.matches(F.col("content"), DOC_CONVERT) & T.matches(F.col("content"), READ_CONVERTED)
     none = F.lit(None).cast("int")
     return F.when(
@@ -265,4 +303,5 @@ KEYS = ["bundle_id", "rel_path", "ext", "is_main"]
 
 def scan_chains(files: DataFrame, rule_ids=tuple(RULES), policy: Policy = DEFAULT_POLICY) -> DataFrame:
     hits = F.concat(*[chain_hit(r, policy) for r in rule_ids])
-    return explode_hits(targets(files).select(*KEYS, hits.alias("hits")), KEYS, "hits")
+    rows = with_positions(targets(files), rule_ids)
+    return explode_hits(rows.select(*KEYS, hits.alias("hits")), KEYS, "hits")
