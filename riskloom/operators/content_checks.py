@@ -248,7 +248,10 @@ def expected_label(ext: Column) -> Column:
 
 def type_mismatches(blobs: DataFrame) -> DataFrame:
     typed = with_content_type(blobs.where(F.col("ext") != "")).select(*KEYS, "ext", "detected")
-    return typed.select(
-        *KEYS, "ext", "detected", expected_label(F.col("ext")).alias("expected"),
+    graded = F.struct(
+        "ext", "detected", expected_label(F.col("ext")).alias("expected"),
         mismatch_severity(F.col("ext"), F.col("detected")).alias("severity"),
-    ).where(F.col("severity").isNotNull())
+    )
+    # As in explode_hits: a test on the exploded value stays above the detection.
+    rows = typed.select(*KEYS, F.explode_outer(F.array(graded)).alias("m"))
+    return rows.where(F.col("m.severity").isNotNull()).select(*KEYS, "m.*")

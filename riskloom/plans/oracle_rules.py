@@ -153,11 +153,14 @@ KNOWN_INSTALLER = "len(list_filter({hosts}, lambda x: {test})) > 0".format(
     hosts=_hosts,
     test=" OR ".join(f"x = {q(d)} OR ends_with(x, {q('.' + d)})" for d in P.known_installer_domains),
 )
-cte("graded", ("kept_hits", "rules"), f"""
+
+
+def graded_sql(source: str) -> str:
+    return f"""
 WITH first_step AS (
   SELECT *, rule_id = {q(R.PACKAGE_INSTALL)} AND is_main AS notice,
     rule_id IN {inlist(R.INSTALLER_RULES)} AND {KNOWN_INSTALLER} AND NOT {rm('snippet', EXEC_CONTEXT)} AS installer
-  FROM kept_hits JOIN rules USING (rule_id)),
+  FROM {source} JOIN rules USING (rule_id)),
 second_step AS (
   SELECT *, CASE WHEN notice THEN 'Info' WHEN installer AND severity0 IN ('Critical', 'High') THEN 'Medium' ELSE severity0 END AS severity1,
     CASE WHEN notice THEN 0 WHEN installer THEN least(weight0, {R.INSTALLER_WEIGHT}) ELSE weight0 END AS weight1,
@@ -173,4 +176,8 @@ SELECT bundle_id, rel_path, ext, is_main, is_doc_path, line_no, snippet, rule_id
   hard1 AND NOT (in_docs AND starts_with(rule_id, 'PROMPT_INJECTION_')) AS hard_trigger
 FROM second_step
 WHERE NOT (in_docs AND rule_id IN {inlist(P.skip_in_docs)})
-""")
+"""
+
+
+cte("graded", ("kept_hits", "rules"), graded_sql("kept_hits"))
+cte("graded_lines", ("line_verdicts", "rules"), graded_sql(f"(SELECT {_columns} FROM line_verdicts WHERE reason IS NULL)"))

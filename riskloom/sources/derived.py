@@ -31,7 +31,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return derive(spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"))
+
+
+def derive(docs: DataFrame) -> DataFrame:
+    """Bundle files out of documents; works on a stream as well."""
     group = F.floor(F.col("doc_id") / 200)
     bundle = F.concat(F.col("source"), F.lit("-"), group.cast("string"))
     is_main = (F.floor(F.col("doc_id") / 20) % 10 == 0) & ((F.col("doc_id") + group) % 9 != 4)
@@ -52,8 +56,9 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit("\n"), body))
         .otherwise(F.concat(text, F.lit("\r\n"), body, F.lit("\n")))
     )
+    passed = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     return docs.select(
-        F.col("doc_id"), bundle.alias("bundle_id"), path.alias("rel_path"), content.alias("content")
+        *passed, F.col("doc_id"), bundle.alias("bundle_id"), path.alias("rel_path"), content.alias("content")
     )
 
 
