@@ -7,7 +7,7 @@ when it is assembled call by call from Python.
 
 from __future__ import annotations
 
-from riskloom.packs.loader import java_regex
+from riskloom.packs.loader import MARKS, Need, java_regex, literal_need, mark_bits, marks_of_any, min_width
 
 
 def quoted(value: str) -> str:
@@ -29,3 +29,39 @@ def any_rlike(text: str, patterns) -> str:
 
 def any_contains(text: str, literals) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(s)})" for s in literals) + ")" if literals else "false"
+
+
+def holds(folded: str, need: Need) -> str:
+    """The folded text holds the literals a pattern needs."""
+    if isinstance(need, str):
+        return f"contains({folded}, {quoted(need)})"
+    joiner = " AND " if need[0] == "and" else " OR "
+    return "(" + joiner.join(holds(folded, part) for part in need[1]) + ")"
+
+
+def possible(folded: str, pattern: str) -> str:
+    """Cheap necessary condition of a match: literals, else a minimum length."""
+    need = literal_need(pattern)
+    if need:
+        return holds(folded, need)
+    return f"length({folded}) >= {min_width(pattern)}"
+
+
+def any_possible(folded: str, patterns) -> str:
+    return "(" + " OR ".join(possible(folded, p) for p in patterns) + ")"
+
+
+def guarded(text: str, folded: str, patterns) -> str:
+    """Some pattern matches, each one tested only where it possibly can."""
+    return "(" + " OR ".join(f"({possible(folded, p)} AND {rlike(text, p)})" for p in patterns) + ")"
+
+
+def marks_column(text: str) -> str:
+    """Which marks a text holds, as bits: one short scan each, shared by all rules."""
+    return " | ".join(f"if(contains({text}, {quoted(m)}), {mark_bits([m])}, 0)" for m in MARKS)
+
+
+def has_marks(patterns, marks: str = "marks") -> str:
+    """The text holds the marks that all the patterns require."""
+    bits = marks_of_any(patterns)
+    return f"({marks} & {bits}) = {bits}" if bits else "true"

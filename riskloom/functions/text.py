@@ -38,6 +38,14 @@ def contains_any(text: Column, literals) -> Column:
     return any_of([F.contains(text, F.lit(s)) for s in literals])
 
 
+def holds(folded: Column, need) -> Column:
+    """The folded text holds the literals a pattern needs (see literal_need)."""
+    if isinstance(need, str):
+        return F.contains(folded, F.lit(need))
+    parts = [holds(folded, part) for part in need[1]]
+    return all_of(parts) if need[0] == "and" else any_of(parts)
+
+
 def unix_breaks(content: Column) -> Column:
     return F.replace(content, F.lit("\r\n"), F.lit("\n"))
 

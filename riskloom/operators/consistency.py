@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import sqltext as S
 from riskloom.functions import text as T
+from riskloom.packs.loader import java_regex
 
 # Code patterns per capability, in order of the checks.
 CAPABILITIES = {
@@ -47,24 +49,22 @@ BAIT_COMMAS = 7
 SALTS = 16
 
 
-def uses_network(content: Column) -> Column:
-    """Network code that names a non-local URL, or opens sockets in a text without local names."""
-    def is_local(s: Column) -> Column:
-        return F.contains(s, F.lit("127.0.0.1")) | F.contains(s, F.lit("localhost"))
-
-    found = F.regexp_extract_all(content, F.lit("(?dU)" + HTTP_URL), 0)
-    remote = F.exists(found, lambda u: ~is_local(u))
-    return T.matches_any(content, NETWORK) & (remote | (T.matches(content, SOCKET) & ~is_local(content)))
+def capability_names() -> Column:
+    """Capabilities a text uses, as an array; reads `content` and its lower-case form `folded`."""
+    local = "(contains(u, '127.0.0.1') OR contains(u, 'localhost'))"
+    remote_url = f"exists(regexp_extract_all(content, {S.quoted(java_regex(HTTP_URL))}, 0), u -> NOT {local})"
+    sockets = f"({S.guarded('content', 'folded', [SOCKET])} AND NOT {local.replace('(u,', '(content,')})"
+    network = f"{S.guarded('content', 'folded', NETWORK)} AND ({remote_url} OR {sockets})"
+    tests = {name: S.guarded("content", "folded", patterns) for name, (_, patterns) in CAPABILITIES.items()}
+    tests["NETWORK"] = network
+    used = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in tests.items())
+    return F.expr(f"filter(array({used}), c -> c IS NOT NULL)")
 
 
 def script_capabilities(files: DataFrame) -> DataFrame:
     """(bundle_id, rel_path, capability) for every capability a script uses; row-wise."""
-    content = F.col("content")
-    used = [F.when(T.matches_any(content, patterns), name) for name, (_, patterns) in CAPABILITIES.items()]
-    used.append(F.when(uses_network(content), "NETWORK"))
-    scripts = files.where((F.col("file_type") == "script") & ~F.col("is_binary"))
-    listed = F.filter(F.array(*used), lambda c: c.isNotNull())
-    rows = scripts.select("bundle_id", "rel_path", F.explode_outer(listed).alias("capability"))
+    scripts = files.where((F.col("file_type") == "script") & ~F.col("is_binary")).withColumn("folded", F.lower("content"))
+    rows = scripts.select("bundle_id", "rel_path", F.explode_outer(capability_names()).alias("capability"))
     return rows.where(F.col("capability").isNotNull())
 
 

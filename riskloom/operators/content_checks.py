@@ -9,6 +9,7 @@ from riskloom.functions import text as T
 from riskloom.functions.paths import is_asset_path, is_office_part
 from riskloom.operators.findings import lookup
 from riskloom.operators.rule_scan import explode_hits
+from riskloom.packs.loader import literal_need
 
 # Characters that look like Latin letters, and their twins, in the same order.
 _FULL_WIDTH = "".join(chr(c) for c in range(0xFF21, 0xFF3B))
@@ -38,6 +39,9 @@ C1 = r"[\x{80}-\x{9F}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{80}-\x{9F}]"
 CONTROL_PLACE = r"[\x00-\x08\x0B\x0E-\x1F\x7F\x{80}-\x{9F}]"
 
+# Superset of all characters looked for here; a plain union of ranges is fast to search.
+UNUSUAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{AD}\x{251}-\x{10FFFF}]"
+
 PI_STRONG = (r"(?i)ignore\s+(?:all\s+)?previous\s+instructions?", r"(?i)disregard\s+(?:all\s+)?prior")
 PI_ROLE = r"(?i)you\s+are\s+now\s+"
 FREE_DOMAIN_URL = r"(?i)https?://[^\s]+\.(?:tk|ml|ga|cf|gq)/"
@@ -52,7 +56,7 @@ def _occurrences(text: Column, characters: str) -> Column:
 def lookalike_stats(files: DataFrame) -> DataFrame:
     """Files with look-alike letters in mostly Latin text, with the first ten of them."""
     text = F.col("content")
-    counted = files.select(
+    counted = files.where(text.rlike(UNUSUAL)).select(
         *KEYS, "content", _occurrences(text, LOOKALIKES).alias("n_suspect"), _occurrences(text, LATIN).alias("n_latin")
     ).withColumn("share", F.col("n_suspect") / F.greatest(F.col("n_latin") + F.col("n_suspect"), F.lit(1)))
     flagged = counted.where(
@@ -73,7 +77,7 @@ def zero_width_stats(files: DataFrame) -> DataFrame:
     text = F.col("content")
     threshold = F.greatest(F.floor(F.length(text) / 1000), F.lit(1)) * ZERO_WIDTH_PER_1000
     return (
-        files.select(*KEYS, "content", _occurrences(text, ZW).alias("n_zero_width"), threshold.cast("int").alias("threshold"))
+        files.where(text.rlike(UNUSUAL)).select(*KEYS, "content", _occurrences(text, ZW).alias("n_zero_width"), threshold.cast("int").alias("threshold"))
         .where(F.col("n_zero_width") > F.col("threshold"))
     )
 
@@ -93,7 +97,7 @@ def control_stats(files: DataFrame) -> DataFrame:
     def count(pattern: str) -> Column:
         return F.regexp_count("content", F.lit(pattern))
 
-    return files.where(F.col("content").rlike(CONTROL)).select(
+    return files.where(F.col("content").rlike(UNUSUAL) & F.col("content").rlike(CONTROL)).select(
         *KEYS, count(C0).alias("n_c0"), count(DEL).alias("n_del"), count(C1).alias("n_c1"), "content"
     )
 
@@ -119,6 +123,8 @@ def _finding(rule_id: str, category: str, severity, line_no: Column, snippet: Co
 def unicode_hits() -> Column:
     """array of findings for look-alike, zero-width and control characters."""
     text = F.col("content")
+    # Most files end here, after one pass and before anything is counted.
+    unusual = text.rlike(UNUSUAL)
     suspects, latin = _occurrences(text, LOOKALIKES), _occurrences(text, LATIN)
     zero_width = _occurrences(text, ZW)
     threshold = F.greatest(F.floor(F.length(text) / 1000), F.lit(1)) * ZERO_WIDTH_PER_1000
@@ -143,7 +149,7 @@ def unicode_hits() -> Column:
            F.concat(F.regexp_count(text, F.lit(CONTROL)).cast("string"), F.lit(" control characters"))),
     )
     parts = F.flatten(F.filter(F.array(lookalike, hidden, control), lambda a: a.isNotNull()))
-    return F.when(~is_office_part(F.col("rel_path")), parts)
+    return F.when(~is_office_part(F.col("rel_path")) & unusual, parts)
 
 
 def scan_unicode(files: DataFrame) -> DataFrame:
@@ -152,23 +158,26 @@ def scan_unicode(files: DataFrame) -> DataFrame:
 
 def asset_hits() -> Column:
     """Instruction overrides and free-domain links in asset files, line by line."""
+    def test(line: Column, pattern: str) -> Column:
+        return T.holds(F.lower(line), literal_need(pattern)) & T.matches(line, pattern)
+
     def of_line(s: Column, i: Column) -> Column:
         no = i + 1
         injection = F.when(
-            T.matches_any(s, PI_STRONG),
+            T.any_of([test(s, p) for p in PI_STRONG]),
             _finding("ASSET_PROMPT_INJECTION", "PromptInjection", "High", no, s, F.lit("instruction override in asset file")),
         ).when(
-            T.matches(s, PI_ROLE),
+            test(s, PI_ROLE),
             _finding("ASSET_PROMPT_INJECTION", "PromptInjection", "Medium", no, s, F.lit("role change in asset file")),
         )
         link = F.when(
-            T.matches(s, FREE_DOMAIN_URL),
+            test(s, FREE_DOMAIN_URL),
             _finding("ASSET_SUSPICIOUS_URL", "SocialEngineering", "Medium", no, s, F.lit("free-domain link in asset file")),
         )
         return F.array(injection, link)
 
     folded = F.lower("content")
-    possible = T.contains_any(folded, ("previous", "prior", "you", ".tk/", ".ml/", ".ga/", ".cf/", ".gq/"))
+    possible = T.any_of([T.holds(folded, literal_need(p)) for p in (*PI_STRONG, PI_ROLE, FREE_DOMAIN_URL)])
     hits = F.filter(F.flatten(F.transform(T.physical_lines(F.col("content")), of_line)), lambda h: h.isNotNull())
     return F.when(is_asset_path(F.col("rel_path")) & possible, hits)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths as P
@@ -68,70 +68,30 @@ def rescan_needed(current: DataFrame, previous: DataFrame) -> DataFrame:
 # --- update detection
 
 
-def latest_as_of(commits: DataFrame, points: DataFrame, bucket: int) -> DataFrame:
-    """For each point (id, repo, path, seq): the path's last commit at or before seq.
-
-    Two levels: rows meet inside buckets of seq, and each bucket inherits the last
-    commit of the earlier ones. A path with very many commits spreads over its buckets.
-    """
-    keys = ["repo", "path"]
-    c = commits.select(*keys, "seq", "sha", F.lit(None).cast("string").alias("id"))
-    p = points.select(*keys, "seq", F.lit(None).cast("string").alias("sha"), "id")
-    rows = c.unionByName(p).withColumn("bucket", F.floor(F.col("seq") / bucket))
-    commit = F.when(F.col("sha").isNotNull(), F.struct("seq", "sha"))
-    in_bucket = Window.partitionBy(*keys, "bucket").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("own", F.max(commit).over(in_bucket)).where(F.col("id").isNotNull())
-    ends = (
-        commits.withColumn("bucket", F.floor(F.col("seq") / bucket)).groupBy(*keys, "bucket")
-        .agg(F.max(F.struct("seq", "sha")).alias("last"))
-    )
-    # The same two steps once more over bucket ends: a hundred buckets make a block.
-    blocked = ends.withColumn("block", F.floor(F.col("bucket") / 100))
-    marks = own.where(F.col("own").isNull()).select(*keys, "bucket").distinct().withColumn("block", F.floor(F.col("bucket") / 100))
-    both = blocked.select(*keys, "block", "bucket", "last", F.lit(False).alias("is_mark")).unionByName(
-        marks.select(*keys, "block", "bucket", F.lit(None).cast(ends.schema["last"].dataType).alias("last"), F.lit(True).alias("is_mark")))
-    before = Window.partitionBy(*keys, "block").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("near", F.max("last").over(before)).where("is_mark")
-    block_ends = blocked.groupBy(*keys, "block").agg(F.max("last").alias("last"))
-    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # Blocks that hold marks but no commits need a row of their own.
-    block_rows = block_ends.unionByName(
-        marks.select(*keys, "block").distinct().withColumn("last", F.lit(None).cast(ends.schema["last"].dataType)))
-    block_rows = block_rows.groupBy(*keys, "block").agg(F.max("last").alias("last"))
-    far = block_rows.withColumn("far", F.max("last").over(earlier)).select(*keys, "block", "far")
-    inherited = near.join(far, [*keys, "block"]).select(*keys, "bucket", F.coalesce("near", "far").alias("inherited"))
-    joined = own.join(inherited, [*keys, "bucket"], "left")
-    return joined.select("id", F.coalesce("own", "inherited")["sha"].alias("as_of_sha"))
-
-
-def update_status(installs: DataFrame, commits: DataFrame, bucket: int = 100_000) -> DataFrame:
+def update_status(installs: DataFrame, commits: DataFrame) -> DataFrame:
     """UpToDate, UpdateAvailable or Unknown per install.
 
-    A direct match with the path's latest commit is up to date; otherwise the latest
-    commit as of the installed one gets a second chance.
+    A match with the path's latest commit is up to date. Otherwise the installed commit
+    gets a second chance: it may belong to another path of the repository, and the path's
+    latest commit as of it is the path's latest exactly if none came after it. That is a
+    comparison of positions, so no as-of join over a path's history is needed.
     """
-    latest = commits.groupBy("repo", "path").agg(F.max(F.struct("seq", "sha"))["sha"].alias("latest_sha"))
-    rows = installs.join(latest, ["repo", "path"], "left")
-    known = (F.coalesce("installed_sha", F.lit("")) != "") & F.col("latest_sha").isNotNull()
-    rows = rows.withColumn("direct", known & same_commit(F.col("installed_sha"), F.col("latest_sha"))).withColumn("known", known)
-    # The installed commit may belong to another path of the repository.
-    open_ = rows.where(known & ~F.col("direct")).withColumn("prefix", F.substring("installed_sha", 1, 7))
-    by_prefix = commits.select(
-        "repo", F.substring("sha", 1, 7).alias("prefix"), F.col("sha").alias("commit_sha"), F.col("seq").alias("commit_seq"))
+    latest = commits.groupBy("repo", "path").agg(F.max(F.struct("seq", "sha")).alias("latest"))
+    # The installed commit's position: by its first seven characters, then by the whole id.
+    asked = installs.where(F.length("installed_sha") >= 7).select(
+        "id", "repo", "installed_sha", F.substring("installed_sha", 1, 7).alias("prefix"))
+    by_prefix = commits.select("repo", F.substring("sha", 1, 7).alias("prefix"), F.col("sha").alias("commit_sha"), "seq")
     located = (
-        open_.where(F.length("prefix") == 7).join(by_prefix, ["repo", "prefix"])
-        .where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
-        .groupBy("id", "repo", "path").agg(F.max("commit_seq").alias("seq"))
-    )
-    as_of = latest_as_of(commits, located, bucket)
-    status = (
-        F.when(~F.col("known"), "Unknown").when(F.col("direct"), "UpToDate")
-        .when(same_commit(F.col("as_of_sha"), F.col("latest_sha")), "UpToDate").otherwise("UpdateAvailable")
-    )
-    return rows.join(as_of, "id", "left").select(
-        "id", "repo", "path", status.alias("status"),
-        F.when(status != "Unknown", F.col("latest_sha")).alias("latest_sha"),
+        asked.join(by_prefix, ["repo", "prefix"]).where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
+        .groupBy("id").agg(F.max("seq").alias("installed_seq"))
     )
+    rows = installs.join(latest, ["repo", "path"], "left").join(located, "id", "left")
+    latest_sha = F.col("latest.sha")
+    known = (F.coalesce("installed_sha", F.lit("")) != "") & latest_sha.isNotNull()
+    current = same_commit(F.col("installed_sha"), latest_sha) | F.coalesce(F.col("installed_seq") >= F.col("latest.seq"), F.lit(False))
+    status = F.when(~known, "Unknown").when(current, "UpToDate").otherwise("UpdateAvailable")
+    return rows.select(
+        "id", "repo", "path", status.alias("status"), F.when(known, latest_sha).alias("latest_sha"))
 
 
 def plugin_updates(plugins: DataFrame, available: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text as T
 from riskloom.functions.paths import slashes
+from riskloom.packs.loader import java_regex, literal_need
 
 # The forms a reference takes; group 1 is the path.
 PATTERNS = (
@@ -51,7 +52,12 @@ def is_local_reference(path: Column) -> Column:
 
 def extracted_paths(content: Column) -> Column:
     """Sorted distinct local references of a text."""
-    found = F.concat(*[F.regexp_extract_all(content, F.lit("(?dU)" + p), 1) for p in PATTERNS])
+    folded = F.lower(content)
+    nothing = F.array().cast("array<string>")
+    found = F.concat(*[
+        F.when(T.holds(folded, literal_need(p)), F.regexp_extract_all(content, F.lit(java_regex(p)), 1)).otherwise(nothing)
+        for p in PATTERNS
+    ])
     trimmed = F.transform(found, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.array_sort(F.array_distinct(F.filter(trimmed, is_local_reference)))
 

@@ -14,7 +14,7 @@ from riskloom.functions import sqltext as S
 from riskloom.functions import text as T
 from riskloom.functions.paths import is_markdown
 from riskloom.functions.urls import EXEC_CONTEXT, targets_known_installer
-from riskloom.packs.loader import builtin_rules, java_regex, required_literals
+from riskloom.packs.loader import builtin_rules, java_regex
 from riskloom.packs.model import Rule
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 
@@ -58,7 +58,7 @@ def prepare(files: DataFrame) -> DataFrame:
         files.withColumn("lines", T.physical_lines(F.col("content")))
         .withColumn("marked", T.mark_continuations(F.col("content"), F.col("ext")))
         .withColumn("items", T.logical_lines(F.col("marked")))
-        .withColumn("folded", F.lower(F.col("content")))
+        .withColumns({"folded": F.lower(F.col("content")), "marks": F.expr(S.marks_column("content"))})
         .withColumn(
             "folded_logical",
             F.when(
@@ -77,22 +77,6 @@ def applies_sql(rule: Rule) -> str:
     return f"(is_main OR concat('.', ext) IN ({S.listed(rule.file_types)}))"
 
 
-def _guarded_sql(text: str, folded: str, patterns) -> str:
-    """Some pattern matches, each one tested only where one of its literals occurs."""
-    tests = []
-    for p in patterns:
-        literals = required_literals(p)
-        guard = f"{S.any_contains(folded, literals)} AND " if literals else ""
-        tests.append(f"({guard}{S.rlike(text, p)})")
-    return "(" + " OR ".join(tests) + ")"
-
-
-def _may_match_sql(folded: str, patterns) -> str:
-    if not all(required_literals(p) for p in patterns):
-        return "true"
-    return "(" + " OR ".join(S.any_contains(folded, required_literals(p)) for p in patterns) + ")"
-
-
 def _quote_is_open(prefix: Column) -> Column:
     """The prefix ends inside a string literal: drop escapes and closed literals, look for a quote."""
     no_escapes = F.regexp_replace(prefix, r"\\.", "")
@@ -161,12 +145,13 @@ def suppression_reason(rule: Rule, item: Column) -> Column:
 
 
 def _matching_items_sql(rule: Rule) -> str:
-    hit = _guarded_sql("x.text", "x.folded", rule.line_patterns)
+    hit = S.guarded("x.text", "x.folded", rule.line_patterns)
     return f"filter(items, x -> {hit} AND NOT {S.any_rlike('x.text', rule.excludes)})"
 
 
 def _line_guard_sql(rule: Rule) -> str:
-    return f"{applies_sql(rule)} AND {_may_match_sql('folded_logical', rule.line_patterns)}"
+    possible = S.any_possible("folded_logical", rule.line_patterns)
+    return f"{applies_sql(rule)} AND {S.has_marks(rule.line_patterns)} AND {possible}"
 
 
 def _is_contextual(rule: Rule) -> bool:
@@ -206,7 +191,7 @@ def content_hit_sql(rule: Rule) -> str:
         hit = (
             f"named_struct('rule_id', {S.quoted(rule.rule_id)}, 'line_no', {line}, 'snippet', substring({found}, 1, 200))"
         )
-        test = f"{_guarded_sql('content', 'folded', [p])} AND NOT {S.any_rlike(found, rule.excludes)}"
+        test = f"{S.has_marks([p])} AND {S.guarded('content', 'folded', [p])} AND NOT {S.any_rlike(found, rule.excludes)}"
         options.append(f"CASE WHEN {test} THEN {hit} END")
     return f"CASE WHEN {applies_sql(rule)} THEN coalesce({', '.join(options)}) END"
 
@@ -249,7 +234,8 @@ def scan_lines(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def scan_content(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    rows = files.withColumn("folded", F.lower("content")).select(*FILE_KEYS, content_rule_hits(policy).alias("hits"))
+    texts = files.withColumns({"folded": F.lower("content"), "marks": F.expr(S.marks_column("content"))})
+    rows = texts.select(*FILE_KEYS, content_rule_hits(policy).alias("hits"))
     return explode_hits(rows, FILE_KEYS, "hits")
 
 

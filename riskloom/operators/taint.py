@@ -57,7 +57,7 @@ def _has(mask: Column, bit: int) -> Column:
     return mask.bitwiseAND(F.lit(bit)) != 0
 
 
-def _verdict(segment: Column, name: Column, mask: Column) -> Column:
+def _verdict(c: Column, mask: Column) -> Column:
     """struct<rule_id, category, severity> when this command consumes what flows into it."""
 
     def flow(rule: str, category: str, severity: str) -> Column:
@@ -65,43 +65,52 @@ def _verdict(segment: Column, name: Column, mask: Column) -> Column:
             F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity")
         )
 
-    sends = name.isin(*SENDERS) & T.contains_any(segment, SEND_FLAGS)
-    runs = name.isin(*INTERPRETERS)
     return (
-        F.when(runs & (_has(mask, NETWORK) | _has(mask, OBFUSCATED)), flow("TAINT_CMD_INJECTION", "CmdInjection", "High"))
-        .when(runs & _has(mask, SENSITIVE), flow("TAINT_CMD_INJECTION", "CmdInjection", "Medium"))
-        .when(runs & _has(mask, USER), flow("TAINT_CMD_INJECTION", "CmdInjection", "High"))
-        .when((name == "tee") & _has(mask, SENSITIVE), flow("TAINT_DATA_EXFIL", "Network", "Medium"))
-        .when(sends & _has(mask, SENSITIVE), flow("TAINT_DATA_EXFIL", "Network", "Critical"))
-        .when(sends & _has(mask, OBFUSCATED), flow("TAINT_DATA_EXFIL", "Network", "Medium"))
+        F.when(c["runs"] & _has(mask, NETWORK | OBFUSCATED), flow("TAINT_CMD_INJECTION", "CmdInjection", "High"))
+        .when(c["runs"] & _has(mask, SENSITIVE), flow("TAINT_CMD_INJECTION", "CmdInjection", "Medium"))
+        .when(c["runs"] & _has(mask, USER), flow("TAINT_CMD_INJECTION", "CmdInjection", "High"))
+        .when((c["name"] == "tee") & _has(mask, SENSITIVE), flow("TAINT_DATA_EXFIL", "Network", "Medium"))
+        .when(c["sends"] & _has(mask, SENSITIVE), flow("TAINT_DATA_EXFIL", "Network", "Critical"))
+        .when(c["sends"] & _has(mask, OBFUSCATED), flow("TAINT_DATA_EXFIL", "Network", "Medium"))
     )
 
 
 def line_flow(line: Column) -> Column:
-    """First sink of the line reached by taint; null when there is none."""
-    parts = segments(line)
+    """First sink of the line reached by taint; null when there is none.
+
+    Names and traits of the commands are worked out once each, before the fold reads them.
+    """
+    named = F.transform(
+        segments(line), lambda p: F.struct(p.alias("segment"), command_name(p).alias("name"))
+    )
+    commands = F.transform(
+        named,
+        lambda c: F.struct(
+            c["name"].alias("name"), _brought(c["name"]).alias("brought"), c["name"].isin(*INTERPRETERS).alias("runs"),
+            (c["name"].isin(*SENDERS) & T.contains_any(c["segment"], SEND_FLAGS)).alias("sends"),
+        ),
+    )
+    none = F.lit(None).cast("string")
     start = F.struct(
-        F.lit(0).alias("mask"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("string").alias("severity"), F.lit(0).alias("taints"), F.lit("").alias("sink"),
+        F.lit(0).alias("mask"), none.alias("rule_id"), none.alias("category"), none.alias("severity"),
+        F.lit(0).alias("taints"), F.lit("").alias("sink"),
     )
 
-    def step(state: Column, segment: Column) -> Column:
-        name = command_name(segment)
-        mask = state["mask"].bitwiseOR(_brought(name))
-        verdict = _verdict(segment, name, mask)
-        open_ = state["rule_id"].isNull()
-        hit = open_ & verdict.isNotNull()
-        return F.struct(
-            mask.alias("mask"),
-            F.when(open_, verdict["rule_id"]).otherwise(state["rule_id"]).alias("rule_id"),
-            F.when(open_, verdict["category"]).otherwise(state["category"]).alias("category"),
-            F.when(open_, verdict["severity"]).otherwise(state["severity"]).alias("severity"),
-            F.when(hit, mask).otherwise(state["taints"]).alias("taints"),
-            F.when(hit, name).otherwise(state["sink"]).alias("sink"),
+    def step(state: Column, c: Column) -> Column:
+        mask = state["mask"].bitwiseOR(c["brought"])
+        verdict = _verdict(c, mask)
+        reached = F.struct(
+            mask.alias("mask"), verdict["rule_id"].alias("rule_id"), verdict["category"].alias("category"),
+            verdict["severity"].alias("severity"), mask.alias("taints"), c["name"].alias("sink"),
+        )
+        going = F.struct(
+            mask.alias("mask"), none.alias("rule_id"), none.alias("category"), none.alias("severity"),
+            F.lit(0).alias("taints"), F.lit("").alias("sink"),
         )
+        return F.when(state["rule_id"].isNotNull(), state).when(verdict.isNotNull(), reached).otherwise(going)
 
-    flow = F.aggregate(parts, start, step)
-    return F.when(F.contains(line, F.lit("|")) & line.rlike(SINK_WORDS) & (F.size(parts) >= 2), flow)
+    flows = F.transform(F.array(commands), lambda cs: F.when(F.size(cs) >= 2, F.aggregate(cs, start, step)))
+    return F.when(F.contains(line, F.lit("|")) & line.rlike(SINK_WORDS), flows[0])
 
 
 def _region_state() -> Column:

@@ -43,22 +43,36 @@ def java_regex(pattern: str) -> str:
     return "(?dU)" + pattern
 
 
+# What a text must hold for a pattern to match: a literal, or ("and" | "or", parts).
+Need = str | tuple[str, tuple["Need", ...]]
+MAX_PARTS = 4
+
+
 @lru_cache(maxsize=None)
-def required_literals(pattern: str) -> tuple[str, ...]:
-    """Lower-case strings of which at least one occurs in every match; () when there is none.
+def literal_need(pattern: str) -> Need | None:
+    """Lower-case literals without which the pattern cannot match; None when there are none.
 
-    Used as a cheap `contains` test in front of the regular expression.
+    Used as cheap substring tests in front of the regular expression.
     """
-    best = _literals_of_sequence(list(sre_parser.parse(pattern)))
-    return tuple(sorted(best)) if best else ()
+    return _need_of_sequence(list(sre_parser.parse(pattern)))
+
+
+@lru_cache(maxsize=None)
+def min_width(pattern: str) -> int:
+    """Length of the shortest possible match."""
+    return int(sre_parser.parse(pattern).getwidth()[0])
 
 
-def _score(candidate: frozenset[str]) -> tuple[int, int]:
-    return (min(len(s) for s in candidate), -len(candidate))
+def _weight(need: Need) -> int:
+    """How telling a condition is: the literal's length, the best of an "and", the worst of an "or"."""
+    if isinstance(need, str):
+        return len(need)
+    values = [_weight(part) for part in need[1]]
+    return max(values) if need[0] == "and" else min(values)
 
 
-def _literals_of_sequence(items: list) -> frozenset[str] | None:
-    candidates: list[frozenset[str]] = []
+def _need_of_sequence(items: list) -> Need | None:
+    found: list[Need] = []
     run = ""
     for op, arg in items:
         if op is sre.LITERAL and chr(arg).isascii():
@@ -67,23 +81,60 @@ def _literals_of_sequence(items: list) -> frozenset[str] | None:
         if op is sre.AT:
             continue
         if run:
-            candidates.append(frozenset([run]))
+            found.append(run)
             run = ""
-        found = _literals_of_item(op, arg)
-        if found:
-            candidates.append(found)
+        need = _need_of_item(op, arg)
+        if need:
+            found.append(need)
     if run:
-        candidates.append(frozenset([run]))
-    return max(candidates, key=_score) if candidates else None
+        found.append(run)
+    best = sorted(dict.fromkeys(found), key=_weight, reverse=True)[:MAX_PARTS]
+    telling = [n for n in best if _weight(n) > 1] or best[:1]
+    if len(telling) > 1:
+        return ("and", tuple(telling))
+    return telling[0] if telling else None
 
 
-def _literals_of_item(op, arg) -> frozenset[str] | None:
+def _need_of_item(op, arg) -> Need | None:
     if op is sre.SUBPATTERN:
-        return _literals_of_sequence(list(arg[3]))
+        return _need_of_sequence(list(arg[3]))
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-        return _literals_of_sequence(list(arg[2]))
+        return _need_of_sequence(list(arg[2]))
     if op is sre.BRANCH:
-        per_branch = [_literals_of_sequence(list(branch)) for branch in arg[1]]
-        if all(per_branch):
-            return frozenset().union(*per_branch)
+        parts = [_need_of_sequence(list(branch)) for branch in arg[1]]
+        if all(parts):
+            return ("or", tuple(dict.fromkeys(parts))) if len(set(parts)) > 1 else parts[0]
     return None
+
+
+# Characters that code and commands use and prose mostly does not.
+MARKS = "()/\\$=|.:-_+{}[]*~%#@&;<>"
+
+
+@lru_cache(maxsize=None)
+def required_marks(pattern: str) -> frozenset[str]:
+    """Marks that occur in every match of the pattern."""
+    return _marks_of(list(sre_parser.parse(pattern)))
+
+
+def _marks_of(items: list) -> frozenset[str]:
+    found: set[str] = set()
+    for op, arg in items:
+        if op is sre.LITERAL and chr(arg) in MARKS:
+            found.add(chr(arg))
+        elif op is sre.SUBPATTERN:
+            found |= _marks_of(list(arg[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
+            found |= _marks_of(list(arg[2]))
+        elif op is sre.BRANCH:
+            found |= frozenset.intersection(*[_marks_of(list(branch)) for branch in arg[1]])
+    return frozenset(found)
+
+
+def mark_bits(marks) -> int:
+    return sum(1 << MARKS.index(m) for m in marks)
+
+
+def marks_of_any(patterns) -> int:
+    """Bits of the marks that every one of the patterns requires."""
+    return mark_bits(frozenset.intersection(*[required_marks(p) for p in patterns]))

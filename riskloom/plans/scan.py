@@ -29,10 +29,7 @@ def _shaped(hits: Column, analyzer: str | None, has_grade: bool = True) -> Colum
 
 def capability_hits() -> Column:
     """Capabilities of a script, carried along as marker rows."""
-    content = F.col("content")
-    used = [F.when(T.matches_any(content, p), name) for name, (_, p) in consistency.CAPABILITIES.items()]
-    used.append(F.when(consistency.uses_network(content), "NETWORK"))
-    names = F.filter(F.array(*used), lambda c: c.isNotNull())
+    names = consistency.capability_names()
     none = F.lit(None)
     is_script = (F.col("file_type") == "script") & ~F.col("is_binary")
     return F.when(

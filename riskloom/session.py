@@ -16,6 +16,8 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Call-site capture costs more than building the expressions of a rule pack.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -25,7 +27,7 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of our own only in local runs without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
     if not spark.sparkContext.master.startswith("local"):

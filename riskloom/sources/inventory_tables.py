@@ -47,7 +47,7 @@ FROM (SELECT o_orderkey, {repo('o_custkey')} AS repository_url,
 SELECT {repo('l_partkey')} AS repo, concat('packs/p', {s('l_orderkey % 300')}) AS path, l_orderkey * 10 + l_linenumber AS seq,
   md5(concat('k', {s('l_orderkey')}, '-', {s('l_linenumber')}, '-', {s('l_partkey')})) AS sha FROM {{lineitem}}""",
     "installs": f"""
-SELECT concat({s('l_orderkey')}, '-', {s('l_linenumber')}, '-', {s('l_partkey')}) AS id, {repo('l_partkey')} AS repo,
+SELECT concat({s('l_orderkey')}, '-', {s('l_linenumber')}, '-', {s('l_partkey')}, '-', {s('l_suppkey')}) AS id, {repo('l_partkey')} AS repo,
   concat('packs/p', {s('CASE WHEN l_suppkey % 6 = 5 THEN (l_orderkey + 1) % 300 ELSE l_orderkey % 300 END')}) AS path,
   CASE l_suppkey % 6 WHEN 0 THEN sha WHEN 1 THEN substring(sha, 1, 7) WHEN 2 THEN substring(sha, 1, 6) WHEN 3 THEN NULL
     WHEN 4 THEN concat('ffff', substring(sha, 1, 10)) ELSE sha END AS installed_sha
