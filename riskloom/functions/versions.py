@@ -24,7 +24,7 @@ def _core(version: Column) -> Column:
 def numbers(version: Column) -> Column:
     """Numeric parts as array<bigint>; null for a syntax that is not understood."""
     core = F.replace(_core(version), F.lit("_"), F.lit("."))
-    valid = core.rlike(r"^[0-9]{1,18}(?:\.[0-9]{1,18})*$")
+    valid = core.rlike(r"^[0-9]{1,18}(?:\.[0-9]{1,18})*+$")
     return F.when(valid, F.transform(F.split(core, r"\."), lambda p: p.cast("bigint")))
 
 

@@ -80,7 +80,8 @@ def update_status(installs: DataFrame, commits: DataFrame) -> DataFrame:
     # The installed commit's position: by its first seven characters, then by the whole id.
     asked = installs.where(F.length("installed_sha") >= 7).select(
         "id", "repo", "installed_sha", F.substring("installed_sha", 1, 7).alias("prefix"))
-    by_prefix = commits.select("repo", F.substring("sha", 1, 7).alias("prefix"), F.col("sha").alias("commit_sha"), "seq")
+    by_prefix = commits.groupBy("repo", F.col("sha").alias("commit_sha")).agg(F.max("seq").alias("seq")).withColumn(
+        "prefix", F.substring("commit_sha", 1, 7))
     located = (
         asked.join(by_prefix, ["repo", "prefix"]).where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
         .groupBy("id").agg(F.max("seq").alias("installed_seq"))
@@ -125,14 +126,19 @@ def upgrade_candidates(stored: DataFrame, available: DataFrame, plugins: DataFra
 def match_plugins(scanned: DataFrame, existing: DataFrame) -> DataFrame:
     """Stored record of a scanned plugin: by id or by source; installed first, then same id.
 
-    The OR condition is two equi-joins; candidates of one plugin meet in an aggregate.
+    The OR condition is two equi-joins. Each source offers its one best record, so
+    plugins that share a source do not meet all its records; a same-id record of that
+    source still comes in through the id.
     """
     source = ["repository_url", "marketplace", "name"]
     e = existing.select(F.col("id").alias("existing_id"), F.col("installed").alias("was_installed"), *source)
-    by_id = scanned.select("id").join(e.select("existing_id", "was_installed"), F.col("id") == F.col("existing_id")).withColumn("same_id", F.lit(True))
-    l, r = scanned.alias("l"), e.alias("r")
+    by_id = scanned.select("id").join(
+        e.select("existing_id", "was_installed"), F.col("id") == F.col("existing_id")).withColumn("same_id", F.lit(True))
+    best = e.groupBy(*source).agg(F.max(F.struct("was_installed", "existing_id")).alias("b"))
+    l, r = scanned.alias("l"), best.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in source]
-    by_source = l.join(r, on).select("l.id", "r.existing_id", "r.was_installed").withColumn("same_id", F.col("id") == F.col("existing_id"))
+    by_source = l.join(r, on).select("l.id", "r.b.existing_id", "r.b.was_installed").withColumn(
+        "same_id", F.col("id") == F.col("existing_id"))
     both = by_id.select("id", "existing_id", "was_installed", "same_id").unionByName(by_source)
     order = F.struct("was_installed", "same_id", "existing_id")
     return both.groupBy("id").agg(F.max_by(F.struct("existing_id", "was_installed", "same_id"), order).alias("m")).select("id", "m.*")

@@ -17,7 +17,7 @@ def scalar(block: Column, key: str) -> Column:
 def string_list(block: Column, key: str) -> Column:
     """[a, b] on the key's line, or '- a' lines below it."""
     inline = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\[([^\]]*)\]", 1)
-    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)+)", 1)
+    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*+\n?)++)", 1)
     items = F.when(inline != "", F.split(inline, ",")).otherwise(
         F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), 1)
     )
@@ -26,7 +26,7 @@ def string_list(block: Column, key: str) -> Column:
 
 def string_map(block: Column, key: str) -> Column:
     """Indented 'k: v' lines below the key."""
-    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+[^\n]*\n?)+)", 1)
+    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+[^\n]*+\n?)++)", 1)
     lines = F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]+([^:\n]+:[^\n]*)$"), 1)
     entries = F.transform(
         lines,

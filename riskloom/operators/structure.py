@@ -14,7 +14,7 @@ MIN_DESCRIPTION, MAX_DESCRIPTION, MAX_COMPATIBILITY = 10, 1024, 500
 
 def is_valid_name(name: Column) -> Column:
     """2-64 lower-case letters, digits and single inner hyphens."""
-    return name.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$") & F.length(name).between(2, 64)
+    return F.length(name).between(2, 64) & name.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$")
 
 
 def _explode_rules(rows: DataFrame, keys: list, tests) -> DataFrame:

@@ -10,6 +10,7 @@ from riskloom.functions.urls import EXEC_CONTEXT
 from riskloom.operators.chains import KEYS, installer_downgrade, targets
 from riskloom.operators.findings import lookup
 from riskloom.operators.rule_scan import explode_hits
+from riskloom.packs.loader import MAX_FLAGS
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 
 # One segment of a pipeline: quoted text and || do not split.
@@ -37,14 +38,19 @@ HIT = "struct<rule_id:string,category:string,severity:string,line_no:int,taints:
 
 
 def segments(line: Column) -> Column:
-    # Possessive inner run: long plain text is one step for the regex engine.
-    pattern = "(?d)" + SEGMENT.replace("[^|'\"]|", "[^|'\"]++|").replace("[^']*", "[^']*+").replace('[^"]*', '[^"]*+')
+    # Possessive repeats: the engine then loops over the pieces instead of recursing.
+    pattern = r"""(?d)(?:[^|'"]++|'[^']*+(?:'|$)|"[^"]*+(?:"|$)|\|\|)++"""
     parts = F.transform(F.regexp_extract_all(line, F.lit(pattern), 0), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
+def _bounded(pattern: str) -> str:
+    return pattern.replace(")*", "){0,%d}" % MAX_FLAGS)
+
+
 def command_name(segment: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.trim(segment), ENV_PREFIX, ""), SUDO_PREFIX, "")
+    bare = F.regexp_replace(
+        F.regexp_replace(F.trim(segment), _bounded(ENV_PREFIX), ""), _bounded(SUDO_PREFIX), "")
     return F.lower(F.split(F.trim(bare), r"\s+", 2)[0])
 
 

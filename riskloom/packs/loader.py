@@ -38,9 +38,17 @@ def builtin_rules() -> tuple[Rule, ...]:
     return load_packs(core.RULES, parity.RULES)
 
 
+MAX_FLAGS = 300
+
+
 def java_regex(pattern: str) -> str:
-    """Rule patterns use Unicode classes and a dot that stops at the line feed only."""
-    return "(?dU)" + pattern
+    """Rule patterns use Unicode classes and a dot that stops at the line feed only.
+
+    Java walks a repeated group of words by recursion, so a line made of thousands of
+    command flags would exhaust a task's stack. Such groups are bounded far above any
+    real command line.
+    """
+    return "(?dU)" + pattern.replace(r"\s+)*", r"\s+){0,%d}" % MAX_FLAGS)
 
 
 # What a text must hold for a pattern to match: a literal, or ("and" | "or", parts).

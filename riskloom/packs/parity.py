@@ -68,7 +68,7 @@ RULES = (
           r"(?:requests\.|urllib\.request|httpx\.|socket\.)[^\n]{0,160}base64\.(?:b64encode|encodebytes)"),
          file_types=(".py",)),
     Rule("OBFUSCATION_HEX_BLOB", "Obfuscation", "Medium", 35, "Medium", "CWE-656",
-         (r"(?:0x[0-9a-fA-F]{2}\s*){32,}",)),
+         (r"(?:0x[0-9a-fA-F]{2}\s*){32}",)),
     Rule("OBFUSCATION_XOR_ENCODING", "Obfuscation", "Medium", 35, "Medium", "CWE-656",
          (r"chr\s*\(\s*ord\s*\([^)]+\)\s*\^",), file_types=(".py",)),
     Rule("RESOURCE_ABUSE_INFINITE_LOOP", "Obfuscation", "Medium", 20, "Medium", "CWE-400",

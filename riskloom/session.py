@@ -16,6 +16,9 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Room for regular expressions on very long lines.
+        "spark.executor.extraJavaOptions": "-Xss8m",
+        "spark.driver.extraJavaOptions": "-Xss8m",
         # Call-site capture costs more than building the expressions of a rule pack.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
