@@ -75,6 +75,9 @@ def update_status(installs: DataFrame, commits: DataFrame) -> DataFrame:
     gets a second chance: it may belong to another path of the repository, and the path's
     latest commit as of it is the path's latest exactly if none came after it. That is a
     comparison of positions, so no as-of join over a path's history is needed.
+
+    Both joins sort and merge: commit tables have no size bound, and a planner's guess
+    from narrow columns would broadcast them too readily.
     """
     latest = commits.groupBy("repo", "path").agg(F.max(F.struct("seq", "sha")).alias("latest"))
     # The installed commit's position: by its first seven characters, then by the whole id.
@@ -83,10 +86,10 @@ def update_status(installs: DataFrame, commits: DataFrame) -> DataFrame:
     by_prefix = commits.groupBy("repo", F.col("sha").alias("commit_sha")).agg(F.max("seq").alias("seq")).withColumn(
         "prefix", F.substring("commit_sha", 1, 7))
     located = (
-        asked.join(by_prefix, ["repo", "prefix"]).where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
+        asked.join(by_prefix.hint("merge"), ["repo", "prefix"]).where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
         .groupBy("id").agg(F.max("seq").alias("installed_seq"))
     )
-    rows = installs.join(latest, ["repo", "path"], "left").join(located, "id", "left")
+    rows = installs.join(latest.hint("merge"), ["repo", "path"], "left").join(located, "id", "left")
     latest_sha = F.col("latest.sha")
     known = (F.coalesce("installed_sha", F.lit("")) != "") & latest_sha.isNotNull()
     current = same_commit(F.col("installed_sha"), latest_sha) | F.coalesce(F.col("installed_seq") >= F.col("latest.seq"), F.lit(False))

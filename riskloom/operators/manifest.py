@@ -38,12 +38,16 @@ def string_map(block: Column, key: str) -> Column:
     return F.map_from_entries(entries)
 
 
-def bundles(files: DataFrame) -> DataFrame:
-    """One row per main file: manifest fields, or nulls without a manifest."""
-    block = F.regexp_extract("content", BLOCK, 1)
-    rows = files.where("is_main").select(
-        "bundle_id", "rel_path", F.col("content").rlike(BLOCK).alias("has_manifest"), block.alias("block")
-    )
+def has_block(content: Column) -> Column:
+    return content.rlike(BLOCK)
+
+
+def block_of(content: Column) -> Column:
+    return F.regexp_extract(content, BLOCK, 1)
+
+
+def parse_blocks(rows: DataFrame) -> DataFrame:
+    """Manifest fields out of (bundle_id, rel_path, has_manifest, block), nulls without a manifest."""
     b = F.col("block")
 
     def known(value: Column) -> Column:
@@ -57,3 +61,10 @@ def bundles(files: DataFrame) -> DataFrame:
         known(string_map(b, "compatibility(?:-info)?")).alias("compatibility"),
         known(F.when(b.rlike(r"(?m)^license:"), scalar(b, "license"))).alias("license"),
     )
+
+
+def bundles(files: DataFrame) -> DataFrame:
+    """One row per main file."""
+    rows = files.where("is_main").select(
+        "bundle_id", "rel_path", has_block(F.col("content")).alias("has_manifest"), block_of(F.col("content")).alias("block"))
+    return parse_blocks(rows)

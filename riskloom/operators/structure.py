@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import paths as P
 from riskloom.operators.references import references, without_partner
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
+from riskloom.session import cut_lineage
 
 MIN_DESCRIPTION, MAX_DESCRIPTION, MAX_COMPATIBILITY = 10, 1024, 500
 
@@ -85,33 +86,44 @@ def invalid_utf8(blobs: DataFrame) -> DataFrame:
     )
 
 
-def orphan_scripts(files: DataFrame) -> DataFrame:
+def main_references(files: DataFrame) -> DataFrame:
+    return references(files.where("is_main")).select("bundle_id", "reference")
+
+
+def orphan_scripts(files: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """Scripts of a bundle with a main file that the main text does not refer to."""
-    mains = files.where("is_main")
     scripts = files.where(F.col("file_type") == "script").select("bundle_id", "rel_path")
-    scripts = scripts.join(mains.select("bundle_id").distinct(), "bundle_id", "left_semi")
-    refs = references(mains).select("bundle_id", "reference")
+    scripts = scripts.join(files.where("is_main").select("bundle_id").distinct(), "bundle_id", "left_semi")
+    refs = main_references(files) if refs is None else refs
     return without_partner(scripts, "rel_path", refs, "reference").select(
         "bundle_id", "rel_path", F.lit("STRUCTURE_ORPHAN_SCRIPT").alias("rule_id"), F.lit("Low").alias("severity")
     )
 
 
-def missing_references(files: DataFrame) -> DataFrame:
+def missing_references(files: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """References of the main text for which the bundle has no file."""
-    refs = references(files.where("is_main")).select("bundle_id", F.col("reference").alias("rel_path")).distinct()
-    return without_partner(refs, "rel_path", files.select("bundle_id", F.col("rel_path").alias("file")), "file").select(
+    refs = main_references(files) if refs is None else refs
+    wanted = refs.select("bundle_id", F.col("reference").alias("rel_path")).distinct()
+    present = files.select("bundle_id", F.col("rel_path").alias("file"))
+    return without_partner(wanted, "rel_path", present, "file").select(
         "bundle_id", "rel_path", F.lit("STRUCTURE_MISSING_REFERENCE").alias("rule_id"), F.lit("Medium").alias("severity")
     )
 
 
 def structure_findings(files: DataFrame, bundles: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """All structure checks; a bundle without a main file gets that finding only."""
-    missing = missing_main_file(files)
+    """All structure checks; a bundle without a main file gets that finding only.
+
+    The file list and the main texts' references are written once: they feed six branches
+    that would otherwise read the text each time.
+    """
+    listing = cut_lineage(files.select("bundle_id", "rel_path", "ext", "file_type", "is_hidden", "is_binary", "is_main"))
+    refs = cut_lineage(main_references(files))
+    missing = missing_main_file(listing)
     rest = (
         manifest_findings(bundles)
-        .unionByName(file_findings(files, policy))
-        .unionByName(orphan_scripts(files))
-        .unionByName(missing_references(files))
+        .unionByName(file_findings(listing, policy))
+        .unionByName(orphan_scripts(listing, refs))
+        .unionByName(missing_references(listing, refs))
         .join(missing.select("bundle_id"), "bundle_id", "left_anti")
     )
     return missing.unionByName(rest).withColumn("category", F.lit("PolicyViolation"))

@@ -151,7 +151,7 @@ SELECT f.url, f.name, CASE WHEN e.old IS NULL THEN 'added' WHEN e.old <> f.name
 FROM featured f LEFT JOIN (SELECT url, arg_min(name, ord) AS old FROM repositories GROUP BY 1) e USING (url)"""))
 add("merge_catalogue", lambda s, d: I.merge_catalogue(table(s, d, "plugins"), table(s, d, "available")), ask(["plugins", "available"], """
 SELECT p.id, p.name, coalesce(p.installed_version, c.v) AS version, coalesce(p.repository_url, c.m) AS origin FROM plugins p
-LEFT JOIN (SELECT lower(name) AS key, arg_max(version, ord) AS v, arg_max(marketplace, ord) AS m FROM available GROUP BY 1) c ON c.key = lower(p.name)"""))
+LEFT JOIN (SELECT lower(name) AS key, arg_max_null(version, ord) AS v, arg_max_null(marketplace, ord) AS m FROM available GROUP BY 1) c ON c.key = lower(p.name)"""))
 
 # --- upserts
 add("upsert_tools", lambda s, d: I.upsert_tools(table(s, d, "tools"), table(s, d, "new_tools")), ask(["tools", "new_tools"], """

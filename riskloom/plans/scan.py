@@ -38,10 +38,19 @@ def capability_hits() -> Column:
     )
 
 
-def scan_hits(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """All row-wise detectors in consecutive projections over one read of the files."""
+FACTS = [*KEYS, "file_type", "is_binary", "size_bytes", "has_manifest", "block"]
+
+
+def scan_facts(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """One row per file with everything later steps need, and no text.
+
+    All row-wise detectors run in consecutive projections over one read of the files.
+    """
+    main = F.col("is_main")
     whole = rule_scan.prepare(files).select(
-        *KEYS, "file_type", "is_binary", "content", "lines",
+        *KEYS, "file_type", "is_binary", "size_bytes", "content", "lines",
+        F.when(main, manifest.has_block(F.col("content"))).alias("has_manifest"),
+        F.when(main, manifest.block_of(F.col("content"))).alias("block"),
         F.concat(
             _shaped(rule_scan.line_rule_hits(policy), None, has_grade=False),
             _shaped(rule_scan.content_rule_hits(policy), None, has_grade=False),
@@ -50,27 +59,26 @@ def scan_hits(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
             _shaped(capability_hits(), "capability", has_grade=False),
         ).alias("text_hits"),
     )
-    is_target = F.col("is_main") | ((F.col("file_type") == "script") & ~F.col("is_binary") & ~F.col("is_doc_path"))
+    is_target = main | ((F.col("file_type") == "script") & ~F.col("is_binary") & ~F.col("is_doc_path"))
     bodies = whole.withColumn("content", F.when(is_target, chains.instruction_text()).otherwise(F.lit("")))
     bodies = bodies.withColumn("lines", T.physical_lines(F.col("content"))).withColumn("folded", F.lower("content"))
-    rows = chains.with_positions(bodies, tuple(chains.RULES)).select(
-        *KEYS,
+    return chains.with_positions(bodies, tuple(chains.RULES)).select(
+        *FACTS,
         F.concat(
             F.col("text_hits"),
             _shaped(F.concat(*[chains.chain_hit(r, policy) for r in chains.RULES]), "chains"),
             _shaped(taint.taint_hits(policy), "taint"),
         ).alias("hits"),
     )
-    return rule_scan.explode_hits(rows, KEYS, "hits")
 
 
-def bundle_findings(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Findings of every bundle, graded, kept by kind and deduplicated.
+def scan_hits(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    return rule_scan.explode_hits(scan_facts(files, policy), KEYS, "hits")
 
-    The hits are checkpointed: they are small next to the text, and the branches
-    below would otherwise each read the text again.
-    """
-    hits = cut_lineage(scan_hits(files, policy))
+
+def findings_of(facts: DataFrame, policy: Policy = DEFAULT_POLICY, strict: DataFrame | None = None) -> DataFrame:
+    """Findings of every bundle, graded, kept by kind and deduplicated."""
+    hits = rule_scan.explode_hits(facts, KEYS, "hits")
     pack = hits.where(F.col("analyzer").isNull()).drop("category", "severity", "analyzer")
     graded = rule_scan.grade_hits(rule_scan.drop_suppressed_rules(pack), policy)
     flows = taint.first_per_bundle(hits.where(F.col("analyzer") == "taint"))
@@ -78,25 +86,36 @@ def bundle_findings(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
     capabilities = hits.where(F.col("analyzer") == "capability").select(
         "bundle_id", "rel_path", F.col("rule_id").alias("capability")
     )
-    manifests = manifest.bundles(files)
+    manifests = manifest.parse_blocks(facts.where("is_main"))
     declared = (
         consistency.undeclared_capabilities(capabilities, manifests)
         .unionByName(consistency.manifest_contradictions(capabilities, manifests), allowMissingColumns=True)
         .unionByName(consistency.description_findings(manifests), allowMissingColumns=True)
         .withColumn("analyzer", F.lit("consistency"))
     )
-    read = coverage.coverage_findings(files, policy).withColumn("analyzer", F.lit("analyzability"))
-    parts = [findings.align(d) for d in (others, flows, declared, read)]
-    if policy.strict_structure:
-        checks = structure.structure_findings(files, manifests, policy)
-        parts.append(findings.align(checks.withColumn("analyzer", F.lit("strict_structure"))))
+    read = coverage.coverage_findings(facts, policy).withColumn("analyzer", F.lit("analyzability"))
     union = findings.from_rule_hits(graded)
-    for part in parts:
-        union = union.unionByName(part)
+    for part in (others, flows, declared, read):
+        union = union.unionByName(findings.align(part))
+    if strict is not None:
+        union = union.unionByName(findings.align(strict.withColumn("analyzer", F.lit("strict_structure"))))
     return findings.deduplicate(findings.with_kind(union, policy))
 
 
+def bundle_findings(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Findings of every bundle.
+
+    The facts are checkpointed: they are small next to the text, and the branches of
+    findings_of would otherwise each read the text again.
+    """
+    facts = cut_lineage(scan_facts(files, policy))
+    strict = structure.structure_findings(files, manifest.bundles(files), policy) if policy.strict_structure else None
+    return findings_of(facts, policy, strict)
+
+
 def bundle_reports(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Score, level, block state and counts of every bundle, also of those without findings."""
-    found = cut_lineage(bundle_findings(files, policy))
-    return findings.scores(found, policy.score_kinds, files.select("bundle_id"))
+    facts = cut_lineage(scan_facts(files, policy))
+    strict = structure.structure_findings(files, manifest.bundles(files), policy) if policy.strict_structure else None
+    found = cut_lineage(findings_of(facts, policy, strict))
+    return findings.scores(found, policy.score_kinds, facts.select("bundle_id"))

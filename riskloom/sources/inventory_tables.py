@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.sources.derived import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -58,17 +60,17 @@ SELECT p_partkey AS ord, concat('p', {s('p_partkey')}) AS id, concat('Bundle ',
   CASE WHEN p_partkey % 9 = 0 THEN 'claude-plugins-official' ELSE concat('market', {s('p_size')}) END AS marketplace,
   CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE {repo('p_partkey')} END AS repository_url, p_partkey % 4 = 1 AS installed,
   CASE WHEN p_partkey % 4 = 1 THEN concat({s('p_size % 4')}, '.', {s('p_size % 7')}, '.', {s('p_partkey % 3')}) END AS installed_version,
-  CASE WHEN p_partkey % 10 = 7 THEN NULL ELSE concat('claude-', {s('p_partkey')}) END AS external_id,
+  CASE WHEN p_partkey % 10 = 7 THEN NULL ELSE concat('ext-', {s('p_partkey')}) END AS external_id,
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 101 AS INT) END AS score, p_type AS description
 FROM {{part}}""",
     "available": f"""
-SELECT p_partkey AS ord, concat('claude-', {s('p_partkey')}) AS plugin_id, concat('bundle ', {s('p_partkey % 600')}) AS name,
+SELECT p_partkey AS ord, concat('ext-', {s('p_partkey')}) AS plugin_id, concat('bundle ', {s('p_partkey % 600')}) AS name,
   CASE WHEN p_partkey % 9 = 0 THEN 'claude-plugins-official' ELSE concat('market', {s('p_size')}) END AS marketplace,
   CASE p_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 5 THEN concat({s('p_size % 4')}, '.', {s('p_size % 7')}, '.', {s('p_partkey % 3')})
     ELSE concat({s('p_size % 4 + 1')}, '.0.0') END AS version
 FROM {{part}}""",
     "installed_list": f"""
-SELECT concat('claude-', {s('CASE WHEN p_partkey % 6 = 5 THEN p_partkey + 1000000 ELSE p_partkey END')}) AS external_id,
+SELECT concat('ext-', {s('CASE WHEN p_partkey % 6 = 5 THEN p_partkey + 1000000 ELSE p_partkey END')}) AS external_id,
   concat({s('p_size % 3')}, '.1.0') AS version, p_partkey % 2 = 0 AS enabled FROM {{part}} WHERE p_size % 3 <> 1""",
     "marketplaces": f"""
 SELECT concat('market', {s('s_suppkey % 50')}) AS name, concat('owner', {s('s_suppkey')}, '/market') AS repo,
@@ -120,7 +122,8 @@ def needed(name: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table, or a derived one."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        base = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(base, base.columns[0])
     text = TABLES[name].replace("\\", "\\\\")
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in needed(name)})
 
