@@ -119,7 +119,7 @@ add(
     .groupBy("bundle_id", "rel_path").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.max(F.length("line")).alias("longest"),
         F.count(F.when(F.trim("line") == "", 1)).alias("n_blank")),
-    with_ctes(("plines",), """SELECT bundle_id, rel_path, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, max(length(line)) AS longest,
+    with_ctes(("plines",), """SELECT bundle_id, rel_path, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, CAST(max(length(line)) AS INTEGER) AS longest,
       count(*) FILTER (trim(line) = '') AS n_blank FROM plines GROUP BY ALL"""),
 )
 add(
@@ -204,14 +204,14 @@ _shown = (
     + q(content_checks.LOOKALIKES) + ", " + q(content_checks.TWINS) + ") || ''''), ', ')"
 )
 add("lookalike_letters", lambda s, d: content_checks.lookalike_stats(D.files(s, d)).drop("content"),
-    sel("lookalikes", f"bundle_id, rel_path, n_suspect, n_latin, {_shown} AS characters"))
+    sel("lookalikes", f"bundle_id, rel_path, CAST(n_suspect AS INTEGER) AS n_suspect, CAST(n_latin AS INTEGER) AS n_latin, {_shown} AS characters"))
 add("zero_width_density", lambda s, d: content_checks.zero_width_stats(D.files(s, d)).drop("content"),
-    sel("zero_widths", "bundle_id, rel_path, n_zero_width, threshold"))
+    sel("zero_widths", "bundle_id, rel_path, CAST(n_zero_width AS INTEGER) AS n_zero_width, CAST(threshold AS INTEGER) AS threshold"))
 add("zero_width_breakdown", lambda s, d: content_checks.zero_width_breakdown(D.files(s, d)), with_ctes(("zero_widths",), f"""
 SELECT bundle_id, rel_path, printf('U+%04X', unicode(c)) AS code,
   CASE {' '.join(f'WHEN c = {q(c)} THEN {q(n)}' for c, n in content_checks.ZERO_WIDTH.items())} END AS name, CAST(count(*) AS INTEGER) AS n
 FROM (SELECT bundle_id, rel_path, unnest(regexp_extract_all(content, {q(oracle_checks.ZW)})) AS c FROM zero_widths) GROUP BY ALL"""))
-add("control_characters", lambda s, d: content_checks.control_stats(D.files(s, d)).drop("content"), sel("controls", "bundle_id, rel_path, n_c0, n_del, n_c1"))
+add("control_characters", lambda s, d: content_checks.control_stats(D.files(s, d)).drop("content"), sel("controls", "bundle_id, rel_path, " + ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ("n_c0", "n_del", "n_c1"))))
 CHECK = ["bundle_id", "rel_path", "rule_id", "category", "severity", "line_no", "snippet"]
 add("unicode_findings", lambda s, d: content_checks.scan_unicode(D.files(s, d)).select(*CHECK), sel("unicode_hits", ", ".join(CHECK)))
 add("asset_findings", lambda s, d: content_checks.scan_assets(D.files(s, d)).select(*CHECK), sel("asset_hits", ", ".join(CHECK)))
