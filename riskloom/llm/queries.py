@@ -108,3 +108,30 @@ SELECT doc_id, bytes, shard, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_r
 for _query, _sql in ((op1_top_k, OP1_SQL), (op5_exact_dedup, OP5_SQL), (op6_line_dedup, OP6_SQL), (op7_sharding, OP7_SQL)):
     QUERIES[_query.__name__] = _query
     ORACLES[_query.__name__] = _sql
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm import near_dedup
+
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g,
+         CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END AS k
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+"""
+QUERIES[op8_minhash_near_dedup.__name__] = op8_minhash_near_dedup
+ORACLES[op8_minhash_near_dedup.__name__] = OP8_SQL
