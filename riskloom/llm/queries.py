@@ -135,3 +135,32 @@ FROM c LEFT JOIN n ON c.doc_id = n.doc_id
 """
 QUERIES[op8_minhash_near_dedup.__name__] = op8_minhash_near_dedup
 ORACLES[op8_minhash_near_dedup.__name__] = OP8_SQL
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm import substrings
+
+    digest = F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
+    return substrings.removed_passages(
+        table(spark, sf_dir, "documents"), result=lambda d: d.select("doc_id", "n_words", "n_removed", digest, "digests", "sources")
+    )
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS pos, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h
+  FROM w WHERE len(w) >= 35
+), again AS (SELECT doc_id, pos FROM g QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM again, (SELECT unnest(range(0, 35)) AS k)),
+e AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM w),
+k AS (
+  SELECT e.doc_id, count(*) AS n, count(g.pos) AS r, string_agg(word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL) AS t
+  FROM e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_words, CAST(coalesce(k.r, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+QUERIES[op3_substring_dedup.__name__] = op3_substring_dedup
+ORACLES[op3_substring_dedup.__name__] = OP3_SQL
