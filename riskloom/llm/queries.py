@@ -164,3 +164,24 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 QUERIES[op3_substring_dedup.__name__] = op3_substring_dedup
 ORACLES[op3_substring_dedup.__name__] = OP3_SQL
+
+
+def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from riskloom.llm import bpe
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False, digests=True)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from riskloom.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# Tokenizers are beyond SQL; tests/llm hold both against the tokenizers library.
+for _query in (op9_bpe_encode_decode, op4_best_fit_packing):
+    QUERIES[_query.__name__] = _query
