@@ -185,3 +185,30 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tokenizers are beyond SQL; tests/llm hold both against the tokenizers library.
 for _query in (op9_bpe_encode_decode, op4_best_fit_packing):
     QUERIES[_query.__name__] = _query
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm import toxicity
+    from riskloom.llm.labels import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("id", 3) != 1)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm import quality
+    from riskloom.llm.labels import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0)
+    return quality.score_documents(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+# Trained models are beyond SQL; tests/llm measure both on held-out rows.
+for _query in (op2_toxicity, op10_quality_classifier):
+    QUERIES[_query.__name__] = _query
