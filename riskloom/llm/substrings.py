@@ -262,10 +262,12 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """docs with what is left of their texts; texts that lose nothing stay as they are. Ids must be unique."""
     changed = removed_passages(docs, id_col, text_col, window, lambda d: d.where("n_removed > 0 or size(digests) > 0"))
-    cut = changed.where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
-    both = docs.join(cut, docs[id_col].eqNullSafe(cut["_id"]), "left")
-    text = F.coalesce("_kept", docs[text_col])
-    new = {text_col: text}
+    cut = changed.where("n_removed > 0").select("doc_id", "kept_text").alias("c")
+    d = docs.alias("d")
+    own = lambda c: F.col(f"d.`{c}`")  # noqa: E731  whatever the names of other columns
+    both = d.join(cut, own(id_col).eqNullSafe(F.col("c.doc_id")), "left")
+    left = F.col("c.kept_text")
+    new = {text_col: F.coalesce(left, own(text_col))}
     if count_col in docs.columns:
-        new[count_col] = F.when(F.col("_kept").isNull(), F.col(count_col)).otherwise(F.char_length("_kept")).cast(docs.schema[count_col].dataType)
-    return both.withColumns(new).select(*docs.columns)
+        new[count_col] = F.when(left.isNull(), own(count_col)).otherwise(F.char_length(left)).cast(docs.schema[count_col].dataType)
+    return both.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])
