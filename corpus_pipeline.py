@@ -8,40 +8,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm import exact_dedup as exact
+from riskloom.llm import near_dedup as near
+from riskloom.llm import packing as sequences
+from riskloom.llm import substrings as passages
+from riskloom.llm import toxicity as toxic
 from riskloom.llm.common import Steps, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it learns from the labels of this stage's documents."""
-    from riskloom.llm import toxicity as operator
-
-    return operator.drop_toxic(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier does not call toxic; it learns from the labels of two folds of three."""
+    return toxic.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from riskloom.llm import exact_dedup as operator
-
-    return operator.drop_copies(docs)
+    """One document of each group of equal texts."""
+    return exact.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
-    from riskloom.llm import near_dedup as operator
-
-    return operator.drop_near_copies(docs)
+    return near.drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of long passages that stand elsewhere too; n_chars counts what is left."""
-    from riskloom.llm import substrings as operator
-
-    return operator.drop_passages(docs)
+    return passages.drop_passages(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from riskloom.llm import packing as operator
-
-    return operator.pack_documents(docs)
+    """Where each piece of each document stands in sequences of 2,048 tokens."""
+    return sequences.pack_documents(docs)
 
 
 STAGES = [

@@ -69,7 +69,7 @@ def features(texts: pa.Array) -> np.ndarray:
             repeats.append(np.bincount(r[order][1:], weights=again, minlength=n) / np.maximum(np.bincount(r, minlength=n), 1))
         shouted = np.add.reduceat((_CLASS[chunk.data] == _UPPER).astype(np.int64), chunk.starts) >= np.maximum(2, sizes // 2) if len(sizes) else np.empty(0)
         letters = np.maximum(kinds[:, _UPPER] + kinds[:, _LETTER], 1)
-        line_row = row[np.clip(np.searchsorted(chunk.starts, lines) - 1, 0, None)] if len(row) else np.empty(0, np.int64)
+        line_row = np.searchsorted(chunk.bounds, lines, side="right") - 1
         out[rows] = np.stack(
             [
                 kinds[:, _UPPER] / letters, per(shouted, words), *(kinds[:, k] / np.maximum(size, 1) for k in (_DIGIT, _END, _COMMA, _LOUD, _SIGN, _BAR, 10)),

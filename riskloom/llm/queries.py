@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm import bpe, exact_dedup, lines, near_dedup, packing, quality, sharding, substrings, topk, toxicity
 from riskloom.llm.common import table
+from riskloom.llm.labels import fold
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import topk
-
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import exact_dedup
-
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import lines
-
     done = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import sharding
-
     return sharding.shard_rows(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
@@ -111,8 +106,6 @@ for _query, _sql in ((op1_top_k, OP1_SQL), (op5_exact_dedup, OP5_SQL), (op6_line
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import near_dedup
-
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
@@ -138,8 +131,6 @@ ORACLES[op8_minhash_near_dedup.__name__] = OP8_SQL
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import substrings
-
     digest = F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
     return substrings.removed_passages(
         table(spark, sf_dir, "documents"), result=lambda d: d.select("doc_id", "n_words", "n_removed", digest, "digests", "sources")
@@ -167,18 +158,10 @@ ORACLES[op3_substring_dedup.__name__] = OP3_SQL
 
 
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from riskloom.llm import bpe
-
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False, digests=True)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from riskloom.llm import packing
-
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -188,9 +171,6 @@ for _query in (op9_bpe_encode_decode, op4_best_fit_packing):
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import toxicity
-    from riskloom.llm.labels import fold
-
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("id", 3) != 1)
     return toxicity.score_documents(docs, model).select(
@@ -199,9 +179,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm import quality
-    from riskloom.llm.labels import fold
-
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0)
     return quality.score_documents(docs, model).select(

@@ -7,8 +7,8 @@ softmax are trained together by Adam: on the means of whole texts first, then on
 unseen misspelling shares most of its n-grams' vectors with the words it comes from.
 
 Training takes at most SAMPLE texts of each class (see labels.labelled_sample) on the driver; every text is scored,
-whole. Texts without words score as an empty bag. With labels of one class only, or none, the score is the share of
-toxic labels. Null texts count as empty. Only id and text are read.
+whole. A text without words has no bag; it scores the share of toxic labels, as does each text if there are labels of
+one class only, or none. Null texts count as empty. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -162,9 +162,18 @@ def best_cut(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[at] + s[at + 1]) / 2)
 
 
-def text_scores(texts: pa.Array, gram: np.ndarray, bias: float) -> np.ndarray:
+class Scorer(NamedTuple):
+    """All that a task needs: what each n-gram adds, the bias, and the logit of a text without words."""
+
+    gram: np.ndarray
+    bias: float
+    prior: float
+
+
+def text_scores(texts: pa.Array, scorer: Scorer) -> np.ndarray:
     """The probability of class 1 of each text's leading passage."""
-    out = np.full(len(texts), bias)
+    gram, bias, prior = scorer
+    out = np.full(len(texts), prior)
     for span, bag in bags(texts):
         if len(bag.row):
             top = np.full(len(span), -np.inf)
@@ -174,33 +183,34 @@ def text_scores(texts: pa.Array, gram: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     sample, counts = labelled_sample(docs, labels, "toxic", learn, most, id_col, text_col)
-    if len({y for _, y in sample}) < 2:
-        share = counts.get(1, 0) / max(1, sum(counts.values()))
-        return np.zeros(BUCKETS, dtype=np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    return train([t for t, _ in sample], [y for _, y in sample]).logits()
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    if len({y for text, y in sample if text.strip()}) < 2:
+        return Scorer(np.zeros(BUCKETS, dtype=np.float32), prior, prior)
+    sample = [(text, y) for text, y in sample if text.strip(" \t\n\x0b\x0c\r")]
+    return Scorer(*train([t for t, _ in sample], [y for _, y in sample]).logits(), prior)
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row. The model, a number for each bucket, goes along with the tasks."""
-    gram, bias = model
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(batch.column(1), gram, bias))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(batch.column(1), model))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score threshold or more; rows keep all their columns. Learns from folds 0 and 2."""
-    gram, bias = fit(docs, labels, fold("id", 3) != 1, id_col=id_col, text_col=text_col)
+    model = fit(docs, labels, fold("id", 3) != 1, id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(text_scores(batch.column(at).cast(pa.string()), gram, bias) < threshold))
+            yield batch.filter(pa.array(text_scores(batch.column(at).cast(pa.string()), model) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -82,6 +82,7 @@ class Chunk(NamedTuple):
     starts: np.ndarray  # of each word in data
     ends: np.ndarray
     first: np.ndarray  # index of each row's first word, and their number
+    bounds: np.ndarray  # place in data of each row's first byte, and their number
 
 
 def chunks(column: pa.Array, lower: bool = False) -> Iterator[Chunk]:
@@ -106,5 +107,5 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[Chunk]:
         starts[own] = solid[own]
         ends[own[1:] - 1] = solid[own[1:] - 1]
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        yield Chunk(range(i, j), data, starts, ends, np.searchsorted(starts, at))
+        yield Chunk(range(i, j), data, starts, ends, np.searchsorted(starts, at), at)
         i = j
