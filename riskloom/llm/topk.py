@@ -103,7 +103,8 @@ def _histograms(k: int, bins: int):
             for i, query in enumerate(q_ids):
                 mine = s[i][c_ids != query]
                 top = mine[mine >= low[i]]
-                at, n = np.unique(np.minimum((top - low[i]) // width[i], bins), return_counts=True)
+                over = top.view(np.uint64) - low[i : i + 1].view(np.uint64)  # exact even where the difference exceeds 63 bits
+                at, n = np.unique(np.minimum(over // np.uint64(width[i]), np.uint64(bins)), return_counts=True)
                 at, n = at[::-1], n[::-1]
                 upto = int(np.searchsorted(np.cumsum(n), k)) + 1
                 out += [(int(query), int(a), int(b)) for a, b in zip(at[:upto], n[:upto])]
@@ -184,7 +185,7 @@ def top_k(
     parts = max(1, -(-n // candidates))
     # A product of two vectors is at most that of their lengths; the longest vector bounds all.
     longest = rows.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("l")).agg(F.max("l")).first()[0] or 0.0
-    reach = int(min(longest * longest * (1 + 1e-9) + 1, 2.0**62))
+    reach = min(int(longest * longest * (1 + 1e-9)) + 1, 2**63 - 1)
     width = -(-2 * reach // bins)
     bounds = asked.select(F.col("id").alias("query_id")).distinct().withColumns({"low": F.lit(-reach).cast("long"), "width": F.lit(width).cast("long")})
 
@@ -209,7 +210,7 @@ def top_k(
         # The bin's place is the new lower bound. Scores over the bin's end fall into the topmost bin of the next round.
         bounds = steps.keep(
             bounds.join(reached, "query_id").select(
-                "query_id", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.lit(narrower).cast("long").alias("width")
+                "query_id", (F.col("low").cast("decimal(38,0)") + F.col("bin") * F.col("width").cast("decimal(20,0)")).cast("long").alias("low"), F.lit(narrower).cast("long").alias("width")
             ),
             f"bounds{level}",
         )
