@@ -10,8 +10,9 @@ verified on the full sets, and verified links become components.
 
 No bucket is expanded into its pairs. First each member meets the bucket's hub, its best connected member. Then, where
 a bucket still holds several components, members outside the largest meet all others in blocks, sketch against sketch
-inside a task: once for the best partner of each, once for all partners that the likelihood admits. So a link between
-classes that share a band is missed only if the likelihood test, at a deviation beyond four standard errors, is wrong.
+inside a task: once for the best partner of each, and at last for all partners that the likelihood admits. Those are
+verified where they meet, and only links that join two components leave the task. So a link between classes that share
+a band is missed only if the likelihood test, at a deviation beyond four standard errors, is wrong.
 
 Null and empty texts, and texts without words, have no set and are linked with nothing. Rows equal in id are not told
 apart in component_id and kept. Ids may be null; they count as larger than all others. Only id and text are read.
@@ -40,7 +41,7 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Similarity of a link, in hundredths, and the loss of log-likelihood from which it is out of the question.
 PERCENT, DOUBT = 75, 9.0
 #: Members of a block: those outside a bucket's largest component, and those they meet.
-LEFT, RIGHT = 512, 4096
+LEFT, RIGHT = 256, 1024
 
 _HASH = Hashing(20)
 _RNG = np.random.default_rng(21)
@@ -159,29 +160,65 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
-def _meet(best_only: bool):
-    """Members of one block of a bucket against another block: pairs of different components the likelihood admits."""
+def _partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each member of the left block its place in the table, and the places of the members of the right block that
+    are of other components and that the likelihood admits, the most alike first."""
+    side, node, comp, n = (group[c].to_numpy() for c in ("side", "node", "comp", "n"))
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    right = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        other = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
+        same = (sketch[other] == sketch[x]).sum(axis=1)
+        more = (sketch[x] > sketch[other]).sum(axis=1)
+        ok = possible(more, REGISTERS - more - same, same, np.full(len(other), float(n[x])), n[other].astype(float)) if len(other) else other > 0
+        other, same = other[ok], same[ok]
+        yield int(x), other[np.lexsort((node[other], -same))], node, comp
 
-    def run(group: pa.Table) -> pa.Table:
-        side, node, comp, n = (np.asarray(group[c].combine_chunks()) for c in ("side", "node", "comp", "n"))
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        right = np.flatnonzero(side == 1)
-        found: list[tuple[int, int]] = []
-        for x in np.flatnonzero(side == 0):
-            other = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
-            if not len(other):
-                continue
-            same = (sketch[other] == sketch[x]).sum(axis=1)
-            more = (sketch[x] > sketch[other]).sum(axis=1)
-            ok = possible(more, REGISTERS - more - same, same, np.full(len(other), float(n[x])), n[other].astype(float))
-            other, same = other[ok], same[ok]
-            if best_only and len(other):
-                other = other[[np.lexsort((node[other], -same))[0]]]
-            found += [(min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))) for y in other]
-        found = sorted(set(found))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return run
+def _pair_table(found: list[tuple[int, int]]) -> pa.Table:
+    found = sorted({(min(p), max(p)) for p in found})
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _best(group: pa.Table) -> pa.Table:
+    """The most alike partner of each member of the left block."""
+    return _pair_table([(int(node[x]), int(node[other[0]])) for x, other, node, _ in _partners(group) if len(other)])
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    """Verified links between two blocks, as many as join the components that they join."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            c = up
+        return c
+
+    known: dict[int, np.ndarray] = {}
+    blobs, unpack = group["blob"], zstandard.ZstdDecompressor()
+
+    def set_of(place: int) -> np.ndarray:
+        if place not in known:
+            known[place] = _set_of_blob(unpack, blobs[place])
+        return known[place]
+
+    found = []
+    for x, other, node, comp in _partners(group):
+        for y in map(int, other):
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a != b and alike(set_of(x), set_of(y)):
+                root[a] = b
+                found.append((int(node[x]), int(node[y])))
+    return _pair_table(found)
+
+
+def alike(s: np.ndarray, t: np.ndarray) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
+def _set_of_blob(unpack: zstandard.ZstdDecompressor, blob: pa.Scalar) -> np.ndarray:
+    return next(shingle_sets(pa.array([unpack.decompress(blob.as_py()).decode()], pa.large_string())))[1]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,19 +242,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def set_of(node: int, blob: pa.Scalar) -> np.ndarray:
         if node not in known:
-            text = unpack.decompress(blob.as_py()).decode()
-            known[node] = next(shingle_sets(pa.array([text], pa.large_string())))[1]
+            known[node] = _set_of_blob(unpack, blob)
             if len(known) > 64:
                 known.popitem(last=False)
         known.move_to_end(node)
         return known[node]
 
     for batch in batches:
-        a, b, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for i in range(batch.num_rows):
-            s, t = set_of(a[i], batch.column(2)[i]), set_of(b[i], batch.column(3)[i])
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            good.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        good = [alike(set_of(a[i], batch.column(2)[i]), set_of(b[i], batch.column(3)[i])) for i in range(batch.num_rows)]
         keep = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -262,8 +295,11 @@ class _Search:
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
         return joined.mapInArrow(_likely, "a long, b long")
 
-    def open_pairs(self, best_only: bool) -> DataFrame:
-        """Pairs of different components within buckets that hold several; buckets of two were settled by their hub."""
+    def blocks(self) -> DataFrame:
+        """Members of buckets that hold several components, dealt to pairs of blocks; buckets of two were settled by their hub.
+
+        Members outside the largest component form the left blocks, all members the right ones; a task gets one of each.
+        """
         rows = self.buckets.where("size > 2").join(self.labels, "node").select("key", "node", "comp")
         sums = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
             F.count("*").alias("parts"), F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("main")
@@ -281,33 +317,42 @@ class _Search:
         common = ("key", "node", "comp", "n", "sketch")
         left = rows.where("comp != main").select(*common, F.lit(0).alias("side"), place("lefts").alias("i"), spans("rights").alias("j"))
         right = rows.select(*common, F.lit(1).alias("side"), spans("lefts").alias("i"), place("rights").alias("j"))
-        return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_meet(best_only), "a long, b long").distinct()
+        return left.unionByName(right)
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Verify pairs not tested before and join the components they link."""
-        self.turn += 1
+    def best_pairs(self) -> DataFrame:
+        return self.blocks().groupBy("key", "i", "j").applyInArrow(_best, "a long, b long").distinct()
+
+    def last_links(self) -> DataFrame:
+        """Links between all components left, verified by the texts that come with the blocks."""
+        return self.blocks().join(self.texts, "node").groupBy("key", "i", "j").applyInArrow(_joined, "a long, b long").distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs, of which none is tested twice, that are links."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = self.steps.keep(pairs, f"pairs-{self.turn}")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         left, right = (self.texts.select(F.col("node").alias(x), F.col("blob").alias(f"t_{x}")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b")
-        links = both.mapInArrow(_confirm, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b").mapInArrow(_confirm, "a long, b long")
+
+    def join(self, links: DataFrame) -> None:
+        """One component of each two that are linked."""
         comp_a, comp_b = (self.labels.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab")
         joined = links.join(comp_a, "a").join(comp_b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         roots = components(joined, self.steps, f"stars-{self.turn}")
         moved = self.labels.join(roots, self.labels["comp"] == roots["node"], "left").select(
             self.labels["node"], F.coalesce(roots["root"], self.labels["comp"]).alias("comp")
         )
+        self.turn += 1
         self.labels = self.steps.keep(moved, f"labels-{self.turn}")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept of every row."""
     search = _Search(docs, id_col, text_col)
-    search.settle(search.hubs())
-    search.settle(search.open_pairs(best_only=True))
-    search.settle(search.open_pairs(best_only=False))
+    search.join(search.verified(search.hubs()))
+    search.join(search.verified(search.best_pairs()))
+    search.join(search.last_links())
     placed = search.classes.select("f1", "f2", "node").join(search.labels, "node", "left").select(
         "f1", "f2", F.coalesce("comp", "node").alias("comp")
     )
