@@ -46,6 +46,11 @@ def holds(folded: Column, need) -> Column:
     return all_of(parts) if need[0] == "and" else any_of(parts)
 
 
+def folded(text: Column) -> Column:
+    """Lower case for literal tests in front of (?i): long s and the dotless and dotted i match s and i there."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130", "sii"))
+
+
 def unix_breaks(content: Column) -> Column:
     return F.replace(content, F.lit("\r\n"), F.lit("\n"))
 
@@ -100,7 +105,7 @@ def logical_lines(marked: Column) -> Column:
     kept = F.filter(numbered, lambda s: s["text"].isNotNull() & (s["text"] != ""))
     return F.transform(
         kept,
-        lambda s: F.struct(s["line_no"].alias("line_no"), s["text"].alias("text"), F.lower(s["text"]).alias("folded")),
+        lambda s: F.struct(s["line_no"].alias("line_no"), s["text"].alias("text"), folded(s["text"]).alias("folded")),
     )
 
 

@@ -91,7 +91,7 @@ def targets(files: DataFrame) -> DataFrame:
         files.where(F.col("is_main") | is_script)
         .withColumn("content", instruction_text())
         .withColumn("lines", T.physical_lines(F.col("content")))
-        .withColumn("folded", F.lower("content"))
+        .withColumn("folded", T.folded(F.col("content")))
     )
 
 
@@ -291,7 +291,7 @@ def chain_hit(rule_id: str, policy: Policy = DEFAULT_POLICY) -> Column:
         return F.struct(
             F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), level.alias("severity"),
             p["variant"].alias("variant"), p["line_no"].alias("line_no"), p["end_line"].alias("end_line"),
-            F.substring(T.line_text(F.col("lines"), p["line_no"]), 1, 200).alias("snippet"),
+            T.line_text(F.col("lines"), p["line_no"]).alias("snippet"),
         )
 
     # A one-element array lets the place be computed once and used many times.

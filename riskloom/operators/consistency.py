@@ -63,7 +63,7 @@ def capability_names() -> Column:
 
 def script_capabilities(files: DataFrame) -> DataFrame:
     """(bundle_id, rel_path, capability) for every capability a script uses; row-wise."""
-    scripts = files.where((F.col("file_type") == "script") & ~F.col("is_binary")).withColumn("folded", F.lower("content"))
+    scripts = files.where((F.col("file_type") == "script") & ~F.col("is_binary")).withColumn("folded", T.folded(F.col("content")))
     rows = scripts.select("bundle_id", "rel_path", F.explode_outer(capability_names()).alias("capability"))
     return rows.where(F.col("capability").isNotNull())
 

@@ -106,7 +106,7 @@ def first_place(content: Column, pattern: str) -> Column:
     """struct<line_no, snippet> of the first line that holds the pattern."""
     lines = T.physical_lines(content)
     found = F.filter(
-        F.transform(lines, lambda s, i: F.struct((i + 1).alias("line_no"), F.substring(s, 1, 200).alias("snippet"), s.rlike(pattern).alias("hit"))),
+        F.transform(lines, lambda s, i: F.struct((i + 1).alias("line_no"), s.alias("snippet"), s.rlike(pattern).alias("hit"))),
         lambda p: p["hit"],
     )
     return F.try_element_at(found, F.lit(1))
@@ -176,7 +176,7 @@ def asset_hits() -> Column:
         )
         return F.array(injection, link)
 
-    folded = F.lower("content")
+    folded = T.folded(F.col("content"))
     possible = T.any_of([T.holds(folded, literal_need(p)) for p in (*PI_STRONG, PI_ROLE, FREE_DOMAIN_URL)])
     hits = F.filter(F.flatten(F.transform(T.physical_lines(F.col("content")), of_line)), lambda h: h.isNotNull())
     return F.when(is_asset_path(F.col("rel_path")) & possible, hits)

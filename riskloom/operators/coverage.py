@@ -103,11 +103,13 @@ def beyond_byte_limit(files: DataFrame, limit: int) -> DataFrame:
 
 
 def scannable_counts(files: DataFrame, policy: Policy = DEFAULT_POLICY, skip_readme: bool = True) -> DataFrame:
-    """Files per bundle a scan looks at, at most the file limit."""
+    """Files per bundle a scan looks at, and whether they are more than the policy's limit. All of them are scanned."""
     rows = files.where(~F.col("ext").isin(*policy.inert_extensions))
     if skip_readme:
         rows = rows.where(~P.is_readme(F.col("rel_path")))
-    return rows.groupBy("bundle_id").agg(F.least(F.count(F.lit(1)), F.lit(policy.max_files)).alias("n_scannable"))
+    return rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_scannable")).withColumn(
+        "beyond_limit", F.col("n_scannable") > policy.max_files
+    )
 
 
 def symlink_findings(entries: DataFrame) -> DataFrame:
@@ -118,8 +120,7 @@ def symlink_findings(entries: DataFrame) -> DataFrame:
     )
 
 
-def discover_bundles(files: DataFrame, max_depth: int) -> DataFrame:
-    """Directories that hold a main file, down to a depth; '.' for the root."""
+def discover_bundles(files: DataFrame) -> DataFrame:
+    """Directories that hold a main file, at any depth; '.' for the root."""
     rows = files.where("is_main").select("root", "rel_path", P.parent_path(F.col("rel_path")).alias("directory"))
-    depth = F.when(F.col("directory") == ".", 0).otherwise(F.size(F.split("directory", "/")))
-    return rows.where(depth <= max_depth).select("root", "directory", F.element_at(F.split("directory", "/"), -1).alias("name"))
+    return rows.select("root", "directory", F.element_at(F.split("directory", "/"), -1).alias("name"))

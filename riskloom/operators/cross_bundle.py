@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import sqltext as S
+from riskloom.functions import text as T
 from riskloom.functions.urls import hosts
 
 # Collector, sender and shared-pattern tests; word lists; everyday domains.
@@ -57,7 +58,7 @@ def bundle_signals(texts: DataFrame) -> DataFrame:
     """Per bundle: does any of its texts collect, send, or show a shared pattern."""
     patterns = {"collects": COLLECTOR, "sends": SENDER, **{name: (p,) for name, p in SHARED_PATTERNS.items()}}
     flags = {name: F.expr(S.guarded("text", "folded", ps)) for name, ps in patterns.items()}
-    folded = texts.withColumn("folded", F.lower("text"))
+    folded = texts.withColumn("folded", T.folded(F.col("text")))
     rows = folded.select("bundle_id", *[test.alias(name) for name, test in flags.items()])
     return rows.groupBy("bundle_id").agg(*[F.max(name).alias(name) for name in flags])
 

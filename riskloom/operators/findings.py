@@ -138,12 +138,9 @@ def deduplicate(findings: DataFrame) -> DataFrame:
 
     Aggregated, not ranked, so equal rows collapse before the shuffle.
     """
-    snippet = F.substring(F.coalesce("snippet", F.lit("")), 1, 80)
-    line_key = F.coalesce(
-        F.col("line_no").cast("string"), F.concat(F.lit("n:"), F.substring(snippet, 1, 20))
-    )
+    snippet = F.sha2(F.coalesce("snippet", F.lit("")), 256)  # of the whole text, however long
     rest = [c for c in findings.columns if c not in ("bundle_id", "rel_path", "rule_id")]
-    keyed = findings.withColumns({"_line": line_key, "_snippet": snippet})
+    keyed = findings.withColumns({"_line": F.col("line_no"), "_snippet": snippet})
     order = F.struct(
         severity_rank(F.col("severity")), F.coalesce("hard_trigger", F.lit(False)),
         F.coalesce("weight", F.lit(-1)), F.coalesce("snippet", F.lit("")),

@@ -60,6 +60,14 @@ def apply_refresh(stored: DataFrame, merged: DataFrame) -> DataFrame:
     return merged.select(*columns).unionByName(kept.select(*columns))
 
 
+def bundle_checksums(files: DataFrame) -> DataFrame:
+    """One checksum for each bundle over all paths and contents: changed, renamed, swapped and repeated files all count."""
+    each = F.xxhash64("rel_path", F.sha2(F.encode("content", "UTF-8"), 256)).cast("decimal(38,0)")
+    return files.groupBy("bundle_id").agg(
+        F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(each).cast("string")).alias("checksum")
+    )
+
+
 def rescan_needed(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Bundles whose text is new or changed since the previous run."""
     return current.join(previous.select("bundle_id", "checksum"), ["bundle_id", "checksum"], "left_anti")
@@ -365,7 +373,8 @@ def package_bundles(tools: DataFrame) -> DataFrame:
 
 def preferred_executables(tools: DataFrame) -> DataFrame:
     """One executable per tool id; launchers of one pip directory count as one, 'pip' before 'pip3' before the rest."""
-    rows = with_manager(tools).withColumn("launcher", F.when(F.col("manager") == "pip", F.concat(F.lit("pip"), F.element_at(F.array(F.lit(""), F.lit("3"), F.lit("3.9")), (F.col("ord") % 3 + 1).cast("int")))))
+    name = F.regexp_replace(F.element_at(F.split(P.slashes(F.col("detected_path")), "/"), -1), r"(?i)\.exe$", "")
+    rows = with_manager(tools).withColumn("launcher", F.when((F.col("manager") == "pip") & name.rlike(r"^pip(?:3(?:\.[0-9]+)?)?$"), name))
     directory = P.parent_path(F.col("detected_path"))
     key = F.when(F.col("launcher").isNotNull(), F.concat(F.lit("pip:"), directory)).otherwise(F.col("id"))
     rank = F.when(F.col("launcher").isNull(), 10).when(F.col("launcher") == "pip", 0).when(F.col("launcher") == "pip3", 1).otherwise(2)

@@ -1,4 +1,9 @@
-"""Front matter of main files as columns."""
+"""Front matter of main files as columns.
+
+Read are top-level keys with plain, quoted, folded (>) and literal (|) text, lists and maps in block or flow form and
+comments. Whatever a YAML reader would refuse yields no manifest, and the job goes on: lines that are no entry, text
+with an unclosed quote or bracket, a second ': ' in plain text, a repeated key, a value of the wrong kind.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +12,132 @@ from pyspark.sql import functions as F
 
 # The leading block between two '---' lines; the rest of the text is the body.
 BLOCK = r"(?s)^\s*---(.*?)\n---"
+# The value of a top-level key: the rest of its line, and the indented, list, comment and empty lines below it.
+VALUE = r"(?m)^(?:%s)[ \t]*:((?:[ \t][^\n]*+)?(?:\n(?:[ \t#][^\n]*+|-(?:[ \t][^\n]*+)?|)(?=\n|\z))*+)"
+KEY = r"""[A-Za-z0-9_"'][^:#\n]*"""
+NAME, DESCRIPTION, LICENSE = "name", "description", "license"
+TOOLS, COMPATIBILITY = "allowed[-_]tools", "compatibility(?:-info)?"
+FIELDS = (NAME, DESCRIPTION, LICENSE, TOOLS, COMPATIBILITY)
+DOUBLE, SINGLE = r'"(?:[^"\\]|\\.)*+"', r"'(?:[^']|'')*+'"
+COMMENT = r"(?:^|[ \t])#.*$"
+BLANK = r"^[ \t]*(?:#.*)?$"
+
+
+def value_of(block: Column, key: str) -> Column:
+    return F.regexp_extract(block, VALUE % key, 1)
+
+
+def bare(text: Column) -> Column:
+    """Text of one line without the comment behind it and the white space around it."""
+    line = F.regexp_replace(text, r"^[ \t]+|[ \t]+$", "")
+    quoted = F.regexp_extract(line, rf"^({DOUBLE}|{SINGLE})[ \t]*(?:#.*)?$", 1)
+    return F.when(quoted != "", quoted).otherwise(F.regexp_replace(F.regexp_replace(line, COMMENT, ""), r"[ \t]+$", ""))
+
+
+def head(value: Column) -> Column:
+    """What stands on the key's own line."""
+    return bare(F.split(value, "\n", 2)[0])
+
+
+def _below(value: Column) -> Column:
+    lines = F.split(value, "\n")
+    return F.slice(lines, F.lit(2), F.size(lines))
+
+
+def _is_block_text(value: Column) -> Column:
+    return head(value).rlike(r"^[|>][+-]?[0-9]?[+-]?$")
+
+
+def _block_text(value: Column) -> Column:
+    """Text below > or |: less its indent; folded lines are joined by spaces, empty ones stay breaks."""
+    lines = _below(value)
+    indent = F.length(F.regexp_extract(F.array_join(F.filter(lines, lambda s: F.trim(s) != ""), "\n"), r"^([ \t]*)", 1))
+    text = F.array_join(F.transform(lines, lambda s: F.substr(s, indent + 1)), "\n")
+    bare = F.regexp_replace(text, r"\s+$", "")
+    folded = F.regexp_replace(F.regexp_replace(bare, r"(?<!\n)\n(?!\n)", " "), r"\n\n", "\n")
+    body = F.when(head(value).startswith(">"), folded).otherwise(bare)
+    return F.concat(body, F.when(F.contains(head(value), F.lit("-")) | (body == ""), "").otherwise("\n"))
+
+
+def _flow(value: Column) -> Column:
+    """Plain or quoted text over one or several lines, as one line without comments."""
+    lines = F.transform(F.split(value, "\n"), bare)
+    return F.array_join(F.filter(lines, lambda s: s != ""), " ")
+
+
+def unquoted(text: Column) -> Column:
+    return (
+        F.when(text.rlike(f"^{DOUBLE}$"), F.regexp_replace(F.regexp_replace(text, '^"|"$', ""), r'\\(["\\/])', "$1"))
+        .when(text.rlike(f"^{SINGLE}$"), F.replace(F.regexp_replace(text, "^'|'$", ""), F.lit("''"), F.lit("'")))
+        .otherwise(text)
+    )
 
 
 def scalar(block: Column, key: str) -> Column:
-    raw = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
-    return F.regexp_replace(raw, r"""^["'](.*)["']$""", "$1")
+    value = value_of(block, key)
+    return F.when(_is_block_text(value), _block_text(value)).otherwise(unquoted(_flow(value)))
+
+
+def _is_text(value: Column) -> Column:
+    """The value can be read as text."""
+    flow = _flow(value)
+    quoted = flow.rlike(f"^(?:{DOUBLE}|{SINGLE})$")
+    plain = ~flow.rlike(r"""^["'\[{&*!|>%@`]|^[-?](?:\s|$)|:(?:\s|$)""")
+    return _is_block_text(value) | quoted | plain
+
+
+def _inline(value: Column, opening: str, closing: str) -> Column:
+    """Items between brackets, with and without which the value is no list or map in flow form."""
+    return F.split(F.regexp_extract(_flow(value), rf"^{opening}(.*){closing}$", 1), ",")
 
 
 def string_list(block: Column, key: str) -> Column:
     """[a, b] on the key's line, or '- a' lines below it."""
-    inline = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\[([^\]]*)\]", 1)
-    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*+\n?)++)", 1)
-    items = F.when(inline != "", F.split(inline, ",")).otherwise(
-        F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), 1)
-    )
-    return F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: s != "")
+    value = value_of(block, key)
+    below = F.transform(_below(value), lambda s: F.regexp_extract(s, r"^[ \t]*-[ \t]+(.*)$", 1))
+    items = F.when(head(value).startswith("["), _inline(value, r"\[", r"\]")).otherwise(below)
+    return F.filter(F.transform(items, lambda s: unquoted(bare(s))), lambda s: s != "")
+
+
+def _is_list(value: Column) -> Column:
+    lines = F.filter(_below(value), lambda s: ~s.rlike(BLANK))
+    listed = (head(value) == "") & F.forall(lines, lambda s: s.rlike(r"^[ \t]*-(?:[ \t].*)?$"))
+    return listed | _flow(value).rlike(r"^\[[^\[\]]*\]$")
 
 
-def string_map(block: Column, key: str) -> Column:
-    """Indented 'k: v' lines below the key."""
-    below = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+[^\n]*+\n?)++)", 1)
-    lines = F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]+([^:\n]+:[^\n]*)$"), 1)
-    entries = F.transform(
-        lines,
+def entries(block: Column, key: str) -> Column:
+    """array<struct<key, value>> of a map: indented 'k: v' lines below the key, or {k: v, …}."""
+    value = value_of(block, key)
+    below = F.filter(_below(value), lambda s: ~s.rlike(BLANK))
+    items = F.when(head(value).startswith("{"), _inline(value, r"\{", r"\}")).otherwise(below)
+    return F.transform(
+        F.filter(items, lambda s: F.contains(s, F.lit(":"))),
         lambda s: F.struct(
-            F.trim(F.regexp_extract(s, "^([^:]+):", 1)).alias("key"),
-            F.trim(F.regexp_extract(s, "^[^:]+:(.*)$", 1)).alias("value"),
+            unquoted(bare(F.regexp_extract(s, "^([^:]+):", 1))).alias("key"),
+            unquoted(bare(F.regexp_extract(s, "^[^:]+:(.*)$", 1))).alias("value"),
         ),
     )
-    return F.map_from_entries(entries)
+
+
+def _is_map(value: Column, found: Column) -> Column:
+    lines = F.filter(_below(value), lambda s: ~s.rlike(BLANK))
+    mapped = (head(value) == "") & F.forall(lines, lambda s: s.rlike(r"^[ \t]+[^:#\-\s][^:]*:(?:[ \t].*)?$"))
+    return (mapped | _flow(value).rlike(r"^\{[^{}]*\}$")) & (F.size(F.array_distinct(F.transform(found, lambda e: e["key"]))) == F.size(found))
+
+
+def is_readable(block: Column) -> Column:
+    """The block is one that a YAML reader takes, with values of the right kinds."""
+    lines = F.filter(F.split(block, "\n"), lambda s: ~s.rlike(r"^(?:[ \t#].*|-(?:[ \t].*)?|)$"))
+    shaped = F.forall(lines, lambda s: s.rlike(rf"^{KEY}:(?:[ \t].*)?$"))
+
+    def times(key: str) -> Column:
+        return F.size(F.filter(lines, lambda s: s.rlike(rf"^(?:{key})[ \t]*:")))
+
+    once = F.array_max(F.array(*[times(key) for key in FIELDS])) <= 1
+    kinds = _is_text(value_of(block, NAME)) & _is_text(value_of(block, DESCRIPTION)) & _is_text(value_of(block, LICENSE))
+    return (
+        shaped & once & kinds & _is_list(value_of(block, TOOLS)) & _is_map(value_of(block, COMPATIBILITY), entries(block, COMPATIBILITY))
+    )
 
 
 def has_block(content: Column) -> Column:
@@ -47,19 +149,22 @@ def block_of(content: Column) -> Column:
 
 
 def parse_blocks(rows: DataFrame) -> DataFrame:
-    """Manifest fields out of (bundle_id, rel_path, has_manifest, block), nulls without a manifest."""
+    """Manifest fields out of (bundle_id, rel_path, has_manifest, block), nulls without a readable manifest."""
+    read = rows.select(
+        "bundle_id", "rel_path", (F.col("has_manifest") & is_readable(F.col("block"))).alias("has_manifest"), "block"
+    )
     b = F.col("block")
 
     def known(value: Column) -> Column:
         return F.when(F.col("has_manifest"), value)
 
-    return rows.select(
+    return read.select(
         "bundle_id", "rel_path", "has_manifest",
-        known(scalar(b, "name")).alias("name"),
-        known(scalar(b, "description")).alias("description"),
-        known(string_list(b, "allowed[-_]tools")).alias("allowed_tools"),
-        known(string_map(b, "compatibility(?:-info)?")).alias("compatibility"),
-        known(F.when(b.rlike(r"(?m)^license:"), scalar(b, "license"))).alias("license"),
+        known(scalar(b, NAME)).alias("name"),
+        known(scalar(b, DESCRIPTION)).alias("description"),
+        known(string_list(b, TOOLS)).alias("allowed_tools"),
+        known(F.map_from_entries(entries(b, COMPATIBILITY))).alias("compatibility"),
+        known(F.when(b.rlike(r"(?m)^license[ \t]*:"), scalar(b, LICENSE))).alias("license"),
     )
 
 

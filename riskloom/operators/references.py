@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +19,23 @@ PATTERNS = (
 )
 IMPORT = r"(?m)^(?:from\s+(\S+)\s+)?import\s+(\S+)"
 
-# The running interpreter's list, plus modules that older releases shipped.
-STDLIB = tuple(sorted(set(sys.stdlib_module_names) | set(
-    "aifc asynchat asyncore binhex cgi cgitb chunk crypt distutils imghdr imp lib2to3 mailcap nis nntplib "
-    "ossaudiodev pipes smtpd sndhdr sunau telnetlib typing_extensions xdrlib".split()
-)))
+# Modules of the standard library, older releases' included, that are never a bundle's own module.
+STDLIB = tuple(
+    "__future__ _thread abc aifc argparse array ast asynchat asyncio asyncore atexit base64 bdb binascii binhex bisect "
+    "builtins calendar cgi cgitb chunk cmath cmd code codecs codeop collections colorsys compileall concurrent "
+    "configparser contextlib contextvars copy copyreg cProfile crypt csv ctypes curses dataclasses datetime dbm decimal "
+    "difflib dis distutils doctest email encodings enum errno faulthandler fcntl filecmp fileinput fnmatch fractions "
+    "ftplib functools gc getopt getpass gettext glob grp gzip hashlib heapq hmac html http idlelib imaplib imghdr imp "
+    "importlib inspect io ipaddress itertools json keyword lib2to3 linecache locale logging lzma mailbox mailcap marshal "
+    "math mimetypes mmap modulefinder multiprocessing netrc nis nntplib numbers operator optparse os ossaudiodev pathlib "
+    "pdb pickle pickletools pipes pkgutil platform plistlib poplib posix posixpath pprint profile pstats pty pwd "
+    "py_compile pyclbr pydoc queue quopri random re readline reprlib resource rlcompleter runpy sched secrets select "
+    "selectors shelve shlex shutil signal site smtpd smtplib sndhdr socket socketserver sqlite3 ssl stat statistics "
+    "string stringprep struct subprocess sunau symtable sys sysconfig syslog tabnanny tarfile telnetlib tempfile termios "
+    "test textwrap threading time timeit tkinter token tokenize tomllib trace traceback tracemalloc tty turtle turtledemo "
+    "types typing unicodedata unittest urllib venv warnings wave weakref webbrowser winreg winsound wsgiref xdrlib xml "
+    "xmlrpc zipapp zipfile zipimport zlib typing_extensions".split()
+)
 # Well-known packages that are never a bundle's own module.
 THIRD_PARTY = tuple(
     "pip setuptools wheel virtualenv tox nox flask django fastapi starlette bottle tornado sanic quart aiohttp "
@@ -52,7 +62,7 @@ def is_local_reference(path: Column) -> Column:
 
 def extracted_paths(content: Column) -> Column:
     """Sorted distinct local references of a text."""
-    folded = F.lower(content)
+    folded = T.folded(content)
     nothing = F.array().cast("array<string>")
     found = F.concat(*[
         F.when(T.holds(folded, literal_need(p)), F.regexp_extract_all(content, F.lit(java_regex(p)), 1)).otherwise(nothing)

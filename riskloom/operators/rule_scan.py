@@ -58,7 +58,7 @@ def prepare(files: DataFrame) -> DataFrame:
         files.withColumn("lines", T.physical_lines(F.col("content")))
         .withColumn("marked", T.mark_continuations(F.col("content"), F.col("ext")))
         .withColumn("items", T.logical_lines(F.col("marked")))
-        .withColumns({"folded": F.lower(F.col("content")), "marks": F.expr(S.marks_column("content"))})
+        .withColumns({"folded": T.folded(F.col("content")), "marks": F.expr(S.marks_column("content"))})
         .withColumn(
             "folded_logical",
             F.when(
@@ -189,7 +189,7 @@ def content_hit_sql(rule: Rule) -> str:
         before = f"split(content, {regex}, 2)[0]"
         line = f"length({before}) - length(replace({before}, '\\n', '')) + 1"
         hit = (
-            f"named_struct('rule_id', {S.quoted(rule.rule_id)}, 'line_no', {line}, 'snippet', substring({found}, 1, 200))"
+            f"named_struct('rule_id', {S.quoted(rule.rule_id)}, 'line_no', {line}, 'snippet', {found})"
         )
         test = f"{S.has_marks([p])} AND {S.guarded('content', 'folded', [p])} AND NOT {S.any_rlike(found, rule.excludes)}"
         options.append(f"CASE WHEN {test} THEN {hit} END")
@@ -234,7 +234,7 @@ def scan_lines(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def scan_content(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    texts = files.withColumns({"folded": F.lower("content"), "marks": F.expr(S.marks_column("content"))})
+    texts = files.withColumns({"folded": T.folded(F.col("content")), "marks": F.expr(S.marks_column("content"))})
     rows = texts.select(*FILE_KEYS, content_rule_hits(policy).alias("hits"))
     return explode_hits(rows, FILE_KEYS, "hits")
 

@@ -10,13 +10,15 @@ from riskloom.functions.urls import EXEC_CONTEXT
 from riskloom.operators.chains import KEYS, installer_downgrade, targets
 from riskloom.operators.findings import lookup
 from riskloom.operators.rule_scan import explode_hits
-from riskloom.packs.loader import MAX_FLAGS
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 
 # One segment of a pipeline: quoted text and || do not split.
 SEGMENT = r"""(?:[^|'"]|'[^']*(?:'|$)|"[^"]*(?:"|$)|\|\|)+"""
 ENV_PREFIX = r"(?i)^env(?:\s+\w+=\S+)*\s+"
 SUDO_PREFIX = r"(?i)^sudo\s+(?:-\S+\s+)*"
+# The same, word by word without giving any back: the last assignment must be followed by white space as well.
+ENV_WORDS = r"(?i)^env\s++(?:\w++=\S++\s++)*+"
+SUDO_WORDS = r"(?i)^sudo\s++(?:-\S++\s++)*+"
 
 # Taint kinds (bits) and the commands that bring, change or use them.
 SENSITIVE, USER, NETWORK, OBFUSCATED = 1, 2, 4, 8
@@ -44,13 +46,9 @@ def segments(line: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def _bounded(pattern: str) -> str:
-    return pattern.replace(")*", "){0,%d}" % MAX_FLAGS)
-
-
 def command_name(segment: Column) -> Column:
     bare = F.regexp_replace(
-        F.regexp_replace(F.trim(segment), _bounded(ENV_PREFIX), ""), _bounded(SUDO_PREFIX), "")
+        F.regexp_replace(F.trim(segment), ENV_WORDS, ""), SUDO_WORDS, "")
     return F.lower(F.split(F.trim(bare), r"\s+", 2)[0])
 
 
@@ -155,7 +153,7 @@ def _step(state: Column, event: Column) -> Column:
     hit = F.struct(
         flow["rule_id"].alias("rule_id"), flow["category"].alias("category"), event["severity"].alias("severity"),
         event["line_no"].cast("int").alias("line_no"), flow["taints"].alias("taints"), flow["sink"].alias("sink"),
-        F.substring(line, 1, 200).alias("snippet"),
+        line.alias("snippet"),
     )
     return F.struct(
         F.when(~is_py, F.lit("")).when(is_open, F.when(closes, F.lit("")).otherwise(state["open"]))

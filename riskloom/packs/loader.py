@@ -38,17 +38,60 @@ def builtin_rules() -> tuple[Rule, ...]:
     return load_packs(core.RULES, parity.RULES)
 
 
-MAX_FLAGS = 300
+# Repeated words of a command line (and bytes of a blob), as rules write them, and the same possessively. Java walks a repeated group
+# that it may have to give back by recursion, and a line of thousands of flags exhausts a task's stack; a possessive
+# group is a loop.
+_FLAG = r"(?:-[a-zA-Z]*\s+)*"
+_FLAGS = r"(?:-[a-zA-Z]*\s++)*+"
+_NO_R = r"(?:-[a-qs-zA-QS-Z]*\s++)*+"  # flags up to the first that holds an r
+_WITH_R = r"-[a-zA-Z]*[rR]"
+_NC_FLAG = r"(-[a-z]*\s+)*"
+_TEE_FLAG = r"(?:(?:-[A-Za-z]+|--(?:append|output-error(?:=\S+)?)|--)\s+)*"
+_TEE_TARGET = r"\S*\.ssh/(?:authorized_keys|id_)"
+
+
+def _end_of_branch(pattern: str, start: int) -> int:
+    """Place of the first | outside groups and classes from start on."""
+    depth, in_class, i = 0, False, start
+    while True:
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            return i
+        i += 1
 
 
-def java_regex(pattern: str) -> str:
-    """Rule patterns use Unicode classes and a dot that stops at the line feed only.
+@lru_cache(maxsize=None)
+def possessive(pattern: str) -> str:
+    """A pattern that matches the same texts and never gives back a word of a command line.
 
-    Java walks a repeated group of words by recursion, so a line made of thousands of
-    command flags would exhaust a task's stack. Such groups are bounded far above any
-    real command line.
+    The words after a run of flags decide where the run has to end, so that end is written out: before the first flag
+    with an r, before a target that no flag can be, or before the last word that may be a flag or a host.
     """
-    return "(?dU)" + pattern.replace(r"\s+)*", r"\s+){0,%d}" % MAX_FLAGS)
+    both = _FLAG + "(?:" + _WITH_R
+    if both in pattern:
+        # flags, then (a flag with r and a target | a target and a flag with r)
+        start = pattern.index(both)
+        branch = start + len(_FLAG) + len("(?:")
+        bar = _end_of_branch(pattern, branch)
+        pattern = pattern[:start] + "(?:" + _NO_R + pattern[branch : bar + 1] + _FLAGS + pattern[bar + 1 :]
+    pattern = pattern.replace(r"\s+" + _FLAG + _WITH_R, r"\s++" + _NO_R + _WITH_R).replace(_FLAG, _FLAGS)
+    pattern = pattern.replace(r"(?:-[a-qs-zA-QS-Z]*\s+)*", _NO_R)
+    pattern = pattern.replace(r"(?:0x[0-9a-fA-F]{2}\s*){32,}", r"(?:0x[0-9a-fA-F]{2}\s*+){32,}+")
+    pattern = pattern.replace(_NC_FLAG, r"(?:-[a-z]*\s++(?=-))*+(?:-[a-z]*\s+)?")
+    return pattern.replace(_TEE_FLAG + _TEE_TARGET, f"(?:(?!{_TEE_TARGET})" + _TEE_FLAG[len("(?:") : -len("+)*")] + "++)*+" + _TEE_TARGET)
+
+
+def java_regex(pattern: str) -> str:
+    """Rule patterns use Unicode classes and a dot that stops at the line feed only."""
+    return "(?dU)" + possessive(pattern)
 
 
 # What a text must hold for a pattern to match: a literal, or ("and" | "or", parts).

@@ -68,13 +68,13 @@ RULES = (
           r"(?:requests\.|urllib\.request|httpx\.|socket\.)[^\n]{0,160}base64\.(?:b64encode|encodebytes)"),
          file_types=(".py",)),
     Rule("OBFUSCATION_HEX_BLOB", "Obfuscation", "Medium", 35, "Medium", "CWE-656",
-         (r"(?:0x[0-9a-fA-F]{2}\s*){32}",)),
+         (r"(?:0x[0-9a-fA-F]{2}\s*){32,}",)),
     Rule("OBFUSCATION_XOR_ENCODING", "Obfuscation", "Medium", 35, "Medium", "CWE-656",
          (r"chr\s*\(\s*ord\s*\([^)]+\)\s*\^",), file_types=(".py",)),
     Rule("RESOURCE_ABUSE_INFINITE_LOOP", "Obfuscation", "Medium", 20, "Medium", "CWE-400",
          (r"while\s+True\s*:", r"while\s+1\s*:"), file_types=(".py",)),
     Rule("RESOURCE_ABUSE_FORK_BOMB", "Destructive", "High", 75, "High", "CWE-400",
-         (r":\(\)\s*\{\s*:|\:&\s*\}\s*;\s*:",), file_types=SH, hard_trigger=True),
+         (r":\(\)\s*\{\s*:\|\:&\s*\}\s*;\s*:",), file_types=SH, hard_trigger=True),
     Rule("SOCIAL_ENG_ANTHROPIC_IMPERSONATION", "SocialEngineering", "Medium", 40, "Medium", "CWE-451",
          (r"(?i)official\s+anthropic", r"(?i)anthropic\s+official", r"(?i)created\s+by\s+anthropic\s+team"),
          file_types=(".md",)),

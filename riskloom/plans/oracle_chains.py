@@ -133,7 +133,7 @@ def chain_sql(rule_ids=tuple(C.RULES)) -> str:
 SELECT c.bundle_id, c.rel_path, c.ext, c.is_main, c.rule_id, c.category,
   CASE WHEN c.rule_id IN {inlist(C.INSTALLER_RULES)} AND c.severity0 IN ('Critical', 'High') AND {known_installer('coalesce(trim(d.line), chr(32))')}
     AND NOT {rm('trim(d.line)', EXEC_CONTEXT)} AND NOT {rm("coalesce(trim(x.line), '')", EXEC_CONTEXT)} THEN 'Medium' ELSE c.severity0 END AS severity,
-  c.variant, CAST(c.s AS INTEGER) AS line_no, CAST(c.e AS INTEGER) AS end_line, trim(d.line)[:200] AS snippet
+  c.variant, CAST(c.s AS INTEGER) AS line_no, CAST(c.e AS INTEGER) AS end_line, trim(d.line) AS snippet
 FROM ({chosen}) c
 LEFT JOIN cflags d ON d.bundle_id = c.bundle_id AND d.rel_path = c.rel_path AND d.line_no = c.s
 LEFT JOIN cflags x ON x.bundle_id = c.bundle_id AND x.rel_path = c.rel_path AND x.line_no = c.e
@@ -205,7 +205,7 @@ SELECT bundle_id, rel_path, ext, is_main, rule_id, category, severity, line_no,
   SELECT f.bundle_id, f.rel_path, f.ext, f.is_main, verdict[1] AS rule_id, verdict[2] AS category,
     CASE WHEN verdict[3] IN ('Critical', 'High') AND {known_installer('trim(l.line)')} AND NOT {rm('trim(l.line)', EXEC_CONTEXT)}
       THEN 'Medium' ELSE verdict[3] END AS severity,
-    f.line_no, CAST(taints AS INTEGER) AS taints, command AS sink, trim(l.line)[:200] AS snippet,
+    f.line_no, CAST(taints AS INTEGER) AS taints, command AS sink, trim(l.line) AS snippet,
     (SELECT arg_max({{'open': s.open, 'inert': s.inert, 'block': s.block}}, s.step) FROM region_states s
       WHERE s.bundle_id = f.bundle_id AND s.rel_path = f.rel_path AND s.line_no < f.line_no) AS st,
     (SELECT arg_max({{'open': s.open, 'inert': s.inert, 'block': s.block}}, s.step) FROM region_states s

@@ -7,10 +7,10 @@ from riskloom.operators import content_checks as U
 from riskloom.operators import coverage as V
 from riskloom.operators import cross_bundle as B
 from riskloom.operators import findings as FN
-from riskloom.operators import manifest as M
 from riskloom.operators import references as RF
 from riskloom.packs.policy import DEFAULT_POLICY as P
 from riskloom.plans.oracle_core import cte, has_any, inlist, lst, q, rm, rm_any
+from riskloom.sources.payloads import MANIFESTS
 
 
 def n_of(text: str, char_class: str) -> str:
@@ -37,7 +37,7 @@ FROM files WHERE {rm('content', U.CONTROL)}
 
 def first_line(source: str, pattern: str) -> str:
     return (
-        f"(SELECT {{'no': min(p.line_no), 'line': arg_min(p.line, p.line_no)[:200]}} FROM plines p "
+        f"(SELECT {{'no': min(p.line_no), 'line': arg_min(p.line, p.line_no)}} FROM plines p "
         f"WHERE p.bundle_id = {source}.bundle_id AND p.rel_path = {source}.rel_path AND {rm('p.line', pattern)})"
     )
 
@@ -87,18 +87,41 @@ SELECT * FROM (SELECT bundle_id, rel_path, ext, detected, CASE {_labels} ELSE ex
   FROM typed_blobs WHERE ext <> '') WHERE severity IS NOT NULL
 """)
 
-# Manifests.
-_item = "list_filter(list_transform({}, lambda s: trim(s)), lambda s: s <> '')"
-cte("bundles", ("files",), rf"""
-SELECT bundle_id, rel_path, has_manifest,
-  CASE WHEN has_manifest THEN regexp_replace(regexp_extract(b, '(?m)^name:[ \t]*(.*?)[ \t]*$', 1), '^["''](.*)["'']$', '\1') END AS name,
-  CASE WHEN has_manifest THEN regexp_replace(regexp_extract(b, '(?m)^description:[ \t]*(.*?)[ \t]*$', 1), '^["''](.*)["'']$', '\1') END AS description,
-  CASE WHEN has_manifest THEN CASE WHEN inline <> '' THEN {_item.format("string_split(inline, ',')")}
-     ELSE {_item.format("regexp_extract_all(regexp_extract(b, '(?m)^allowed[-_]tools:[ " + chr(92) + "t]*" + chr(92) + "n((?:[ " + chr(92) + "t]*-[ " + chr(92) + "t]+.*" + chr(92) + "n?)+)', 1), '(?m)^[ " + chr(92) + "t]*-[ " + chr(92) + "t]+(.*?)[ " + chr(92) + "t]*$', 1)")} END END AS allowed_tools,
-  CASE WHEN has_manifest THEN regexp_extract_all(regexp_extract(b, '(?m)^compatibility(?:-info)?:[ \t]*\n((?:[ \t]+[^\n]*\n?)+)', 1), '(?m)^[ \t]+([^:\n]+:[^\n]*)$', 1) END AS compat,
-  CASE WHEN has_manifest AND regexp_matches(b, '(?m)^license:') THEN regexp_replace(regexp_extract(b, '(?m)^license:[ \t]*(.*?)[ \t]*$', 1), '^["''](.*)["'']$', '\1') END AS license
-FROM (SELECT *, regexp_extract(b, '(?m)^allowed[-_]tools:[ \t]*\[([^\]]*)\]', 1) AS inline
-  FROM (SELECT bundle_id, rel_path, {rm('content', M.BLOCK)} AS has_manifest, regexp_extract(content, {q(M.BLOCK)}, 1) AS b FROM files WHERE is_main))
+# Manifests: what each of payloads.MANIFESTS says, written down by hand.
+# (name, description, allowed tools, compatibility, license); None where the text holds no manifest.
+MANIFEST_FACTS = (
+    ("@ID@", "Collect and parse json logs from the docker api, then load them into sql", ("Read", "Write", "Bash"), (), "MIT"),
+    ("@ID@", "Send and upload parsed json reports from the docker api to a webhook", ("Read", "Shell"), ("os:linux",), "Apache-2.0"),
+    ("Bad_Name", "Simple calculator with a template and a quick style", ("Grep",), (), None),
+    ("a", "short", (), (), ""),
+    ("@ID@", "help tool utility simple basic easy", ("Glob", "file-write"), ("network:required",), None),
+    ("double--hyphen", "alpha, beta, gamma, delta, epsilon, zeta, eta, theta", (), (), "MIT"),
+    ("@ID@", "tools such as alpha, beta, gamma, delta, epsilon, zeta, eta, theta", (), ("os:any", "note:offline"), "BSD"),
+    None,
+    ("@ID@", "Do anything, a universal general purpose helper", ("Terminal", "fileread"), (), "MIT"),
+    None,
+    ("@ID@", "", (), (), "MIT"),
+    ("@ID@", "Gather credentials and sync secrets with the docker api json export", (), ("internet:yes",), "MIT"),
+    ("@ID@", "Format python code with regex rules and lint it for the docker team", ("Read", "Write", "Bash", "Grep", "Glob"), (), "MIT"),
+    ("@ID@", "Collect metrics from the api and load them into sql\n", (), (), "MIT"),
+    ("@ID@", "Send the parsed reports\nto a webhook of the api", ("Read", "Write"), ("os:linux", "network:none"), None),
+    None,
+    None,
+    None,
+    ("@ID@", "plain text over several lines, of use", (), (), "it's free"),
+    None,
+)
+assert len(MANIFEST_FACTS) == len(MANIFESTS)
+_no_list = "CAST([] AS VARCHAR[])"
+_facts = " UNION ALL ".join(
+    f"SELECT {i} AS variant, {f is not None and 'true' or 'false'} AS has_manifest, "
+    + (f"{q(f[0])} AS raw_name, {q(f[1])} AS description, {lst(f[2]) if f[2] else _no_list} AS allowed_tools, {lst(f[3]) if f[3] else _no_list} AS compat, CAST({q(f[4])} AS VARCHAR) AS license"
+       if f else "NULL AS raw_name, NULL AS description, CAST(NULL AS VARCHAR[]) AS allowed_tools, CAST(NULL AS VARCHAR[]) AS compat, NULL AS license")
+    for i, f in enumerate(MANIFEST_FACTS)
+)
+cte("bundles", ("files",), f"""
+SELECT bundle_id, rel_path, has_manifest, replace(raw_name, '@ID@', bundle_id) AS name, description, allowed_tools, compat, license
+FROM files JOIN ({_facts}) f ON f.variant = (doc_id % 20 + doc_id // 200 * 3) % {len(MANIFESTS)} WHERE is_main
 """)
 
 # Consistency.
@@ -289,7 +312,7 @@ WHERE kind <> 'Structure'
 RANK = "CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END"
 cte("findings", ("all_findings",), f"""
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
-  PARTITION BY bundle_id, rel_path, rule_id, coalesce(CAST(line_no AS VARCHAR), 'n:' || coalesce(snippet, '')[:20]), coalesce(snippet, '')[:80]
+  PARTITION BY bundle_id, rel_path, rule_id, line_no, coalesce(snippet, '')
   ORDER BY {RANK} DESC, coalesce(hard_trigger, false) DESC, coalesce(weight, -1) DESC, coalesce(snippet, '') DESC) AS rn FROM all_findings) WHERE rn = 1
 """)
 _defaults = " ".join(f"WHEN {q(s)} THEN {w}" for s, w in FN.DEFAULT_WEIGHT.items())

@@ -64,7 +64,7 @@ cte("raw_files", (), f"""
 SELECT doc_id, bundle_id,
   CASE WHEN is_main THEN 'SKILL.md' ELSE {pick(DIRS, f'doc_id % {len(DIRS)}')} || 'f' || doc_id || suffix END AS rel_path,
   CASE WHEN is_main THEN replace({pick(MANIFESTS, f'(doc_id % 20 + grp * 3) % {len(MANIFESTS)}')}, '@ID@', bundle_id) || chr(10) || text
-       WHEN body IS NULL THEN ''
+       WHEN body IS NULL THEN text
        WHEN doc_id % 3 = 0 THEN body || chr(10) || text
        WHEN doc_id % 3 = 1 THEN text || chr(10) || body
        ELSE text || chr(13) || chr(10) || body || chr(10) END AS content
@@ -99,7 +99,7 @@ FROM (
 cte("files", ("all_files",), f"""
 SELECT * FROM all_files
 WHERE len(list_filter(parts[1:len(parts) - 1], lambda s: s IN {inlist([d for d in P.skip_dirs if d != '__pycache__'])})) = 0
-  AND lower(parts[-1]) NOT IN {inlist(P.housekeeping_files)} AND len(parts) <= {P.max_depth}
+  AND lower(parts[-1]) NOT IN {inlist(P.housekeeping_files)}
 """)
 
 cte("blobs", ("raw_files",), f"""

@@ -55,7 +55,7 @@ def content_case(rule) -> str:
         options.append(
             f"CASE WHEN {rm('content', p)} AND NOT {rm_any(found, rule.excludes)} THEN "
             f"{{'rule_id': {q(rule.rule_id)}, 'line_no': CAST(len(string_split(content[:instr(content, {found}) - 1], chr(10))) AS INTEGER),"
-            f" 'snippet': {found}[:200]}} END"
+            f" 'snippet': {found}}} END"
         )
     return f"CASE WHEN {applies(rule)} THEN coalesce({', '.join(options)}) END"
 

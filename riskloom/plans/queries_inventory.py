@@ -46,20 +46,16 @@ SELECT id, repository_url, file_path, name, checksum, installed, tools, version,
 UNION ALL SELECT id, repository_url, file_path, name, checksum, installed, tools, version, score FROM stored WHERE installed AND id NOT IN (SELECT id FROM merged)"""))
 
 
-def sums(s, d, changed=False):
-    files = derived.files(s, d)
-    text = F.when(F.col("rel_path").endswith("5.sh"), F.concat("content", F.lit("x"))).otherwise(F.col("content")) if changed else F.col("content")
-    return files.select("bundle_id", "rel_path", F.md5(text).alias("checksum"))
-
-
 def rescan(s, d):
-    def whole(rows):
-        return rows.groupBy("bundle_id").agg(F.bit_xor(F.conv(F.substring("checksum", 1, 12), 16, 10).cast("bigint")).cast("string").alias("checksum"))
-
-    return I.rescan_needed(whole(sums(s, d, True)), whole(sums(s, d))).select("bundle_id")
+    """Against a run in which some files held one character less and others had other names."""
+    now = derived.files(s, d)
+    content = F.when(F.col("rel_path").endswith("5.sh"), F.expr("left(content, length(content) - 1)")).otherwise(F.col("content"))
+    path = F.when(F.col("rel_path").endswith("4.md"), F.concat("rel_path", F.lit("x"))).otherwise(F.col("rel_path"))
+    before = now.select("bundle_id", path.alias("rel_path"), content.alias("content"))
+    return I.rescan_needed(I.bundle_checksums(now), I.bundle_checksums(before)).select("bundle_id")
 
 
-add("rescan_needed", rescan, ask(["files"], "SELECT DISTINCT bundle_id FROM files WHERE ends_with(rel_path, '5.sh')"))
+add("rescan_needed", rescan, ask(["files"], "SELECT DISTINCT bundle_id FROM files WHERE ends_with(rel_path, '5.sh') OR ends_with(rel_path, '4.md')"))
 
 # --- updates
 add("update_status", lambda s, d: I.update_status(table(s, d, "installs"), table(s, d, "commits")), ask(["installs", "commits"], """
@@ -214,8 +210,10 @@ SELECT * FROM (SELECT count(*) FILTER (kind = 'bundle') AS n_bundles, count(*) F
  (SELECT count(*) AS n_scanned, count(*) FILTER (t = 'severe') AS n_severe, count(*) FILTER (t = 'midhigh') AS n_midhigh, count(*) FILTER (t = 'safe') AS n_safe, max(scanned_at) AS last_scan
   FROM (SELECT {TIER} AS t, scanned_at FROM (SELECT score, scanned_at FROM latest_scans UNION ALL SELECT score, NULL FROM plugins WHERE installed AND score IS NOT NULL)))"""))
 add("cache_statistics", lambda s, d: I.cache_statistics(table(s, d, "repositories")), ask(["repositories"], "SELECT count(*) AS n_repositories, count(cached_bytes) AS n_cached, CAST(sum(cached_bytes) AS BIGINT) AS total_bytes FROM repositories"))
-add("reports_by_score", lambda s, d: latest(s, d).orderBy(F.col("score").desc(), "group_key").select("group_key", "score", FN.level_of_score(F.col("score")).alias("level")), ask(["latest_scans"], """
-SELECT group_key, score, CASE WHEN score >= 90 THEN 'Safe' WHEN score >= 70 THEN 'Low' WHEN score >= 50 THEN 'Medium' WHEN score >= 30 THEN 'High' ELSE 'Critical' END AS level FROM latest_scans ORDER BY score DESC, group_key"""))
+add("reports_by_score", lambda s, d: latest(s, d).orderBy("score", "group_key").select("group_key", "score", FN.level_of_score(F.col("score")).alias("level")), ask(["latest_scans"], """
+SELECT group_key, score, CASE WHEN score >= 90 THEN 'Safe' WHEN score >= 70 THEN 'Low' WHEN score >= 50 THEN 'Medium' WHEN score >= 30 THEN 'High' ELSE 'Critical' END AS level FROM latest_scans ORDER BY score, group_key"""))
+add("reports_by_name", lambda s, d: latest(s, d).orderBy(F.lower("group_key"), "group_key").select("group_key", "score"), ask(["latest_scans"], "SELECT group_key, score FROM latest_scans ORDER BY lower(group_key), group_key"))
+add("reports_by_newest", lambda s, d: latest(s, d).orderBy(F.col("scanned_at").desc_nulls_last(), "group_key").select("group_key", "scanned_at"), ask(["latest_scans"], "SELECT group_key, scanned_at FROM latest_scans ORDER BY scanned_at DESC NULLS LAST, group_key"))
 
 # --- tools
 _lower = "lower(replace(detected_path, chr(92), '/'))"
@@ -265,8 +263,9 @@ SELECT manager, package_name, arg_min(id, o) AS representative, first(current_ve
  SELECT *, (CASE WHEN id = base THEN 0 WHEN starts_with(id, base) THEN 1 ELSE 2 END, id, ord) AS o FROM (SELECT *, lower(string_split(package_name, '/')[-1]) AS base FROM managed_tools)) GROUP BY ALL"""))
 add("preferred_executables", lambda s, d: I.preferred_executables(table(s, d, "tools")), ask(["managed_tools"], """
 SELECT key, detected_path FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, ord) AS n FROM (
- SELECT ord, detected_path, CASE WHEN manager = 'pip' THEN 'pip:' || regexp_extract(replace(detected_path, chr(92), '/'), '^(.*)/[^/]*$', 1) ELSE id END AS key,
-  CASE WHEN manager <> 'pip' THEN 10 ELSE ord % 3 END AS rank FROM managed_tools)) WHERE n = 1"""))
+ SELECT ord, detected_path, CASE WHEN launcher THEN 'pip:' || regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE id END AS key,
+  CASE WHEN NOT launcher THEN 10 WHEN regexp_matches(path, '/pip(\\.exe)?$') THEN 0 WHEN ends_with(path, '/pip3') THEN 1 ELSE 2 END AS rank
+ FROM (SELECT *, replace(detected_path, chr(92), '/') AS path, manager = 'pip' AND NOT regexp_matches(detected_path, 'tool[0-9]+$') AS launcher FROM managed_tools))) WHERE n = 1"""))
 add("extracted_versions", lambda s, d: table(s, d, "tools").select("detected_path", VS.extract_version(F.concat_ws(" ", F.lit("tool version"), "current_version")).alias("version")),
     ask(["tools"], "SELECT detected_path, nullif(regexp_extract(concat_ws(' ', 'tool version', current_version), 'v?([0-9]+\\.[0-9]+\\.[0-9]+)', 1), '') AS version FROM tools"))
 add("fresh_checks", lambda s, d: table(s, d, "tools").withColumn("fresh", I.is_fresh(F.col("checked_minute"), F.lit(90000))).select("detected_path", "fresh"),

@@ -86,7 +86,7 @@ add(
       FROM raw_files WHERE ends_with(rel_path, '7.sh')"""),
 )
 add("scannable_counts", lambda s, d: coverage.scannable_counts(D.files(s, d)), with_ctes(("files",), f"""
-SELECT bundle_id, least(count(*), {DEFAULT_POLICY.max_files}) AS n_scannable FROM files
+SELECT bundle_id, count(*) AS n_scannable, count(*) > {DEFAULT_POLICY.max_files} AS beyond_limit FROM files
 WHERE ext NOT IN {inlist(DEFAULT_POLICY.inert_extensions)} AND NOT regexp_matches(lower(parts[-1]), '^readme\\.(.*\\.)?md$') GROUP BY 1"""))
 
 
@@ -96,7 +96,7 @@ def discovered(s, d):
         F.split("bundle_id", "-")[0].alias("root"), "is_main",
         F.when(F.split("bundle_id", "-")[1] == "0", F.col("rel_path")).otherwise(F.concat(F.lit("packs/"), "bundle_id", F.lit("/"), "rel_path")).alias("rel_path"),
     )
-    return coverage.discover_bundles(tree, 10)
+    return coverage.discover_bundles(tree)
 
 
 add("discover_bundles", discovered, with_ctes(("files",), """

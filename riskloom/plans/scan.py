@@ -61,7 +61,7 @@ def scan_facts(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
     is_target = main | ((F.col("file_type") == "script") & ~F.col("is_binary") & ~F.col("is_doc_path"))
     bodies = whole.withColumn("content", F.when(is_target, chains.instruction_text()).otherwise(F.lit("")))
-    bodies = bodies.withColumn("lines", T.physical_lines(F.col("content"))).withColumn("folded", F.lower("content"))
+    bodies = bodies.withColumn("lines", T.physical_lines(F.col("content"))).withColumn("folded", T.folded(F.col("content")))
     return chains.with_positions(bodies, tuple(chains.RULES)).select(
         *FACTS,
         F.concat(

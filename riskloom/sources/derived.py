@@ -25,9 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input has fewer splits than there are cores; otherwise leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out as the session says (riskloom.input.partitions); without the setting the table's own splits stay.
+
+    For tables written as one small file, where splits are too few for the cores.
+    """
+    wanted = df.sparkSession.conf.get("riskloom.input.partitions", None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,7 @@ def derive(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     content = (
         F.when(is_main, F.concat(manifest, F.lit("\n"), text))
-        .when(body.isNull(), F.lit(""))
+        .when(body.isNull(), text)
         .when(F.col("doc_id") % 3 == 0, F.concat(body, F.lit("\n"), text))
         .when(F.col("doc_id") % 3 == 1, F.concat(text, F.lit("\n"), body))
         .otherwise(F.concat(text, F.lit("\r\n"), body, F.lit("\n")))
@@ -81,12 +84,11 @@ def with_file_columns(raw: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFr
 
 
 def in_scope(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Drop build and dependency directories, housekeeping files and paths that lie too deep."""
+    """Drop build and dependency directories and housekeeping files, at whatever depth."""
     path = F.col("rel_path")
     return files.where(
         ~P.in_skipped_dir(path, policy, keep_bytecode_dirs=True)
         & ~F.lower(P.file_name(path)).isin(*policy.housekeeping_files)
-        & (F.size(P.segments(path)) <= policy.max_depth)
     )
 
 

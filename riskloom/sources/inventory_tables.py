@@ -95,8 +95,10 @@ SELECT concat('https://github.com/owner', {s('s_suppkey % 90')}, '/repo', {s('s_
     "tools": f"""
 SELECT p_partkey AS ord, concat('tool', {s('p_partkey % 700')}) AS id, concat(
     CASE p_partkey % 9 WHEN 0 THEN '/opt/homebrew/bin/' WHEN 1 THEN '/home/a/.npm-global/bin/' WHEN 2 THEN 'C:\\Users\\a\\AppData\\Local\\pnpm\\'
-      WHEN 3 THEN '/usr/local/Cellar/x/' WHEN 4 THEN 'C:\\Users\\a\\scoop\\shims\\' WHEN 5 THEN '/usr/lib/python3/site-packages/bin/'
-      WHEN 6 THEN 'C:\\Python39\\Scripts\\' WHEN 7 THEN '/srv/app/node_modules/.bin/' ELSE '/usr/bin/' END, 'tool', {s('p_partkey')}) AS detected_path,
+      WHEN 3 THEN '/usr/local/Cellar/x/' WHEN 4 THEN 'C:\\Users\\a\\scoop\\shims\\' WHEN 5 THEN concat('/srv/env', {s('(p_partkey - p_partkey % 36)')}, '/lib/python3/site-packages/bin/')
+      WHEN 6 THEN concat('C:\\env', {s('(p_partkey - p_partkey % 36)')}, '\\Python39\\Scripts\\') WHEN 7 THEN '/srv/app/node_modules/.bin/' ELSE '/usr/bin/' END,
+    CASE WHEN p_partkey % 9 NOT IN (5, 6) OR p_partkey % 4 = 3 THEN concat('tool', {s('p_partkey')}) WHEN p_partkey % 4 = 0 THEN 'pip3.9'
+      WHEN p_partkey % 4 = 1 THEN 'pip3' WHEN p_partkey % 9 = 5 THEN 'pip' ELSE 'pip.exe' END) AS detected_path,
   concat('@scope/tool', {s('p_partkey % 300')}) AS package_name,
   CASE p_partkey % 7 WHEN 0 THEN concat('v', {s('p_size')}, '.1') WHEN 1 THEN concat({s('p_size')}, '.1.0-beta.2') WHEN 2 THEN 'nightly'
     WHEN 3 THEN NULL WHEN 4 THEN concat({s('p_size')}, '.1.0+build7') WHEN 5 THEN concat({s('p_size')}, '_2') ELSE concat({s('p_size')}, '.1.0') END AS current_version,

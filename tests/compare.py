@@ -83,7 +83,7 @@ if __name__ == "__main__":
 
     sf = "/root/testdata/sf" + sys.argv[1]
     names = sys.argv[2:]
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "riskloom.input.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     qs, oracles, con = entry.queries(), entry.oracle_sql(), duck(sf)
     bad = []

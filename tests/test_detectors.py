@@ -112,6 +112,28 @@ def test_manifest_forms(files_of):
     assert not rows["c"].has_manifest and not rows["d"].has_manifest
 
 
+def test_manifests_as_users_write_them(files_of):
+    """Block and folded text, comments, flow forms; and texts no YAML reader takes, which must not stop the job."""
+    good = {
+        "folded": ("description: >\n  one\n  two\n\n  three", "one two\nthree\n"), "stripped": ("description: >-\n    one\n    two", "one two"),
+        "literal": ("description: |\n  one\n    two\n", "one\n  two\n"), "plain": ("description: one # not this\n  two", "one two"),
+        "double": ('description: "a: \\"b\\" # c"', 'a: "b" # c'), "single": ("description: 'it''s'", "it's"),
+        "colon": ("description: http://x.test:80/a", "http://x.test:80/a"), "unknown": ("version: 1.2\ndescription: x\nmeta:\n  a: b", "x"),
+    }
+    bad = {
+        "repeat": "name: a\nname: b", "maprepeat": "compatibility:\n  os: a\n  os: b", "flowrepeat": "compatibility: {os: a, os: b}",
+        "quote": 'description: "never closed', "tools": "allowed-tools: Read, Bash", "open": "allowed-tools: [Read",
+        "colons": "description: a: b", "list": "name: [a]", "textmap": "compatibility: linux", "noentry": "name: a\njust words",
+        "alias": "allowed-tools: [A]\nallowed_tools: [B]", "listmap": "compatibility:\n  - os",
+    }
+    texts = {(k, "SKILL.md"): f"---\n{t}\n---\nbody" for k, (t, _) in good.items()} | {(k, "SKILL.md"): f"---\n{t}\n---\nbody" for k, t in bad.items()}
+    rows = {r.bundle_id: r for r in manifest.bundles(files_of(texts)).collect()}
+    assert {k: rows[k].description for k in good} == {k: want for k, (_, want) in good.items()}
+    assert not any(rows[k].has_manifest for k in bad), [k for k in bad if rows[k].has_manifest]
+    found = structure.structure_findings(files_of(texts), manifest.bundles(files_of(texts))).where("rule_id = 'FRONTMATTER_PARSE_ERROR'").collect()
+    assert {r.bundle_id for r in found} == set(bad)
+
+
 def test_declared_tools_and_synonyms(files_of):
     files = files_of({
         ("a", "SKILL.md"): "---\nname: a\nallowed-tools: [Terminal]\n---", ("a", "x.py"): "os.system('ls')\nf.read()",
