@@ -31,7 +31,10 @@ NEARLY = 1 / 256
 #: Items a task packs at a time, and the share of bins a round must save to be followed by another.
 ITEMS, GAIN = 50_000, 200
 #: Words whose tokens a worker remembers; a longer word is not remembered.
-REMEMBERED, SHORT = 600_000, 64
+REMEMBERED, SHORT = 1_000_000, 64
+#: Marks that are tokens of their own behind a letter or digit.
+MARKS = b".,"
+MARK_WORDS = {b".", b","}
 #: The id that ends a document.
 END = (0).to_bytes(4, "little")
 
@@ -71,7 +74,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = Memory(REMEMBERED)
+        self.words, self.cores = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def tokenized(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Each word with its ids, as little-endian 32-bit numbers."""
@@ -87,14 +90,24 @@ class WordTokens:
                     yield word, ids[x:y].tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and id 0."""
-        words = [(t or "").encode().split() for t in texts]
-        brief = dict(self.tokenized(self.memory.absent(set().union(*words))))
-        known = self.memory.young
-        known.update((w, i) for w, i in brief.items() if len(w) <= SHORT)
-        long = {w: i for w, i in brief.items() if len(w) > SHORT}
-        value = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
-        return [b"".join(map(value, ws)) + END for ws in words]
+        """Ids of each text and id 0.
+
+        A word met for the first time is looked up without the point or comma behind its last letter or digit: the
+        vocabulary splits there too, so the tokens are the same and fewer words are distinct. It lower-cases as well.
+        """
+        words = [(t or "").encode().lower().split() for t in texts]
+        absent = self.words.absent(set().union(*words))
+        cores = [w[:-1] if w[-1] in MARKS and w[-2:-1].isalnum() else w for w in absent]
+        found = dict(self.tokenized(self.cores.absent(MARK_WORDS.union(cores))))
+        of_core = self.cores.young
+        of_core.update(found)
+        known = self.words.young
+        known.update([(w, of_core[c] if c is w else of_core[c] + of_core[w[-1:]]) for w, c in zip(absent, cores)])
+        out = [b"".join(map(known.__getitem__, ws)) + END for ws in words]
+        for memory in (of_core, known):  # a very long word is not remembered beyond its batch
+            for w in [w for w in (absent if memory is known else found) if len(w) > SHORT]:
+                memory.pop(w, None)
+        return out
 
 
 @lru_cache(maxsize=2)
