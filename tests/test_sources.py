@@ -80,3 +80,35 @@ def test_update_status(spark):
         "same": "UpToDate", "old": "UpdateAvailable", "between": "UpdateAvailable", "after": "UpToDate",
         "none": "Unknown", "nopath": "Unknown", "short": "UpdateAvailable",
     }
+
+
+def test_whole_files_decide_what_they_are(spark):
+    """Nothing is decided on a prefix: a NUL far into a file, UTF-16 without a mark, bytes that are no text."""
+    from riskloom.sources import encoding
+
+    rows = [
+        ("late_nul", b"a" * 5000 + b"\x00" + b"b" * 10), ("plain", b"a" * 9000), ("invalid", b"ab\xff\xfec"), ("le", ("text " * 40).encode("utf-16-le")),
+        ("lone", "ab".encode("utf-16") + b"\x00\xd8" + "c".encode("utf-16-le")), ("noise", b"\x01\x00\x02\x00\x03\x00" * 50), ("empty", b""),
+        ("lone_be", b"\xfe\xff" + "a\U0001f600".encode("utf-16-be") + b"\xdc\x00" + "z".encode("utf-16-be") + b"\x00"),
+    ]
+    got = {r.name: r for r in encoding.with_text(spark.createDataFrame(rows, "name string, data binary"), "data").collect()}
+    assert got["late_nul"].is_binary and got["late_nul"].text is None and got["noise"].is_binary
+    assert got["plain"].text == "a" * 9000 and got["invalid"].text == "ab��c" and got["empty"].text == ""
+    assert got["le"].kind == "le" and got["le"].text == "text " * 40
+    assert got["lone"].text == "ab�c" and got["lone_be"].text == "a\U0001f600�z"
+
+
+def test_large_bundles_are_counted_whole(files_of):
+    from riskloom.operators import coverage
+
+    rows = coverage.scannable_counts(files_of({("b", f"f{i}.py"): "x" for i in range(2001)} | {("c", "a/" * 30 + "f.py"): "x"})).collect()
+    assert {r.bundle_id: (r.n_scannable, r.beyond_limit) for r in rows} == {"b": (2001, True), "c": (1, False)}
+
+
+def test_bundle_checksums(spark):
+    def sums(rows):
+        return I.bundle_checksums(spark.createDataFrame(rows, "bundle_id string, rel_path string, content string")).first().checksum
+
+    base = sums([("b", "x", "1"), ("b", "y", "2")])
+    assert base == sums([("b", "y", "2"), ("b", "x", "1")])
+    assert len({base, sums([("b", "x", "2"), ("b", "y", "1")]), sums([("b", "x", "1"), ("b", "y", "2"), ("b", "z", "3"), ("b", "w", "3")]), sums([("b", "x", "1"), ("b", "z", "2")])}) == 4
