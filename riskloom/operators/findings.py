@@ -12,6 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import mask_secret
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 
 # Ranks, bands, weights and prefix lists.
@@ -151,6 +152,12 @@ def deduplicate(findings: DataFrame) -> DataFrame:
     return best.select("bundle_id", "rel_path", "rule_id", "best.*").select(*findings.columns)
 
 
+def masked(findings: DataFrame) -> DataFrame:
+    """Secrets leave no analysis in the clear."""
+    shown = F.when(F.col("category") == "Secrets", mask_secret(F.col("snippet"))).otherwise(F.col("snippet"))
+    return findings.withColumn("snippet", shown)
+
+
 def with_cooccurring_rules(findings: DataFrame) -> DataFrame:
     """Other rules reported at the same line of the same file."""
     here = F.collect_list("rule_id").over(location_window())
@@ -196,7 +203,11 @@ def scores(findings: DataFrame, score_kinds: tuple[str, ...] | None = DEFAULT_PO
         F.count(F.lit(1)).alias("n_findings"),
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k.lower()}") for k in ("Security", "Auditability", "Structure")],
     )
-    base = counts if bundles is None else bundles.select("bundle_id").distinct().join(counts, "bundle_id", "left")
+    base = counts
+    extra = []
+    if bundles is not None:
+        extra = [c for c in bundles.columns if c == "partial_scan"]
+        base = bundles.groupBy("bundle_id").agg(F.count(F.lit(1)), *[F.max(c).alias(c) for c in extra]).join(counts, "bundle_id", "left")
     joined = base.join(lost, "bundle_id", "left")
     raw = F.round(F.greatest(100 - F.coalesce("lost", F.lit(0.0)), F.lit(0.0))).cast("int")
     blocked = F.coalesce("blocked", F.lit(False))
@@ -204,7 +215,7 @@ def scores(findings: DataFrame, score_kinds: tuple[str, ...] | None = DEFAULT_PO
     numbers = ["n_findings", "n_security", "n_auditability", "n_structure"]
     return joined.select(
         "bundle_id", score.alias("score"), level_of_score(score).alias("level"), blocked.alias("blocked"),
-        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in numbers],
+        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in numbers], *extra,
     )
 
 
@@ -238,15 +249,15 @@ def recommendations(findings: DataFrame, scored: DataFrame) -> DataFrame:
         .when(F.size(given) == 0, F.array(F.lit("No issues found.")))
         .otherwise(given)
     )
-    return rows.select("bundle_id", F.explode(lines).alias("recommendation"))
+    # A blocked bundle's advice goes on with what blocks it, a row each.
+    triggers = hard_messages(findings).select("bundle_id", F.concat(F.lit("Hard trigger: "), "message").alias("recommendation"))
+    return rows.select("bundle_id", F.explode(lines).alias("recommendation")).unionByName(triggers)
 
 
-def install_gate(scored: DataFrame, partial: DataFrame, allow_partial: bool = False) -> DataFrame:
+def install_gate(scored: DataFrame, allow_partial: bool = False) -> DataFrame:
     """May the bundle be installed, and if not, why."""
-    rows = scored.join(partial.select("bundle_id", F.lit(True).alias("partial_scan")).distinct(), "bundle_id", "left")
-    is_partial = F.coalesce("partial_scan", F.lit(False))
-    reason = F.when(F.col("blocked"), "hard_trigger").when(is_partial & F.lit(not allow_partial), "partial_scan")
-    return rows.select("bundle_id", reason.isNull().alias("installable"), reason.alias("reason"))
+    reason = F.when(F.col("blocked"), "hard_trigger").when(F.col("partial_scan") & F.lit(not allow_partial), "partial_scan")
+    return scored.select("bundle_id", reason.isNull().alias("installable"), reason.alias("reason"))
 
 
 def top_issues(findings: DataFrame, n: int = 3) -> DataFrame:

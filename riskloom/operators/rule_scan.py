@@ -332,11 +332,3 @@ def drop_suppressed_rules(hits: DataFrame) -> DataFrame:
         for rule, by in suppressors.items()
     ])
     return hits.withColumn("rules_here", here).where(~lost).drop("rules_here")
-
-
-MASK_KEEP = 4
-
-
-def mask_secret(snippet: Column) -> Column:
-    """Keep four characters of every long token, hide the rest."""
-    return F.regexp_replace(snippet, r"([A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_=-]{4,}" % MASK_KEEP, "$1****")

@@ -64,7 +64,7 @@ FROM plines WHERE regexp_matches(lower(rel_path), '(assets|templates|references|
 """)
 
 _sig = " ".join(f"WHEN {rm('code', p)} THEN {q(n)}" for n, p in U.SIGNATURES)
-cte("typed_blobs", ("blobs",), rf"""
+_typed = rf"""
 SELECT bundle_id, rel_path, ext, CASE WHEN code = '' THEN 'unknown' {_sig}
   WHEN is_text AND svg_at > 0 AND (txt[svg_at + 4:svg_at + 4] IN ('', ' ', '>', '/') OR regexp_matches(txt[svg_at + 4:], '^\\x0[9ad]')) THEN 'svg'
   WHEN is_text AND regexp_matches(txt, '^(\s|\\x0[9abcd])*(<!doctype html|<html)') THEN 'html'
@@ -74,18 +74,22 @@ FROM (
  SELECT *, instr(txt, '<svg') AS svg_at, split_part(txt, '\x0a', 1) AS shebang,
    len(list_filter(pairs, x -> x = '00')) = 0 AND len(list_filter(pairs, x -> x >= '80')) / len(pairs) < 0.30 AS is_text
  FROM (SELECT bundle_id, rel_path, ext, code, regexp_extract_all(code, '..') AS pairs, lower(CAST(unhex(code) AS VARCHAR)) AS txt
-       FROM (SELECT *, hex(bytes)[1:{2 * U.SAMPLE_BYTES}] AS code FROM blobs)))
-""".replace("x -> ", "lambda x: "))
+       FROM (SELECT *, hex(bytes)[1:{2 * U.SAMPLE_BYTES}] AS code FROM @SOURCE@)))
+""".replace("x -> ", "lambda x: ")
+cte("typed_blobs", ("blobs",), _typed.replace("@SOURCE@", "blobs"))
+cte("typed_files", ("files",), _typed.replace("@SOURCE@", "(SELECT *, encode(content) AS bytes FROM files)"))
 _labels = " ".join(f"WHEN ext IN {inlist(e.split())} THEN {q(label)}" for label, e in U.EXPECTED.items())
 _foreign = U.FOREIGN + U.IMAGES
-cte("mismatches", ("typed_blobs",), f"""
+_mismatches = f"""
 SELECT * FROM (SELECT bundle_id, rel_path, ext, detected, CASE {_labels} ELSE ext || ' file' END AS expected,
   CASE WHEN ext IN {inlist(U.TEXT_EXTS)} AND detected IN {inlist(_foreign)} THEN 'Critical'
     WHEN ext IN {inlist(U.TEXT_EXTS)} AND detected IN ('html', 'svg') THEN 'High'
     WHEN ext IN {inlist(U.PHP_EXTS)} AND detected IN {inlist(_foreign)} THEN 'Critical'
     WHEN ext IN {inlist(U.IMAGE_EXTS)} AND detected IN {inlist(U.FOREIGN + ('shell-script', 'python-script', 'javascript', 'html', 'svg'))} THEN 'High' END AS severity
-  FROM typed_blobs WHERE ext <> '') WHERE severity IS NOT NULL
-""")
+  FROM @SOURCE@ WHERE ext <> '') WHERE severity IS NOT NULL
+"""
+cte("mismatches", ("typed_blobs",), _mismatches.replace("@SOURCE@", "typed_blobs"))
+cte("file_mismatches", ("typed_files",), _mismatches.replace("@SOURCE@", "typed_files"))
 
 # Manifests: what each of payloads.MANIFESTS says, written down by hand.
 # (name, description, allowed tools, compatibility, license); None where the text holds no manifest.
@@ -296,22 +300,26 @@ KIND = f"""CASE WHEN {rm('upper(rule_id)', '^(?:' + '|'.join(FN.SECURITY_PREFIXE
   WHEN {rm('upper(rule_id)', '^(?:' + '|'.join(FN.AUDITABILITY_PREFIXES) + ')')} THEN 'Auditability'
   WHEN {rm('upper(rule_id)', '^(?:' + '|'.join(FN.STRUCTURE_PREFIXES) + ')')} THEN 'Structure'
   WHEN category = 'Obfuscation' THEN 'Auditability' WHEN category IN ('SocialEngineering', 'PolicyViolation') THEN 'Structure' ELSE 'Security' END"""
-cte("all_findings", ("graded", "chain_hits", "taint_first", "unicode_hits", "asset_hits", "undeclared", "contradictions", "description_findings", "coverage"), f"""
+_UNION_OF = ("graded", "chain_hits", "taint_first", "unicode_hits", "asset_hits", "undeclared", "contradictions", "description_findings", "coverage", "file_mismatches")
+_union = f"""
 SELECT * FROM (SELECT *, {KIND} AS kind FROM (
   SELECT bundle_id, rel_path, line_no, rule_id, category, severity, confidence, weight, hard_trigger, snippet, NULL AS analyzer, description FROM graded
   UNION ALL SELECT bundle_id, rel_path, line_no, rule_id, category, severity, {_tail}, snippet, 'chains', NULL FROM chain_hits
   UNION ALL SELECT bundle_id, rel_path, line_no, rule_id, category, severity, {_tail}, snippet, 'taint', NULL FROM taint_first
   UNION ALL SELECT bundle_id, rel_path, line_no, rule_id, category, severity, {_tail}, snippet, 'unicode', NULL FROM unicode_hits
   UNION ALL SELECT bundle_id, rel_path, line_no, rule_id, category, severity, {_tail}, snippet, 'assets', NULL FROM asset_hits
+  UNION ALL SELECT bundle_id, rel_path, NULL, 'FILE_MAGIC_MISMATCH', 'Obfuscation', severity, {_tail}, NULL, 'files', NULL FROM file_mismatches
   UNION ALL SELECT bundle_id, rel_path, NULL, rule_id, category, severity, {_tail}, NULL, 'consistency', NULL FROM undeclared
   UNION ALL SELECT bundle_id, NULL, NULL, rule_id, category, severity, {_tail}, NULL, 'consistency', NULL FROM contradictions
   UNION ALL SELECT bundle_id, NULL, NULL, rule_id, category, severity, {_tail}, NULL, 'consistency', NULL FROM description_findings
   UNION ALL SELECT bundle_id, rel_path, NULL, rule_id, category, severity, {_tail}, NULL, 'analyzability', NULL FROM coverage))
-WHERE kind <> 'Structure'
-""")
+"""
+cte("all_findings", _UNION_OF, _union + "WHERE kind <> 'Structure'")
+cte("all_findings_strict", (*_UNION_OF, "structure"), _union.replace("FROM coverage))", f"FROM coverage UNION ALL SELECT bundle_id, rel_path, NULL, rule_id, category, severity, {_tail}, NULL, 'strict_structure', NULL FROM structure))"))
 RANK = "CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END"
+MASKED = "regexp_replace(snippet, '([A-Za-z0-9+/_=-]{4})[A-Za-z0-9+/_=-]{4,}', '\\\\1****', 'g')".replace("\\\\", "\\")
 cte("findings", ("all_findings",), f"""
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+SELECT * EXCLUDE (rn) REPLACE (CASE WHEN category = 'Secrets' THEN {MASKED} ELSE snippet END AS snippet) FROM (SELECT *, row_number() OVER (
   PARTITION BY bundle_id, rel_path, rule_id, line_no, coalesce(snippet, '')
   ORDER BY {RANK} DESC, coalesce(hard_trigger, false) DESC, coalesce(weight, -1) DESC, coalesce(snippet, '') DESC) AS rn FROM all_findings) WHERE rn = 1
 """)
@@ -342,4 +350,5 @@ FROM (SELECT bundle_id, coalesce(blocked, false) AS blocked, coalesce(n_findings
 """
 
 
-cte("reports", ("weighted", "files"), scores_sql(P.score_kinds))
+cte("reports", ("weighted", "files", "classed"), f"""SELECT s.*, partial_scan FROM ({scores_sql(P.score_kinds)}) s
+JOIN (SELECT bundle_id, bool_or(class = 'binary') AS partial_scan FROM classed GROUP BY 1) USING (bundle_id)""")

@@ -17,6 +17,7 @@ from riskloom.plans.oracle_core import inlist, q, rm, with_ctes
 from riskloom.plans.registry import add
 from riskloom.sources import derived as D
 from riskloom.sources import encoding
+from riskloom.sources.payloads import BYTE_PREFIXES
 
 FILE_LIMIT, BYTE_LIMIT = 6, 8192
 FILE_COLUMNS = ["bundle_id", "rel_path", "ext", "file_type", "size_bytes", "is_binary", "is_hidden", "is_main", "is_doc_path"]
@@ -135,7 +136,8 @@ add("suppressed_by_context", lambda s, d: rule_scan.suppressed_hits(D.files(s, d
 add("suppressed_by_rule", lambda s, d: rule_scan.drop_suppressed_rules(rule_scan.scan_rules(D.files(s, d))).select(*HIT),
     sel("kept_hits", ", ".join(HIT)))
 GRADED = HIT + ["category", "severity", "confidence", "weight", "hard_trigger", "cwe_id"]
-add("graded_hits", lambda s, d: graded(s, d).select(*GRADED), sel("graded", ", ".join(GRADED)))
+add("graded_hits", lambda s, d: findings.masked(graded(s, d)).select(*GRADED),
+    with_ctes(("graded",), f"SELECT * REPLACE (CASE WHEN category = 'Secrets' THEN {oracle_checks.MASKED} ELSE snippet END AS snippet) FROM (SELECT {', '.join(GRADED)} FROM graded)"))
 
 
 def graded(s, d, policy=DEFAULT_POLICY):
@@ -162,7 +164,7 @@ add(
 add(
     "masked_secrets",
     lambda s, d: graded(s, d).where("category = 'Secrets'").select(
-        "bundle_id", "rel_path", "line_no", "rule_id", rule_scan.mask_secret(F.col("snippet")).alias("masked")),
+        "bundle_id", "rel_path", "line_no", "rule_id", T.mask_secret(F.col("snippet")).alias("masked")),
     sel("graded", "bundle_id, rel_path, line_no, rule_id, regexp_replace(snippet, '([A-Za-z0-9+/_=-]{4})[A-Za-z0-9+/_=-]{4,}', '\\1****', 'g') AS masked", "category = 'Secrets'"),
 )
 add(
@@ -263,7 +265,17 @@ add("manifest_contradictions", lambda s, d: consistency.manifest_contradictions(
 add("orphan_scripts", lambda s, d: structure.orphan_scripts(D.files(s, d)).select("bundle_id", "rel_path"), sel("orphans", "bundle_id, rel_path"))
 add("missing_references", lambda s, d: structure.missing_references(D.files(s, d)).select("bundle_id", "rel_path"), sel("missing_refs"))
 add("structure_findings", lambda s, d: structure.structure_findings(D.files(s, d), bundles(s, d)), sel("structure"))
-add("invalid_utf8", lambda s, d: structure.invalid_utf8(D.blobs(s, d)).select("bundle_id", "rel_path"))
+def _is_utf8(code: str) -> bool:
+    try:
+        return bytes.fromhex(code).decode() is not None
+    except UnicodeDecodeError:
+        return False
+
+
+# What stands in front of a text decides: the text itself is valid.
+_invalid = [i for i, code in enumerate(BYTE_PREFIXES) if not _is_utf8(code)]
+add("invalid_utf8", lambda s, d: structure.invalid_utf8(D.blobs(s, d)).select("bundle_id", "rel_path"),
+    sel("all_files", "bundle_id, rel_path", f"declared NOT IN ('asset', 'binary') AND doc_id % {len(BYTE_PREFIXES)} IN ({', '.join(map(str, _invalid))})"))
 add("readable_share", lambda s, d: coverage.readable_share(D.files(s, d)), sel("shares"))
 add("coverage_findings", lambda s, d: coverage.coverage_findings(D.files(s, d), SMALL), with_ctes(("classed", "shares"), oracle_checks.coverage_sql(FILE_LIMIT, BYTE_LIMIT)))
 add("file_type_breakdown", lambda s, d: coverage.file_type_breakdown(D.files(s, d), SMALL), with_ctes(("files",), f"""
@@ -345,13 +357,14 @@ def advice(s, d):
     return findings.recommendations(f, findings.scores(f, bundles=files.select("bundle_id")))
 
 
-add("recommendations", advice, with_ctes(("reports", "findings"), f"""
+add("recommendations", advice, with_ctes(("reports", "findings", "weighted"), f"""
+SELECT DISTINCT bundle_id, 'Hard trigger: ' || concat_ws(': ', rule_id, description) AS recommendation FROM weighted WHERE blocks UNION ALL
 SELECT bundle_id, unnest(CASE WHEN blocked THEN ['Blocked: hard triggers found.'] WHEN len(lines) = 0 THEN ['No issues found.'] ELSE lines END) AS recommendation
 FROM (SELECT bundle_id, blocked, list_filter([CASE WHEN score < 50 THEN 'Severe risk: do not use without review.' WHEN score < 70 THEN 'Medium risk: review before use.' END, {_advice}], lambda a: a IS NOT NULL) AS lines
   FROM reports LEFT JOIN (SELECT bundle_id, list(DISTINCT category) AS cats FROM findings WHERE analyzer IS NULL GROUP BY 1) USING (bundle_id))"""))
-add("install_gate", lambda s, d: findings.install_gate(reports(s, d), coverage.beyond_byte_limit(D.files(s, d), BYTE_LIMIT)), with_ctes(("reports", "files"), f"""
+add("install_gate", lambda s, d: findings.install_gate(reports(s, d)), with_ctes(("reports", "classed"), """
 SELECT bundle_id, reason IS NULL AS installable, reason FROM (SELECT bundle_id, CASE WHEN blocked THEN 'hard_trigger'
-  WHEN bundle_id IN (SELECT bundle_id FROM files WHERE size_bytes > {BYTE_LIMIT}) THEN 'partial_scan' END AS reason FROM reports)"""))
+  WHEN bundle_id IN (SELECT bundle_id FROM classed WHERE class = 'binary') THEN 'partial_scan' END AS reason FROM reports)"""))
 add("top_issues", lambda s, d: findings.top_issues(found(s, d)), with_ctes(("findings",), f"""
 SELECT * FROM (SELECT bundle_id, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY {RANK} DESC, coalesce(rel_path, ''), issue) AS INTEGER) AS position, rel_path, issue, severity
 FROM (SELECT bundle_id, rel_path, concat_ws(': ', rule_id, description) AS issue, arg_max(severity, coalesce(line_no, -1) * 10 + {RANK}) AS severity FROM findings GROUP BY ALL)) WHERE position <= 3"""))
@@ -373,4 +386,6 @@ def strict(s, d):
     return scan.bundle_findings(D.files(s, d), Policy(strict_structure=True)).groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-add("strict_mode_kinds", strict)
+add("strict_mode_kinds", strict, with_ctes(("all_findings_strict",), f"""
+SELECT kind, severity, count(*) AS n FROM (SELECT DISTINCT ON (bundle_id, rel_path, rule_id, line_no, coalesce(snippet, '')) kind, severity FROM all_findings_strict
+  ORDER BY bundle_id, rel_path, rule_id, line_no, coalesce(snippet, ''), {RANK} DESC) GROUP BY ALL"""))

@@ -38,17 +38,37 @@ def capability_hits() -> Column:
     )
 
 
-FACTS = [*KEYS, "file_type", "is_binary", "size_bytes", "has_manifest", "block"]
+FACTS = [*KEYS, "file_type", "is_binary", "is_symlink", "size_bytes", "has_manifest", "block"]
 
 
-def scan_facts(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """One row per file with everything later steps need, and no text.
+def _with_bytes(files: DataFrame) -> DataFrame:
+    """Files as stored: their bytes (of the text, where a table holds no other) and whether they are links."""
+    have = set(files.columns)
+    return files.withColumns({
+        "bytes": F.col("bytes") if "bytes" in have else F.encode("content", "UTF-8"),
+        "is_symlink": F.coalesce("is_symlink", F.lit(False)) if "is_symlink" in have else F.lit(False),
+    })
+
+
+def file_hits() -> Column:
+    """Content that is of another type than the extension says, and links, which are not followed."""
+    none = F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("int").alias("line_no")
+    severity = content_checks.mismatch_severity(F.col("ext"), F.col("detected"))
+    found = F.array(
+        F.when(F.col("is_symlink"), F.struct(F.lit("SYMLINK").alias("rule_id"), F.lit("SensitiveFileAccess").alias("category"), F.lit("Critical").alias("severity"), *none)),
+        F.when((F.col("ext") != "") & severity.isNotNull(), F.struct(F.lit("FILE_MAGIC_MISMATCH").alias("rule_id"), F.lit("Obfuscation").alias("category"), severity.alias("severity"), *none)),
+    )
+    return F.filter(found, lambda h: h.isNotNull())
+
+
+def scan_facts(files: DataFrame, policy: Policy = DEFAULT_POLICY, passed: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file with everything later steps need, and no text; `passed` columns come along.
 
     All row-wise detectors run in consecutive projections over one read of the files.
     """
     main = F.col("is_main")
-    whole = rule_scan.prepare(files).select(
-        *KEYS, "file_type", "is_binary", "size_bytes", "content", "lines",
+    whole = content_checks.with_content_type(rule_scan.prepare(_with_bytes(files))).select(
+        *KEYS, *passed, "file_type", "is_binary", "is_symlink", "size_bytes", "content", "lines",
         F.when(main, manifest.has_block(F.col("content"))).alias("has_manifest"),
         F.when(main, manifest.block_of(F.col("content"))).alias("block"),
         F.concat(
@@ -56,6 +76,7 @@ def scan_facts(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
             _shaped(rule_scan.content_rule_hits(policy), None, has_grade=False),
             _shaped(content_checks.unicode_hits(), "unicode"),
             _shaped(content_checks.asset_hits(), "assets"),
+            _shaped(file_hits(), "files"),
             _shaped(capability_hits(), "capability", has_grade=False),
         ).alias("text_hits"),
     )
@@ -63,7 +84,7 @@ def scan_facts(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     bodies = whole.withColumn("content", F.when(is_target, chains.instruction_text()).otherwise(F.lit("")))
     bodies = bodies.withColumn("lines", T.physical_lines(F.col("content"))).withColumn("folded", T.folded(F.col("content")))
     return chains.with_positions(bodies, tuple(chains.RULES)).select(
-        *FACTS,
+        *FACTS, *passed,
         F.concat(
             F.col("text_hits"),
             _shaped(F.concat(*[chains.chain_hit(r, policy) for r in chains.RULES]), "chains"),
@@ -82,7 +103,7 @@ def findings_of(facts: DataFrame, policy: Policy = DEFAULT_POLICY, strict: DataF
     pack = hits.where(F.col("analyzer").isNull()).drop("category", "severity", "analyzer")
     graded = rule_scan.grade_hits(rule_scan.drop_suppressed_rules(pack), policy)
     flows = taint.first_per_bundle(hits.where(F.col("analyzer") == "taint"))
-    others = hits.where(F.col("analyzer").isin("unicode", "assets", "chains"))
+    others = hits.where(F.col("analyzer").isin("unicode", "assets", "files", "chains"))
     capabilities = hits.where(F.col("analyzer") == "capability").select(
         "bundle_id", "rel_path", F.col("rule_id").alias("capability")
     )
@@ -99,16 +120,23 @@ def findings_of(facts: DataFrame, policy: Policy = DEFAULT_POLICY, strict: DataF
         union = union.unionByName(findings.align(part))
     if strict is not None:
         union = union.unionByName(findings.align(strict.withColumn("analyzer", F.lit("strict_structure"))))
-    return findings.deduplicate(findings.with_kind(union, policy))
+    # Masked at the end: what is hidden still tells findings apart.
+    return findings.masked(findings.deduplicate(findings.with_kind(union, policy)))
+
+
+def partial_bundles(facts: DataFrame) -> DataFrame:
+    """Every bundle, and whether the scan could not look into all of its files: opaque binaries and links."""
+    opaque = (coverage.readable_class() == "binary") | F.col("is_symlink")
+    return facts.groupBy("bundle_id").agg(F.max(opaque).alias("partial_scan"))
 
 
 def bundle_findings(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Findings of every bundle.
 
-    The facts are checkpointed: they are small next to the text, and the branches of
+    The facts are kept as a table: they are small next to the text, and the branches of
     findings_of would otherwise each read the text again.
     """
-    facts = cut_lineage(scan_facts(files, policy))
+    facts = cut_lineage(scan_facts(files, policy), "facts")
     strict = structure.structure_findings(files, manifest.bundles(files), policy) if policy.strict_structure else None
     return findings_of(facts, policy, strict)
 
@@ -118,4 +146,4 @@ def bundle_reports(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFra
     facts = cut_lineage(scan_facts(files, policy))
     strict = structure.structure_findings(files, manifest.bundles(files), policy) if policy.strict_structure else None
     found = cut_lineage(findings_of(facts, policy, strict))
-    return findings.scores(found, policy.score_kinds, facts.select("bundle_id"))
+    return findings.scores(found, policy.score_kinds, partial_bundles(facts))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import lru_cache
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,23 +29,48 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only in local runs without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared
+    """The folder spark.checkpoint.dir names; in a local session that names none, one under /tmp/checkpoints."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
+    return "file:///tmp/checkpoints"
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="riskloom-")
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder: later branches read the rows, not the text again."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+class Steps:
+    """Tables written between the steps of one job: columnar, in the shared folder, gone with the session.
+
+    A step that reads such a table depends on files every executor can open, so a lost executor costs a re-read
+    and no earlier step. `drop` removes a table as soon as no later step reads it.
+    """
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{job}-{uuid.uuid4().hex}"
+        atexit.register(self._leave)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.folder}/{name}")
+
+    def _leave(self) -> None:
+        try:
+            _delete(self.spark, self.folder)
+        except Exception:  # noqa: BLE001  the session has ended first; its folder is left to the cluster's own clean-up
+            pass
+
+
+def cut_lineage(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Keep the rows in the shared folder: later branches read them, not the text again."""
+    return Steps(df.sparkSession, "scan").keep(df, name)
