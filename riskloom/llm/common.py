@@ -2,57 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.session import Steps
+
+__all__ = ["SPACES", "Steps", "table"]
+
 #: Bytes that part words, in texts as UTF-8.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names; in a local session that names none, one under /tmp/checkpoints."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return "file:///tmp/checkpoints"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Steps:
-    """Tables written between the steps of one job: columnar, in the shared folder, gone with the session.
-
-    A step that reads such a table depends on files every executor can open, so a lost executor costs a re-read
-    and no earlier step. `drop` removes a table as soon as no later step reads it.
-    """
-
-    def __init__(self, spark: SparkSession, job: str):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{job}-{uuid.uuid4().hex}"
-        atexit.register(self._leave)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.folder}/{name}")
-
-    def _leave(self) -> None:
-        try:
-            _delete(self.spark, self.folder)
-        except Exception:  # noqa: BLE001  the session has ended first; its folder is left to the cluster's own clean-up
-            pass
