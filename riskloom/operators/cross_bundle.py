@@ -90,6 +90,21 @@ def shared_domains(texts: DataFrame) -> DataFrame:
     ).where(F.col("n_bundles") >= 2)
 
 
+def shared_domain_members(texts: DataFrame) -> DataFrame:
+    """The bundles that name a shared host, a row each."""
+    rows = texts.select("bundle_id", F.explode(hosts(F.col("text"))).alias("domain"))
+    pairs = rows.where(~F.col("domain").isin(*COMMON_DOMAINS)).distinct()
+    shared = pairs.groupBy("domain").count().where("count >= 2").select("domain")
+    return pairs.join(shared, "domain", "left_semi").select("domain", "bundle_id")
+
+
+def shared_pattern_members(signals: DataFrame) -> DataFrame:
+    """The bundles that show a shared pattern, a row each."""
+    rows = F.array(*[F.when(F.col(n), F.lit(n)) for n in SHARED_PATTERNS])
+    members = signals.select("bundle_id", F.explode(F.filter(rows, lambda p: p.isNotNull())).alias("pattern"))
+    return members.join(shared_patterns(signals).select("pattern"), "pattern", "left_semi").select("pattern", "bundle_id")
+
+
 def shared_patterns(signals: DataFrame) -> DataFrame:
     """Suspicious patterns seen in two bundles or more: six counters, then six rows."""
     counts = signals.agg(*[F.count(F.when(F.col(n), 1)).alias(n) for n in SHARED_PATTERNS])
@@ -112,41 +127,37 @@ def description_roles(bundles: DataFrame) -> DataFrame:
 
 
 def complementary_descriptions(bundles: DataFrame) -> DataFrame:
-    """Collector and sender descriptions that share two context words or more.
+    """Pairs of context words that some bundle's collecting and another's sending description share.
 
-    Copies of a description are folded first. The join key is a pair of words, so only
-    descriptions that really share two words meet. A word the collector repeats counts
-    each time; it meets the sender's single word through the key (word, word).
+    One row for each pair of words, with how many descriptions of either role hold both and how many pairs of bundles
+    that makes; pairs of descriptions are not listed, as they grow with the square of the bundles. A word that a
+    collector repeats counts each time, so it also meets a sender's single word, under the key (word, word).
+    Counts combine on the map side, so a pair of words may be as common as it likes.
     """
-    roles = description_roles(bundles)
-
-    def keys(words: Column, single: Column) -> Column:
-        distinct = F.array_distinct(words)
-        crossed = F.flatten(F.transform(
-            distinct,
-            lambda a: F.transform(F.filter(distinct, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))),
-        ))
-        same = F.transform(single, lambda w: F.struct(w.alias("a"), w.alias("b")))
-        return F.explode(F.concat(crossed, same))
-
-    words = F.col("words")
-    repeated = F.filter(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda v: v == w)) > 1)
-    left = roles.where("collects").select(
-        keys(words, repeated).alias("k"), F.col("words").alias("collector_words"), F.col("context").alias("collector"),
-        F.col("n_bundles").alias("n_collectors"), F.col("sends").alias("collector_sends"),
-    )
-    right = roles.where("sends").select(
-        keys(words, F.array_distinct(words)).alias("k"), F.col("words").alias("sender_words"),
-        F.col("context").alias("sender"), F.col("n_bundles").alias("n_senders"), F.col("collects").alias("sender_collects"),
+    words, distinct = F.col("words"), F.col("distinct")
+    crossed = F.flatten(F.transform(
+        distinct,
+        lambda a: F.transform(
+            F.filter(distinct, lambda b: b > a),
+            lambda b: F.struct(a.alias("word_a"), b.alias("word_b"), F.col("collects").alias("collects"), F.col("sends").alias("sends")),
+        ),
+    ))
+    same = F.transform(distinct, lambda w: F.struct(
+        w.alias("word_a"), w.alias("word_b"),
+        (F.col("collects") & (F.size(F.filter(words, lambda v: v == w)) > 1)).alias("collects"), F.col("sends").alias("sends"),
+    ))
+    roles = description_roles(bundles).where("collects OR sends").withColumn("distinct", F.array_distinct("words"))
+    keyed = roles.select("n_bundles", F.explode(F.concat(crossed, same)).alias("k")).select("n_bundles", "k.*")
+
+    def n(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("n_bundles")).otherwise(0))
+
+    counts = keyed.groupBy("word_a", "word_b").agg(
+        n(F.col("collects")).alias("n_collectors"), n(F.col("sends")).alias("n_senders"), n(F.col("collects") & F.col("sends")).alias("n_both")
     )
-    pairs = left.join(right, "k").drop("k").distinct()
-    shared = F.size(F.filter("collector_words", lambda w: F.array_contains("sender_words", w)))
-    # The same folded description on both sides: a bundle does not pair with itself.
-    itself = (F.col("collector") == F.col("sender")) & F.col("collector_sends") & F.col("sender_collects")
-    n_pairs = F.col("n_collectors") * F.col("n_senders") - F.when(itself, F.col("n_senders")).otherwise(0)
-    return pairs.select(
-        "collector", "sender", shared.alias("n_shared"), "n_collectors", "n_senders", n_pairs.alias("n_pairs")
-    ).where(F.col("n_pairs") > 0)
+    # A bundle does not pair with itself.
+    pairs = F.col("n_collectors") * F.col("n_senders") - F.col("n_both")
+    return counts.where(pairs > 0).select("word_a", "word_b", "n_collectors", "n_senders", pairs.alias("n_pairs"))
 
 
 def corpus_findings(files: DataFrame, bundles: DataFrame) -> DataFrame:
@@ -164,6 +175,6 @@ def corpus_findings(files: DataFrame, bundles: DataFrame) -> DataFrame:
         shaped(data_relay(signals), "CROSS_SKILL_DATA_RELAY", "Network", "High", F.lit("relay"))
         .unionByName(shaped(shared_domains(texts), "CROSS_SKILL_SHARED_URL", "Obfuscation", "Medium", F.col("domain")))
         .unionByName(shaped(complementary_descriptions(bundles), "CROSS_SKILL_COMPLEMENTARY_TRIGGERS", "SocialEngineering",
-                            "Low", F.concat_ws(" / ", "collector", "sender")))
+                            "Low", F.concat_ws(" / ", "word_a", "word_b")))
         .unionByName(shaped(shared_patterns(signals), "CROSS_SKILL_SHARED_PATTERN", "Obfuscation", "Medium", F.col("pattern")))
     )

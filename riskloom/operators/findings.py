@@ -289,6 +289,12 @@ def by_signature(findings: DataFrame) -> DataFrame:
     )
 
 
+def signature_members(findings: DataFrame) -> DataFrame:
+    """The findings behind each row of by_signature, a row each, under the signature's id."""
+    signature = F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("bundle_id", "severity", "rel_path", "rule_id", "description")]), 256), 1, 32)
+    return findings.select(signature.alias("signature"), "bundle_id", "rel_path", "rule_id", "line_no")
+
+
 def in_file_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(
         "bundle_id", F.coalesce("rel_path", F.lit("")), F.coalesce("line_no", F.lit(0)),
@@ -320,5 +326,5 @@ def add_corpus_findings(findings: DataFrame, cross: DataFrame, bundles: DataFram
         F.first("confidence").alias("confidence"), F.first("analyzer").alias("analyzer"),
     )
     wanted = bundles.select("bundle_id", F.explode(F.array(*[F.lit(r) for r in CROSS_RULES])).alias("rule_id"))
-    rows = align(wanted.join(types, "rule_id")).withColumn("kind", F.lit("Security"))
+    rows = align(wanted.join(F.broadcast(types), "rule_id"))  # four rows at most, one for each of CROSS_RULES.withColumn("kind", F.lit("Security"))
     return findings.unionByName(rows)

@@ -84,20 +84,23 @@ def update_status(installs: DataFrame, commits: DataFrame) -> DataFrame:
     latest commit as of it is the path's latest exactly if none came after it. That is a
     comparison of positions, so no as-of join over a path's history is needed.
 
-    Both joins sort and merge: commit tables have no size bound, and a planner's guess
-    from narrow columns would broadcast them too readily.
+    Only commits of asked paths and of asked prefixes are aggregated; which side of a join moves is left to statistics.
     """
-    latest = commits.groupBy("repo", "path").agg(F.max(F.struct("seq", "sha")).alias("latest"))
+    latest = commits.join(installs.select("repo", "path").distinct(), ["repo", "path"], "left_semi").groupBy("repo", "path").agg(
+        F.max(F.struct("seq", "sha")).alias("latest")
+    )
     # The installed commit's position: by its first seven characters, then by the whole id.
     asked = installs.where(F.length("installed_sha") >= 7).select(
         "id", "repo", "installed_sha", F.substring("installed_sha", 1, 7).alias("prefix"))
-    by_prefix = commits.groupBy("repo", F.col("sha").alias("commit_sha")).agg(F.max("seq").alias("seq")).withColumn(
-        "prefix", F.substring("commit_sha", 1, 7))
+    by_prefix = (
+        commits.select("repo", "seq", F.col("sha").alias("commit_sha"), F.substring("sha", 1, 7).alias("prefix"))
+        .join(asked.select("repo", "prefix").distinct(), ["repo", "prefix"], "left_semi")
+    )
     located = (
-        asked.join(by_prefix.hint("merge"), ["repo", "prefix"]).where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
+        asked.join(by_prefix, ["repo", "prefix"]).where(same_commit(F.col("installed_sha"), F.col("commit_sha")))
         .groupBy("id").agg(F.max("seq").alias("installed_seq"))
     )
-    rows = installs.join(latest.hint("merge"), ["repo", "path"], "left").join(located, "id", "left")
+    rows = installs.join(latest, ["repo", "path"], "left").join(located, "id", "left")
     latest_sha = F.col("latest.sha")
     known = (F.coalesce("installed_sha", F.lit("")) != "") & latest_sha.isNotNull()
     current = same_commit(F.col("installed_sha"), latest_sha) | F.coalesce(F.col("installed_seq") >= F.col("latest.seq"), F.lit(False))
@@ -217,6 +220,12 @@ def reconcile_paths(stored: DataFrame, alive: DataFrame) -> DataFrame:
     return counts.where(F.col("n_alive") < F.col("n_paths")).select("id", "n_paths", "n_alive", "first_alive", action.alias("action"))
 
 
+def living_paths(stored: DataFrame, alive: DataFrame) -> DataFrame:
+    """The paths left to installed rows that keep some of theirs, a row each."""
+    rows = stored.where("installed").select("id", F.explode(split_list("paths")).alias("path"))
+    return rows.join(alive.select("path").distinct(), "path", "left_semi").select("id", "path")
+
+
 def import_featured(featured: DataFrame, repositories: DataFrame) -> DataFrame:
     """Per featured repository: added, renamed or skipped."""
     existing = repositories.groupBy("url").agg(F.min_by("name", "ord").alias("old_name"))
@@ -304,6 +313,11 @@ def merged_groups(stored: DataFrame) -> DataFrame:
     return scalars.join(tools, "group_key", "left").withColumn("tools", F.coalesce("tools", F.lit("")))
 
 
+def group_paths(stored: DataFrame) -> DataFrame:
+    """All paths of a group's records, each once."""
+    return stored.select(group_key().alias("group_key"), F.explode(split_list("paths")).alias("path")).distinct()
+
+
 def latest_scans(results: DataFrame, stored: DataFrame) -> DataFrame:
     """Newest result per group, with the inventory's first path."""
     keys = stored.select(F.col("id").alias("bundle_id"), group_key().alias("group_key"), F.get(split_list("paths"), F.lit(0)).alias("local_path"))
@@ -371,6 +385,13 @@ def package_bundles(tools: DataFrame) -> DataFrame:
         F.min_by("id", order).alias("representative"), F.min_by("current_version", order).alias("current_version"), F.countDistinct("id").alias("n_tools"))
 
 
+def package_siblings(tools: DataFrame) -> DataFrame:
+    """The other tools of a package, a row each, beside the one that stands for it."""
+    rows = with_manager(tools).select("manager", "package_name", "id").distinct()
+    heads = package_bundles(tools).select("manager", "package_name", "representative")
+    return rows.join(heads, ["manager", "package_name"]).where("id <> representative").select("manager", "package_name", "representative", "id")
+
+
 def preferred_executables(tools: DataFrame) -> DataFrame:
     """One executable per tool id; launchers of one pip directory count as one, 'pip' before 'pip3' before the rest."""
     name = F.regexp_replace(F.element_at(F.split(P.slashes(F.col("detected_path")), "/"), -1), r"(?i)\.exe$", "")
@@ -385,10 +406,26 @@ def merge_marketplace_reports(plugins: DataFrame, reports: DataFrame) -> DataFra
     """One report per marketplace: lowest score, any block, number of reports."""
     rows = plugins.select("marketplace", F.col("report_id").alias("bundle_id")).join(reports, "bundle_id")
     merged = rows.groupBy("marketplace").agg(
-        F.least(F.min("score"), F.lit(100)).alias("score"), F.max("blocked").alias("blocked"), F.count(F.lit(1)).alias("n_reports"), F.sum("n_findings").alias("n_findings"))
+        F.least(F.min("score"), F.lit(100)).alias("score"), F.max("blocked").alias("blocked"), F.max("partial_scan").alias("partial_scan"),
+        F.count(F.lit(1)).alias("n_reports"), F.sum("n_findings").alias("n_findings"))
     return merged.withColumn("level", level_of_score(F.col("score")))
 
 
+def marketplace_issues(plugins: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings of a marketplace's reports, their paths under the bundle's name; equal ones once."""
+    members = plugins.select("marketplace", F.col("report_id").alias("bundle_id")).distinct()
+    rows = members.join(findings, "bundle_id")
+    return rows.select(
+        "marketplace", F.concat_ws("/", "bundle_id", "rel_path").alias("path"), "line_no", "rule_id", "severity"
+    ).distinct()
+
+
+def marketplace_advice(plugins: DataFrame, advice: DataFrame) -> DataFrame:
+    """Distinct advice of a marketplace's reports."""
+    members = plugins.select("marketplace", F.col("report_id").alias("bundle_id")).distinct()
+    return members.join(advice, "bundle_id").select("marketplace", "recommendation").distinct()
+
+
 def canonical_directories(stored: DataFrame) -> DataFrame:
     """Directories by their last segment: number of distinct paths, tools, first description."""
     rows = stored.select("ord", "description", F.explode(split_list("paths")).alias("path"))
@@ -398,6 +435,12 @@ def canonical_directories(stored: DataFrame) -> DataFrame:
         F.min_by("description", F.when(F.col("description").isNotNull(), F.col("ord"))).alias("description"))
 
 
+def canonical_directory_paths(stored: DataFrame) -> DataFrame:
+    """The paths behind each row of canonical_directories."""
+    rows = stored.select(F.explode(split_list("paths")).alias("path")).distinct()
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("canonical"), "path")
+
+
 # --- search and order
 
 

@@ -270,6 +270,11 @@ SELECT domain, count(*) AS n_bundles, min(bundle_id) AS first_bundle, max(bundle
   FROM (SELECT bundle_id, unnest(regexp_extract_all(text, {q('''https?://[^\\s"'<>]+''')})) AS u FROM texts))
 WHERE domain <> '' AND domain NOT IN {inlist(B.COMMON_DOMAINS)} GROUP BY 1 HAVING count(*) >= 2
 """)
+cte("host_names", ("texts",), f"""
+SELECT DISTINCT bundle_id, domain FROM (SELECT bundle_id, lower(regexp_extract(u, 'https?://([^/\\s:]+)', 1)) AS domain
+  FROM (SELECT bundle_id, unnest(regexp_extract_all(text, {q('''https?://[^\\s"'<>]+''')})) AS u FROM texts))
+WHERE domain <> '' AND domain NOT IN {inlist(B.COMMON_DOMAINS)}
+""")
 cte("shared_patterns", ("signals",), " UNION ALL ".join(
     f"SELECT {q(n)} AS pattern, count(*) AS n_bundles FROM signals WHERE {n} HAVING count(*) >= 2" for n in B.SHARED_PATTERNS
 ))
@@ -279,18 +284,19 @@ SELECT words, collects, sends, count(*) AS n_bundles, array_to_string(words, ' '
     {has_any('lower(description)', B.COLLECTOR_WORDS)} AS collects, {has_any('lower(description)', B.SENDER_WORDS)} AS sends
   FROM bundles WHERE description <> '') GROUP BY ALL
 """)
-cte("complementary", ("roles",), """
-SELECT * FROM (
-  SELECT c.context AS collector, s.context AS sender, CAST(len(list_filter(c.words, lambda w: list_contains(s.words, w))) AS INTEGER) AS n_shared,
-    c.n_bundles AS n_collectors, s.n_bundles AS n_senders,
-    c.n_bundles * s.n_bundles - CASE WHEN c.context = s.context AND c.sends AND s.collects THEN s.n_bundles ELSE 0 END AS n_pairs
-  FROM roles c, roles s WHERE c.collects AND s.sends)
-WHERE n_shared >= 2 AND n_pairs > 0
+cte("word_pairs", ("roles",), """
+SELECT word_a, word_b, CAST(sum(c) AS BIGINT) AS n_collectors, CAST(sum(s) AS BIGINT) AS n_senders, CAST(sum(c) * sum(s) - sum(b) AS BIGINT) AS n_pairs FROM (
+  SELECT x AS word_a, y AS word_b, n_bundles * CAST(collects AS INT) AS c, n_bundles * CAST(sends AS INT) AS s, n_bundles * CAST(collects AND sends AS INT) AS b
+  FROM (SELECT *, unnest(list_distinct(words)) AS y FROM (SELECT *, unnest(list_distinct(words)) AS x FROM roles)) WHERE x < y
+  UNION ALL
+  SELECT x, x, n_bundles * CAST(collects AND again AS INT), n_bundles * CAST(sends AS INT), n_bundles * CAST(collects AND sends AND again AS INT)
+  FROM (SELECT *, len(list_filter(words, lambda w: w = x)) > 1 AS again FROM (SELECT *, unnest(list_distinct(words)) AS x FROM roles)))
+GROUP BY 1, 2 HAVING sum(c) * sum(s) - sum(b) > 0
 """)
-cte("corpus", ("relay", "shared_domains", "complementary", "shared_patterns"), """
+cte("corpus", ("relay", "shared_domains", "word_pairs", "shared_patterns"), """
 SELECT rule_id, category, severity, 'relay' AS subject FROM relay
 UNION ALL SELECT 'CROSS_SKILL_SHARED_URL', 'Obfuscation', 'Medium', domain FROM shared_domains
-UNION ALL SELECT 'CROSS_SKILL_COMPLEMENTARY_TRIGGERS', 'SocialEngineering', 'Low', collector || ' / ' || sender FROM complementary
+UNION ALL SELECT 'CROSS_SKILL_COMPLEMENTARY_TRIGGERS', 'SocialEngineering', 'Low', word_a || ' / ' || word_b FROM word_pairs
 UNION ALL SELECT 'CROSS_SKILL_SHARED_PATTERN', 'Obfuscation', 'Medium', pattern FROM shared_patterns
 """)
 

@@ -11,7 +11,7 @@ from riskloom.operators import findings as FN
 from riskloom.operators import inventory as I
 from riskloom.plans import oracle_chains, oracle_checks, oracle_rules  # noqa: F401 (fill the table list)
 from riskloom.plans.oracle_core import cte, q, with_ctes
-from riskloom.plans.registry import add
+from riskloom.plans.registry import ORACLES, add
 from riskloom.plans import scan
 from riskloom.sources import catalogue, derived, reports as stored_reports
 from riskloom.sources.inventory_tables import TABLES, check_sql, needed, table
@@ -142,6 +142,8 @@ add("reconcile_paths", lambda s, d: I.reconcile_paths(table(s, d, "stored"), ali
 SELECT id, n_paths, n_alive, first_alive, CASE WHEN n_alive > 0 THEN 'prune' WHEN local_only THEN 'delete' ELSE 'mark_uninstalled' END AS action FROM (
  SELECT id, local_only, count(*) AS n_paths, count(*) FILTER (NOT regexp_matches(p, '[37]$')) AS n_alive, min(p) FILTER (NOT regexp_matches(p, '[37]$')) AS first_alive
  FROM (SELECT id, local_only, unnest(string_split(paths, ',')) AS p FROM stored WHERE installed) GROUP BY ALL) WHERE n_alive < n_paths"""))
+add("living_paths", lambda s, d: I.living_paths(table(s, d, "stored"), alive(s, d)), ask(["stored"], """
+SELECT id, p AS path FROM (SELECT id, unnest(string_split(paths, ',')) AS p FROM stored WHERE installed) WHERE NOT regexp_matches(p, '[37]$')"""))
 add("import_featured", lambda s, d: I.import_featured(table(s, d, "featured"), table(s, d, "repositories")), ask(["featured", "repositories"], """
 SELECT f.url, f.name, CASE WHEN e.old IS NULL THEN 'added' WHEN e.old <> f.name THEN 'renamed' ELSE 'skipped' END AS status
 FROM featured f LEFT JOIN (SELECT url, arg_min(name, ord) AS old FROM repositories GROUP BY 1) e USING (url)"""))
@@ -177,6 +179,8 @@ SELECT group_key, id, description, version, local_only, n_members, coalesce(tool
  SELECT group_key, arg_min(id, ord) AS id, arg_min(description, ord) FILTER (description IS NOT NULL) AS description, arg_min(version, ord) FILTER (version IS NOT NULL) AS version,
    bool_and(local_only) AS local_only, count(DISTINCT id) AS n_members FROM (SELECT *, {KEY} AS group_key FROM stored) GROUP BY 1)
 LEFT JOIN (SELECT group_key, string_agg(DISTINCT t, ',' ORDER BY t) AS tools FROM (SELECT {KEY} AS group_key, unnest(string_split(tools, ',')) AS t FROM stored) WHERE t <> '' GROUP BY 1) USING (group_key)"""))
+add("group_paths", lambda s, d: I.group_paths(table(s, d, "stored")), ask(["stored"], f"""
+SELECT DISTINCT {KEY} AS group_key, unnest(string_split(paths, ',')) AS path FROM stored"""))
 cte("latest_scans", ("scan_results", "stored"), f"""
 SELECT group_key, bundle_id, score, scanned_at, note, local_path FROM (SELECT r.*, split_part(s.paths, ',', 1) AS local_path0, CASE WHEN s.id IS NULL THEN NULL ELSE split_part(s.paths, ',', 1) END AS local_path,
   coalesce(s.group_key, 'id::' || r.bundle_id) AS group_key FROM scan_results r LEFT JOIN (SELECT *, {KEY} AS group_key FROM stored) s ON s.id = r.bundle_id)
@@ -261,6 +265,9 @@ SELECT manager, count(*) AS n, count(*) FILTER (outdated) AS n_updates FROM mana
 add("package_bundles", lambda s, d: I.package_bundles(table(s, d, "tools")), ask(["managed_tools"], """
 SELECT manager, package_name, arg_min(id, o) AS representative, first(current_version ORDER BY o) AS current_version, count(DISTINCT id) AS n_tools FROM (
  SELECT *, (CASE WHEN id = base THEN 0 WHEN starts_with(id, base) THEN 1 ELSE 2 END, id, ord) AS o FROM (SELECT *, lower(string_split(package_name, '/')[-1]) AS base FROM managed_tools)) GROUP BY ALL"""))
+add("package_siblings", lambda s, d: I.package_siblings(table(s, d, "tools")), ask(["managed_tools"], """
+SELECT DISTINCT manager, package_name, representative, id FROM (SELECT *, first(id) OVER (PARTITION BY manager, package_name ORDER BY o) AS representative FROM (
+ SELECT *, (CASE WHEN id = base THEN 0 WHEN starts_with(id, base) THEN 1 ELSE 2 END, id, ord) AS o FROM (SELECT *, lower(string_split(package_name, '/')[-1]) AS base FROM managed_tools))) WHERE id <> representative"""))
 add("preferred_executables", lambda s, d: I.preferred_executables(table(s, d, "tools")), ask(["managed_tools"], """
 SELECT key, detected_path FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, ord) AS n FROM (
  SELECT ord, detected_path, CASE WHEN launcher THEN 'pip:' || regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE id END AS key,
@@ -296,6 +303,9 @@ SELECT canonical, count(DISTINCT path) AS n_paths, string_agg(DISTINCT tool, ','
 FROM (SELECT ord, description, path, string_split(path, '/')[-1] AS canonical, CASE WHEN contains(path, '/.claude/') THEN 'claude-code' ELSE 'codex' END AS tool
   FROM (SELECT ord, description, unnest(string_split(paths, ',')) AS path FROM stored)) GROUP BY 1"""))
 
+add("canonical_directory_paths", lambda s, d: I.canonical_directory_paths(table(s, d, "stored")), ask(["stored"], """
+SELECT DISTINCT string_split(path, '/')[-1] AS canonical, path FROM (SELECT unnest(string_split(paths, ',')) AS path FROM stored)"""))
+
 # --- search and order
 add("search_items", lambda s, d: I.search(everything(s, d), " Bundle 12 ").select("kind", "id", "name", "rank"), ask(["everything"], """
 SELECT kind, id, name, CASE WHEN contains(lower(name), 'bundle 12') THEN 0 ELSE 1 END AS rank FROM everything
@@ -358,13 +368,27 @@ SELECT id, score, CASE WHEN k = 3 THEN 'High' WHEN k = 4 THEN NULL WHEN ev THEN
 FROM o LEFT JOIN (VALUES (0, 'High', 'bad call', 'a.py'), (0, 'Medium', 'odd', NULL), (0, 'Info', 'Odd: thing', 'b.sh'), (0, 'Info', 'plain', NULL), (1, 'High', 'x', 'c.py'), (3, 'Low', 'y', NULL)) i(k, severity, description, file_path) USING (k)""")
 
 
+def reported(s, d):
+    return table(s, d, "plugins").select("marketplace", F.concat(F.lit("src"), (F.col("ord") % 20).cast("string"), F.lit("-0")).alias("report_id"))
+
+
 def marketplace_reports(s, d):
-    reports = scan.bundle_reports(derived.files(s, d))
-    p = table(s, d, "plugins").select("marketplace", F.concat(F.lit("src"), (F.col("ord") % 20).cast("string"), F.lit("-0")).alias("report_id"))
-    return I.merge_marketplace_reports(p, reports)
+    return I.merge_marketplace_reports(reported(s, d), scan.bundle_reports(derived.files(s, d)))
+
+
+def marketplace_advice(s, d):
+    files = derived.files(s, d)
+    found = scan.bundle_findings(files)
+    return I.marketplace_advice(reported(s, d), FN.recommendations(found, FN.scores(found, bundles=files.select("bundle_id"))))
+
+
+_reported = "(SELECT DISTINCT marketplace, 'src' || (ord % 20) || '-0' AS bundle_id FROM plugins)"
+add("marketplace_issues", lambda s, d: I.marketplace_issues(reported(s, d), scan.bundle_findings(derived.files(s, d))), ask(["plugins", "findings"], f"""
+SELECT DISTINCT marketplace, concat_ws('/', bundle_id, rel_path) AS path, line_no, rule_id, severity FROM findings JOIN {_reported} USING (bundle_id)"""))
+add("marketplace_advice", marketplace_advice, f"SELECT DISTINCT marketplace, recommendation FROM ({ORACLES['recommendations']}) JOIN ({ask(['plugins'], f'SELECT * FROM {_reported}')}) USING (bundle_id)")
 
 
 add("marketplace_reports", marketplace_reports, ask(["plugins", "reports"], """
-SELECT marketplace, score, blocked, n_reports, n_findings, CASE WHEN score >= 90 THEN 'Safe' WHEN score >= 70 THEN 'Low' WHEN score >= 50 THEN 'Medium' WHEN score >= 30 THEN 'High' ELSE 'Critical' END AS level FROM (
- SELECT marketplace, min(r.score) AS score, bool_or(blocked) AS blocked, count(*) AS n_reports, CAST(sum(n_findings) AS BIGINT) AS n_findings
+SELECT marketplace, score, blocked, partial_scan, n_reports, n_findings, CASE WHEN score >= 90 THEN 'Safe' WHEN score >= 70 THEN 'Low' WHEN score >= 50 THEN 'Medium' WHEN score >= 30 THEN 'High' ELSE 'Critical' END AS level FROM (
+ SELECT marketplace, min(r.score) AS score, bool_or(blocked) AS blocked, bool_or(partial_scan) AS partial_scan, count(*) AS n_reports, CAST(sum(n_findings) AS BIGINT) AS n_findings
  FROM plugins p JOIN reports r ON r.bundle_id = 'src' || (p.ord % 20) || '-0' GROUP BY 1)"""))

@@ -294,7 +294,10 @@ add("bundle_signals", lambda s, d: cross_bundle.bundle_signals(texts(s, d)), sel
 add("data_relay", lambda s, d: cross_bundle.data_relay(cross_bundle.bundle_signals(texts(s, d))), sel("relay"))
 add("shared_domains", lambda s, d: cross_bundle.shared_domains(texts(s, d)), sel("shared_domains"))
 add("shared_patterns", lambda s, d: cross_bundle.shared_patterns(cross_bundle.bundle_signals(texts(s, d))), sel("shared_patterns"))
-add("complementary_descriptions", lambda s, d: cross_bundle.complementary_descriptions(bundles(s, d)), sel("complementary"))
+add("complementary_descriptions", lambda s, d: cross_bundle.complementary_descriptions(bundles(s, d)), sel("word_pairs"))
+add("shared_domain_members", lambda s, d: cross_bundle.shared_domain_members(texts(s, d)), sel("host_names", "domain, bundle_id", "domain IN (SELECT domain FROM host_names GROUP BY 1 HAVING count(*) >= 2)"))
+add("shared_pattern_members", lambda s, d: cross_bundle.shared_pattern_members(cross_bundle.bundle_signals(texts(s, d))), with_ctes(("signals",), " UNION ALL ".join(
+    f"SELECT {q(n)} AS pattern, bundle_id FROM signals WHERE {n} AND (SELECT count(*) FROM signals WHERE {n}) >= 2" for n in cross_bundle.SHARED_PATTERNS)))
 
 
 def corpus(s, d):
@@ -370,6 +373,9 @@ SELECT * FROM (SELECT bundle_id, CAST(row_number() OVER (PARTITION BY bundle_id
 FROM (SELECT bundle_id, rel_path, concat_ws(': ', rule_id, description) AS issue, arg_max(severity, coalesce(line_no, -1) * 10 + {RANK}) AS severity FROM findings GROUP BY ALL)) WHERE position <= 3"""))
 add("findings_by_signature", lambda s, d: findings.by_signature(found(s, d)), with_ctes(("findings",), """
 SELECT bundle_id, severity, rel_path, rule_id, description, count(*) AS n_places, min(line_no) AS first_line, max(line_no) AS last_line FROM findings GROUP BY ALL"""))
+add("signature_members", lambda s, d: findings.signature_members(found(s, d)), with_ctes(("findings",), """
+SELECT sha256(concat_ws('|', coalesce(bundle_id, ''), coalesce(severity, ''), coalesce(rel_path, ''), coalesce(rule_id, ''), coalesce(description, '')))[:32] AS signature,
+  bundle_id, rel_path, rule_id, line_no FROM findings"""))
 ORDERED = ["bundle_id", "rel_path", "line_no", "severity", "rule_id"]
 add("findings_in_file_order", lambda s, d: findings.in_file_order(found(s, d)).select(*ORDERED), with_ctes(("findings",), f"""
 SELECT {', '.join(ORDERED)} FROM findings ORDER BY bundle_id, coalesce(rel_path, ''), coalesce(line_no, 0), {RANK} DESC, rule_id"""))
