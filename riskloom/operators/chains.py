@@ -149,9 +149,18 @@ def _found(*names: str) -> Column:
     return T.all_of([F.size(n) > 0 for n in names])
 
 
-def _first(positions: Column, condition) -> Column:
-    """Smallest number that meets the condition."""
-    return F.try_element_at(F.filter(positions, condition), F.lit(1))
+def _within(positions: Column, later: Column, span: int) -> Column:
+    """Those positions that one of the later ones follows by at most span lines.
+
+    By set operations over line numbers, so a generated script of very many lines costs no more than its lines.
+    """
+    reached = F.flatten(F.transform(later, lambda p: F.sequence(p - span, p - 1)))
+    return F.array_intersect(positions, reached)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once and not anew in each lambda of the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _place(variant: str, line: Column, end: Column | None = None) -> Column:
@@ -167,27 +176,27 @@ def _place(variant: str, line: Column, end: Column | None = None) -> Column:
 
 def fetch_execute() -> Column:
     same, saved, runs = F.col("p_fetch_pipe"), F.col("p_fetch_file"), F.col("p_run")
-    start = _first(saved, lambda i: T.any_between(runs, i + 1, i + FETCH_EXEC_SPAN))
-    end = T.first_between(runs, start + 1, start + FETCH_EXEC_SPAN)
+    later = _let(
+        F.array_min(_within(saved, runs, FETCH_EXEC_SPAN)),
+        lambda i: _place("save_then_run", i, T.first_between(runs, i + 1, i + FETCH_EXEC_SPAN)),
+    )
     return (
         F.when(_found("p_fetch_pipe"), _place("same_line", same[0], same[0]))
-        .when(_found("p_fetch_file", "p_run"), _place("save_then_run", start, end))
+        .when(_found("p_fetch_file", "p_run"), later)
     )
 
 
 def download_chmod_exec() -> Column:
     fetched, chmods, runs = F.col("p_fetch"), F.col("p_chmod"), F.col("p_run")
-    armed = F.filter(chmods, lambda c: T.any_between(runs, c + 1, c + CHMOD_EXEC_SPAN))
-    start = _first(
-        fetched,
-        lambda i: F.exists(
-            chmods,
-            lambda c: (c > i) & (c <= i + CHMOD_SPAN) & T.any_between(runs, c + 1, c + CHMOD_EXEC_SPAN),
-        ),
-    )
-    chmod = T.first_between(armed, start + 1, start + CHMOD_SPAN)
-    end = T.first_between(runs, chmod + 1, chmod + CHMOD_EXEC_SPAN)
-    return F.when(_found("p_fetch", "p_chmod", "p_run"), _place("chmod", start, end))
+
+    def place(armed: Column) -> Column:
+        start = F.array_min(_within(fetched, armed, CHMOD_SPAN))
+        return _let(start, lambda i: _let(
+            T.first_between(armed, i + 1, i + CHMOD_SPAN),
+            lambda c: _place("chmod", i, T.first_between(runs, c + 1, c + CHMOD_EXEC_SPAN)),
+        ))
+
+    return F.when(_found("p_fetch", "p_chmod", "p_run"), _let(_within(chmods, runs, CHMOD_EXEC_SPAN), place))
 
 
 def _content_place(variant: str, pattern: str) -> Column:
@@ -197,21 +206,28 @@ def _content_place(variant: str, pattern: str) -> Column:
 
 def sensitive_exfil() -> Column:
     reads, sends, encodes = F.col("p_read"), F.col("p_send"), F.col("p_encode")
-    start = _first(reads, lambda i: T.any_between(sends, i + 1, i + EXFIL_SPAN))
-    encoded = T.any_between(encodes, start + 1, start + EXFIL_SPAN)
-    last_send = T.last_between(sends, start + 1, start + EXFIL_SPAN)
     finds, uploads = F.col("p_find"), F.col("p_upload")
-    found = _first(finds, lambda i: T.any_between(uploads, i + 1, i + FIND_SEND_SPAN))
-    upload = T.first_between(uploads, found + 1, found + FIND_SEND_SPAN)
+
+    def sent(variant: str, also_encoded: bool) -> Column:
+        def place(i: Column) -> Column:
+            line = F.when(T.any_between(encodes, i + 1, i + EXFIL_SPAN), i) if also_encoded else i
+            return _place(variant, line, T.last_between(sends, i + 1, i + EXFIL_SPAN))
+
+        return _let(F.array_min(_within(reads, sends, EXFIL_SPAN)), place)
+
+    uploaded = _let(
+        F.array_min(_within(finds, uploads, FIND_SEND_SPAN)),
+        lambda i: _place("find_send_later", i, T.first_between(uploads, i + 1, i + FIND_SEND_SPAN)),
+    )
     return F.when(
         _has(*SENDERS),
         F.coalesce(
             _content_place("read_encode_send", READ_ENCODE_SEND),
             _content_place("read_send", READ_SEND),
             _content_place("find_send", FIND_KEY_SEND),
-            F.when(_found("p_read", "p_send", "p_encode"), _place("encode_later", F.when(encoded, start), last_send)),
-            F.when(_found("p_read", "p_send"), _place("send_later", start, last_send)),
-            F.when(_found("p_find", "p_upload"), _place("find_send_later", found, upload)),
+            F.when(_found("p_read", "p_send", "p_encode"), sent("encode_later", True)),
+            F.when(_found("p_read", "p_send"), sent("send_later", False)),
+            F.when(_found("p_find", "p_upload"), uploaded),
         ),
     )
 
@@ -224,23 +240,26 @@ def find_exec() -> Column:
 
 def env_harvest() -> Column:
     prints, secrets, sends = F.col("p_env"), F.col("p_secret_env"), F.col("p_send")
-    start = _first(
-        prints, lambda i: T.any_between(sends, i + 1, i + ENV_SEND_SPAN) | F.array_contains(secrets, i)
-    )
-    sent = T.first_between(sends, start + 1, start + ENV_SEND_SPAN)
-    later = F.coalesce(_place("send_later", F.when(sent.isNotNull(), start), sent), _place("secret_only", start))
+    starts = F.concat(_within(prints, sends, ENV_SEND_SPAN), F.array_intersect(prints, secrets))
+
+    def place(i: Column) -> Column:
+        return _let(
+            T.first_between(sends, i + 1, i + ENV_SEND_SPAN),
+            lambda sent: F.coalesce(_place("send_later", F.when(sent.isNotNull(), i), sent), _place("secret_only", i)),
+        )
+
+    later = _let(F.array_min(starts), place)
     possible = _found("p_env") & (_found("p_send") | _found("p_secret_env"))
     return F.when(_has("env"), F.coalesce(_content_place("same_line", ENV_SEND), F.when(possible, later)))
 
 
 def base64_exec() -> Column:
     decodes, piped, runs = F.col("p_decode"), F.col("p_decode_pipe"), F.col("p_command")
-    start = _first(
-        decodes, lambda i: F.array_contains(piped, i) | T.any_between(runs, i + 1, i + DECODE_EXEC_SPAN)
-    )
-    direct = F.array_contains(piped, start)
-    end = T.first_between(runs, start + 1, start + DECODE_EXEC_SPAN)
-    found = F.coalesce(_place("same_line", F.when(direct, start), start), _place("run_later", start, end))
+    starts = F.concat(F.array_intersect(decodes, piped), _within(decodes, runs, DECODE_EXEC_SPAN))
+    found = _let(F.array_min(starts), lambda i: F.coalesce(
+        _place("same_line", F.when(F.array_contains(piped, i), i), i),
+        _place("run_later", i, T.first_between(runs, i + 1, i + DECODE_EXEC_SPAN)),
+    ))
     return F.when(_found("p_decode") & (_found("p_decode_pipe") | _found("p_command")), found)
 
 

@@ -101,27 +101,31 @@ def local_modules(files: DataFrame) -> DataFrame:
     return wanted.join(present, ["bundle_id", "reference"], "left_semi").select("bundle_id", "rel_path", "reference")
 
 
-def with_suffixes(paths: DataFrame, column: str) -> DataFrame:
-    """Every trailing part of a path, as `suffix`: turns a suffix test into an equi-join."""
-    length = F.length(column)
-    return paths.withColumn(
-        "suffix",
-        F.explode(F.transform(F.sequence(F.lit(1), length), lambda i: F.substr(F.col(column), i.cast("int")))),
-    ).where(F.length(column) > 0)
+def with_suffixes(paths: DataFrame, column: str, lengths: DataFrame) -> DataFrame:
+    """Trailing parts of a path, as `suffix`, of the lengths that the bundle's other side has: a suffix test as an equi-join."""
+    cut = F.explode(F.filter("lengths", lambda n: n <= F.length(column)))
+    rows = paths.join(lengths, "bundle_id").select(*paths.columns, cut.alias("_n"))
+    return rows.withColumn("suffix", F.expr(f"right({column}, _n)")).drop("_n")
+
+
+def _lengths(paths: DataFrame, column: str) -> DataFrame:
+    """The lengths of a bundle's paths: no more than the longest path has characters."""
+    return paths.where(F.length(column) > 0).groupBy("bundle_id").agg(F.collect_set(F.length(column)).alias("lengths"))
 
 
 def without_partner(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
     """Rows of `left` whose path is no suffix of a right path and has none as its own suffix.
 
-    Both directions are equi-joins on (bundle, path part); no pairs within a bundle are formed.
+    Equal paths go first; then both directions are equi-joins on (bundle, path part), with parts only of the lengths
+    that still occur on the other side. No pairs within a bundle are formed.
     """
     l = left.withColumn(left_col, slashes(F.col(left_col)))
     r = right.select("bundle_id", slashes(F.col(right_col)).alias("_r")).distinct()
-    longer = with_suffixes(r, "_r").select("bundle_id", F.col("suffix").alias(left_col)).distinct()
-    open_ = l.join(longer, ["bundle_id", left_col], "left_anti")
-    matched = (
-        with_suffixes(open_.select("bundle_id", left_col).distinct(), left_col)
-        .join(r.withColumnRenamed("_r", "suffix"), ["bundle_id", "suffix"], "left_semi")
-        .select("bundle_id", left_col).distinct()
+    unequal = l.join(r.withColumnRenamed("_r", left_col), ["bundle_id", left_col], "left_anti")
+    asked = unequal.select("bundle_id", left_col).distinct()
+    longer = with_suffixes(r, "_r", _lengths(asked, left_col)).select("bundle_id", F.col("suffix").alias(left_col))
+    shorter = (
+        with_suffixes(asked, left_col, _lengths(r, "_r"))
+        .join(r.withColumnRenamed("_r", "suffix"), ["bundle_id", "suffix"], "left_semi").select("bundle_id", left_col)
     )
-    return open_.join(matched, ["bundle_id", left_col], "left_anti")
+    return unequal.join(longer.unionByName(shorter).distinct(), ["bundle_id", left_col], "left_anti")
