@@ -63,8 +63,10 @@ def disallowed_segment(path: Column, policy: Policy) -> Column:
 
 def file_findings(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     ext, hidden, path = F.col("ext"), F.col("is_hidden"), F.col("rel_path")
+    # Tables of texts hold valid UTF-8 only; files from storage say whether theirs is.
+    no_utf8 = ~F.col("is_utf8") & ~F.col("is_binary") & (F.col("file_type") != "asset") if "is_utf8" in files.columns else F.lit(False)
     return _explode_rules(
-        files.select("bundle_id", "rel_path", "ext", "is_hidden", "is_binary"), ["bundle_id", "rel_path"],
+        files, ["bundle_id", "rel_path"],
         (
             ("STRUCTURE_HIDDEN_FILE", "Medium", hidden),
             ("HIDDEN_EXECUTABLE_SCRIPT", "High", hidden & ext.isin("py", "sh", "bash", "js", "ts")),
@@ -74,6 +76,7 @@ def file_findings(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFram
             ("STRUCTURE_DISALLOWED_EXTENSION", "Medium",
              (ext != "") & ~F.concat(F.lit("."), ext).isin(*policy.allowed_extensions)),
             ("STRUCTURE_BINARY_CONTENT", "Low", F.col("is_binary")),
+            ("STRUCTURE_NON_UTF8", "Low", no_utf8),
         ),
     )
 
@@ -116,7 +119,8 @@ def structure_findings(files: DataFrame, bundles: DataFrame, policy: Policy = DE
     The file list and the main texts' references are written once: they feed six branches
     that would otherwise read the text each time.
     """
-    listing = cut_lineage(files.select("bundle_id", "rel_path", "ext", "file_type", "is_hidden", "is_binary", "is_main"))
+    shown = [c for c in files.columns if c in ("bundle_id", "rel_path", "ext", "file_type", "is_hidden", "is_binary", "is_main", "is_utf8")]
+    listing = cut_lineage(files.select(*shown))
     refs = cut_lineage(main_references(files))
     missing = missing_main_file(listing)
     rest = (

@@ -13,6 +13,7 @@ from riskloom.plans import oracle_chains, oracle_checks, oracle_rules  # noqa: F
 from riskloom.plans.oracle_core import cte, q, with_ctes
 from riskloom.plans.registry import ORACLES, add
 from riskloom.plans import scan
+from riskloom.session import Steps
 from riskloom.sources import catalogue, derived, reports as stored_reports
 from riskloom.sources.inventory_tables import TABLES, check_sql, needed, table
 
@@ -344,7 +345,25 @@ add("catalogue_plugins", catalogue_rows, """
 SELECT p_partkey, p_type AS category, 'zh-' || p_brand AS category_name, 'm' || p_size AS marketplace, 'u' AS repository_url, p_name AS plugin, '1.' || p_size AS version, 'b' AS description FROM part
 UNION ALL SELECT p_partkey, p_type, 'zh-' || p_brand, 'm' || p_size, 'u', 'extra', NULL, 'd' FROM part""")
 add("report_json", lambda s, d: stored_reports.report_json(scan.bundle_reports(derived.files(s, d))), ask(["reports"], """
-SELECT bundle_id, '{"bundle_id":"' || bundle_id || '","score":' || score || ',"level":"' || level || '","blocked":' || blocked || ',"n_findings":' || n_findings || '}' AS report FROM reports"""))
+SELECT bundle_id, '{"bundle_id":"' || bundle_id || '","score":' || score || ',"level":"' || level || '","blocked":' || blocked || ',"partial_scan":' || partial_scan
+  || ',"n_findings":' || n_findings || ',"n_security":' || n_security || ',"n_auditability":' || n_auditability || ',"n_structure":' || n_structure || '}' AS report FROM reports"""))
+
+
+def stored_parts(s, d):
+    """Reports written as parts and read again from where they were written."""
+    files = derived.files(s, d)
+    steps = Steps(s, "reports")
+    facts = steps.keep(scan.scan_facts(files), "facts")
+    found = steps.keep(scan.findings_of(facts), "findings")
+    scored = FN.scores(found, bundles=scan.partial_bundles(facts))
+    return steps.keep(stored_reports.report_parts(scored, found, FN.recommendations(found, scored)), "parts")
+
+
+add("report_round_trip", lambda s, d: stored_reports.read_parts(stored_parts(s, d)), ask(["reports", "weighted"], """
+SELECT bundle_id, score, level, blocked, partial_scan, n_findings, n_security, n_auditability, n_structure, severity, category, rule_id, description,
+  rel_path AS file_path, line_no AS line_number, snippet AS code_snippet, kind AS finding_kind, eff AS effective_weight
+FROM reports LEFT JOIN weighted USING (bundle_id)"""))
+add("report_advice", lambda s, d: stored_reports.read_advice(stored_parts(s, d)), ORACLES["recommendations"])
 
 
 def stored_texts(s, d):

@@ -126,7 +126,7 @@ def findings_of(facts: DataFrame, policy: Policy = DEFAULT_POLICY, strict: DataF
 
 def partial_bundles(facts: DataFrame) -> DataFrame:
     """Every bundle, and whether the scan could not look into all of its files: opaque binaries and links."""
-    opaque = (coverage.readable_class() == "binary") | F.col("is_symlink")
+    opaque = (F.col("is_binary") & (coverage.readable_class() != "ignored")) | F.col("is_symlink")
     return facts.groupBy("bundle_id").agg(F.max(opaque).alias("partial_scan"))
 
 

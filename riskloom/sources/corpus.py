@@ -11,21 +11,27 @@ from riskloom.sources.encoding import with_text
 
 
 def scan_folder(spark: SparkSession, root: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Files below root, the first path part being the bundle; decoded, in scope, with file columns.
+    """Files below root, the first path part being the bundle; decoded, in scope, with file columns and bytes.
 
-    Whole files are read; a size limit is reported by the coverage checks, not applied here.
+    Paths are listed and put in scope first; only files in scope are opened (the filter on `path` reaches the listing
+    of files, and `content` is read for what is left). Whole files are read; a size limit is reported by the coverage
+    checks, not applied here.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].split("/")[-1]
-    relative = F.regexp_extract("path", rf"/{base}/(.*)$", 1)
-    rows = raw.select(
-        F.regexp_extract(relative, "^([^/]+)/", 1).alias("bundle_id"),
-        F.regexp_extract(relative, "^[^/]+/(.*)$", 1).alias("rel_path"),
-        F.col("length").alias("n_bytes"), F.col("content").alias("bytes"),
-    ).where("bundle_id <> ''")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    # The path after scheme and host, less the root by its length: no pattern that a folder's name could upset.
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    relative = F.substr(plain, F.lit(len(base) + 2))
+    at = F.instr(relative, "/")
+    listed = raw.withColumns({"bundle_id": F.substr(relative, F.lit(1), at - 1), "rel_path": F.substr(relative, at + 1)})
+    rows = in_scope(listed.where("bundle_id <> ''"), policy).select(
+        "bundle_id", "rel_path", F.col("length").alias("n_bytes"), F.col("content").alias("bytes")
+    )
     decoded = with_text(rows, "bytes").withColumn("holds_nul", F.col("is_binary"))
     texts = decoded.select(
-        "bundle_id", "rel_path", "n_bytes", "holds_nul", F.coalesce("text", F.lit("")).alias("content"))
+        "bundle_id", "rel_path", "n_bytes", "holds_nul", "bytes", F.coalesce("text", F.lit("")).alias("content"))
     files = with_file_columns(texts, policy).withColumns({
-        "is_binary": F.col("is_binary") | F.col("holds_nul"), "size_bytes": F.col("n_bytes")})
-    return in_scope(files.drop("holds_nul", "n_bytes"), policy)
+        "is_binary": F.col("is_binary") | F.col("holds_nul"), "size_bytes": F.col("n_bytes"),
+        "is_utf8": F.is_valid_utf8(F.col("bytes").cast("string"))})
+    return files.drop("holds_nul", "n_bytes")

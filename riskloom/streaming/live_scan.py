@@ -1,4 +1,4 @@
-"""The same row-wise scan over arriving files."""
+"""The whole scan over arriving files, and what is derived from its findings as they come."""
 
 from __future__ import annotations
 
@@ -6,25 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators.findings import finding_id
-from riskloom.operators.rule_scan import FILE_KEYS, grade_hits, line_rule_hits, prepare
+from riskloom.operators import findings as FN
+from riskloom.operators.rule_scan import drop_suppressed_rules, explode_hits, grade_hits
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
+from riskloom.plans.scan import KEYS, scan_facts
+from riskloom.session import Steps
+
+COLUMNS = (*FN.FINDING_COLUMNS, "arrived_at", "finding_id")
+SCHEMA = (
+    "bundle_id string, rel_path string, line_no int, rule_id string, category string, severity string, confidence string, weight int, "
+    "hard_trigger boolean, snippet string, analyzer string, cwe_id string, description string, arrived_at timestamp, finding_id string"
+)
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def scan_arrivals(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Graded line findings with the arrival time; stateless."""
-    rows = prepare(files).select(*FILE_KEYS, "arrived_at", line_rule_hits(policy).alias("hits"))
-    hits = (
-        rows.select(*FILE_KEYS, "arrived_at", F.explode_outer("hits").alias("hit")).where("hit.rule_id IS NOT NULL")
-        .select(*FILE_KEYS, "arrived_at", "hit.*")
+def scan_batch(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Findings of the files of one batch: rules with suppression and grading, chains, taint, characters, assets, types.
+
+    Everything concerns single files, so nothing is held from batch to batch. Secrets are masked.
+    """
+    steps = Steps(files.sparkSession, "live")
+    facts = steps.keep(scan_facts(files, policy, passed=("arrived_at",)), "facts")
+    hits = explode_hits(facts, [*KEYS, "arrived_at"], "hits")
+    pack = hits.where(F.col("analyzer").isNull()).drop("category", "severity", "analyzer")
+    graded = grade_hits(drop_suppressed_rules(pack), policy).withColumn("analyzer", F.lit(None).cast("string"))
+    others = hits.where(F.col("analyzer").isNotNull() & (F.col("analyzer") != "capability"))
+    rows = graded.select(*FN.FINDING_COLUMNS, "arrived_at").unionByName(
+        others.select("arrived_at", *[c for c in FN.FINDING_COLUMNS if c in others.columns]), allowMissingColumns=True
     )
-    graded = grade_hits(hits, policy)
     place = F.concat_ws("/", "bundle_id", "rel_path")
-    return graded.withColumn("finding_id", finding_id(F.col("rule_id"), place, F.col("line_no"), F.col("snippet")))
+    # The id is built before the secret is hidden, so that two secrets on one line stay two findings.
+    return FN.masked(rows.withColumn("finding_id", FN.finding_id(F.col("rule_id"), place, F.col("line_no"), F.coalesce("snippet", F.lit(""))))).select(*COLUMNS)
+
+
+def write_scan(files: DataFrame, path: str, checkpoint: str, policy: Policy = DEFAULT_POLICY) -> StreamingQuery:
+    """Scan a stream of files into a table, a folder a batch: a batch that is run again replaces its own rows."""
+    def one(batch: DataFrame, number: int) -> None:
+        scan_batch(batch, policy).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The findings table as a stream."""
+    return spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 def drop_redelivered(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -43,3 +71,20 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str) -> Streaming
         findings.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
+
+
+def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Counts as they stand after each batch, those of open hours too; latest_counts reads them."""
+    def one(batch: DataFrame, number: int) -> None:
+        batch.withColumn("as_of", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        counts.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The last known count of each hour and category, open hours included."""
+    rows = spark.read.schema("hour timestamp, category string, n bigint, as_of bigint").option("recursiveFileLookup", True).parquet(path)
+    return rows.groupBy("hour", "category").agg(F.max_by("n", "as_of").alias("n"))

@@ -24,6 +24,39 @@ def test_scan_folder(spark, tmp_path):
     assert rows["one", "SKILL.md"].is_main
 
 
+def test_scan_folder_opens_files_in_scope_only(spark, tmp_path):
+    """A root with a name that is a pattern and comes twice, files out of scope, links of types to a full report."""
+    from riskloom.packs.policy import Policy
+    from riskloom.plans import scan
+
+    root = tmp_path / "a+b" / "a+b"
+    for path, data in {
+        "a+b/SKILL.md": b"---\nname: x\n---\n", "a+b/.git/big.bin": b"x", "two/x.py": b"MZ\x90\x00\x03", "two/SKILL.md": b"caf\xe9\n", "top.md": b"no bundle",
+    }.items():
+        target = root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(data)
+    (root / "a+b" / ".git" / "big.bin").chmod(0)
+    files = corpus.scan_folder(spark, str(root))
+    assert {(r.bundle_id, r.rel_path) for r in files.select("bundle_id", "rel_path").collect()} == {("a+b", "SKILL.md"), ("two", "x.py"), ("two", "SKILL.md")}
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Filter") < plan.index("Scan binaryFile")
+    found = {(r.bundle_id, r.rule_id) for r in scan.bundle_findings(files, Policy(strict_structure=True)).collect()}
+    assert {("two", "FILE_MAGIC_MISMATCH"), ("two", "STRUCTURE_NON_UTF8")} <= found
+    report = {r.bundle_id: r for r in scan.bundle_reports(files).collect()}
+    assert report["two"].blocked and report["two"].partial_scan and not report["a+b"].blocked and not report["a+b"].partial_scan
+
+
+def test_links_block_a_bundle(spark, files_of):
+    from riskloom.plans import scan
+
+    files = files_of({("a", "x.py"): "x = 1", ("b", "x.py"): "x = 1"}).withColumn("is_symlink", F.col("bundle_id") == "b")
+    report = {r.bundle_id: r for r in scan.bundle_reports(files).collect()}
+    assert report["b"].blocked and report["b"].partial_scan and report["b"].score <= 29 and not report["a"].blocked
+    secret = files_of({("c", "x.py"): "password = 'hunter2222222'"})
+    assert "hunter2222222" not in str(scan.bundle_findings(secret).collect())
+
+
 def test_catalogue_file(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text("""{"categories": [{"id": "k", "name": {"en": "K", "zh": "z"}, "marketplaces": [
@@ -33,12 +66,13 @@ def test_catalogue_file(spark, tmp_path):
 
 
 def test_reports_by_run_date(spark, tmp_path):
-    df = spark.createDataFrame([("b", 10, "Critical", True, 3)], "bundle_id string, score int, level string, blocked boolean, n_findings bigint")
+    df = spark.createDataFrame([("b", 10, "Critical", True, False, 3, 2, 1, 0)], "bundle_id string, score int, level string, blocked boolean, "
+                               "partial_scan boolean, n_findings bigint, n_security bigint, n_auditability bigint, n_structure bigint")
     for day in ("2024-01-01", "2024-01-02"):
         reports.write_reports(df, str(tmp_path / "r"), day)
     back = spark.read.parquet(str(tmp_path / "r"))
     assert back.count() == 2 and back.where("run_date = '2024-01-02'").count() == 1
-    assert reports.report_json(df).first().report == '{"bundle_id":"b","score":10,"level":"Critical","blocked":true,"n_findings":3}'
+    assert reports.report_json(df).first().report == '{"bundle_id":"b","score":10,"level":"Critical","blocked":true,"partial_scan":false,"n_findings":3,"n_security":2,"n_auditability":1,"n_structure":0}'
 
 
 def test_versions(spark):
