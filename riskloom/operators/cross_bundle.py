@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import sqltext as S
 from riskloom.functions import text as T
 from riskloom.functions.urls import hosts
+from riskloom.session import Steps
 
 # Collector, sender and shared-pattern tests; word lists; everyday domains.
 COLLECTOR = (
@@ -54,13 +55,22 @@ def bundle_texts(files: DataFrame, bundles: DataFrame) -> DataFrame:
     return texts.unionByName(described)
 
 
-def bundle_signals(texts: DataFrame) -> DataFrame:
-    """Per bundle: does any of its texts collect, send, or show a shared pattern."""
+def text_facts(texts: DataFrame) -> DataFrame:
+    """What each text shows and which hosts it names, without the text."""
     patterns = {"collects": COLLECTOR, "sends": SENDER, **{name: (p,) for name, p in SHARED_PATTERNS.items()}}
     flags = {name: F.expr(S.guarded("text", "folded", ps)) for name, ps in patterns.items()}
     folded = texts.withColumn("folded", T.folded(F.col("text")))
-    rows = folded.select("bundle_id", *[test.alias(name) for name, test in flags.items()])
-    return rows.groupBy("bundle_id").agg(*[F.max(name).alias(name) for name in flags])
+    return folded.select("bundle_id", *[test.alias(name) for name, test in flags.items()], hosts(F.col("text")).alias("hosts"))
+
+
+def signals_of(facts: DataFrame) -> DataFrame:
+    names = [c for c in facts.columns if c not in ("bundle_id", "hosts")]
+    return facts.groupBy("bundle_id").agg(*[F.max(name).alias(name) for name in names])
+
+
+def bundle_signals(texts: DataFrame) -> DataFrame:
+    """Per bundle: does any of its texts collect, send, or show a shared pattern."""
+    return signals_of(text_facts(texts))
 
 
 def data_relay(signals: DataFrame) -> DataFrame:
@@ -83,7 +93,11 @@ def data_relay(signals: DataFrame) -> DataFrame:
 
 def shared_domains(texts: DataFrame) -> DataFrame:
     """Hosts named by two bundles or more, everyday hosts left out."""
-    rows = texts.select("bundle_id", F.explode(hosts(F.col("text"))).alias("domain"))
+    return domains_of(texts.select("bundle_id", hosts(F.col("text")).alias("hosts")))
+
+
+def domains_of(facts: DataFrame) -> DataFrame:
+    rows = facts.select("bundle_id", F.explode("hosts").alias("domain"))
     pairs = rows.where(~F.col("domain").isin(*COMMON_DOMAINS)).distinct()
     return pairs.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_bundles"), F.min("bundle_id").alias("first_bundle"), F.max("bundle_id").alias("last_bundle")
@@ -161,9 +175,15 @@ def complementary_descriptions(bundles: DataFrame) -> DataFrame:
 
 
 def corpus_findings(files: DataFrame, bundles: DataFrame) -> DataFrame:
-    """The four kinds of corpus-wide findings in one shape."""
-    texts = bundle_texts(files, bundles)
-    signals = bundle_signals(texts)
+    """The four kinds of corpus-wide findings in one shape.
+
+    Texts are read once: what they show is kept as a table without them, and all four kinds follow from it and from the
+    descriptions.
+    """
+    steps = Steps(files.sparkSession, "corpus")
+    described = steps.keep(bundles.select("bundle_id", "description"), "descriptions")
+    facts = steps.keep(text_facts(bundle_texts(files, described)), "facts")
+    signals = steps.keep(signals_of(facts), "signals")
 
     def shaped(df: DataFrame, rule: str, category: str, severity: str, subject: Column) -> DataFrame:
         return df.select(
@@ -173,8 +193,8 @@ def corpus_findings(files: DataFrame, bundles: DataFrame) -> DataFrame:
 
     return (
         shaped(data_relay(signals), "CROSS_SKILL_DATA_RELAY", "Network", "High", F.lit("relay"))
-        .unionByName(shaped(shared_domains(texts), "CROSS_SKILL_SHARED_URL", "Obfuscation", "Medium", F.col("domain")))
-        .unionByName(shaped(complementary_descriptions(bundles), "CROSS_SKILL_COMPLEMENTARY_TRIGGERS", "SocialEngineering",
+        .unionByName(shaped(domains_of(facts), "CROSS_SKILL_SHARED_URL", "Obfuscation", "Medium", F.col("domain")))
+        .unionByName(shaped(complementary_descriptions(described), "CROSS_SKILL_COMPLEMENTARY_TRIGGERS", "SocialEngineering",
                             "Low", F.concat_ws(" / ", "word_a", "word_b")))
         .unionByName(shaped(shared_patterns(signals), "CROSS_SKILL_SHARED_PATTERN", "Obfuscation", "Medium", F.col("pattern")))
     )

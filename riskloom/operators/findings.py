@@ -326,5 +326,6 @@ def add_corpus_findings(findings: DataFrame, cross: DataFrame, bundles: DataFram
         F.first("confidence").alias("confidence"), F.first("analyzer").alias("analyzer"),
     )
     wanted = bundles.select("bundle_id", F.explode(F.array(*[F.lit(r) for r in CROSS_RULES])).alias("rule_id"))
-    rows = align(wanted.join(F.broadcast(types), "rule_id"))  # four rows at most, one for each of CROSS_RULES.withColumn("kind", F.lit("Security"))
+    # Four rows at most, one for each of CROSS_RULES.
+    rows = align(wanted.join(F.broadcast(types), "rule_id")).withColumn("kind", F.lit("Security"))
     return findings.unionByName(rows)
