@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of rows that go to a Python worker at once; texts take several times that in the worker and outside the heap.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_BYTES at most while a step runs; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    size = before.removesuffix("b")
+    if size.isdigit() and 0 < int(size) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Steps:
     """Tables written between the steps of one job: columnar, in the shared folder, gone with the session.
 
@@ -57,7 +78,8 @@ class Steps:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with _small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
