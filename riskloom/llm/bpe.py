@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import remembered
+
 # Unicode's white space, and the pattern that parts text before byte-level merges.
 SPACE = r"\t-\r \x85\xA0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -177,11 +179,6 @@ class Encoder:
         ]
 
 
-@lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
-    return Encoder(vocabulary(path))
-
-
 #: Characters of text encoded at a time.
 _BATCH = 1 << 20
 
@@ -203,7 +200,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary_path)
+        encoder = remembered(("bpe", vocabulary_path), lambda: Encoder(Vocabulary(vocabulary_path)))
         for batch in batches:
             rows, counts, tokens, decoded, sums = [], [], [], [], []
 

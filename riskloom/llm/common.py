@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import Steps
 
-__all__ = ["SPACES", "Steps", "table"]
+__all__ = ["SPACES", "Steps", "remembered", "table"]
 
 #: Bytes that part words, in texts as UTF-8.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -14,3 +14,19 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_REMEMBERED: dict = {}
+
+
+def remembered(key: tuple | None, make=None):
+    """What this Python worker keeps from task to task for one operator.
+
+    A worker serves the tasks of many jobs; it keeps one operator's look-up tables at a time, so that those of an
+    earlier job take no memory from a later one. A key of None keeps nothing.
+    """
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        if key is not None:
+            _REMEMBERED[key] = make()
+    return _REMEMBERED.get(key)

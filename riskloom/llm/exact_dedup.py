@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps
+from riskloom.llm.common import Steps, remembered
 
 #: Counters of a summary; also bounds the digests that are broadcast (SLOTS + 1).
 SLOTS = 1000
@@ -42,6 +42,7 @@ def misra_gries(digests, slots: int, counts: dict | None = None) -> dict:
 
 def _summaries(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         counts: dict = {}
         for batch in batches:
             counts = misra_gries(batch.column(0).to_pylist(), slots, counts)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps
+from riskloom.llm.common import Steps, remembered
 from riskloom.llm.components import components
 from riskloom.llm.words import Hashing, chunks, mixed
 
@@ -91,6 +91,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembered(None)
     for batch in batches:
         rows, sets, size = [], [], 0
         for row, s in shingle_sets(batch.column(1)):

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import Memory
-from riskloom.llm.common import Steps
+from riskloom.llm.common import Steps, remembered
 
 LENGTH = 2048
 #: A bin of which less than this share is free is emitted at once.
@@ -31,7 +30,7 @@ NEARLY = 1 / 256
 #: Items a task packs at a time, and the share of bins a round must save to be followed by another.
 ITEMS, GAIN = 50_000, 200
 #: Words whose tokens a worker remembers; a longer word is not remembered.
-REMEMBERED, SHORT = 1_000_000, 64
+REMEMBERED, SHORT = 600_000, 64
 #: Marks that are tokens of their own behind a letter or digit.
 MARKS = b".,"
 MARK_WORDS = {b".", b","}
@@ -110,11 +109,6 @@ class WordTokens:
         return out
 
 
-@lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
 def _struct(kind: str) -> str:
     return f"struct<doc_id:{kind},piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
@@ -146,7 +140,8 @@ def _table(rows: list, kind: pa.DataType) -> pa.RecordBatch:
 
 def _first_round(path: str, length: int, items_at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, number = word_tokens(path), TaskContext.get().partitionId(), 0
+        tokens = remembered(("words", path), lambda: WordTokens(path))
+        part, number = TaskContext.get().partitionId(), 0
         items: list[tuple[int, list]] = []
         for batch in batches:
             kind = batch.schema.field(0).type

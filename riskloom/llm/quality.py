@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import remembered
 from riskloom.llm.labels import labelled_sample
 from riskloom.llm.words import Hashing, chunks
 
@@ -137,6 +138,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(batch.column(1))))], names=["doc_id", "score"])
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps
+from riskloom.llm.common import Steps, remembered
 from riskloom.llm.words import Chunk, Hashing, chunks, mixed
 
 WINDOW, ANCHOR = 35, 10
@@ -71,6 +71,7 @@ def _runs(hashing: Hashing, window: int):
     powers = np.random.default_rng(17).integers(0, 2**63, window + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         for batch in batches:
             marks = np.array([mark(t.encode()) if t else 0 for t in batch.column(1).to_pylist()], dtype=np.int64)
             for chunk in chunks(batch.column(1)):

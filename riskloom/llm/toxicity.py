@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import remembered
 from riskloom.llm.labels import fold, labelled_sample
 from riskloom.llm.words import chunks, mixed
 
@@ -45,7 +46,7 @@ class Bags(NamedTuple):
 
 def bags(texts: pa.Array) -> Iterator[tuple[range, Bags]]:
     """n-grams, words and passages of some texts at a time."""
-    for chunk in chunks(texts, lower=True):
+    for chunk in chunks(texts, lower=True, most=1 << 18):  # an n-gram takes some 60 bytes while it is counted
         sizes = chunk.ends - chunk.starts + 2
         begin = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
@@ -97,22 +98,32 @@ def passage_logits(bag: Bags, gram: np.ndarray, bias: float) -> np.ndarray:
     return np.add.reduceat(gram[bag.buckets].astype(np.float64), begins) / np.diff(np.append(begins, len(bag.buckets))) + bias
 
 
+def _picked(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `at` of values, one after the other, and their sizes."""
+    n = sizes[at]
+    return values[np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)], n
+
+
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     """Vectors and softmax from labelled texts, by full-batch Adam on a loss that weighs both classes alike.
 
     A bag is linear in its words, so each distinct word's n-grams are summed once a step.
     """
     rng = np.random.default_rng(seed)
-    parts = [(span.start, bag) for span, bag in bags(pa.array(texts, pa.large_string()))]
-    ends = np.cumsum([0] + [len(bag.word) for _, bag in parts])
-    row = np.concatenate([bag.row + start for start, bag in parts])
-    passage = np.concatenate([bag.passage + at for (_, bag), at in zip(parts, ends)])
-    _, at, of = np.unique(np.concatenate([bag.word for _, bag in parts]), return_index=True, return_inverse=True)
-    sizes = np.concatenate([np.diff(bag.first) for _, bag in parts])[at]
-    starts = np.concatenate([bag.first[:-1] + offset for (_, bag), offset in zip(parts, np.cumsum([0] + [len(bag.buckets) for _, bag in parts]))])[at]
-    ids = np.concatenate([bag.buckets for _, bag in parts])[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+    parts, n = [], 0
+    for span, bag in bags(pa.array(texts, pa.large_string())):
+        word, at, of = np.unique(bag.word, return_index=True, return_inverse=True)  # each distinct word's n-grams once
+        parts.append((word, *_picked(bag.buckets, bag.first[:-1], np.diff(bag.first), at), of.astype(np.int32), bag.passage + n, bag.row + span.start))
+        n += len(bag.word)
+    words, grams, sizes, of, passages, rows = (list(x) for x in zip(*parts))
+    row, passage = np.concatenate(rows), np.concatenate(passages)
+    _, at, same = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+    offsets = np.cumsum([0] + [len(w) for w in words])
+    of = np.concatenate([same[start + o] for start, o in zip(offsets, of)]).astype(np.int32)
+    sizes = np.concatenate(sizes)
+    ids, sizes = _picked(np.concatenate(grams), np.cumsum(sizes) - sizes, sizes, at)
     begin = np.cumsum(sizes) - sizes
-    del parts
+    del parts, words, grams, passages, rows
     words = np.diff(np.append(passage, len(of)))
     counts = np.add.reduceat(sizes[of], passage)
     lead = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
@@ -198,6 +209,7 @@ def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(batch.column(1), model))], names=["doc_id", "score"])
 
@@ -210,6 +222,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         for batch in batches:
             yield batch.filter(pa.array(text_scores(batch.column(at).cast(pa.string()), model) < threshold))
 

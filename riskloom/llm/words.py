@@ -85,8 +85,8 @@ class Chunk(NamedTuple):
     bounds: np.ndarray  # place in data of each row's first byte, and their number
 
 
-def chunks(column: pa.Array, lower: bool = False) -> Iterator[Chunk]:
-    """The words of a column of texts, some texts at a time; a null text has none."""
+def chunks(column: pa.Array, lower: bool = False, most: int = _CHUNK) -> Iterator[Chunk]:
+    """The words of a column of texts, some texts of `most` bytes in all at a time; a null text has none."""
     column = column.cast(pa.large_string())
     n = len(column)
     if not n:
@@ -95,7 +95,7 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[Chunk]:
     all_data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
     i = 0
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(bounds, bounds[i] + _CHUNK, side="right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1))
         data, at = all_data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         if lower:
             data = _LOWER[data]
