@@ -4,6 +4,9 @@ The texts are written from what a rule is for. A second test holds the scan with
 regular expressions, also on letters that match others without regard to case.
 """
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from riskloom.functions import sqltext as S
@@ -162,6 +165,21 @@ def test_padding_does_not_hide_a_command(files_of):
         assert (f"no{n}", "RM_RF_ROOT") not in fired
 
 
+def test_possessive_patterns_match_the_same_texts():
+    """Against the patterns as the packs state them, on command lines put together at random."""
+    rng = random.Random(1)
+    words = (
+        "rm -r -rf -a - -fR -x.com / /; ~ ~/ $HOME ${HOME}/* '~'/* ~/* /Users/x /Users/x/ nc -l 4444 host 80 chmod 777 a+rwx +rwx -R tee "
+        "--append -- --output-error=x --output-error=a.ssh/id_ .ssh/id_rsa ~/.ssh/authorized_keys -a.ssh/id_ | ; x --foo -rf=3 1.2.3.4 0x4f 0xaf"
+    ).split()
+    patterns = [p for r in loader.builtin_rules() for p in r.patterns if loader.possessive(p) != p]
+    assert len(patterns) >= 9
+    for _ in range(20000):
+        text = rng.choice(("rm", "nc", "chmod", "sudo tee")) + " " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))
+        for p in patterns:
+            assert bool(re.search(p, text)) == bool(re.search(loader.possessive(p), text)), (p, text)
+
+
 def test_pretests_agree_with_the_bare_patterns(spark):
     """Each pattern with and without its literal test, on all texts and on look-alikes of their letters."""
     lines = sorted({line for _, hit, miss in MATRIX.values() for line in (hit + "\n" + miss).split("\n")})
