@@ -168,7 +168,6 @@ def test_complementary_pairs_against_brute_force(spark):
     words = ["collect", "send", "docker", "json", "logs", "api", "report", "json", "sql", "the"]
     rows = [(f"b{i}", " ".join(rnd.choice(words) for _ in range(5))) for i in range(25)] + [("x1", "collect send a b"), ("x2", "collect send a b")]
     got = cross_bundle.complementary_descriptions(spark.createDataFrame(rows, "bundle_id string, description string"))
-    total = got.agg(F.sum("n_pairs")).first()[0]
 
     def context(d):
         return [w for w in d.split() if w not in cross_bundle.STOP_WORDS]
@@ -176,12 +175,19 @@ def test_complementary_pairs_against_brute_force(spark):
     def has(d, ws):
         return any(w in d for w in ws)
 
-    want = sum(
-        1 for a, d in rows for b, e in rows
-        if a != b and has(d, cross_bundle.COLLECTOR_WORDS) and has(e, cross_bundle.SENDER_WORDS)
-        and sum(w in context(e) for w in context(d)) >= 2
-    )
-    assert total == want > 0
+    want = {}
+    for x in set(words) | {"a", "b"}:
+        for y in set(words) | {"a", "b"}:
+            def holds(d, twice):
+                w = context(d)
+                return x in w and y in w and (x != y or not twice or w.count(x) > 1)
+
+            if x <= y:
+                collectors = [a for a, d in rows if has(d, cross_bundle.COLLECTOR_WORDS) and holds(d, True)]
+                senders = [b for b, e in rows if has(e, cross_bundle.SENDER_WORDS) and holds(e, False)]
+                if pairs := sum(a != b for a in collectors for b in senders):
+                    want[x, y] = (len(collectors), len(senders), pairs)
+    assert {(r.word_a, r.word_b): (r.n_collectors, r.n_senders, r.n_pairs) for r in got.collect()} == want and want
 
 
 def test_hot_bundle(spark, files_of):

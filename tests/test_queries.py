@@ -8,7 +8,7 @@ from riskloom.plans.catalog import ORACLES, QUERIES
 # Empty on 200 documents; covered by the larger tables and by the fixtures of the other tests.
 MAY_BE_EMPTY = {
     "chain_download_chmod", "local_modules", "asset_findings", "file_type_breakdown", "coverage_findings",
-    "chain_laundering", "zero_width_breakdown", "zero_width_density", "complementary_descriptions", "manifest_contradictions", "facet_filters", "stream_hourly_counts", "import_featured",
+    "chain_laundering", "zero_width_breakdown", "zero_width_density", "complementary_descriptions", "manifest_contradictions", "facet_filters", "stream_hourly_counts", "import_featured", "package_siblings",
 }
 
 
