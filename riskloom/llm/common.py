@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.session import Steps
 
-__all__ = ["SPACES", "Steps", "remembered", "table"]
+__all__ = ["SPACES", "Steps", "give_back", "remembered", "table"]
 
 #: Bytes that part words, in texts as UTF-8.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -19,14 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _REMEMBERED: dict = {}
 
 
+def give_back() -> None:
+    """Memory this process has freed goes back to the system: workers share an executor's, Python shares the driver's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def remembered(key: tuple | None, make=None):
     """What this Python worker keeps from task to task for one operator.
 
     A worker serves the tasks of many jobs; it keeps one operator's look-up tables at a time, so that those of an
-    earlier job take no memory from a later one. A key of None keeps nothing.
+    earlier job take no memory from a later one. A key of None keeps nothing; it is asked for at the start of a task.
     """
     if key not in _REMEMBERED:
         _REMEMBERED.clear()
+        give_back()
         if key is not None:
             _REMEMBERED[key] = make()
     return _REMEMBERED.get(key)

@@ -120,6 +120,7 @@ def _signature_batch(ids: pa.Array, rows: list[int], sets: list[np.ndarray]) ->
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembered(None)
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             part = batch.slice(a, 1024)
@@ -151,6 +152,7 @@ def possible(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a: np
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs a, b with sizes and sketches, those the likelihood admits."""
+    remembered(None)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -224,6 +226,7 @@ def _set_of_blob(unpack: zstandard.ZstdDecompressor, blob: pa.Scalar) -> np.ndar
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprint and packed text, once for each set that the partition holds."""
+    remembered(None)
     pack, seen = zstandard.ZstdCompressor(level=1), set()
     for batch in batches:
         f1, f2, blobs = [], [], []
@@ -238,6 +241,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those whose full sets are similar enough."""
+    remembered(None)
     unpack = zstandard.ZstdDecompressor()
     known: OrderedDict[int, np.ndarray] = OrderedDict()  # a few sets: a hub's pairs follow each other
 

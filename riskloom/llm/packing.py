@@ -30,7 +30,7 @@ NEARLY = 1 / 256
 #: Items a task packs at a time, and the share of bins a round must save to be followed by another.
 ITEMS, GAIN = 50_000, 200
 #: Words whose tokens a worker remembers; a longer word is not remembered.
-REMEMBERED, SHORT = 600_000, 64
+REMEMBERED, SHORT = 800_000, 64
 #: Marks that are tokens of their own behind a letter or digit.
 MARKS = b".,"
 MARK_WORDS = {b".", b","}

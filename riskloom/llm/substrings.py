@@ -110,6 +110,7 @@ def _single_edges(hashing: Hashing, window: int):
     """k1, k2, doc_id, mark, start, whole of each edge of the runs asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
@@ -137,6 +138,7 @@ def _kept(window: int):
     """What is left of each text; and of each span the SHA-256 of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(None)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, words_n, removed, sums = [], [], [], []
@@ -188,7 +190,8 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
     steps.drop(at("runs"))
     # The first place of each run, and whether its anchor has other runs.
     kinds = steps.keep(met.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("source")), at("kinds"))
-    branching = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    # Kept, so that the join below shuffles both sides for itself and AQE can split a common anchor's partition.
+    branching = steps.keep(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), at("branching"))
 
     # Spans: repeated runs side by side that come, in step, from one source are one nonbranching path.
     sourced = met.join(kinds.where("n > 1").select("anchor", "h", "source").hint("merge"), ["anchor", "h"]).select(
@@ -209,7 +212,7 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
     spans = paths.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "source"))).alias("spans"))
 
     # Single edges where paths branch: each run once, with whether it is repeated as a whole.
-    asked = kinds.join(branching, "anchor", "left_semi").select(
+    asked = kinds.join(branching.hint("merge"), "anchor", "left_semi").select(
         F.col("source.doc_id").alias("doc_id"), _mark("source.place").alias("mark"),
         F.struct(_start("source.place").alias("start"), _edges("source.place").alias("n"), (F.col("n") > 1).alias("whole")).alias("run"),
     ).groupBy("doc_id", "mark").agg(F.collect_list("run").alias("runs"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import remembered
+from riskloom.llm.common import give_back, remembered
 from riskloom.llm.labels import fold, labelled_sample
 from riskloom.llm.words import chunks, mixed
 
@@ -33,6 +33,8 @@ WARM, STEPS, RATE, DECAY = 25, 45, 0.05, 1e-5
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 
+#: Distinct words whose n-grams are gathered at a time in training.
+_BLOCK = 1 << 14
 _VALUES = np.random.default_rng(5).integers(0, 2**63, (max(SIZES), 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -101,7 +103,13 @@ def passage_logits(bag: Bags, gram: np.ndarray, bias: float) -> np.ndarray:
 def _picked(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs `at` of values, one after the other, and their sizes."""
     n = sizes[at]
-    return values[np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)], n
+    out, filled = np.empty(int(n.sum()), dtype=values.dtype), 0
+    for a in range(0, len(at), _BLOCK):
+        some, m = at[a : a + _BLOCK], n[a : a + _BLOCK]
+        total = int(m.sum())
+        out[filled : filled + total] = values[np.arange(total) + np.repeat(starts[some] - (np.cumsum(m) - m), m)]
+        filled += total
+    return out, n
 
 
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
@@ -124,6 +132,12 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     ids, sizes = _picked(np.concatenate(grams), np.cumsum(sizes) - sizes, sizes, at)
     begin = np.cumsum(sizes) - sizes
     del parts, words, grams, passages, rows
+    blocks = [slice(a, min(a + _BLOCK, len(sizes))) for a in range(0, len(sizes), _BLOCK)]
+    grams_of = [ids[begin[b.start] : begin[b.stop - 1] + sizes[b.stop - 1]] for b in blocks]
+
+    def word_sums(gram: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(gram[g], begin[b] - begin[b.start]) for b, g in zip(blocks, grams_of)])
+
     words = np.diff(np.append(passage, len(of)))
     counts = np.add.reduceat(sizes[of], passage)
     lead = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
@@ -137,8 +151,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
     for step in range(1, WARM + STEPS + 1):
         d = softmax[:, 1] - softmax[:, 0]
-        of_words = np.add.reduceat((vectors @ d)[ids], begin)
-        sums = np.add.reduceat(of_words[of], passage)
+        sums = np.add.reduceat(word_sums(vectors @ d)[of], passage)
         share = np.zeros(len(row))  # of each passage in the loss's slope
         if step <= WARM:
             logit = np.bincount(text, weights=sums) / total + bias[1] - bias[0]
@@ -150,7 +163,9 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
             error = weight * (1 / (1 + np.exp(-np.clip(each[top] + bias[1] - bias[0], -40, 40))) - y)
             share[top] = error / counts[top]
         slope = np.bincount(of, weights=np.repeat(share, words), minlength=len(sizes))
-        g = np.bincount(ids, weights=np.repeat(slope, sizes), minlength=BUCKETS)
+        g = np.zeros(BUCKETS)
+        for b, grams in zip(blocks, grams_of):
+            g += np.bincount(grams, weights=np.repeat(slope[b], sizes[b]), minlength=BUCKETS)
         toward = vectors.T @ g
         grads = [np.outer(g, d) + DECAY * vectors, np.stack([-toward, toward], axis=1) + DECAY * softmax, np.array([-error.sum(), error.sum()])]
         for p, grad, (m, v) in zip((vectors, softmax, bias), grads, state):
@@ -158,7 +173,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
             v += 0.001 * (grad * grad - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # THRESHOLD is put in the middle of the widest range of cuts that part the two classes best.
-    each = np.add.reduceat(np.add.reduceat((vectors @ (softmax[:, 1] - softmax[:, 0]))[ids], begin)[of], passage) / counts
+    each = np.add.reduceat(word_sums(vectors @ (softmax[:, 1] - softmax[:, 0]))[of], passage) / counts
     bias[1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(np.maximum.reduceat(each, lead), y) - (bias[1] - bias[0])
     return Model(vectors, softmax, bias)
 
@@ -201,7 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, i
     if len({y for text, y in sample if text.strip()}) < 2:
         return Scorer(np.zeros(BUCKETS, dtype=np.float32), prior, prior)
     sample = [(text, y) for text, y in sample if text.strip(" \t\n\x0b\x0c\r")]
-    return Scorer(*train([t for t, _ in sample], [y for _, y in sample]).logits(), prior)
+    scorer = Scorer(*train([t for t, _ in sample], [y for _, y in sample]).logits(), prior)
+    give_back()
+    return scorer
 
 
 def score_documents(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
