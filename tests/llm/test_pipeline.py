@@ -5,7 +5,7 @@ from riskloom.llm import toxicity
 from riskloom.llm.common import table
 from riskloom.llm.labels import fold
 from test_dedup import near_oracle, passage_oracle, words
-from test_queries import check_packing
+from test_op_queries import check_packing
 
 
 def rows_of(df):
