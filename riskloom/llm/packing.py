@@ -12,6 +12,7 @@ are packed as rows of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,9 @@ REMEMBERED, SHORT = 800_000, 64
 #: Marks that are tokens of their own behind a letter or digit.
 MARKS = b".,"
 MARK_WORDS = {b".", b","}
+#: Where lower case may not come first: NFC may join a capital to what follows otherwise than its small letter, and the
+#: vocabulary's own marks stand for themselves in the raw text.
+CASED, SPECIAL = re.compile(rb"[A-Z][\x80-\xff]"), b"<|"
 #: The id that ends a document.
 END = (0).to_bytes(4, "little")
 
@@ -59,6 +63,13 @@ def best_fit(sizes: list[int], length: int) -> list[int]:
     return placed
 
 
+def folded(text: bytes) -> list[bytes]:
+    """Words of a text, in lower case where that leaves their tokens as they are; fewer words are distinct then."""
+    if SPECIAL not in text and (text.isascii() or not CASED.search(text)):
+        return text.lower().split()
+    return [w.lower() if w.isascii() and SPECIAL not in w else w for w in text.split()]
+
+
 class WordTokens:
     """Token ids of texts, word by word.
 
@@ -92,9 +103,9 @@ class WordTokens:
         """Ids of each text and id 0.
 
         A word met for the first time is looked up without the point or comma behind its last letter or digit: the
-        vocabulary splits there too, so the tokens are the same and fewer words are distinct. It lower-cases as well.
+        vocabulary splits there too, so the tokens are the same and fewer words are distinct.
         """
-        words = [(t or "").encode().lower().split() for t in texts]
+        words = [folded((t or "").encode()) for t in texts]
         absent = self.words.absent(set().union(*words))
         cores = [w[:-1] if w[-1] in MARKS and w[-2:-1].isalnum() else w for w in absent]
         found = dict(self.tokenized(self.cores.absent(MARK_WORDS.union(cores))))
