@@ -6,10 +6,11 @@ import ctypes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.session import Steps
 
-__all__ = ["SPACES", "Steps", "give_back", "remembered", "table"]
+__all__ = ["SPACES", "Steps", "give_back", "numbered", "remembered", "table"]
 
 #: Bytes that part words, in texts as UTF-8.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -19,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, steps: Steps) -> tuple[DataFrame, str]:
+    """docs written once with a 64-bit number for each row, and that column's name, which docs does not have.
+
+    Numbers are given while the table is written and are the same for all that read it: ids may be null or repeated.
+    """
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return steps.keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 _REMEMBERED: dict = {}
 
 

@@ -15,7 +15,7 @@ verified where they meet, and only links that join two components leave the task
 a band is missed only if the likelihood test, at a deviation beyond four standard errors, is wrong.
 
 Null and empty texts, and texts without words, have no set and are linked with nothing. Rows equal in id are not told
-apart in component_id and kept. Ids may be null; they count as larger than all others. Only id and text are read.
+apart in component_id and kept; drop_near_copies tells them apart. Ids may be null; they count as larger than all others. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps, remembered
+from riskloom.llm.common import Steps, numbered, remembered
 from riskloom.llm.components import components
 from riskloom.llm.words import Hashing, chunks, mixed
 
@@ -376,6 +376,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_groups does not keep; ids must be unique. Rows keep all their columns."""
-    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs with one row of each component, that of the smallest id (nulls last). Rows keep all their columns.
+
+    Rows are told apart by a number of their own: ids may be null or repeated, and of equal ids one row stays.
+    """
+    rows, row = numbered(docs, Steps(docs.sparkSession, "near-stage"))
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    groups = near_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text")
+    return rows.join(groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), row, "left_anti").drop(row)

@@ -67,6 +67,19 @@ def test_exact(spark, corpus):
     assert kept.columns == unique.columns and kept.count() == len({"".join(words(t)) for _, t in corpus})
 
 
+def test_stages_drop_rows_not_ids(spark):
+    rng = random.Random(11)
+    t, a, b = (prose(rng, 40) for _ in range(3))
+    rows = [(3, t), (3, t), (None, a), (None, b)]
+    for stage in (exact_dedup.drop_copies, near_dedup.drop_near_copies):
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in stage(table(spark, rows)).collect())
+        assert got == sorted([(3, t), (0, a), (0, b)])
+        # A null id linked to a smaller id, nulls linked to each other, an id whose other row is clean.
+        more = rows + [(None, t), (None, a), (1, t), (3, "clean")]
+        got = sorted((r["doc_id"] or 0, r["text"]) for r in stage(table(spark, more)).collect())
+        assert got == sorted([(1, t), (3, "clean"), (0, a), (0, b)])
+
+
 def test_misra_gries_bound():
     rng = random.Random(1)
     rows = [min(rng.randrange(60), rng.randrange(60)) for _ in range(3000)]
