@@ -12,14 +12,14 @@ verified: all places that a span is said to come from must give the same SHA-256
 texts with equal 128-bit hashes) the work is done again with other hashes.
 
 Words are the runs of characters other than [\\x20\\x09-\\x0D], unchanged. A null or empty text has no words; a text of
-fewer than WINDOW words has no edge and loses none. Rows of one id are told apart by their text; rows equal in both
-repeat each other, so each of their windows stands twice. Other columns are not read.
+fewer than WINDOW words has no edge and loses none. Rows are told apart by a 64-bit number that each gets when the input
+is written for the job, whatever their ids; rows equal in id and text repeat each other, so each of their windows stands
+twice. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps, remembered
+from riskloom.llm.common import Steps, numbered, remembered
 from riskloom.llm.words import Chunk, Hashing, chunks, mixed
 
 WINDOW, ANCHOR = 35, 10
-#: A place is start << 32 | runs' edges << 26 | mark of the text. Marks tell texts of one id apart.
-_MARK = (1 << 26) - 1
+#: A place is start << 32 | run's edges, both below 2 ** 31.
+_EDGES = (1 << 31) - 1
 SEEDS = (100, 200, 300)
 
 
-def mark(text: bytes) -> int:
-    return zlib.crc32(text) & _MARK
-
-
 class Edges:
     """Hashes of a chunk's words, anchors and windows."""
 
@@ -67,13 +63,12 @@ class Edges:
 
 
 def _runs(hashing: Hashing, window: int):
-    """anchor, hash, doc_id, place of each run of windows with one anchor."""
+    """anchor, hash, row, place of each run of windows with one anchor."""
     powers = np.random.default_rng(17).integers(0, 2**63, window + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered(None)
         for batch in batches:
-            marks = np.array([mark(t.encode()) if t else 0 for t in batch.column(1).to_pylist()], dtype=np.int64)
             for chunk in chunks(batch.column(1)):
                 e = Edges(chunk, hashing, window)
                 if not len(e.at):
@@ -86,36 +81,33 @@ def _runs(hashing: Hashing, window: int):
                 whole = mixed(np.add.reduceat(e.full * powers[inside], first) + edges.astype(np.uint64))
                 row = e.row[first] + chunk.rows.start
                 start = e.at[first] - chunk.first[e.row[first]]
-                place = (start << 32) | (edges << 26) | marks[row]
+                place = (start << 32) | edges
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(e.anchor[first].view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(place)],
-                    names=["anchor", "h", "doc_id", "place"],
+                    names=["anchor", "h", "row", "place"],
                 )
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd: the bytes of a text are shuffled by id twice, packed they are half as many."""
+    """Texts as zstd: the bytes of a text are shuffled by row twice, packed they are half as many."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([mark(t) for t in raw], pa.int64()), pa.array([pack.compress(t) for t in raw], pa.binary())],
-            names=["doc_id", "mark", "blob"],
-        )
+        blobs = [pack.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["row", "doc_id", "blob"])
 
 
 def _single_edges(hashing: Hashing, window: int):
-    """k1, k2, doc_id, mark, start, whole of each edge of the runs asked for."""
+    """k1, k2, row, start, whole of each edge of the runs asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered(None)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                text = unpack.decompress(batch.column(2)[i].as_py())
-                asked = batch.column(3).slice(i, 1).flatten()
+                text = unpack.decompress(batch.column(1)[i].as_py())
+                asked = batch.column(2).slice(i, 1).flatten()
                 first, n, whole = (np.asarray(asked.field(k)) for k in range(3))
                 for chunk in chunks(pa.array([text.decode()], pa.large_string())):
                     e = Edges(chunk, hashing, window)
@@ -125,10 +117,10 @@ def _single_edges(hashing: Hashing, window: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(e.anchor[each].view(np.int64)), pa.array(e.full[each].view(np.int64)),
-                            batch.column(0).take(pa.array(np.full(len(each), i))), batch.column(1).take(pa.array(np.full(len(each), i))),
+                            batch.column(0).take(pa.array(np.full(len(each), i))),
                             pa.array(each.astype(np.int32)), pa.array(np.repeat(whole, lengths)),
                         ],
-                        names=["k1", "k2", "doc_id", "mark", "start", "whole"],
+                        names=["k1", "k2", "row", "start", "whole"],
                     )
 
     return run
@@ -171,79 +163,62 @@ def _start(place: str) -> F.Column:
 
 
 def _edges(place: str) -> F.Column:
-    return F.shiftright(place, 26).bitwiseAND(F.lit(63)).cast("int")
-
-
-def _mark(place: str) -> F.Column:
-    return F.col(place).bitwiseAND(F.lit(_MARK))
+    return F.col(place).bitwiseAND(F.lit(_EDGES)).cast("int")
 
 
 def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> DataFrame | None:
-    """result(kept texts) as a table, or None if the spans' words did not bear out their hashes."""
+    """result(kept texts) of row, doc_id, text as a table, or None if the spans' words did not bear out their hashes."""
     hashing = Hashing(seed)
     kind = rows.schema["doc_id"].dataType.simpleString()
     at = lambda name: f"{seed}-{name}"
-    runs = steps.keep(rows.mapInArrow(_runs(hashing, window), f"anchor long, h long, doc_id {kind}, place long"), at("runs"))
+    runs = steps.keep(rows.select("row", "text").mapInArrow(_runs(hashing, window), "anchor long, h long, row long, place long"), at("runs"))
     # Anchors that stand once hold no repeated edge: three quarters of the runs of ordinary prose go here.
     again = steps.keep(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), at("anchors"))
     met = steps.keep(runs.join(again.hint("merge"), "anchor"), at("met"))
     steps.drop(at("runs"))
     # The first place of each run, and whether its anchor has other runs.
-    kinds = steps.keep(met.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("source")), at("kinds"))
+    kinds = steps.keep(met.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("source")), at("kinds"))
     # Kept, so that the join below shuffles both sides for itself and AQE can split a common anchor's partition.
     branching = steps.keep(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), at("branching"))
 
     # Spans: repeated runs side by side that come, in step, from one source are one nonbranching path.
     sourced = met.join(kinds.where("n > 1").select("anchor", "h", "source").hint("merge"), ["anchor", "h"]).select(
-        "doc_id", _mark("place").alias("mark"), _start("place").alias("start"), _edges("place").alias("edges"),
-        F.col("source.doc_id").alias("from_id"), _mark("source.place").alias("from_mark"), _start("source.place").alias("from_start"),
+        "row", _start("place").alias("start"), _edges("place").alias("edges"), F.col("source.row").alias("from_row"), _start("source.place").alias("from_start"),
     )
-    order = Window.partitionBy("doc_id", "mark").orderBy("start")
+    order = Window.partitionBy("row").orderBy("start")
     before = lambda c: F.lag(c).over(order)
     goes_on = (
-        (F.col("start") == before("start") + before("edges")) & F.col("from_id").eqNullSafe(before("from_id"))
-        & (F.col("from_mark") == before("from_mark")) & (F.col("from_start") == before("from_start") + before("edges"))
+        (F.col("start") == before("start") + before("edges")) & (F.col("from_row") == before("from_row"))
+        & (F.col("from_start") == before("from_start") + before("edges"))
     )
-    # A row that is listed twice has each run twice; that ends a span early and changes no word's fate.
-    paths = sourced.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "mark", "path").agg(
+    paths = sourced.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "path").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("edges") + (window - 1)).alias("end"),
-        F.min_by(F.struct("from_id", "from_mark", "from_start"), "start").alias("source"),
+        F.min_by(F.struct("from_row", "from_start"), "start").alias("source"),
     )
-    spans = paths.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "source"))).alias("spans"))
+    spans = paths.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "source"))).alias("spans"))
 
     # Single edges where paths branch: each run once, with whether it is repeated as a whole.
     asked = kinds.join(branching.hint("merge"), "anchor", "left_semi").select(
-        F.col("source.doc_id").alias("doc_id"), _mark("source.place").alias("mark"),
+        F.col("source.row").alias("row"),
         F.struct(_start("source.place").alias("start"), _edges("source.place").alias("n"), (F.col("n") > 1).alias("whole")).alias("run"),
-    ).groupBy("doc_id", "mark").agg(F.collect_list("run").alias("runs"))
-    packed = rows.mapInArrow(_packed, f"doc_id {kind}, mark long, blob binary")
-
-    def beside(left: DataFrame, right: DataFrame, how: str, *columns: str) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.mark") == F.col("y.mark"))
-        return x.join(y, same, how).select("x.*", *[F.col(f"y.{c}") for c in columns])
-
-    wanted = beside(packed, asked, "inner", "runs")
+    ).groupBy("row").agg(F.collect_list("run").alias("runs"))
+    packed = rows.select("row", "doc_id", "text").mapInArrow(_packed, f"row long, doc_id {kind}, blob binary")
+    wanted = packed.select("row", "blob").join(asked, "row")
     singles = steps.keep(
-        wanted.select("doc_id", "mark", "blob", "runs").mapInArrow(
-            _single_edges(hashing, window), f"k1 long, k2 long, doc_id {kind}, mark long, start int, whole boolean"
-        ),
-        at("singles"),
+        wanted.select("row", "blob", "runs").mapInArrow(_single_edges(hashing, window), "k1 long, k2 long, row long, start int, whole boolean"), at("singles")
     )
     # Of a repeated edge one run at most is not known to be repeated already, or it stands in several.
     twice = steps.keep(
         singles.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("whole").alias("known")).where("n > 1 and not known").select("k1", "k2"), at("twice")
     )
-    starts = singles.where("not whole").join(twice.hint("merge"), ["k1", "k2"]).groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts"))
+    starts = singles.where("not whole").join(twice.hint("merge"), ["k1", "k2"]).groupBy("row").agg(F.collect_set("start").alias("starts"))
 
-    every = beside(beside(packed, spans, "left", "spans"), starts, "left", "starts")
-    done = every.select(
+    done = packed.join(spans, "row", "left").join(starts, "row", "left").select(
         "doc_id", "blob", F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias("spans"), "starts",
-        F.transform("spans", lambda s: F.struct(s["source"]["from_id"].alias("id"), s["source"]["from_mark"].alias("mark"), s["source"]["from_start"].alias("start"), (s["end"] - s["start"]).alias("words"))).alias("sources"),
+        F.transform("spans", lambda s: F.struct(s["source"]["from_row"].alias("row"), s["source"]["from_start"].alias("start"), (s["end"] - s["start"]).alias("words"))).alias("sources"),
     ).mapInArrow(
         _kept(window),
-        f"doc_id {kind}, n_words long, n_removed long, kept_text string, digests array<binary>, "
-        f"sources array<struct<id:{kind},mark:bigint,start:int,words:int>>",
+        f"doc_id {kind}, n_words long, n_removed long, kept_text string, digests array<binary>, sources array<struct<row:bigint,start:int,words:int>>",
     )
     out = steps.keep(result(done), at("result"))
     claims = out.select(F.explode(F.arrays_zip("digests", "sources")).alias("c")).groupBy("c.sources").agg(
@@ -255,7 +230,11 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
 def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, result=lambda done: done) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row. `result` may narrow the columns but for digests and sources."""
     steps = Steps(docs.sparkSession, "substring-dedup")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, row = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), steps)
+    return _removed(rows.withColumnRenamed(row, "row"), steps, window, result)
+
+
+def _removed(rows: DataFrame, steps: Steps, window: int, result) -> DataFrame:
     for seed in SEEDS:
         out = _once(rows, steps, seed, window, result)
         if out is not None:

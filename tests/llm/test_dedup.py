@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -162,6 +163,27 @@ def test_substring_stage_keeps_columns_and_clean_texts(spark, corpus):
     assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
 
 
+def test_substrings_of_texts_with_one_crc(spark):
+    """Two texts of one id that agree in the low 26 bits of their CRC-32, and windows of very many words."""
+    rng, crc, pair = random.Random(13), {}, None
+    base = prose(rng, 80)
+    for k in range(200_000):
+        t = f"{base} {prose(rng, 1) * (k % 2)} {k}" if k % 2 else f"w{k} {base[:40]}"
+        other = crc.setdefault((zlib.crc32(t.encode()) & ((1 << 26) - 1)), t)
+        if other != t and len(words(other)) > 40 > len(words(t)) or other != t and len(words(t)) > 40 > len(words(other)):
+            pair = (other, t)
+            break
+    assert pair
+    rows = [(None, pair[0]), (None, pair[1]), (1, base)]
+    got = [tuple(r) for r in substrings.removed_passages(table(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+    key = lambda r: (str(r[0]), r[1:])
+    assert sorted(got, key=key) == sorted(passage_oracle(rows), key=key)
+    block = prose(rng, 400)
+    long = [(1, block + " " + prose(rng, 30)), (2, prose(rng, 10) + " " + block), (3, block[:600])]
+    got = [tuple(r) for r in substrings.removed_passages(table(spark, long), window=150).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+    assert sorted(got) == sorted(passage_oracle(long, 150))
+
+
 def test_substrings_of_random_repeats(spark):
     """Few distinct words, so windows overlap, branch and repeat within a text."""
     rng = random.Random(9)
