@@ -243,12 +243,15 @@ def _removed(rows: DataFrame, steps: Steps, window: int, result) -> DataFrame:
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
-    """docs with what is left of their texts; texts that lose nothing stay as they are. Ids must be unique."""
-    changed = removed_passages(docs, id_col, text_col, window, lambda d: d.where("n_removed > 0 or size(digests) > 0"))
+    """docs with what is left of their texts; texts that lose nothing stay as they are. Ids may be null or repeated."""
+    steps = Steps(docs.sparkSession, "substring-stage")
+    own_rows, row = numbered(docs, steps)
+    rows = own_rows.select(F.col(row).alias("row"), F.col(row).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    changed = _removed(rows, steps, window, lambda d: d.where("n_removed > 0 or size(digests) > 0"))
     cut = changed.where("n_removed > 0").select("doc_id", "kept_text").alias("c")
-    d = docs.alias("d")
+    d = own_rows.alias("d")
     own = lambda c: F.col(f"d.`{c}`")  # noqa: E731  whatever the names of other columns
-    both = d.join(cut, own(id_col).eqNullSafe(F.col("c.doc_id")), "left")
+    both = d.join(cut, own(row) == F.col("c.doc_id"), "left")
     left = F.col("c.kept_text")
     new = {text_col: F.coalesce(left, own(text_col))}
     if count_col in docs.columns:

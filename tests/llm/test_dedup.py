@@ -163,6 +163,15 @@ def test_substring_stage_keeps_columns_and_clean_texts(spark, corpus):
     assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
 
 
+def test_substring_stage_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 50)
+    texts = [prose(rng, 20) + " " + passage + " " + prose(rng, 20) for _ in range(4)] + ["clean  one", prose(rng, 60), None]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:1] + texts[4:]] + [(8, texts[0])]
+    want = [(i or 0, (kept if gone else t) or "") for (i, t), (_, _, gone, kept) in zip(rows, passage_oracle(rows))]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in substrings.drop_passages(table(spark, rows)).collect()) == sorted(want)
+
+
 def test_substrings_of_texts_with_one_crc(spark):
     """Two texts of one id that agree in the low 26 bits of their CRC-32, and windows of very many words."""
     rng, crc, pair = random.Random(13), {}, None
