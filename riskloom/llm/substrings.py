@@ -7,8 +7,9 @@ Edges are not moved one by one. All edges that share one anchor, the ANCHOR-word
 window (leftmost of equal ones), are a nonbranching piece of path already and travel as one run. Joins on the anchor
 and on the run's hash show which runs stand elsewhere as a whole. Runs whose anchor has other surroundings elsewhere
 branch: only for those are single edges compared. Repeated runs that follow each other in a document as they do at
-the place where they stand first (their source coordinates) are compacted into one long span, and each span is
-verified: all places that a span is said to come from must give the same SHA-256 of the words. If one differs (two
+the place where they stand first (their source coordinates) are compacted into one long span, and spans
+that name the same source row, start and length must give the same SHA-256 of the words; a span that alone names its
+source, and single edges, rest on their hashes. If one differs (two
 texts with equal 128-bit hashes) the work is done again with other hashes.
 
 Words are the runs of characters other than [\\x20\\x09-\\x0D], unchanged. A null or empty text has no words; a text of
