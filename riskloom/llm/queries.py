@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, exact_dedup, lines, near_dedup, packing, quality, sharding, substrings, topk, toxicity
+from riskloom.llm import bpe, exact_dedup, fim, langid, lines, merkle, near_dedup, packing, quality, sharding, substrings, topk, toxicity
 from riskloom.llm.common import table
 from riskloom.llm.labels import fold
 
@@ -189,3 +189,102 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Trained models are beyond SQL; tests/llm measure both on held-out rows.
 for _query in (op2_toxicity, op10_quality_classifier):
     QUERIES[_query.__name__] = _query
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) AS d FROM u
+), k AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+              WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS y, coalesce(array_to_string(u[b + 1:n], ''), '') AS z FROM k
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    done = made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return done.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         -- CRC-32 bit by bit: a number is a byte to mix in, -1 a shift.
+         xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS crc
+  FROM documents
+), d AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN crc % 3 = 0 THEN translate(text, '{merkle.UPPER}', '{merkle.LOWER}') ELSE text END, '-')) AS bad
+  FROM b
+), r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM d),
+n AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS h, total FROM r
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(total) + 7) // 8 FROM n WHERE total > 1 GROUP BY tree, lvl, pos // 8
+), s AS (SELECT tree, h AS subroot, lvl AS height, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total FROM n WHERE total = 1),
+m AS (
+  SELECT 0 AS lvl, place AS pos, subroot AS h, total FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(total) + 7) // 8 FROM m WHERE total > 1 GROUP BY lvl, pos // 8
+), a AS (SELECT tree, lvl, pos, h, total FROM n UNION ALL SELECT NULL, lvl, pos, h, total FROM m),
+f AS (
+  SELECT tree, lvl, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM a WHERE total > 1 WINDOW w AS (PARTITION BY tree, lvl, pos // 8 ORDER BY pos)
+), g AS (
+  SELECT doc_id, leaf, tree, 0 AS lvl, pos, bad AS node, '' AS proof FROM r
+  UNION ALL
+  SELECT doc_id, leaf, g.tree, g.lvl + 1, g.pos // 8, sha256(f.l || node || f.r), proof || f.l || f.r
+  FROM g JOIN f ON g.tree = f.tree AND g.lvl = f.lvl AND g.pos = f.pos
+), e AS (
+  SELECT doc_id, leaf, subroot, 0 AS lvl, place AS pos, node, proof FROM g JOIN s ON g.tree = s.tree AND g.lvl = s.height
+  UNION ALL
+  SELECT doc_id, leaf, subroot, e.lvl + 1, e.pos // 8, sha256(f.l || node || f.r), proof || f.l || f.r
+  FROM e JOIN f ON f.tree IS NULL AND e.lvl = f.lvl AND e.pos = f.pos
+)
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = h AS verified
+FROM e JOIN m ON m.total = 1 AND e.lvl = m.lvl
+"""
+
+for _query, _sql in ((op11_fill_in_middle, OP11_SQL), (op12_merkle_manifest, OP12_SQL)):
+    QUERIES[_query.__name__] = _query
+    ORACLES[_query.__name__] = _sql
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold("doc_id", 5) != 0)
+    return langid.identify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
+# A trained model; tests/llm hold it against a brute-force version.
+QUERIES[op13_language_id.__name__] = op13_language_id
