@@ -72,12 +72,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.col(id_col).alias("doc_id"),
             F.char_length(F.coalesce(text, F.lit(""))).alias("points"),
             F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256)).alias("digest"),
+            # Written with the table: however its files are split when it is read again, a row keeps its number.
+            F.monotonically_increasing_id().alias("row"),
         ),
         "digests",
     )
-    # An order without ties: partition and place in the written table tell wholly equal rows apart.
+    # An order without ties: the number tells wholly equal rows apart.
     order = F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    ranked = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("best", order)
+    ranked = rows.withColumn("best", order)
     heavy = steps.keep(frequent(rows, rows.count(), slots), "heavy")
 
     held = ranked.join(F.broadcast(heavy), "digest")  # at most slots + 1 rows, see frequent()

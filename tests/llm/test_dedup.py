@@ -81,6 +81,27 @@ def test_stages_drop_rows_not_ids(spark):
         assert got == sorted([(1, t), (3, "clean"), (0, a), (0, b)])
 
 
+@pytest.mark.parametrize("slots", [2, 1000])
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, slots):
+    """Executors that join or leave between building a result and reading it change how files are split."""
+    texts = [f"text {i % 20} " + "x" * (i % 20) for i in range(200)]
+    docs = table(spark, list(enumerate(texts)))
+    names = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1g", "spark.sql.files.maxPartitionBytes": "1g"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        groups, left = exact_dedup.exact_groups(docs, slots=slots), exact_dedup.drop_copies(docs, slots=slots)
+        for n, v in {"spark.sql.files.minPartitionNum": "64", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "200"}.items():
+            spark.conf.set(n, v)
+        kept = sorted(r["doc_id"] for r in groups.collect() if r["kept"])
+        assert kept == list(range(20))
+        assert sorted(r["doc_id"] for r in left.collect()) == list(range(20))
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def test_misra_gries_bound():
     rng = random.Random(1)
     rows = [min(rng.randrange(60), rng.randrange(60)) for _ in range(3000)]
