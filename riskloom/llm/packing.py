@@ -12,7 +12,6 @@ are packed as rows of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import Memory
 from riskloom.llm.common import Steps, remembered
+from riskloom.llm.words import LOWER, SOLID, Chunk, chunks
 
 LENGTH = 2048
 #: A bin of which less than this share is free is emitted at once.
@@ -35,9 +35,9 @@ REMEMBERED, SHORT = 800_000, 64
 #: Marks that are tokens of their own behind a letter or digit.
 MARKS = b".,"
 MARK_WORDS = {b".", b","}
-#: Where lower case may not come first: NFC may join a capital to what follows otherwise than its small letter, and the
-#: vocabulary's own marks stand for themselves in the raw text.
-CASED, SPECIAL = re.compile(rb"[A-Z][\x80-\xff]"), b"<|"
+#: Bytes of text whose words are told apart at a time.
+TEXT = 1 << 21
+_AT_ONCE = 1 << 18
 #: The id that ends a document.
 END = (0).to_bytes(4, "little")
 
@@ -63,11 +63,29 @@ def best_fit(sizes: list[int], length: int) -> list[int]:
     return placed
 
 
-def folded(text: bytes) -> list[bytes]:
-    """Words of a text, in lower case where that leaves their tokens as they are; fewer words are distinct then."""
-    if SPECIAL not in text and (text.isascii() or not CASED.search(text)):
-        return text.lower().split()
-    return [w.lower() if w.isascii() and SPECIAL not in w else w for w in text.split()]
+def folded(chunk: Chunk) -> np.ndarray:
+    """The chunk's bytes in lower case where that leaves the tokens of their words as they are; fewer words are distinct then.
+
+    Words stay as written in which a capital stands before a byte beyond ASCII (NFC may join it to what follows otherwise
+    than its small letter), and in which `<|` stands: the vocabulary's own marks stand for themselves in the raw text.
+    """
+    data = chunk.data
+    lower = LOWER[data]
+    cased = (lower[:-1] != data[:-1]) & (data[1:] >= 128)
+    marked = (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    for w in np.unique(np.searchsorted(chunk.starts, np.flatnonzero(cased | marked), side="right") - 1).tolist():
+        if w >= 0:
+            word = slice(chunk.starts[w], chunk.ends[w])
+            lower[word] = data[word]
+    return lower
+
+
+def distinct(chunk: Chunk) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a chunk, and for each of its words which one it is."""
+    data = folded(chunk)[SOLID[chunk.data]]
+    ends = np.concatenate([[0], np.cumsum(chunk.ends - chunk.starts)])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk.starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
 
 
 class WordTokens:
@@ -99,26 +117,47 @@ class WordTokens:
                 for word, x, y in zip(group, cuts, cuts[1:]):
                     yield word, ids[x:y].tobytes()
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and id 0.
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some different words.
 
         A word met for the first time is looked up without the point or comma behind its last letter or digit: the
         vocabulary splits there too, so the tokens are the same and fewer words are distinct.
         """
-        words = [folded((t or "").encode()) for t in texts]
-        absent = self.words.absent(set().union(*words))
+        absent = self.words.absent(set(words))
         cores = [w[:-1] if w[-1] in MARKS and w[-2:-1].isalnum() else w for w in absent]
         found = dict(self.tokenized(self.cores.absent(MARK_WORDS.union(cores))))
         of_core = self.cores.young
         of_core.update(found)
         known = self.words.young
         known.update([(w, of_core[c] if c is w else of_core[c] + of_core[w[-1:]]) for w, c in zip(absent, cores)])
-        out = [b"".join(map(known.__getitem__, ws)) + END for ws in words]
+        out = [known[w] for w in words]
         for memory in (of_core, known):  # a very long word is not remembered beyond its batch
             for w in [w for w in (absent if memory is known else found) if len(w) > SHORT]:
                 memory.pop(w, None)
         return out
 
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text and id 0; a null text counts as empty."""
+        for chunk in chunks(texts, most=TEXT):
+            if not len(chunk.starts):
+                yield from [END] * len(chunk.rows)
+                continue
+            words, which = distinct(chunk)
+            of_word = self.of_words(words)
+            sizes = np.fromiter(map(len, of_word), dtype=np.int64, count=len(words)) // 4
+            tokens, begins = np.frombuffer(b"".join(of_word), dtype="<u4"), np.cumsum(sizes) - sizes
+            # Ends of texts in tokens; then the texts' tokens, some words at a time.
+            ends = np.concatenate([[0], np.cumsum(sizes[which])])[chunk.first].tolist()
+            out = np.empty(ends[-1], dtype="<u4")
+            filled = 0
+            for a in range(0, len(which), _AT_ONCE):
+                some = which[a : a + _AT_ONCE]
+                n = sizes[some]
+                total = int(n.sum())
+                out[filled : filled + total] = tokens[np.arange(total) + np.repeat(begins[some] - (np.cumsum(n) - n), n)]
+                filled += total
+            yield from (out[x:y].tobytes() + END for x, y in zip(ends, ends[1:]))
+
 
 def _struct(kind: str) -> str:
     return f"struct<doc_id:{kind},piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -156,18 +195,10 @@ def _first_round(path: str, length: int, items_at_once: int):
         items: list[tuple[int, list]] = []
         for batch in batches:
             kind = batch.schema.field(0).type
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(ids):
-                end, size = at, 0
-                while end < len(ids) and (end == at or size < 1 << 20):
-                    size += len(texts[end] or "")
-                    end += 1
-                for doc, all_ids in zip(ids[at:end], tokens.ids(texts[at:end])):
-                    for piece, start in enumerate(range(0, len(all_ids) // 4, length)):
-                        cut = all_ids[4 * start : 4 * (start + length)]
-                        items.append((len(cut) // 4, [(doc, piece, start, len(cut) // 4, zlib.crc32(cut))]))
-                at = end
+            for doc, all_ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
+                for piece, start in enumerate(range(0, len(all_ids) // 4, length)):
+                    cut = all_ids[4 * start : 4 * (start + length)]
+                    items.append((len(cut) // 4, [(doc, piece, start, len(cut) // 4, zlib.crc32(cut))]))
                 while len(items) >= items_at_once:
                     rows = list(_bins(items[:items_at_once], length, number, part))
                     number, items = number + len(rows), items[items_at_once:]

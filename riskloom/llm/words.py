@@ -14,10 +14,10 @@ import pyarrow as pa
 
 from riskloom.llm.common import SPACES
 
-_SOLID = np.ones(256, dtype=bool)
-_SOLID[list(SPACES)] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+SOLID = np.ones(256, dtype=bool)
+SOLID[list(SPACES)] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 #: Positions in a word whose factors differ; longer words take them round again.
 _CYCLE = 1 << 16
 #: Bytes of text, and words, worked on at a time; a longer text is one chunk of its own.
@@ -98,8 +98,8 @@ def chunks(column: pa.Array, lower: bool = False, most: int = _CHUNK) -> Iterato
         j = min(n, max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1))
         data, at = all_data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         if lower:
-            data = _LOWER[data]
-        solid = _SOLID[data]
+            data = LOWER[data]
+        solid = SOLID[data]
         starts, ends = solid.copy(), solid.copy()
         starts[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
