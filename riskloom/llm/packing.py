@@ -33,10 +33,9 @@ ITEMS, GAIN = 50_000, 200
 #: Words whose tokens a worker remembers; a longer word is not remembered.
 REMEMBERED, SHORT = 800_000, 64
 #: Marks that are tokens of their own behind a letter or digit.
-MARKS = b".,"
-MARK_WORDS = {b".", b","}
+_MARK, _ALNUM = (np.array([bytes([b]) in some for b in range(256)]) for some in ((b".", b","), [bytes([b]) for b in range(128) if bytes([b]).isalnum()]))
 #: Bytes of text whose words are told apart at a time.
-TEXT = 1 << 21
+TEXT = 1 << 22
 _AT_ONCE = 1 << 18
 #: The id that ends a document.
 END = (0).to_bytes(4, "little")
@@ -80,20 +79,31 @@ def folded(chunk: Chunk) -> np.ndarray:
     return lower
 
 
-def distinct(chunk: Chunk) -> tuple[list[bytes], np.ndarray]:
-    """The different words of a chunk, and for each of its words which one it is."""
-    data = folded(chunk)[SOLID[chunk.data]]
-    ends = np.concatenate([[0], np.cumsum(chunk.ends - chunk.starts)])
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk.starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy()
+def distinct(chunk: Chunk) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of a chunk, for each of its words which one it is, and where each text's words begin.
+
+    A point or comma behind a word's last letter or digit is a word of its own here: the vocabulary splits there too, so
+    the tokens are the same and fewer words are distinct.
+    """
+    data, sizes = folded(chunk), chunk.ends - chunk.starts
+    last = chunk.ends - 1
+    marked = _MARK[data[last]] & _ALNUM[data[last - 1]] & (sizes > 1)
+    parts = 1 + marked
+    sizes = np.repeat(sizes, parts)
+    ends = np.cumsum(parts)
+    sizes[ends[marked] - 2] -= 1
+    sizes[ends[marked] - 1] = 1
+    places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(data[SOLID[chunk.data]])]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), np.concatenate([[0], ends])[chunk.first]
 
 
 class WordTokens:
     """Token ids of texts, word by word.
 
     The vocabulary's normaliser and splits end at white space, so the tokens of a text are those of its words one after
-    the other; a word met before is looked up. Words not met before are tokenized together, as texts of some hundred
-    words, and told apart by the places the tokenizer gives.
+    the other; a word met before is looked up. Words not met before are tokenized together, as texts of some words, and
+    told apart by the places the tokenizer gives.
     """
 
     def __init__(self, path: str):
@@ -102,38 +112,27 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.cores = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.memory = Memory(REMEMBERED)
 
     def tokenized(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Each word with its ids, as little-endian 32-bit numbers."""
-        for a in range(0, len(words), 256 * 64):
-            groups = [words[b : b + 256] for b in range(a, min(a + 256 * 64, len(words)), 256)]
+        for a in range(0, len(words), 64 * 256):
+            groups = [words[b : b + 64] for b in range(a, min(a + 64 * 256, len(words)), 64)]
             texts = [[w.decode() for w in group] for group in groups]
             for group, text, found in zip(groups, texts, self.tokenizer.encode_batch([" ".join(t) for t in texts], add_special_tokens=False)):
                 begins = np.cumsum([0] + [len(w) + 1 for w in text])
-                ids = np.array(found.ids, dtype="<u4")
-                at = np.array([o[0] for o in found.offsets], dtype=np.int64)
-                cuts = np.searchsorted(at, begins).tolist()
-                for word, x, y in zip(group, cuts, cuts[1:]):
-                    yield word, ids[x:y].tobytes()
+                packed = np.array(found.ids, dtype="<u4").tobytes()
+                cuts = (4 * np.searchsorted([o[0] for o in found.offsets], begins)).tolist()
+                yield from zip(group, [packed[x:y] for x, y in zip(cuts, cuts[1:])])
 
     def of_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each of some different words.
-
-        A word met for the first time is looked up without the point or comma behind its last letter or digit: the
-        vocabulary splits there too, so the tokens are the same and fewer words are distinct.
-        """
-        absent = self.words.absent(set(words))
-        cores = [w[:-1] if w[-1] in MARKS and w[-2:-1].isalnum() else w for w in absent]
-        found = dict(self.tokenized(self.cores.absent(MARK_WORDS.union(cores))))
-        of_core = self.cores.young
-        of_core.update(found)
-        known = self.words.young
-        known.update([(w, of_core[c] if c is w else of_core[c] + of_core[w[-1:]]) for w, c in zip(absent, cores)])
-        out = [known[w] for w in words]
-        for memory in (of_core, known):  # a very long word is not remembered beyond its batch
-            for w in [w for w in (absent if memory is known else found) if len(w) > SHORT]:
-                memory.pop(w, None)
+        """Ids of each of some different words; a very long word is not remembered beyond its batch."""
+        absent = self.memory.absent(set(words))
+        known = self.memory.young
+        known.update(self.tokenized(absent))
+        out = list(map(known.__getitem__, words))
+        for w in [w for w in absent if len(w) > SHORT]:
+            del known[w]
         return out
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
@@ -142,12 +141,12 @@ class WordTokens:
             if not len(chunk.starts):
                 yield from [END] * len(chunk.rows)
                 continue
-            words, which = distinct(chunk)
+            words, which, first = distinct(chunk)
             of_word = self.of_words(words)
             sizes = np.fromiter(map(len, of_word), dtype=np.int64, count=len(words)) // 4
             tokens, begins = np.frombuffer(b"".join(of_word), dtype="<u4"), np.cumsum(sizes) - sizes
             # Ends of texts in tokens; then the texts' tokens, some words at a time.
-            ends = np.concatenate([[0], np.cumsum(sizes[which])])[chunk.first].tolist()
+            ends = np.concatenate([[0], np.cumsum(sizes[which])])[first].tolist()
             out = np.empty(ends[-1], dtype="<u4")
             filled = 0
             for a in range(0, len(which), _AT_ONCE):
