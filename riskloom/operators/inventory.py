@@ -61,8 +61,12 @@ def apply_refresh(stored: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def bundle_checksums(files: DataFrame) -> DataFrame:
-    """One checksum for each bundle over all paths and contents: changed, renamed, swapped and repeated files all count."""
-    each = F.xxhash64("rel_path", F.sha2(F.encode("content", "UTF-8"), 256)).cast("decimal(38,0)")
+    """One checksum for each bundle over all paths and contents: changed, renamed, swapped and repeated files all count.
+
+    Contents are the bytes as stored where the table holds them, else the text.
+    """
+    body = F.col("bytes") if "bytes" in files.columns else F.encode("content", "UTF-8")
+    each = F.xxhash64("rel_path", F.sha2(body, 256)).cast("decimal(38,0)")
     return files.groupBy("bundle_id").agg(
         F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(each).cast("string")).alias("checksum")
     )
@@ -280,6 +284,27 @@ def canonical_repositories(repositories: DataFrame) -> DataFrame:
         F.min_by("id", order).alias("id"), first_known("description"), first_known("cached_bytes"), F.count(F.lit(1)).alias("n_merged"))
 
 
+def address_map(repositories: DataFrame) -> DataFrame:
+    """old and new: stored addresses that are not canonical, and what they become; others, and those of no known host, stay."""
+    new = canonical_repository_url(F.col("url"))
+    return repositories.select(F.col("url").alias("old"), new.alias("new")).where("new is not null and new <> old").distinct()
+
+
+def with_new_addresses(rows: DataFrame, addresses: DataFrame, url: str = "repository_url") -> DataFrame:
+    """Rows whose address is mapped get the new one. Addresses are distinct, so a popular repository's rows may be split over tasks."""
+    moved = rows.join(addresses.select(F.col("old").alias(url), "new"), url, "left")
+    return moved.withColumn(url, F.coalesce("new", url)).select(*rows.columns)
+
+
+def canonical_addresses(repositories: DataFrame, bundles: DataFrame, plugins: DataFrame) -> dict[str, DataFrame]:
+    """The three tables that hold addresses, under canonical ones; repositories that become equal are one row."""
+    addresses = address_map(repositories)
+    return {
+        "repositories": canonical_repositories(repositories),
+        "bundles": with_new_addresses(bundles, addresses), "plugins": with_new_addresses(plugins, addresses),
+    }
+
+
 def delete_repository(stored: DataFrame, removed: DataFrame) -> DataFrame:
     """Drop uninstalled rows of removed repositories, detach installed ones."""
     rows = stored.join(removed.select(F.col("url").alias("repository_url")).distinct().withColumn("gone", F.lit(True)), "repository_url", "left")

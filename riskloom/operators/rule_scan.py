@@ -14,7 +14,7 @@ from riskloom.functions import sqltext as S
 from riskloom.functions import text as T
 from riskloom.functions.paths import is_markdown
 from riskloom.functions.urls import EXEC_CONTEXT, targets_known_installer
-from riskloom.packs.loader import builtin_rules, java_regex
+from riskloom.packs.loader import java_regex, rules_of
 from riskloom.packs.model import Rule
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 
@@ -44,6 +44,8 @@ CONTEXTUAL_RULES = (
     PACKAGE_INSTALL, "SVG_EMBEDDED_SCRIPT", "PDF_EMBEDDED_JAVASCRIPT", "DATA_EXFIL_JS_FS_ACCESS",
     "RESOURCE_ABUSE_INFINITE_LOOP", "SUBPROCESS_CALL", "PROMPT_INJECTION_CONCEALMENT",
 )
+HIT = "struct<rule_id: string, line_no: int, snippet: string>"
+HIT_ARRAY = f"array<{HIT}>"
 SHELL_TRUE_LINES = 6
 EXEC_LOOKBACK = 4
 HEAD_LOOKBACK = 8
@@ -197,19 +199,21 @@ def content_hit_sql(rule: Rule) -> str:
 
 
 def enabled_rules(policy: Policy) -> list[Rule]:
-    return [r for r in builtin_rules() if r.rule_id not in policy.disabled_rules]
+    return [r for r in rules_of(policy) if r.rule_id not in policy.disabled_rules]
 
 
 def line_rule_hits(policy: Policy = DEFAULT_POLICY) -> Column:
     rules = [r for r in enabled_rules(policy) if r.line_patterns]
+    none = F.expr(f"array(CAST(NULL AS {HIT_ARRAY}))")
     plain = ", ".join(line_hits_sql(r) for r in rules if not _is_contextual(r))
-    context = F.array(*[contextual_hits(r) for r in rules if _is_contextual(r)])
-    return F.flatten(F.filter(F.concat(F.expr(f"array({plain})"), context), lambda a: a.isNotNull()))
+    context = [contextual_hits(r) for r in rules if _is_contextual(r)]
+    parts = F.concat(none, *[F.expr(f"array({plain})")] * bool(plain), *[F.array(*context)] * bool(context))
+    return F.flatten(F.filter(parts, lambda a: a.isNotNull()))
 
 
 def content_rule_hits(policy: Policy = DEFAULT_POLICY) -> Column:
-    hits = ", ".join(content_hit_sql(r) for r in enabled_rules(policy) if r.content_patterns)
-    return F.expr(f"filter(array({hits}), h -> h IS NOT NULL)")
+    hits = [f"CAST(NULL AS {HIT})", *[content_hit_sql(r) for r in enabled_rules(policy) if r.content_patterns]]
+    return F.expr(f"filter(array({', '.join(hits)}), h -> h IS NOT NULL)")
 
 
 def explode_hits(rows: DataFrame, keys: list[str], hits: str) -> DataFrame:
@@ -245,9 +249,9 @@ def scan_rules(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     return explode_hits(prepare(files).select(*FILE_KEYS, both.alias("hits")), FILE_KEYS, "hits")
 
 
-def suppressed_hits(files: DataFrame) -> DataFrame:
+def suppressed_hits(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Hits withheld by a context test, with the reason."""
-    parts = F.array(*[contextual_hits(r, suppressed=True) for r in builtin_rules() if _is_contextual(r)])
+    parts = F.array(*[contextual_hits(r, suppressed=True) for r in rules_of(policy) if _is_contextual(r)])
     rows = prepare(files).select(*FILE_KEYS, F.flatten(F.filter(parts, lambda a: a.isNotNull())).alias("hits"))
     return explode_hits(rows, FILE_KEYS, "hits")
 
@@ -320,13 +324,15 @@ def grade_hits(hits: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
 
 
-def drop_suppressed_rules(hits: DataFrame) -> DataFrame:
+def drop_suppressed_rules(hits: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Drop a hit when a rule listed as its suppressor hit the same line.
 
     Keyed by (file, line), so no key grows with a bundle.
     """
-    suppressors = {r.rule_id: r.suppressed_by for r in builtin_rules() if r.suppressed_by}
+    suppressors = {r.rule_id: r.suppressed_by for r in rules_of(policy) if r.suppressed_by}
     here = F.collect_set("rule_id").over(Window.partitionBy("bundle_id", "rel_path", "line_no"))
+    if not suppressors:
+        return hits
     lost = T.any_of([
         (F.col("rule_id") == rule) & F.arrays_overlap(F.col("rules_here"), F.array(*[F.lit(s) for s in by]))
         for rule, by in suppressors.items()

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 from riskloom.packs import core, parity
 from riskloom.packs.model import Rule
+from riskloom.packs.policy import Policy
 
 
 class PackError(ValueError):
@@ -38,6 +39,11 @@ def builtin_rules() -> tuple[Rule, ...]:
     return load_packs(core.RULES, parity.RULES)
 
 
+def rules_of(policy: Policy) -> tuple[Rule, ...]:
+    """The policy's rules, the disabled ones among them."""
+    return policy.rules or builtin_rules()
+
+
 # Repeated words of a command line (and bytes of a blob), as rules write them, and the same possessively. Java walks a repeated group
 # that it may have to give back by recursion, and a line of thousands of flags exhausts a task's stack; a possessive
 # group is a loop.

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from riskloom.packs.model import Rule
+
 SKIP_DIRS = (
     ".git", "node_modules", "target", "dist", "build", "__pycache__",
     ".venv", "venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox",
@@ -26,9 +28,6 @@ KNOWN_INSTALLER_DOMAINS = (
     "curl.se", "git-scm.com", "go.dev", "rustup.rs", "install.python-poetry.org", "rye.astral.sh",
     "mise.jdx.dev",
 )
-KNOWN_TEST_VALUES = (
-    "sk_test_", "pk_test_", "tok_test_", "your-api-key-here", "example-token", "changeme", "password123",
-)
 ALLOWED_EXTENSIONS = (
     ".md", ".py", ".sh", ".json", ".yaml", ".yml", ".txt", ".js", ".ts", ".html", ".css", ".svg",
     ".xml", ".xsd", ".toml", ".cfg", ".ini", ".env", ".gitignore", ".gitattributes", ".editorconfig",
@@ -39,6 +38,10 @@ ALLOWED_SUBDIRS = ("scripts", "references", "assets", "templates", "data", "conf
 
 @dataclass(frozen=True)
 class Policy:
+    name: str = "default"
+    version: str = "1.0"
+    #: Rules in place of the built-in packs; none means those.
+    rules: tuple[Rule, ...] = ()
     disabled_rules: tuple[str, ...] = ()
     severity_overrides: tuple[tuple[str, str], ...] = ()
     hard_trigger_overrides: tuple[tuple[str, bool], ...] = (

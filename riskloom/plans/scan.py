@@ -101,7 +101,7 @@ def findings_of(facts: DataFrame, policy: Policy = DEFAULT_POLICY, strict: DataF
     """Findings of every bundle, graded, kept by kind and deduplicated."""
     hits = rule_scan.explode_hits(facts, KEYS, "hits")
     pack = hits.where(F.col("analyzer").isNull()).drop("category", "severity", "analyzer")
-    graded = rule_scan.grade_hits(rule_scan.drop_suppressed_rules(pack), policy)
+    graded = rule_scan.grade_hits(rule_scan.drop_suppressed_rules(pack, policy), policy)
     flows = taint.first_per_bundle(hits.where(F.col("analyzer") == "taint"))
     others = hits.where(F.col("analyzer").isin("unicode", "assets", "files", "chains"))
     capabilities = hits.where(F.col("analyzer") == "capability").select(

@@ -90,6 +90,13 @@ SELECT c_custkey AS ord, concat('r', {s('c_custkey')}) AS id,
   c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS description,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey * 100 AS BIGINT) END AS cached_bytes, CAST(c_custkey % 5 = 0 AS BOOLEAN) AS never_scanned
 FROM {{customer}}""",
+    "linked_bundles": f"""
+SELECT concat('b', {s('o_orderkey')}) AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'local' WHEN o_orderkey % 9 = 1 THEN concat('http://github.com/stray/', {s('o_custkey')})
+    ELSE url END AS repository_url, o_orderkey % 3 = 0 AS installed
+FROM {{orders}} JOIN {{repositories}} r ON r.ord = o_custkey""",
+    "linked_plugins": f"""
+SELECT concat('p', {s('p_partkey')}) AS id, CASE WHEN p_partkey % 6 <> 0 THEN url END AS repository_url, p_name AS name
+FROM {{part}} LEFT JOIN {{repositories}} r ON r.ord = p_partkey % 120 + 1""",
     "featured": f"""
 SELECT concat('https://github.com/owner', {s('s_suppkey % 90')}, '/repo', {s('s_suppkey % 60')}) AS url, s_name AS name FROM {{supplier}}""",
     "tools": f"""

@@ -32,7 +32,7 @@ def scan_batch(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     facts = steps.keep(scan_facts(files, policy, passed=("arrived_at",)), "facts")
     hits = explode_hits(facts, [*KEYS, "arrived_at"], "hits")
     pack = hits.where(F.col("analyzer").isNull()).drop("category", "severity", "analyzer")
-    graded = grade_hits(drop_suppressed_rules(pack), policy).withColumn("analyzer", F.lit(None).cast("string"))
+    graded = grade_hits(drop_suppressed_rules(pack, policy), policy).withColumn("analyzer", F.lit(None).cast("string"))
     others = hits.where(F.col("analyzer").isNotNull() & (F.col("analyzer") != "capability"))
     rows = graded.select(*FN.FINDING_COLUMNS, "arrived_at").unionByName(
         others.select("arrived_at", *[c for c in FN.FINDING_COLUMNS if c in others.columns]), allowMissingColumns=True
