@@ -140,9 +140,26 @@ def line_text(lines: Column, line_no: Column) -> Column:
     return F.trim(F.try_element_at(lines, line_no))
 
 
-MASK_KEEP = 4
+#: What a match may show: the name a secret is given to and the quotes around it, or a scheme.
+MASK_HEAD = r"""^(?:(?:api[_-]?key|apikey|api_secret|password|passwd|pwd|secret|token|key)\s*[=:]\s*["']|[a-z]+://)"""
+MASK_END = """["']$"""
+#: Else this many characters of a match of at least so many, and none of a shorter one.
+MASK_KEEP, MASK_LEAST = 4, 12
+#: Characters that belong to a secret if they follow the match.
+MASK_TAIL = "[A-Za-z0-9+/_=-]*"
 
 
-def mask_secret(snippet: Column) -> Column:
-    """Keep four characters of every long token, hide the rest."""
-    return F.regexp_replace(snippet, r"([A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_=-]{4,}" % MASK_KEEP, "$1****")
+def secret_pattern(patterns) -> str:
+    """One pattern for the places that any of the patterns matches."""
+    return f"(?:{'|'.join(f'(?:{p})' for p in patterns)}){MASK_TAIL}"
+
+
+def mask_matches(snippet: Column, patterns) -> Column:
+    """The snippet with every match of the patterns hidden: what was found decides, not what it looks like."""
+    def hidden(match: Column) -> Column:
+        head = F.regexp_extract(match, java_regex(MASK_HEAD), 0)
+        known = F.when(head != "", head).when(F.char_length(match) >= MASK_LEAST, F.left(match, F.lit(MASK_KEEP))).otherwise("")
+        return F.concat(known, F.lit("****"), F.when(head != "", F.regexp_extract(match, MASK_END, 0)).otherwise(""))
+
+    found = F.regexp_extract_all(snippet, F.lit(java_regex(secret_pattern(patterns))), F.lit(0))
+    return F.aggregate(found, snippet, lambda text, match: F.replace(text, match, hidden(match)))

@@ -126,8 +126,8 @@ def shared_patterns(signals: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*").where(F.col("n_bundles") >= 2)
 
 
-def description_roles(bundles: DataFrame) -> DataFrame:
-    """Distinct descriptions' context words and roles, with the number of bundles that share them."""
+def described(bundles: DataFrame) -> DataFrame:
+    """bundle_id, context words, roles and class of every description; a class is all that have these words and roles."""
     lower = F.lower("description")
     words = F.filter(F.split(lower, r"(?U)[^\p{Alnum}]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
     rows = bundles.where(F.col("description") != "").select(
@@ -135,18 +135,21 @@ def description_roles(bundles: DataFrame) -> DataFrame:
         lower.rlike("|".join(COLLECTOR_WORDS)).alias("collects"), lower.rlike("|".join(SENDER_WORDS)).alias("sends"),
         "bundle_id",
     )
-    return rows.groupBy("words", "collects", "sends").agg(
-        F.count(F.lit(1)).alias("n_bundles"), F.min("bundle_id").alias("first_bundle")
+    roles = F.concat_ws("|", F.array_join("words", " "), F.col("collects").cast("string"), F.col("sends").cast("string"))
+    return rows.withColumn("class_id", F.md5(roles))
+
+
+def description_roles(bundles: DataFrame) -> DataFrame:
+    """Distinct descriptions' context words and roles, with the number of bundles that share them."""
+    return described(bundles).groupBy("words", "collects", "sends", "class_id").agg(
+        F.count(F.lit(1)).alias("n_bundles"), F.min("bundle_id").alias("first_bundle"), F.max("bundle_id").alias("last_bundle")
     ).withColumn("context", F.array_join("words", " "))
 
 
-def complementary_descriptions(bundles: DataFrame) -> DataFrame:
-    """Pairs of context words that some bundle's collecting and another's sending description share.
+def word_keys(bundles: DataFrame) -> DataFrame:
+    """word_a, word_b, roles and class of each pair of context words of a class that collects or sends.
 
-    One row for each pair of words, with how many descriptions of either role hold both and how many pairs of bundles
-    that makes; pairs of descriptions are not listed, as they grow with the square of the bundles. A word that a
-    collector repeats counts each time, so it also meets a sender's single word, under the key (word, word).
-    Counts combine on the map side, so a pair of words may be as common as it likes.
+    A word that a collector repeats counts each time, so it also meets a sender's single word, under the key (word, word).
     """
     words, distinct = F.col("words"), F.col("distinct")
     crossed = F.flatten(F.transform(
@@ -161,12 +164,22 @@ def complementary_descriptions(bundles: DataFrame) -> DataFrame:
         (F.col("collects") & (F.size(F.filter(words, lambda v: v == w)) > 1)).alias("collects"), F.col("sends").alias("sends"),
     ))
     roles = description_roles(bundles).where("collects OR sends").withColumn("distinct", F.array_distinct("words"))
-    keyed = roles.select("n_bundles", F.explode(F.concat(crossed, same)).alias("k")).select("n_bundles", "k.*")
+    own = ("class_id", "n_bundles", "first_bundle", "last_bundle")
+    return roles.select(*own, F.explode(F.concat(crossed, same)).alias("k")).select(*own, "k.*")
+
+
+def complementary_descriptions(bundles: DataFrame) -> DataFrame:
+    """Pairs of context words that some bundle's collecting and another's sending description share.
 
+    One row for each pair of words, with how many descriptions of either role hold both and how many pairs of bundles
+    that makes; pairs of descriptions are not listed, as they grow with the square of the bundles: which ones pair up
+    follows from complementary_index and complementary_members. Counts combine on the map side, so a pair of words may be
+    as common as it likes.
+    """
     def n(test: Column) -> Column:
         return F.sum(F.when(test, F.col("n_bundles")).otherwise(0))
 
-    counts = keyed.groupBy("word_a", "word_b").agg(
+    counts = word_keys(bundles).groupBy("word_a", "word_b").agg(
         n(F.col("collects")).alias("n_collectors"), n(F.col("sends")).alias("n_senders"), n(F.col("collects") & F.col("sends")).alias("n_both")
     )
     # A bundle does not pair with itself.
@@ -174,6 +187,41 @@ def complementary_descriptions(bundles: DataFrame) -> DataFrame:
     return counts.where(pairs > 0).select("word_a", "word_b", "n_collectors", "n_senders", pairs.alias("n_pairs"))
 
 
+def complementary_index(bundles: DataFrame) -> DataFrame:
+    """For each pair of words that complementary_descriptions lists, the classes that hold it, and as what.
+
+    Two different bundles pair up exactly if some pair of words has a row of the one's class that collects and a row of
+    the other's that sends. The index grows with the descriptions and their words, not with the pairs.
+    """
+    keys = word_keys(bundles).where("collects OR sends")
+    pairs = complementary_descriptions(bundles).select("word_a", "word_b")
+    # One row a pair of words on the right, so a common pair's rows on the left may be split over tasks.
+    return keys.join(pairs, ["word_a", "word_b"], "left_semi").select("word_a", "word_b", "class_id", "collects", "sends")
+
+
+def complementary_members(bundles: DataFrame) -> DataFrame:
+    """class_id and bundle_id of every bundle whose description collects or sends."""
+    return described(bundles).where("collects OR sends").select("class_id", "bundle_id")
+
+
+def complementary_examples(bundles: DataFrame) -> DataFrame:
+    """One pair of bundles for each pair of words: collector and sender, two different ones.
+
+    If the first collector is the last sender and the last collector the first sender, all of them are one bundle.
+    """
+    def edge(role: str, of, which: str) -> Column:
+        return of(F.when(F.col(role), F.col(which)))
+
+    found = word_keys(bundles).groupBy("word_a", "word_b").agg(
+        edge("collects", F.min, "first_bundle").alias("c_first"), edge("collects", F.max, "last_bundle").alias("c_last"),
+        edge("sends", F.min, "first_bundle").alias("s_first"), edge("sends", F.max, "last_bundle").alias("s_last"),
+    ).where("c_first is not null and s_first is not null")
+    pair = F.when(F.col("c_first") != F.col("s_last"), F.struct(F.col("c_first").alias("collector"), F.col("s_last").alias("sender"))).when(
+        F.col("c_last") != F.col("s_first"), F.struct(F.col("c_last").alias("collector"), F.col("s_first").alias("sender"))
+    )
+    return found.select("word_a", "word_b", pair.alias("p")).where("p is not null").select("word_a", "word_b", "p.collector", "p.sender")
+
+
 def corpus_findings(files: DataFrame, bundles: DataFrame) -> DataFrame:
     """The four kinds of corpus-wide findings in one shape.
 

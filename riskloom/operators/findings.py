@@ -12,7 +12,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import mask_secret
+from riskloom.functions.text import mask_matches
+from riskloom.packs.loader import rules_of
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 
 # Ranks, bands, weights and prefix lists.
@@ -152,10 +153,15 @@ def deduplicate(findings: DataFrame) -> DataFrame:
     return best.select("bundle_id", "rel_path", "rule_id", "best.*").select(*findings.columns)
 
 
-def masked(findings: DataFrame) -> DataFrame:
-    """Secrets leave no analysis in the clear."""
-    shown = F.when(F.col("category") == "Secrets", mask_secret(F.col("snippet"))).otherwise(F.col("snippet"))
-    return findings.withColumn("snippet", shown)
+def secret_patterns(policy: Policy = DEFAULT_POLICY) -> tuple[str, ...]:
+    """Patterns of all rules that look for secrets, the disabled ones too."""
+    return tuple(p for r in rules_of(policy) if r.category == "Secrets" for p in r.patterns)
+
+
+def masked(findings: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Secrets leave no analysis in the clear: what a rule for secrets matches is hidden in every finding's snippet."""
+    patterns = secret_patterns(policy)
+    return findings.withColumn("snippet", mask_matches(F.col("snippet"), patterns)) if patterns else findings
 
 
 def with_cooccurring_rules(findings: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ KEY = r"""[A-Za-z0-9_"'][^:#\n]*"""
 NAME, DESCRIPTION, LICENSE = "name", "description", "license"
 TOOLS, COMPATIBILITY = "allowed[-_]tools", "compatibility(?:-info)?"
 FIELDS = (NAME, DESCRIPTION, LICENSE, TOOLS, COMPATIBILITY)
+VALUES = ("name", "description", "license", "tools", "compatibility")
 DOUBLE, SINGLE = r'"(?:[^"\\]|\\.)*+"', r"'(?:[^']|'')*+'"
 COMMENT = r"(?:^|[ \t])#.*$"
 BLANK = r"^[ \t]*(?:#.*)?$"
@@ -73,8 +74,7 @@ def unquoted(text: Column) -> Column:
     )
 
 
-def scalar(block: Column, key: str) -> Column:
-    value = value_of(block, key)
+def scalar(value: Column) -> Column:
     return F.when(_is_block_text(value), _block_text(value)).otherwise(unquoted(_flow(value)))
 
 
@@ -91,9 +91,8 @@ def _inline(value: Column, opening: str, closing: str) -> Column:
     return F.split(F.regexp_extract(_flow(value), rf"^{opening}(.*){closing}$", 1), ",")
 
 
-def string_list(block: Column, key: str) -> Column:
+def string_list(value: Column) -> Column:
     """[a, b] on the key's line, or '- a' lines below it."""
-    value = value_of(block, key)
     below = F.transform(_below(value), lambda s: F.regexp_extract(s, r"^[ \t]*-[ \t]+(.*)$", 1))
     items = F.when(head(value).startswith("["), _inline(value, r"\[", r"\]")).otherwise(below)
     return F.filter(F.transform(items, lambda s: unquoted(bare(s))), lambda s: s != "")
@@ -105,9 +104,8 @@ def _is_list(value: Column) -> Column:
     return listed | _flow(value).rlike(r"^\[[^\[\]]*\]$")
 
 
-def entries(block: Column, key: str) -> Column:
+def entries(value: Column) -> Column:
     """array<struct<key, value>> of a map: indented 'k: v' lines below the key, or {k: v, …}."""
-    value = value_of(block, key)
     below = F.filter(_below(value), lambda s: ~s.rlike(BLANK))
     items = F.when(head(value).startswith("{"), _inline(value, r"\{", r"\}")).otherwise(below)
     return F.transform(
@@ -125,19 +123,22 @@ def _is_map(value: Column, found: Column) -> Column:
     return (mapped | _flow(value).rlike(r"^\{[^{}]*\}$")) & (F.size(F.array_distinct(F.transform(found, lambda e: e["key"]))) == F.size(found))
 
 
-def is_readable(block: Column) -> Column:
-    """The block is one that a YAML reader takes, with values of the right kinds."""
+def _keys_are_sound(block: Column) -> Column:
+    """All lines at the margin are entries, and no key that is read stands twice."""
     lines = F.filter(F.split(block, "\n"), lambda s: ~s.rlike(r"^(?:[ \t#].*|-(?:[ \t].*)?|)$"))
     shaped = F.forall(lines, lambda s: s.rlike(rf"^{KEY}:(?:[ \t].*)?$"))
+    found = F.filter(lines, lambda s: s.rlike(rf"^(?:{'|'.join(FIELDS)})[ \t]*:"))
+    names = F.transform(found, lambda s: F.replace(F.regexp_extract(s, r"^([A-Za-z_-]+)", 1), F.lit("_"), F.lit("-")))
+    alike = F.transform(names, lambda s: F.when(s == "compatibility-info", F.lit("compatibility")).otherwise(s))
+    return shaped & (F.size(F.array_distinct(alike)) == F.size(alike))
 
-    def times(key: str) -> Column:
-        return F.size(F.filter(lines, lambda s: s.rlike(rf"^(?:{key})[ \t]*:")))
 
-    once = F.array_max(F.array(*[times(key) for key in FIELDS])) <= 1
-    kinds = _is_text(value_of(block, NAME)) & _is_text(value_of(block, DESCRIPTION)) & _is_text(value_of(block, LICENSE))
-    return (
-        shaped & once & kinds & _is_list(value_of(block, TOOLS)) & _is_map(value_of(block, COMPATIBILITY), entries(block, COMPATIBILITY))
-    )
+def held(rows: DataFrame, column: str) -> DataFrame:
+    """The column worked out once a row: what reads it is not merged with what makes it.
+
+    The optimizer would otherwise write an expression out at each place that uses it.
+    """
+    return rows.withColumn(column, F.explode_outer(F.array(column)))
 
 
 def has_block(content: Column) -> Column:
@@ -150,22 +151,34 @@ def block_of(content: Column) -> Column:
 
 def parse_blocks(rows: DataFrame) -> DataFrame:
     """Manifest fields out of (bundle_id, rel_path, has_manifest, block), nulls without a readable manifest."""
-    read = rows.select(
-        "bundle_id", "rel_path", (F.col("has_manifest") & is_readable(F.col("block"))).alias("has_manifest"), "block"
-    )
+    read = held(rows.select("bundle_id", "rel_path", "has_manifest", "block"), "block")
     b = F.col("block")
+    values = F.struct(
+        _keys_are_sound(b).alias("sound"), b.rlike(r"(?m)^license[ \t]*:").alias("licensed"),
+        *[value_of(b, key).alias(name) for name, key in zip(VALUES, FIELDS)],
+    )
+    valued = held(read.select("bundle_id", "rel_path", "has_manifest", values.alias("v")), "v")
+    v = F.col("v")
+    parsed = F.struct(
+        (
+            F.col("has_manifest") & v["sound"] & _is_text(v["name"]) & _is_text(v["description"]) & _is_text(v["license"]) & _is_list(v["tools"])
+            & _is_map(v["compatibility"], entries(v["compatibility"]))
+        ).alias("readable"),
+        scalar(v["name"]).alias("name"), scalar(v["description"]).alias("description"), string_list(v["tools"]).alias("allowed_tools"),
+        entries(v["compatibility"]).alias("compatibility"), F.when(v["licensed"], scalar(v["license"])).alias("license"),
+    )
+    done = held(valued.select("bundle_id", "rel_path", parsed.alias("m")), "m")
+    m = F.col("m")
 
     def known(value: Column) -> Column:
-        return F.when(F.col("has_manifest"), value)
-
-    return read.select(
-        "bundle_id", "rel_path", "has_manifest",
-        known(scalar(b, NAME)).alias("name"),
-        known(scalar(b, DESCRIPTION)).alias("description"),
-        known(string_list(b, TOOLS)).alias("allowed_tools"),
-        known(F.map_from_entries(entries(b, COMPATIBILITY))).alias("compatibility"),
-        known(F.when(b.rlike(r"(?m)^license[ \t]*:"), scalar(b, LICENSE))).alias("license"),
-    )
+        return F.when(m["readable"], value)
+
+    # A readable map has no key twice.
+    out = done.select("bundle_id", "rel_path", F.struct(
+        m["readable"].alias("has_manifest"), known(m["name"]).alias("name"), known(m["description"]).alias("description"),
+        known(m["allowed_tools"]).alias("allowed_tools"), known(F.map_from_entries(m["compatibility"])).alias("compatibility"), known(m["license"]).alias("license"),
+    ).alias("m"))
+    return out.select("bundle_id", "rel_path", "m.*")
 
 
 def bundles(files: DataFrame) -> DataFrame:

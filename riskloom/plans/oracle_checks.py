@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskloom.functions.text import MASK_END, MASK_HEAD, MASK_KEEP, MASK_LEAST, secret_pattern
 from riskloom.operators import consistency as K
 from riskloom.operators import content_checks as U
 from riskloom.operators import coverage as V
@@ -279,8 +280,9 @@ cte("shared_patterns", ("signals",), " UNION ALL ".join(
     f"SELECT {q(n)} AS pattern, count(*) AS n_bundles FROM signals WHERE {n} HAVING count(*) >= 2" for n in B.SHARED_PATTERNS
 ))
 cte("roles", ("bundles",), f"""
-SELECT words, collects, sends, count(*) AS n_bundles, array_to_string(words, ' ') AS context FROM (
-  SELECT list_sort(list_filter(regexp_split_to_array(lower(description), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN {inlist(B.STOP_WORDS)})) AS words,
+SELECT words, collects, sends, count(*) AS n_bundles, min(bundle_id) AS first_bundle, max(bundle_id) AS last_bundle, list(bundle_id) AS members,
+  array_to_string(words, ' ') AS context FROM (
+  SELECT bundle_id, list_sort(list_filter(regexp_split_to_array(lower(description), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN {inlist(B.STOP_WORDS)})) AS words,
     {has_any('lower(description)', B.COLLECTOR_WORDS)} AS collects, {has_any('lower(description)', B.SENDER_WORDS)} AS sends
   FROM bundles WHERE description <> '') GROUP BY ALL
 """)
@@ -323,9 +325,10 @@ SELECT * FROM (SELECT *, {KIND} AS kind FROM (
 cte("all_findings", _UNION_OF, _union + "WHERE kind <> 'Structure'")
 cte("all_findings_strict", (*_UNION_OF, "structure"), _union.replace("FROM coverage))", f"FROM coverage UNION ALL SELECT bundle_id, rel_path, NULL, rule_id, category, severity, {_tail}, NULL, 'strict_structure', NULL FROM structure))"))
 RANK = "CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END"
-MASKED = "regexp_replace(snippet, '([A-Za-z0-9+/_=-]{4})[A-Za-z0-9+/_=-]{4,}', '\\\\1****', 'g')".replace("\\\\", "\\")
+_hidden = f"""CASE WHEN regexp_extract(m, {q(MASK_HEAD)}, 0) <> '' THEN regexp_extract(m, {q(MASK_HEAD)}, 0) || '****' || regexp_extract(m, {q(MASK_END)}, 0) WHEN length(m) >= {MASK_LEAST} THEN m[:{MASK_KEEP}] || '****' ELSE '****' END"""
+MASKED = f"""list_reduce(list_concat([snippet], regexp_extract_all(snippet, {q(secret_pattern(FN.secret_patterns()))}, 0)), lambda t, m: replace(t, m, {_hidden}))"""
 cte("findings", ("all_findings",), f"""
-SELECT * EXCLUDE (rn) REPLACE (CASE WHEN category = 'Secrets' THEN {MASKED} ELSE snippet END AS snippet) FROM (SELECT *, row_number() OVER (
+SELECT * EXCLUDE (rn) REPLACE ({MASKED} AS snippet) FROM (SELECT *, row_number() OVER (
   PARTITION BY bundle_id, rel_path, rule_id, line_no, coalesce(snippet, '')
   ORDER BY {RANK} DESC, coalesce(hard_trigger, false) DESC, coalesce(weight, -1) DESC, coalesce(snippet, '') DESC) AS rn FROM all_findings) WHERE rn = 1
 """)

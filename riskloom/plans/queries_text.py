@@ -13,7 +13,7 @@ from riskloom.operators import (
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 from riskloom.plans import oracle_chains, oracle_checks, oracle_rules, scan
 from riskloom.plans.oracle_checks import KIND, RANK
-from riskloom.plans.oracle_core import inlist, q, rm, with_ctes
+from riskloom.plans.oracle_core import cte, inlist, q, rm, with_ctes
 from riskloom.plans.registry import add
 from riskloom.sources import derived as D
 from riskloom.sources import encoding
@@ -137,7 +137,7 @@ add("suppressed_by_rule", lambda s, d: rule_scan.drop_suppressed_rules(rule_scan
     sel("kept_hits", ", ".join(HIT)))
 GRADED = HIT + ["category", "severity", "confidence", "weight", "hard_trigger", "cwe_id"]
 add("graded_hits", lambda s, d: findings.masked(graded(s, d)).select(*GRADED),
-    with_ctes(("graded",), f"SELECT * REPLACE (CASE WHEN category = 'Secrets' THEN {oracle_checks.MASKED} ELSE snippet END AS snippet) FROM (SELECT {', '.join(GRADED)} FROM graded)"))
+    with_ctes(("graded",), f"SELECT * REPLACE ({oracle_checks.MASKED} AS snippet) FROM (SELECT {', '.join(GRADED)} FROM graded)"))
 
 
 def graded(s, d, policy=DEFAULT_POLICY):
@@ -163,9 +163,9 @@ add(
 )
 add(
     "masked_secrets",
-    lambda s, d: graded(s, d).where("category = 'Secrets'").select(
-        "bundle_id", "rel_path", "line_no", "rule_id", T.mask_secret(F.col("snippet")).alias("masked")),
-    sel("graded", "bundle_id, rel_path, line_no, rule_id, regexp_replace(snippet, '([A-Za-z0-9+/_=-]{4})[A-Za-z0-9+/_=-]{4,}', '\\1****', 'g') AS masked", "category = 'Secrets'"),
+    lambda s, d: findings.masked(graded(s, d).where("category = 'Secrets'")).select(
+        "bundle_id", "rel_path", "line_no", "rule_id", F.col("snippet").alias("masked")),
+    sel("graded", f"bundle_id, rel_path, line_no, rule_id, {oracle_checks.MASKED} AS masked", "category = 'Secrets'"),
 )
 add(
     "installer_lines",
@@ -295,6 +295,20 @@ add("data_relay", lambda s, d: cross_bundle.data_relay(cross_bundle.bundle_signa
 add("shared_domains", lambda s, d: cross_bundle.shared_domains(texts(s, d)), sel("shared_domains"))
 add("shared_patterns", lambda s, d: cross_bundle.shared_patterns(cross_bundle.bundle_signals(texts(s, d))), sel("shared_patterns"))
 add("complementary_descriptions", lambda s, d: cross_bundle.complementary_descriptions(bundles(s, d)), sel("word_pairs"))
+_class = "md5(concat_ws('|', array_to_string(words, ' '), CAST(collects AS VARCHAR), CAST(sends AS VARCHAR)))"
+_keys = f"""SELECT x AS word_a, y AS word_b, class_id, collects, sends, first_bundle, last_bundle
+  FROM (SELECT *, unnest(list_distinct(words)) AS y FROM (SELECT *, unnest(list_distinct(words)) AS x FROM named)) WHERE x < y
+  UNION ALL SELECT x, x, class_id, collects AND len(list_filter(words, lambda w: w = x)) > 1, sends, first_bundle, last_bundle
+  FROM (SELECT *, unnest(list_distinct(words)) AS x FROM named)"""
+cte("named", ("roles",), f"SELECT *, {_class} AS class_id FROM roles WHERE collects OR sends")
+cte("word_keys", ("named",), _keys)
+add("complementary_index", lambda s, d: cross_bundle.complementary_index(bundles(s, d)), with_ctes(("word_keys", "word_pairs"), """
+SELECT word_a, word_b, class_id, collects, sends FROM word_keys SEMI JOIN word_pairs USING (word_a, word_b) WHERE collects OR sends"""))
+add("complementary_members", lambda s, d: cross_bundle.complementary_members(bundles(s, d)), sel("named", "class_id, unnest(members) AS bundle_id"))
+add("complementary_examples", lambda s, d: cross_bundle.complementary_examples(bundles(s, d)), with_ctes(("word_keys",), """
+SELECT word_a, word_b, CASE WHEN c1 <> s2 THEN c1 ELSE c2 END AS collector, CASE WHEN c1 <> s2 THEN s2 ELSE s1 END AS sender FROM (
+  SELECT word_a, word_b, min(first_bundle) FILTER (collects) AS c1, max(last_bundle) FILTER (collects) AS c2, min(first_bundle) FILTER (sends) AS s1, max(last_bundle) FILTER (sends) AS s2
+  FROM word_keys GROUP BY ALL) WHERE c1 <> s2 OR c2 <> s1"""))
 add("shared_domain_members", lambda s, d: cross_bundle.shared_domain_members(texts(s, d)), sel("host_names", "domain, bundle_id", "domain IN (SELECT domain FROM host_names GROUP BY 1 HAVING count(*) >= 2)"))
 add("shared_pattern_members", lambda s, d: cross_bundle.shared_pattern_members(cross_bundle.bundle_signals(texts(s, d))), with_ctes(("signals",), " UNION ALL ".join(
     f"SELECT {q(n)} AS pattern, bundle_id FROM signals WHERE {n} AND (SELECT count(*) FROM signals WHERE {n}) >= 2" for n in cross_bundle.SHARED_PATTERNS)))

@@ -121,7 +121,7 @@ def findings_of(facts: DataFrame, policy: Policy = DEFAULT_POLICY, strict: DataF
     if strict is not None:
         union = union.unionByName(findings.align(strict.withColumn("analyzer", F.lit("strict_structure"))))
     # Masked at the end: what is hidden still tells findings apart.
-    return findings.masked(findings.deduplicate(findings.with_kind(union, policy)))
+    return findings.masked(findings.deduplicate(findings.with_kind(union, policy)), policy)
 
 
 def partial_bundles(facts: DataFrame) -> DataFrame:

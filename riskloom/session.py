@@ -82,6 +82,11 @@ class Steps:
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def end(self) -> None:
+        """Drop all tables now, not when the session ends; for jobs that are done many times in one session."""
+        atexit.unregister(self._leave)
+        _delete(self.spark, self.folder)
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.folder}/{name}")

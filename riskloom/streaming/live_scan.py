@@ -23,12 +23,13 @@ def read_arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def scan_batch(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def scan_batch(files: DataFrame, policy: Policy = DEFAULT_POLICY, steps: Steps | None = None) -> DataFrame:
     """Findings of the files of one batch: rules with suppression and grading, chains, taint, characters, assets, types.
 
-    Everything concerns single files, so nothing is held from batch to batch. Secrets are masked.
+    Everything concerns single files, so nothing is held from batch to batch. Secrets are masked. The result reads a table
+    of steps; whoever gives steps ends them once the result is written.
     """
-    steps = Steps(files.sparkSession, "live")
+    steps = steps or Steps(files.sparkSession, "live")
     facts = steps.keep(scan_facts(files, policy, passed=("arrived_at",)), "facts")
     hits = explode_hits(facts, [*KEYS, "arrived_at"], "hits")
     pack = hits.where(F.col("analyzer").isNull()).drop("category", "severity", "analyzer")
@@ -39,15 +40,37 @@ def scan_batch(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
     place = F.concat_ws("/", "bundle_id", "rel_path")
     # The id is built before the secret is hidden, so that two secrets on one line stay two findings.
-    return FN.masked(rows.withColumn("finding_id", FN.finding_id(F.col("rule_id"), place, F.col("line_no"), F.coalesce("snippet", F.lit(""))))).select(*COLUMNS)
+    return FN.masked(rows.withColumn("finding_id", FN.finding_id(F.col("rule_id"), place, F.col("line_no"), F.coalesce("snippet", F.lit("")))), policy).select(*COLUMNS)
 
 
-def write_scan(files: DataFrame, path: str, checkpoint: str, policy: Policy = DEFAULT_POLICY) -> StreamingQuery:
-    """Scan a stream of files into a table, a folder a batch: a batch that is run again replaces its own rows."""
-    def one(batch: DataFrame, number: int) -> None:
-        scan_batch(batch, policy).write.mode("overwrite").parquet(f"{path}/batch={number}")
+def batch_path(spark: SparkSession, path: str, number: int):
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number}")
+
+
+def write_scan(files: DataFrame, path: str, checkpoint: str, policy: Policy = DEFAULT_POLICY, every: str | None = None) -> StreamingQuery:
+    """Scan a stream of files into a table, a folder a batch; `every` is the time between batches, None takes all there is and ends.
 
-    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch is written aside and takes its place by one rename, so a reader finds it whole or not at all. A batch that is
+    there already is left alone: run again after a failure, it would find the same files. Its steps go when it is written.
+    """
+    spark = files.sparkSession
+    fs = batch_path(spark, path, 0).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def one(batch: DataFrame, number: int) -> None:
+        place = batch_path(spark, path, number)
+        if fs.exists(place):
+            return
+        steps = Steps(spark, "live")
+        try:
+            aside = f"{path}/_writing-{number}"
+            scan_batch(batch, policy, steps).write.mode("overwrite").parquet(aside)
+            if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), place):
+                raise RuntimeError(f"{place} cannot be put in place")
+        finally:
+            steps.end()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
@@ -66,10 +89,11 @@ def hourly_counts(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
     return counts.select(F.col("window.start").alias("hour"), "category", "n")
 
 
-def write_findings(findings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_findings(findings: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
         findings.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**trigger).start()
     )
 
 
