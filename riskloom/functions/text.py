@@ -63,8 +63,13 @@ def physical_lines(content: Column) -> Column:
 
 
 def mark_continuations(content: Column, ext: Column) -> Column:
-    """Replace each swallowed line break by one JOIN_MARK and glue concatenated literals."""
-    text = F.concat(unix_breaks(content), F.lit("\n"))
+    """Replace each swallowed line break by one JOIN_MARK."""
+    return mark_breaks(unix_breaks(content), ext)
+
+
+def mark_breaks(content: Column, ext: Column) -> Column:
+    """The same for text in which every line feed, and nothing else, is a break."""
+    text = F.concat(content, F.lit("\n"))
     backslash = F.regexp_replace(text, java_regex(r"[^\S\n]*\\[^\S\n]*\n[^\S\n]*"), JOIN_MARK)
     plus = F.regexp_replace(text, java_regex(r"""(["'])[^\S\n]*\+[^\S\n]*\n[^\S\n]*"""), "$1" + JOIN_MARK)
     tick_and_plus = F.regexp_replace(plus, java_regex(r"[^\S\n]*`[^\S\n]*\n[^\S\n]*"), JOIN_MARK)

@@ -107,21 +107,25 @@ def _display_hint(item: Column) -> Column:
     )
 
 
-def _loop_exits(item: Column) -> Column:
-    """Below the loop head, an exit statement comes before the first dedent."""
-    lines, no = F.col("lines"), item["line_no"]
+def indent(line: Column) -> Column:
+    return F.length(line) - F.length(F.regexp_replace(line, java_regex(r"^\s+"), ""))
 
-    def indent(s: Column) -> Column:
-        return F.length(s) - F.length(F.regexp_replace(s, java_regex(r"^\s+"), ""))
 
+def loop_verdict(item: Column) -> Column:
+    """What comes first below a loop head: exit (a statement that leaves it) or out (a dedent); null if neither does."""
+    lines, no = F.col("lines"), item["line_no"]
     own = indent(F.try_element_at(lines, no))
     below = F.filter(F.slice(lines, no + 1, F.size(lines)), lambda s: F.trim(s) != "")
     verdicts = F.transform(
         below,
         lambda s: F.when(indent(s) <= own, F.lit("out")).when(F.trim(s).rlike(LOOP_EXIT), F.lit("exit")),
     )
-    first = F.try_element_at(F.filter(verdicts, lambda v: v.isNotNull()), F.lit(1))
-    return F.coalesce(first == "exit", F.lit(False))
+    return F.try_element_at(F.filter(verdicts, lambda v: v.isNotNull()), F.lit(1))
+
+
+def _loop_exits(item: Column) -> Column:
+    """Below the loop head, an exit statement comes before the first dedent."""
+    return F.coalesce(loop_verdict(item) == "exit", F.lit(False))
 
 
 def suppression_reason(rule: Rule, item: Column) -> Column:
@@ -146,7 +150,7 @@ def suppression_reason(rule: Rule, item: Column) -> Column:
     return F.when(T.contains_any(F.lower(raw), CONCEALMENT_EXCEPTIONS), F.lit("instruction_to_user"))
 
 
-def _matching_items_sql(rule: Rule) -> str:
+def matching_items_sql(rule: Rule) -> str:
     hit = S.guarded("x.text", "x.folded", rule.line_patterns)
     return f"filter(items, x -> {hit} AND NOT {S.any_rlike('x.text', rule.excludes)})"
 
@@ -163,13 +167,13 @@ def _is_contextual(rule: Rule) -> bool:
 def line_hits_sql(rule: Rule) -> str:
     """array<struct<rule_id, line_no, snippet>> of the rule's single-line patterns, as expression text."""
     hit = f"named_struct('rule_id', {S.quoted(rule.rule_id)}, 'line_no', x.line_no, 'snippet', x.text)"
-    return f"CASE WHEN {_line_guard_sql(rule)} THEN transform({_matching_items_sql(rule)}, x -> {hit}) END"
+    return f"CASE WHEN {_line_guard_sql(rule)} THEN transform({matching_items_sql(rule)}, x -> {hit}) END"
 
 
 def contextual_hits(rule: Rule, suppressed: bool = False) -> Column:
     """The same for rules whose hits depend on neighbouring lines; or the withheld hits, with the reason."""
     found = F.filter(
-        F.expr(_matching_items_sql(rule)),
+        F.expr(matching_items_sql(rule)),
         lambda x: suppression_reason(rule, x).isNotNull() if suppressed else suppression_reason(rule, x).isNull(),
     )
 

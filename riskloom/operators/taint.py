@@ -117,13 +117,46 @@ def line_flow(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("|")) & line.rlike(SINK_WORDS), flows[0])
 
 
-def _region_state() -> Column:
+def _region_state(code: Column | None = None) -> Column:
+    """State at the start of a file, or of a part of one that is entered in the region `code` (see region_map)."""
+    code = F.lit(0) if code is None else code
+    is_py, is_js = F.col("ext").isin(*PYTHON_EXTS), F.col("ext").isin(*JS_EXTS)
     return F.struct(
-        F.lit("").alias("open"), F.lit(False).alias("inert"), F.lit(False).alias("block"),
+        F.when(is_py & code.isin(1, 2), '"""').when(is_py & code.isin(3, 4), "'''").otherwise("").alias("open"),
+        (is_py & code.isin(1, 3)).alias("inert"), (is_js & (code == 1)).alias("block"),
         F.array().cast(f"array<{HIT}>").alias("hits"),
     )
 
 
+#: Regions a line may lie in. Python: none, in """ that is only shown, in """ that runs, the same for '''. Scripts of
+#: the web: none, in a block comment.
+REGIONS = 5
+
+
+def region_map(lines: Column) -> Column:
+    """array<int>: the region behind the lines for each region in front of them; such maps of consecutive parts compose."""
+    def traits(line: Column) -> Column:
+        s = F.trim(line)
+        opens = F.contains(s, F.lit("/*")) & ~F.contains(F.substr(s, F.instr(s, "/*")), F.lit("*/")) & ~s.startswith("//")
+        live = T.matches(s, EXEC_CONTEXT)
+        start = F.when(_odd(s, '"""'), F.when(live, 2).otherwise(1)).when(_odd(s, "'''"), F.when(live, 4).otherwise(3)).otherwise(0)
+        return F.struct(
+            F.contains(s, F.lit('"""')).alias("double"), F.contains(s, F.lit("'''")).alias("single"), F.contains(s, F.lit("*/")).alias("closes"),
+            F.when(F.col("ext").isin(*JS_EXTS), opens.cast("int")).otherwise(start).alias("start"),
+        )
+
+    marked = F.transform(F.filter(lines, lambda s: T.contains_any(s, MARKERS)), traits)
+    is_js = F.col("ext").isin(*JS_EXTS)
+
+    def after(region: Column, t: Column) -> Column:
+        closed = F.when(is_js, t["closes"]).otherwise(F.when(region.isin(1, 2), t["double"]).otherwise(t["single"]))
+        return F.when(region == 0, t["start"]).when(closed, F.lit(0)).otherwise(region)
+
+    same = F.array(*[F.lit(i) for i in range(REGIONS)])
+    walked = F.aggregate(marked, same, lambda regions, t: F.transform(regions, lambda r: after(r, t)))
+    return F.when(F.col("ext").isin(*JS_EXTS, *PYTHON_EXTS), walked).otherwise(same)
+
+
 def _odd(line: Column, delimiter: str) -> Column:
     n = (F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))) / len(delimiter)
     return n % 2 == 1
@@ -164,8 +197,16 @@ def _step(state: Column, event: Column) -> Column:
     )
 
 
+MARKERS = ('"""', "'''", "/*", "*/")
+
+
 def taint_hits(policy: Policy = DEFAULT_POLICY) -> Column:
-    """First flow per rule of the file, as array<struct>.
+    """First flow per rule of the file, as array<struct>."""
+    return F.when(F.contains(F.col("content"), F.lit("|")), part_hits(F.col("lines"), None, policy))
+
+
+def part_hits(lines: Column, entered: Column | None = None, policy: Policy = DEFAULT_POLICY) -> Column:
+    """First flow per rule of a file's lines, or of a part of them that is entered in a region; line numbers are the part's.
 
     Only lines that carry a flow or open or close a text region become events, so the
     running state passes over few elements and its list holds two hits at most.
@@ -176,10 +217,9 @@ def taint_hits(policy: Policy = DEFAULT_POLICY) -> Column:
         return F.struct((i + 1).alias("line_no"), text.alias("line"), line_flow(text).alias("flow"))
 
     regions = F.col("ext").isin(*JS_EXTS, *PYTHON_EXTS)
-    markers = ('"""', "'''", "/*", "*/")
     events = F.filter(
-        F.transform(F.col("lines"), with_flow),
-        lambda e: e["flow"]["rule_id"].isNotNull() | (regions & T.contains_any(e["line"], markers)),
+        F.transform(lines, with_flow),
+        lambda e: e["flow"]["rule_id"].isNotNull() | (regions & T.contains_any(e["line"], MARKERS)),
     )
 
     def with_severity(e: Column) -> Column:
@@ -190,8 +230,7 @@ def taint_hits(policy: Policy = DEFAULT_POLICY) -> Column:
             F.when(lowered, "Medium").otherwise(flow_severity).alias("severity"),
         )
 
-    state = F.aggregate(F.transform(events, with_severity), _region_state(), _step)
-    return F.when(F.contains(F.col("content"), F.lit("|")), state["hits"])
+    return F.aggregate(F.transform(events, with_severity), _region_state(entered), _step)["hits"]
 
 
 def scan_taint(files: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:

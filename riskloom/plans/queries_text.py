@@ -8,13 +8,14 @@ from riskloom.functions import paths as PT
 from riskloom.functions import text as T
 from riskloom.functions import urls as UR
 from riskloom.operators import (
-    chains, consistency, content_checks, coverage, cross_bundle, findings, manifest, references, rule_scan, structure, taint,
+    chains, consistency, content_checks, coverage, cross_bundle, findings, manifest, references, rule_scan, segments, structure, taint,
 )
 from riskloom.packs.policy import DEFAULT_POLICY, Policy
 from riskloom.plans import oracle_chains, oracle_checks, oracle_rules, scan
 from riskloom.plans.oracle_checks import KIND, RANK
 from riskloom.plans.oracle_core import cte, inlist, q, rm, with_ctes
 from riskloom.plans.registry import add
+from riskloom.session import Steps
 from riskloom.sources import derived as D
 from riskloom.sources import encoding
 from riskloom.sources.payloads import BYTE_PREFIXES
@@ -199,6 +200,26 @@ FLOW = ["bundle_id", "rel_path", "rule_id", "category", "severity", "line_no", "
 add("taint_flows", lambda s, d: taint.scan_taint(D.files(s, d)).select(*FLOW), sel("taint_hits", ", ".join(FLOW)))
 add("taint_first_per_bundle", lambda s, d: taint.first_per_bundle(taint.scan_taint(D.files(s, d))).select(*FLOW), sel("taint_first", ", ".join(FLOW)))
 
+# --- the same in segments of lines, as for files too long for a row
+SHORT = 40
+
+
+def segment_lines(s, d, files=None):
+    files = D.files(s, d) if files is None else files
+    steps = Steps(s, "segments-query")
+    return steps.keep(segments.lines_of(files), "lines"), steps
+
+
+def segmented_taint(s, d):
+    lines, steps = segment_lines(s, d, D.files(s, d).where("is_main OR (file_type = 'script' AND NOT is_binary AND NOT is_doc_path)"))
+    return segments.taint_hits(lines, steps, length=SHORT)
+
+
+add("segmented_logical_lines", lambda s, d: segments.logical_lines(*segment_lines(s, d), SHORT).select("bundle_id", "rel_path", "line_no", F.md5("text").alias("line_md5")),
+    sel("slines", "bundle_id, rel_path, line_no, md5(line) AS line_md5", "line <> ''"))
+add("segmented_rule_hits", lambda s, d: segments.rule_hits(*segment_lines(s, d), length=SHORT).select(*HIT), sel("line_verdicts", ", ".join(HIT), "reason IS NULL"))
+add("segmented_taint_flows", lambda s, d: segmented_taint(s, d).select(*FLOW), sel("taint_hits", ", ".join(FLOW)))
+
 # --- characters, bytes, addresses
 _shown = (
     "array_to_string(list_transform(regexp_extract_all(content, " + q(oracle_checks.SUSPECT) + ")[1:10], "
