@@ -141,6 +141,17 @@ def upgrade_candidates(stored: DataFrame, available: DataFrame, plugins: DataFra
         F.col("id").alias("bundle_id"), "name", "plugin_id", "marketplace_name", "marketplace_repo", "latest_version")
 
 
+def add_commands(plugins: DataFrame) -> DataFrame:
+    """The command that adds a marketplace: the first that one of its plugins' records knows."""
+    known = plugins.where(F.col("marketplace_add_command").isNotNull())
+    return known.groupBy(F.col("marketplace").alias("marketplace_name")).agg(F.min_by("marketplace_add_command", "ord").alias("marketplace_add_command"))
+
+
+def upgrade_commands(candidates: DataFrame, plugins: DataFrame) -> DataFrame:
+    """Upgrade candidates with the command that adds their marketplace, where one is known."""
+    return candidates.join(add_commands(plugins), "marketplace_name", "left")
+
+
 def match_plugins(scanned: DataFrame, existing: DataFrame) -> DataFrame:
     """Stored record of a scanned plugin: by id or by source; installed first, then same id.
 
@@ -396,6 +407,16 @@ def overview(stored: DataFrame, plugins: DataFrame, latest: DataFrame) -> DataFr
     return state.withColumn("one", F.lit(1)).join(figures.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def open_issues(latest: DataFrame, plugins: DataFrame) -> DataFrame:
+    """How many scanned bundles and installed plugins are at a level above Low, in one row."""
+    level = level_of_score(F.col("score"))
+    risky = ~level.isin("Safe", "Low")
+    counted = latest.select("score", F.lit("bundle").alias("kind")).unionByName(plugins.where("installed").select("score", F.lit("plugin").alias("kind")))
+    issues = counted.where(F.col("score").isNotNull() & risky).agg(
+        F.count(F.when(F.col("kind") == "bundle", 1)).alias("n_bundle_issues"), F.count(F.when(F.col("kind") == "plugin", 1)).alias("n_plugin_issues"))
+    return issues.withColumn("n_issues", F.col("n_bundle_issues") + F.col("n_plugin_issues"))
+
+
 def cache_statistics(repositories: DataFrame) -> DataFrame:
     return repositories.agg(
         F.count(F.lit(1)).alias("n_repositories"), F.count("cached_bytes").alias("n_cached"), F.sum("cached_bytes").alias("total_bytes"))
@@ -491,6 +512,26 @@ def facet(items: DataFrame, owner: str | None = None, tool: str | None = None, u
     return rows
 
 
+def reports_of(latest: DataFrame, level: str | None = None, text: str | None = None, name: str = "group_key") -> DataFrame:
+    """Latest results at a level, whose name holds the text in whatever case."""
+    rows = latest.withColumn("level", level_of_score(F.col("score")))
+    if level:
+        rows = rows.where(F.col("level") == level)
+    if text:
+        rows = rows.where(F.contains(F.lower(name), F.lit(text.lower())))
+    return rows
+
+
+def tools_of(tools: DataFrame, manager: str | None = None, text: str | None = None) -> DataFrame:
+    """Tools of one package manager, whose id holds the text in whatever case."""
+    rows = with_manager(tools)
+    if manager:
+        rows = rows.where(F.col("manager") == manager)
+    if text:
+        rows = rows.where(F.contains(F.lower("id"), F.lit(text.lower())))
+    return rows
+
+
 def is_fresh(checked: Column, now: Column, ttl_seconds: int = 3600) -> Column:
     return F.coalesce(now - checked < ttl_seconds, F.lit(False))
 

@@ -91,6 +91,23 @@ WHERE s.installed AND b.plugin_id NOT IN (SELECT external_id FROM plugins WHERE
 )
 
 
+def plugins_with_commands(s, d):
+    return table(s, d, "plugins").withColumn("marketplace_add_command", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("plugin marketplace add "), "marketplace", F.lit("#"), F.col("ord").cast("string"))))
+
+
+def upgrade_commands(s, d):
+    plugins = plugins_with_commands(s, d)
+    found = I.upgrade_candidates(table(s, d, "stored"), table(s, d, "available"), plugins, table(s, d, "marketplaces"))
+    return I.upgrade_commands(found, plugins).select("bundle_id", "plugin_id", "marketplace_name", "marketplace_add_command")
+
+
+add("upgrade_commands", upgrade_commands, ask(["stored", "best_offer", "plugins"], """
+SELECT s.id AS bundle_id, b.plugin_id, b.marketplace AS marketplace_name, c.command AS marketplace_add_command
+FROM stored s JOIN best_offer b ON b.key = lower(trim(s.name))
+LEFT JOIN (SELECT marketplace, 'plugin marketplace add ' || marketplace || '#' || min(ord) AS command FROM plugins WHERE ord % 3 = 0 GROUP BY 1) c ON c.marketplace = b.marketplace
+WHERE s.installed AND b.plugin_id NOT IN (SELECT external_id FROM plugins WHERE installed AND external_id IS NOT NULL)"""))
+
+
 def rescanned_plugins(s, d):
     p = table(s, d, "plugins")
     return p.select(F.when(F.col("ord") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("x"), "id")).alias("id"), "repository_url", "marketplace", "name")
@@ -226,6 +243,11 @@ SELECT group_key, score, CASE WHEN score >= 90 THEN 'Safe' WHEN score >= 70 THEN
 add("reports_by_name", lambda s, d: latest(s, d).orderBy(F.lower("group_key"), "group_key").select("group_key", "score"), ask(["latest_scans"], "SELECT group_key, score FROM latest_scans ORDER BY lower(group_key), group_key"))
 add("reports_by_newest", lambda s, d: latest(s, d).orderBy(F.col("scanned_at").desc_nulls_last(), "group_key").select("group_key", "scanned_at"), ask(["latest_scans"], "SELECT group_key, scanned_at FROM latest_scans ORDER BY scanned_at DESC NULLS LAST, group_key"))
 
+add("reports_of_level", lambda s, d: I.reports_of(latest(s, d), "Medium", "::B").select("group_key", "score", "level"), ask(["latest_scans"], """
+SELECT group_key, score, 'Medium' AS level FROM latest_scans WHERE score >= 50 AND score < 70 AND contains(lower(group_key), '::b')"""))
+add("open_issues", lambda s, d: I.open_issues(latest(s, d), table(s, d, "plugins")), ask(["latest_scans", "plugins"], """
+SELECT b AS n_bundle_issues, p AS n_plugin_issues, b + p AS n_issues FROM (SELECT (SELECT count(*) FROM latest_scans WHERE score < 70) AS b, (SELECT count(*) FROM plugins WHERE installed AND score < 70) AS p)"""))
+
 # --- tools
 _lower = "lower(replace(detected_path, chr(92), '/'))"
 
@@ -269,6 +291,8 @@ add("outdated_tools", lambda s, d: I.with_manager(table(s, d, "tools")).select("
     ask(["managed_tools"], "SELECT detected_path, manager, current_version, latest_version, outdated FROM managed_tools"))
 add("manager_counts", lambda s, d: I.manager_counts(table(s, d, "tools")), ask(["managed_tools"], """
 SELECT manager, count(*) AS n, count(*) FILTER (outdated) AS n_updates FROM managed_tools GROUP BY 1 UNION ALL SELECT 'all', count(*), count(*) FILTER (outdated) FROM managed_tools"""))
+add("tools_of_manager", lambda s, d: I.tools_of(table(s, d, "tools"), "npm", "TOOL1").select("detected_path", "id", "manager", "outdated"), ask(["managed_tools", "tools"], """
+SELECT detected_path, id, manager, outdated FROM managed_tools WHERE manager = 'npm' AND contains(id, 'tool1')"""))
 add("package_bundles", lambda s, d: I.package_bundles(table(s, d, "tools")), ask(["managed_tools"], """
 SELECT manager, package_name, arg_min(id, o) AS representative, first(current_version ORDER BY o) AS current_version, count(DISTINCT id) AS n_tools FROM (
  SELECT *, (CASE WHEN id = base THEN 0 WHEN starts_with(id, base) THEN 1 ELSE 2 END, id, ord) AS o FROM (SELECT *, lower(string_split(package_name, '/')[-1]) AS base FROM managed_tools)) GROUP BY ALL"""))
