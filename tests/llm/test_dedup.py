@@ -140,8 +140,10 @@ def test_lines(spark, corpus):
     assert lines.dedup_lines(empty(spark)).count() == 0
     twice = lines.dedup_lines(table(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc"), (1, "a\nb\nc\nd")])).collect()
     assert sorted((r["doc_id"] is None, r["n_lines"], r["n_removed"]) for r in twice) in (
-        [(False, 3, 0), (False, 3, 0), (False, 4, 3), (True, 3, 3)], [(False, 3, 3), (False, 3, 3), (False, 4, 0), (True, 3, 3)]
+        [(False, 3, 0), (False, 3, 3), (False, 4, 3), (True, 3, 3)], [(False, 3, 3), (False, 3, 3), (False, 4, 0), (True, 3, 3)]
     )
+    equal = lines.dedup_lines(table(spark, [(1, "a\nb\nc")] * 5 + [(None, "x\ny\nz")] * 4 + [(2, None)] * 2)).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in equal) == [("1", 0)] + [("1", 3)] * 4 + [("2", 0)] * 2 + [("None", 0)] + [("None", 3)] * 3
 
 
 def test_lines_run_no_python(spark, corpus):
