@@ -42,6 +42,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 PERCENT, DOUBT = 75, 9.0
 #: Members of a block: those outside a bucket's largest component, and those they meet.
 LEFT, RIGHT = 256, 1024
+#: Bytes of shingle sets that a task holds at once, besides the two it compares.
+SETS_BYTES = 64 << 20
 
 _HASH = Hashing(20)
 _RNG = np.random.default_rng(21)
@@ -197,24 +199,35 @@ def _joined(group: pa.Table) -> pa.Table:
             c = up
         return c
 
-    known: dict[int, np.ndarray] = {}
     blobs, unpack = group["blob"], zstandard.ZstdDecompressor()
-
-    def set_of(place: int) -> np.ndarray:
-        if place not in known:
-            known[place] = _set_of_blob(unpack, blobs[place])
-        return known[place]
+    set_of = Sets(lambda place: _set_of_blob(unpack, blobs[place]))
 
     found = []
     for x, other, node, comp in _partners(group):
         for y in map(int, other):
             a, b = find(int(comp[x])), find(int(comp[y]))
-            if a != b and alike(set_of(x), set_of(y)):
+            if a != b and alike(set_of(x, x), set_of(y, y)):
                 root[a] = b
                 found.append((int(node[x]), int(node[y])))
     return _pair_table(found)
 
 
+class Sets:
+    """Shingle sets by key, of which the last used stay within SETS_BYTES; at least the two that are compared."""
+
+    def __init__(self, make):
+        self.make, self.held, self.size = make, OrderedDict(), 0
+
+    def __call__(self, key: int, source) -> np.ndarray:
+        if key not in self.held:
+            self.held[key] = self.make(source)
+            self.size += self.held[key].nbytes
+        self.held.move_to_end(key)
+        while self.size > SETS_BYTES and len(self.held) > 2:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return self.held[key]
+
+
 def alike(s: np.ndarray, t: np.ndarray) -> bool:
     both = len(np.intersect1d(s, t, assume_unique=True))
     return 100 * both >= PERCENT * (len(s) + len(t) - both)
@@ -243,15 +256,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those whose full sets are similar enough."""
     remembered(None)
     unpack = zstandard.ZstdDecompressor()
-    known: OrderedDict[int, np.ndarray] = OrderedDict()  # a few sets: a hub's pairs follow each other
-
-    def set_of(node: int, blob: pa.Scalar) -> np.ndarray:
-        if node not in known:
-            known[node] = _set_of_blob(unpack, blob)
-            if len(known) > 64:
-                known.popitem(last=False)
-        known.move_to_end(node)
-        return known[node]
+    set_of = Sets(lambda blob: _set_of_blob(unpack, blob))  # a hub's pairs follow each other
 
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
