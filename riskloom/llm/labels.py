@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Characters of the longest text that may be part of a sample; it bounds what the driver is sent.
-LONGEST = 50_000
+#: Bytes of the longest text that may be part of a sample, and of all texts of one class; they bound what the driver is sent.
+LONGEST, BYTES = 1 << 20, 6 << 20
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -17,21 +17,34 @@ def fold(id_col: str, parts: int) -> Column:
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: int, id_col: str = "doc_id", text_col: str = "text",
-    longest: int = LONGEST,
+    longest: int = LONGEST, room: int = BYTES,
 ) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most `most` labelled texts of each class, and how many labels of each class there are to learn from.
+    """At most `most` labelled texts of each class, `room` bytes in all, and how many labels of each class there are to learn from.
 
-    The documents are those of the smallest hashes of their ids, so the sample is the same on each run; of those, texts
-    of more than `longest` characters are left out. A sample is taken whole or not at all, never cut. `learn` may use the
-    column `id` only. Null labels and ids are left out; of several labels of one id the largest counts.
+    Of the labelled texts of up to `longest` bytes, those of the smallest hashes of their ids are taken while they fit: the
+    sample is the same on each run, long texts are part of it, and one left out makes room for the next. A text is taken
+    whole or not at all. Long texts are no reason for a class to be empty: if it has texts, and all are too long, that is a
+    ValueError. `learn` may use the column `id` only. Null labels and ids are left out; of several labels of one id the
+    largest counts, of several rows of one id one is taken.
     """
     rows = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     rows = rows.where(learn).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("id"), F.col("id")
-    some = [rows.where(F.col("y") == y).orderBy(*order).limit(most) for y in (0, 1)]
-    chosen = some[0].unionByName(some[1])  # 2 * most rows at the most, so their broadcast is bounded
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    texts = texts.where(F.char_length("text") <= longest)
-    found = texts.orderBy(F.xxhash64("id"), "id", "text").limit(2 * most).collect()
-    return [(r["text"], r["y"]) for r in found], counts
+    sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes")).join(rows, "id")
+    sizes = sizes.groupBy("id", "y").agg(F.max("bytes").alias("bytes"))
+    chosen = []
+    for y in (0, 1):
+        own = sizes.where(F.col("y") == y)
+        near = own.where(F.col("bytes") <= longest).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+        if not near and counts.get(y) and not own.isEmpty():
+            raise ValueError(f"all texts with {label_col} = {y} are longer than {longest} bytes")
+        left = room
+        for r in near:
+            if r["bytes"] <= left:
+                left -= r["bytes"]
+                chosen.append((r["id"], y))
+    wanted = docs.sparkSession.createDataFrame(chosen, rows.schema)  # 2 * most rows at the most, so their broadcast is bounded
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
+    found = texts.orderBy(F.xxhash64("id"), "id", "text").collect() if chosen else []
+    kept = {r["id"]: (r["text"], r["y"]) for r in reversed(found)}
+    return [kept[i] for i in dict.fromkeys(r["id"] for r in found)], counts

@@ -1,8 +1,9 @@
 """Toxicity by subword bags: embeddings of character n-grams averaged into a linear softmax, trained jointly in numpy.
 
 A word, lower-cased in A-Z and set in < and >, gives its n-grams of 3 to 5 bytes and itself, each hashed to one of
-BUCKETS vectors. A passage of SPAN words is the mean of all its vectors; a softmax over two classes reads it. A text is as
-toxic as its most toxic passage, so a few bad words weigh the same in a short and in a very long text. Vectors and
+BUCKETS vectors. A passage of SPAN words is the mean of all its vectors; a softmax over two classes reads it. One begins at
+each word that SPAN - 1 words follow, so it does not matter where in a text a phrase stands; a shorter text is one passage.
+A text is as toxic as its most toxic passage, so a few bad words weigh the same in a short and in a very long text. Vectors and
 softmax are trained together by Adam: on the means of whole texts first, then on each text's leading passage. An
 unseen misspelling shares most of its n-grams' vectors with the words it comes from.
 
@@ -42,8 +43,9 @@ class Bags(NamedTuple):
     buckets: np.ndarray  # of all n-grams, word after word
     first: np.ndarray  # index of each word's first n-gram, and their number
     word: np.ndarray  # 64-bit hash of each word
+    row: np.ndarray  # text of each word
     passage: np.ndarray  # index of each passage's first word
-    row: np.ndarray  # text of each passage
+    words: np.ndarray  # of each passage
 
 
 def bags(texts: pa.Array) -> Iterator[tuple[range, Bags]]:
@@ -75,9 +77,29 @@ def bags(texts: pa.Array) -> Iterator[tuple[range, Bags]]:
         ids, of_word = np.concatenate(found), np.concatenate(owner)
         order = np.argsort(of_word, kind="stable")
         first = np.concatenate([[0], np.cumsum(np.bincount(of_word, minlength=len(sizes)))])
-        row_of_word = np.searchsorted(chunk.first, np.arange(len(sizes)), side="right") - 1
-        passage = np.flatnonzero((np.arange(len(sizes)) - chunk.first[row_of_word]) % SPAN == 0)
-        yield chunk.rows, Bags(ids[order], first, whole, passage, row_of_word[passage])
+        n = np.diff(chunk.first)  # words of each text
+        row = np.repeat(np.arange(len(n)), n)
+        left = np.repeat(chunk.first[1:], n) - np.arange(len(sizes))  # words from here to the text's end
+        passage = np.flatnonzero((left >= SPAN) | (left == n[row]))
+        yield chunk.rows, Bags(ids[order], first, whole, row, passage, np.minimum(left[passage], SPAN))
+
+
+def over_passages(of_words: np.ndarray, passage: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sums over each passage's words."""
+    out = of_words[passage].astype(np.float64)
+    for k in range(1, SPAN):
+        has = words > k
+        out[has] += of_words[passage[has] + k]
+    return out
+
+
+def over_words(of_passages: np.ndarray, passage: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Sums over the passages that hold each of n words."""
+    out = np.zeros(n)
+    for k in range(SPAN):
+        has = words > k
+        out[passage[has] + k] += of_passages[has]  # no two passages begin at one word
+    return out
 
 
 class Model(NamedTuple):
@@ -96,8 +118,8 @@ class Model(NamedTuple):
 def passage_logits(bag: Bags, gram: np.ndarray, bias: float) -> np.ndarray:
     if not len(bag.passage):
         return np.empty(0)
-    begins = bag.first[bag.passage]
-    return np.add.reduceat(gram[bag.buckets].astype(np.float64), begins) / np.diff(np.append(begins, len(bag.buckets))) + bias
+    sums = np.add.reduceat(gram[bag.buckets].astype(np.float64), bag.first[:-1])
+    return over_passages(sums, bag.passage, bag.words) / over_passages(np.diff(bag.first), bag.passage, bag.words) + bias
 
 
 def _picked(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +143,10 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     parts, n = [], 0
     for span, bag in bags(pa.array(texts, pa.large_string())):
         word, at, of = np.unique(bag.word, return_index=True, return_inverse=True)  # each distinct word's n-grams once
-        parts.append((word, *_picked(bag.buckets, bag.first[:-1], np.diff(bag.first), at), of.astype(np.int32), bag.passage + n, bag.row + span.start))
+        parts.append((word, *_picked(bag.buckets, bag.first[:-1], np.diff(bag.first), at), of.astype(np.int32), bag.passage + n, bag.words, bag.row + span.start))
         n += len(bag.word)
-    words, grams, sizes, of, passages, rows = (list(x) for x in zip(*parts))
-    row, passage = np.concatenate(rows), np.concatenate(passages)
+    words, grams, sizes, of, passages, lengths, rows = (list(x) for x in zip(*parts))
+    row, passage, length = np.concatenate(rows), np.concatenate(passages), np.concatenate(lengths)
     _, at, same = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
     offsets = np.cumsum([0] + [len(w) for w in words])
     of = np.concatenate([same[start + o] for start, o in zip(offsets, of)]).astype(np.int32)
@@ -138,31 +160,35 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     def word_sums(gram: np.ndarray) -> np.ndarray:
         return np.concatenate([np.add.reduceat(gram[g], begin[b] - begin[b.start]) for b, g in zip(blocks, grams_of)])
 
-    words = np.diff(np.append(passage, len(of)))
-    counts = np.add.reduceat(sizes[of], passage)
-    lead = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    y = np.array(labels)[row[lead]]
+    size = sizes[of]
+    counts = over_passages(size, passage, length)
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # word of each text, and text of each word and passage
+    text = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+    whose = text[passage]
+    lead = np.searchsorted(passage, first)  # the first passage of each text
+    y = np.array(labels)[row[first]]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    text = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(row))))  # of each passage
-    total = np.bincount(text, weights=counts)
+    total = np.bincount(text, weights=size)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
     softmax = rng.normal(0, 0.5, (DIM, 2))
     bias = np.zeros(2)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
     for step in range(1, WARM + STEPS + 1):
         d = softmax[:, 1] - softmax[:, 0]
-        sums = np.add.reduceat(word_sums(vectors @ d)[of], passage)
-        share = np.zeros(len(row))  # of each passage in the loss's slope
+        sums = word_sums(vectors @ d)[of]
         if step <= WARM:
             logit = np.bincount(text, weights=sums) / total + bias[1] - bias[0]
             error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
-            share = (error / total)[text]
+            share = (error / total)[text]  # of each word in the loss's slope
         else:
-            each = sums / counts
-            top = np.lexsort((-each, text))[lead]  # the leading passage of each text
+            each = over_passages(sums, passage, length) / counts
+            best = np.flatnonzero(each == np.maximum.reduceat(each, lead)[whose])
+            top = best[np.append(True, np.diff(whose[best]) > 0)]  # the leading passage of each text
             error = weight * (1 / (1 + np.exp(-np.clip(each[top] + bias[1] - bias[0], -40, 40))) - y)
-            share[top] = error / counts[top]
-        slope = np.bincount(of, weights=np.repeat(share, words), minlength=len(sizes))
+            leading = np.zeros(len(passage))
+            leading[top] = error / counts[top]
+            share = over_words(leading, passage, length, len(of))
+        slope = np.bincount(of, weights=share, minlength=len(sizes))
         g = np.zeros(BUCKETS)
         for b, grams in zip(blocks, grams_of):
             g += np.bincount(grams, weights=np.repeat(slope[b], sizes[b]), minlength=BUCKETS)
@@ -173,7 +199,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Model:
             v += 0.001 * (grad * grad - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # THRESHOLD is put in the middle of the widest range of cuts that part the two classes best.
-    each = np.add.reduceat(word_sums(vectors @ (softmax[:, 1] - softmax[:, 0]))[of], passage) / counts
+    each = over_passages(word_sums(vectors @ (softmax[:, 1] - softmax[:, 0]))[of], passage, length) / counts
     bias[1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(np.maximum.reduceat(each, lead), y) - (bias[1] - bias[0])
     return Model(vectors, softmax, bias)
 
@@ -203,7 +229,7 @@ def text_scores(texts: pa.Array, scorer: Scorer) -> np.ndarray:
     for span, bag in bags(texts):
         if len(bag.row):
             top = np.full(len(span), -np.inf)
-            np.maximum.at(top, bag.row, passage_logits(bag, gram, bias))
+            np.maximum.at(top, bag.row[bag.passage], passage_logits(bag, gram, bias))
             some = np.isfinite(top)
             out[span.start : span.stop][some] = top[some]
     return 1 / (1 + np.exp(-np.clip(out, -700, 700)))

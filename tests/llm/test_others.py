@@ -1,6 +1,9 @@
 """Top-k, sharding, encoding, packing and classifiers on fixtures."""
 
+import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -53,8 +56,12 @@ def test_top_k_of_large_numbers_and_nothing(spark):
 
 
 def shard_oracle(rows, limit):
-    keys = {i: bin(int(__import__("hashlib").md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i, _ in rows}
-    items = [(keys[i], len((t or "").encode())) for i, t in rows]
+    def bits(key):
+        return bin(int(hashlib.md5(key.encode()).hexdigest()[:15], 16))[2:].zfill(60)
+
+    name = lambda i: "" if i is None else str(i)
+    keys = [bits(name(i)) + bits(f"{name(i)}:{t or ''}") for i, t in rows]  # of these rows, none are equal
+    items = [(k, len((t or "").encode())) for k, (_, t) in zip(keys, rows)]
 
     def split(prefix, items):
         size = sum(b for _, b in items)
@@ -67,7 +74,7 @@ def shard_oracle(rows, limit):
         return out
 
     leaves = split("", items)
-    return sorted((str(i), len((t or "").encode()), *leaves[keys[i]]) for i, t in rows)
+    return sorted((str(i), len((t or "").encode()), *leaves[k]) for k, (i, t) in zip(keys, rows))
 
 
 @pytest.mark.parametrize("limit", [10**9, 5000, 700, 40])
@@ -80,6 +87,24 @@ def test_shards(spark, limit, monkeypatch):
     assert sharding.shard_rows(docs_of(spark, []), limit=limit).count() == 0
 
 
+def test_shards_of_one_id_and_of_equal_rows(spark, tmp_path):
+    """Null ids, repeated ids and equal rows split further, until each shard fits."""
+    rows = [(None, f"null {i}" + "x" * 40) for i in range(30)] + [(7, "y" * (20 + i)) for i in range(20)] + [(8, "same text " * 4)] * 25 + [(None, None)] * 3 + [(9, "long" * 60)]
+    got = sharding.shard_rows(docs_of(spark, rows), limit=100).collect()
+    assert len(got) == len(rows)
+    sizes, members = {}, {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["bytes"]
+        members[r["shard"]] = members.get(r["shard"], 0) + 1
+    assert all((r["shard_bytes"], r["shard_rows"]) == (sizes[r["shard"]], members[r["shard"]]) for r in got)
+    assert [r["bytes"] for r in got if not r["fits"]] == [240] and all(r["fits"] == (r["shard_bytes"] <= 100) for r in got)
+    small = sharding.shard_rows(docs_of(spark, [(None, "z" * 50)] * 5), limit=60).collect()
+    assert all(r["fits"] and r["shard_rows"] == 1 for r in small) and len({r["shard"] for r in small}) == 5
+    sharding.write_shards(docs_of(spark, rows), str(tmp_path / "out"), limit=100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in back.collect()) == sorted((str(i), str(t)) for i, t in rows)
+
+
 def test_written_shards(spark, tmp_path):
     rows = [(i, "word " * i) for i in range(60)]
     docs = docs_of(spark, rows)
@@ -200,6 +225,85 @@ def test_toxicity_finds_misspellings_in_long_texts(spark):
     assert left == {i for i, _, t in marks if not t}
 
 
+def bucket_of(data, n):
+    """As bags() hashes an n-gram: the mixed sum of a value for each byte and place."""
+    h = sum(int(toxicity._VALUES[j][b]) for j, b in enumerate(data)) + n
+    return mix(h) >> 48
+
+
+def mix(h):
+    h %= 2**64
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 % 2**64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB % 2**64
+    return h ^ (h >> 31)
+
+
+def toxic_by_hand(text, scorer):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    if not words:
+        return 1 / (1 + math.exp(-scorer.prior))
+    found = []
+    for w in words:
+        w = b"<" + bytes(c + 32 if 65 <= c <= 90 else c for c in w) + b">"
+        whole = mix(sum(int(toxicity._VALUES[0][c]) * (2 * i + 1) for i, c in enumerate(w))) >> 48
+        found.append([bucket_of(w[i : i + n], n) for n in toxicity.SIZES for i in range(len(w) - n + 1)] + [whole])
+    best = -math.inf
+    for i in range(max(1, len(found) - toxicity.SPAN + 1)):
+        bag = [b for grams in found[i : i + toxicity.SPAN] for b in grams]
+        best = max(best, sum(float(scorer.gram[b]) for b in bag) / len(bag) + scorer.bias)
+    return 1 / (1 + math.exp(-best))
+
+
+def test_toxicity_scores_against_plain_python(spark, sf_dir):
+    docs, marks = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, marks, labels.fold("id", 3) != 1)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = list(texts.items()) + [(-1, None), (-2, ""), (-3, " \n"), (-4, "One"), (-5, "two Words"), (-6, "é ÄÖ \u2028x"), (None, "a b c d")]
+    got = toxicity.score_documents(docs_of(spark, rows), model).collect()
+    want = {d: toxic_by_hand(t, model) for d, t in rows}
+    assert len(got) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)
+
+
+def test_where_a_phrase_stands_does_not_matter(spark):
+    """Words in front of a text change no verdict on it."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, marks, labels.fold("id", 3) != 1)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect() if len((r["text"] or "").split()) >= 3]
+    score = lambda rows: {r["doc_id"]: r["score"] >= toxicity.THRESHOLD for r in toxicity.score_documents(docs_of(spark, rows), model).collect()}
+    plain = score(texts)
+    for n in (1, 2, 3):
+        moved = score([(i, "the of and"[: 3 * n + n // 3] + " " + t) for i, t in texts])
+        assert sum(moved[i] != plain[i] for i, _ in texts) == 0
+
+
+def test_samples_take_long_texts_and_fill_up(spark):
+    rng = random.Random(9)
+    long_prose = lambda w, n: " ".join(rng.choice(w) for _ in range(n))
+    clean, vile = ["lora", "kasu", "mine", "tenka"], ["vilegrub", "foulmonger"]
+    rows = [(i, long_prose(clean, 12_000) + (" " + " ".join(vile * 3) if i % 2 else "")) for i in range(20)]
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    sample, counts = labels.labelled_sample(docs, marks, "toxic", F.lit(True), 1000)
+    assert len(sample) == 20 and counts == {0: 10, 1: 10}
+    model = toxicity.fit(docs, marks, F.lit(True))
+    assert all((r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 2 == 1) for r in toxicity.score_documents(docs, model).collect())
+    size = len(rows[0][1].encode())
+    some, _ = labels.labelled_sample(docs, marks, "toxic", F.lit(True), 1000, room=3 * size + size // 2)
+    assert [sum(y == k for _, y in some) for k in (0, 1)] == [3, 3]
+    few, _ = labels.labelled_sample(docs_of(spark, rows + [(100 + i, "short") for i in range(4)]), marks.union(spark.createDataFrame([(100 + i, 0, 0) for i in range(4)], marks.schema)),
+                                    "toxic", F.col("id") != 1, 4, longest=1000 * 1000)
+    assert [sum(y == k for _, y in few) for k in (0, 1)] == [4, 4]
+    with pytest.raises(ValueError, match="longer than 1000 bytes"):
+        labels.labelled_sample(docs, marks, "toxic", F.lit(True), 10, longest=1000)
+    # Labels without a document are none to learn from, and no error; repeated rows count once.
+    nothing, _ = labels.labelled_sample(docs.where("doc_id < 0"), marks, "toxic", F.lit(True), 10, longest=1000)
+    twice, _ = labels.labelled_sample(docs.union(docs), marks, "toxic", F.lit(True), 1000)
+    assert nothing == [] and len(twice) == 20
+
+
 def test_classifiers_without_labels_or_classes(spark):
     docs = docs_of(spark, [(1, "a b c"), (2, None), (None, "")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -222,6 +326,51 @@ def test_quality_ranks_and_cuts(spark):
     assert all((score[i] >= 0.3) == (i % 4 != 0) for i in score)
 
 
+KINDS = {"_LETTER": b"abcdefghijklmnopqrstuvwxyz", "_UPPER": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "_DIGIT": b"0123456789", "_END": b".", "_COMMA": b",;:",
+         "_LOUD": b"!?", "_SIGN": b"#$%&*+=~^@\\", "_BAR": b"|<>[]{}/_"}
+
+
+def features_by_hand(text):
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    kind = lambda b: next((k for k, chars in KINDS.items() if b in chars), "_WIDE" if b >= 128 else "other")
+    count = {}
+    for w in words:
+        for b in w:
+            count[kind(b)] = count.get(kind(b), 0) + 1
+    n, size = max(len(words), 1), max(sum(map(len, words)), 1)
+    of = lambda k: count.get(k, 0)
+    share = lambda test: sum(map(bool, map(test, words))) / n
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n
+
+    def repeats(k):
+        runs = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        return (len(runs) - len(set(runs))) / max(len(runs), 1)
+
+    return [
+        of("_UPPER") / max(of("_UPPER") + of("_LETTER"), 1), share(lambda w: sum(kind(b) == "_UPPER" for b in w) >= max(2, len(w) // 2)),
+        *(of(k) / size for k in ("_DIGIT", "_END", "_COMMA", "_LOUD", "_SIGN", "_BAR", "other")),
+        *(share(lambda w: kind(w[-1]) == k) for k in ("_LOUD", "_SIGN", "_END", "_COMMA")), share(lambda w: kind(w[0]) == "_UPPER"),
+        share(lambda w: kind(w[0]) in ("_SIGN", "_BAR", "other")), mean, math.sqrt(max(sum(x * x for x in sizes) / n - mean**2, 0)),
+        repeats(1), repeats(2), repeats(5), data.count(b"\n") / n, math.log1p(len(words)),
+    ]
+
+
+def test_quality_scores_against_plain_python(spark, sf_dir):
+    docs, marks = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, marks, labels.fold("id", 5) != 0)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = list(texts.items()) + [(-1, None), (-2, ""), (-3, " \n\n"), (-4, "One!! $x #TAG"), (-5, "a a a a a a a a"), (-6, "é ÄÖ \u2028x \"q\""), (None, "a\nb c d")]
+    got = quality.score_documents(docs_of(spark, rows), model).collect()
+    for r in got:
+        x = [min(max((v - c) / s, -6), 6) for v, c, s in zip(features_by_hand(dict(rows)[r["doc_id"]]), model.centre, model.scale)]
+        raw = sum(a * w for a, w in zip(x, model.weights))
+        want = 1 / (1 + math.exp(-max(min(model.steep * (raw - model.cut) + math.log(quality.THRESHOLD / (1 - quality.THRESHOLD)), 700), -700)))
+        assert abs(r["score"] - want) < 1e-6, (r, want)
+    assert len(got) == len(rows)
+
+
 def test_features_of_texts_do_not_depend_on_their_neighbours():
     import pyarrow as pa
 
