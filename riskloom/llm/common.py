@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import Steps
 
-__all__ = ["SPACES", "Steps", "give_back", "numbered", "remembered", "table"]
+__all__ = ["SPACES", "Steps", "give_back", "numbered", "remembered", "table", "without"]
 
 #: Bytes that part words, in texts as UTF-8.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -31,6 +31,20 @@ def numbered(docs: DataFrame, steps: Steps) -> tuple[DataFrame, str]:
     return steps.keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+#: Row numbers that are broadcast at most.
+NUMBERS = 500_000
+
+
+def without(rows: DataFrame, row: str, gone: DataFrame, steps: Steps) -> DataFrame:
+    """Rows of a numbered table but those whose numbers gone holds, in its column of that name; without the numbers.
+
+    Numbers are written first, so that their count decides: a bounded number goes to where the rows lie, and these are not
+    shuffled; more of them meet the rows by a sort and a merge.
+    """
+    gone = steps.keep(gone, "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= NUMBERS else gone.hint("merge"), row, "left_anti").drop(row)
+
+
 _REMEMBERED: dict = {}
 
 

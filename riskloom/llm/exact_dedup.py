@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps, numbered, remembered
+from riskloom.llm.common import Steps, numbered, remembered, without
 
 #: Counters of a summary; also bounds the digests that are broadcast (SLOTS + 1).
 SLOTS = 1000
@@ -100,7 +100,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """docs without the rows that exact_groups drops, row by row: ids may be null or repeated. Rows keep all their columns."""
-    rows, row = numbered(docs, Steps(docs.sparkSession, "exact-stage"))
+    steps = Steps(docs.sparkSession, "exact-stage")
+    rows, row = numbered(docs, steps)
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     groups = exact_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", slots)
-    return rows.join(groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), row, "left_anti").drop(row)
+    return without(rows, row, groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), steps)

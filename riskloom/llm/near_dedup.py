@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Steps, numbered, remembered
+from riskloom.llm.common import Steps, numbered, remembered, without
 from riskloom.llm.components import components
 from riskloom.llm.words import Hashing, chunks, mixed
 
@@ -385,7 +385,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are told apart by a number of their own: ids may be null or repeated, and of equal ids one row stays.
     """
-    rows, row = numbered(docs, Steps(docs.sparkSession, "near-stage"))
+    steps = Steps(docs.sparkSession, "near-stage")
+    rows, row = numbered(docs, steps)
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     groups = near_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text")
-    return rows.join(groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), row, "left_anti").drop(row)
+    return without(rows, row, groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), steps)
