@@ -7,10 +7,9 @@ Edges are not moved one by one. All edges that share one anchor, the ANCHOR-word
 window (leftmost of equal ones), are a nonbranching piece of path already and travel as one run. Joins on the anchor
 and on the run's hash show which runs stand elsewhere as a whole. Runs whose anchor has other surroundings elsewhere
 branch: only for those are single edges compared. Repeated runs that follow each other in a document as they do at
-the place where they stand first (their source coordinates) are compacted into one long span, and spans
-that name the same source row, start and length must give the same SHA-256 of the words; a span that alone names its
-source, and single edges, rest on their hashes. If one differs (two
-texts with equal 128-bit hashes) the work is done again with other hashes.
+the place where they stand first (their source coordinates) are compacted into one long span. Each span's source row
+gets its start and length, each once, and the SHA-256 of the words there must be that of the span; single edges rest on
+their hashes. If one differs (two texts with equal 128-bit hashes) the work is done again with other hashes.
 
 Words are the runs of characters other than [\\x20\\x09-\\x0D], unchanged. A null or empty text has no words; a text of
 fewer than WINDOW words has no edge and loses none. Rows are told apart by a 64-bit number that each gets when the input
@@ -127,8 +126,18 @@ def _single_edges(hashing: Hashing, window: int):
     return run
 
 
+def _digests(words: list[bytes], spans: list[list[int]]) -> list[bytes]:
+    """SHA-256 of the words from start to end, joined by one space; words beyond the text are none."""
+    if not spans:
+        return []
+    joined = memoryview(b" ".join(words))
+    first = np.cumsum([0] + [len(w) + 1 for w in words])
+    ends = lambda end: max(int(first[min(end, len(words))]) - 1, 0)
+    return [hashlib.sha256(joined[int(first[min(start, len(words))]) : ends(end)]).digest() for start, end in spans]
+
+
 def _kept(window: int):
-    """What is left of each text; and of each span the SHA-256 of its words."""
+    """What is left of each text; and the SHA-256 of the words of its spans, then of those that others have from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered(None)
@@ -138,11 +147,11 @@ def _kept(window: int):
             for i in range(batch.num_rows):
                 words = unpack.decompress(batch.column(1)[i].as_py()).split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
-                digests = []
-                for start, end in (batch.column(2)[i].as_py() or ()):
+                own, lent = (batch.column(c)[i].as_py() or [] for c in (2, 5))
+                for start, end in own:
                     gone[start] += 1
                     gone[end] -= 1
-                    digests.append(hashlib.sha256(b" ".join(words[start:end])).digest())
+                sums.append(_digests(words, own + lent))
                 for start in batch.column(3)[i].as_py() or ():
                     gone[start] += 1
                     gone[start + window] -= 1
@@ -150,7 +159,6 @@ def _kept(window: int):
                 texts.append(b" ".join([w for w, s in zip(words, stay.tolist()) if s]).decode())
                 words_n.append(len(words))
                 removed.append(len(words) - int(stay.sum()))
-                sums.append(digests)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), pa.array(sums, pa.list_(pa.binary())), batch.column(4)],
                 names=["doc_id", "n_words", "n_removed", "kept_text", "digests", "sources"],
@@ -192,11 +200,18 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
         (F.col("start") == before("start") + before("edges")) & (F.col("from_row") == before("from_row"))
         & (F.col("from_start") == before("from_start") + before("edges"))
     )
-    paths = sourced.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "path").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("edges") + (window - 1)).alias("end"),
-        F.min_by(F.struct("from_row", "from_start"), "start").alias("source"),
+    paths = steps.keep(
+        sourced.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "path").agg(
+            F.min("start").alias("start"), F.max(F.col("start") + F.col("edges") + (window - 1)).alias("end"),
+            F.min_by(F.struct("from_row", "from_start"), "start").alias("source"),
+        ).select("row", "start", "end", F.col("source.from_row").alias("from_row"), F.col("source.from_start").alias("from_start"), (F.col("end") - F.col("start")).alias("words")),
+        at("paths"),
+    )
+    spans = paths.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from_row", "from_start", "words"))).alias("spans"))
+    # What a text's copies have from it: each start and length once, however many copies there are.
+    lent = paths.where("row != from_row or start != from_start").groupBy(F.col("from_row").alias("row")).agg(
+        F.sort_array(F.collect_set(F.struct("from_start", "words"))).alias("lent")
     )
-    spans = paths.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "source"))).alias("spans"))
 
     # Single edges where paths branch: each run once, with whether it is repeated as a whole.
     asked = kinds.join(branching.hint("merge"), "anchor", "left_semi").select(
@@ -214,18 +229,23 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
     )
     starts = singles.where("not whole").join(twice.hint("merge"), ["k1", "k2"]).groupBy("row").agg(F.collect_set("start").alias("starts"))
 
-    done = packed.join(spans, "row", "left").join(starts, "row", "left").select(
-        "doc_id", "blob", F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias("spans"), "starts",
-        F.transform("spans", lambda s: F.struct(s["source"]["from_row"].alias("row"), s["source"]["from_start"].alias("start"), (s["end"] - s["start"]).alias("words"))).alias("sources"),
+    claim = lambda row, start, words: F.struct(row.alias("row"), start.alias("start"), words.alias("words"))
+    claims = F.concat(
+        F.coalesce(F.transform("spans", lambda s: claim(s["from_row"], s["from_start"], s["words"])), F.array()),
+        F.coalesce(F.transform("lent", lambda s: claim(F.col("row"), s["from_start"], s["words"])), F.array()),
+    )
+    done = packed.join(spans, "row", "left").join(starts, "row", "left").join(lent, "row", "left").select(
+        "doc_id", "blob", F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias("spans"), "starts", claims.alias("sources"),
+        F.transform("lent", lambda s: F.array(s["from_start"], s["from_start"] + s["words"])).alias("lent"),
     ).mapInArrow(
         _kept(window),
         f"doc_id {kind}, n_words long, n_removed long, kept_text string, digests array<binary>, sources array<struct<row:bigint,start:int,words:int>>",
     )
     out = steps.keep(result(done), at("result"))
-    claims = out.select(F.explode(F.arrays_zip("digests", "sources")).alias("c")).groupBy("c.sources").agg(
+    told = out.select(F.explode(F.arrays_zip("digests", "sources")).alias("c")).groupBy("c.sources").agg(
         F.min("c.digests").alias("lo"), F.max("c.digests").alias("hi")
     )
-    return out.drop("digests", "sources") if claims.where("lo != hi").isEmpty() else None
+    return out.drop("digests", "sources") if told.where("lo != hi").isEmpty() else None
 
 
 def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, result=lambda done: done) -> DataFrame:

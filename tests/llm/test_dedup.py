@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import exact_dedup, lines, near_dedup, substrings
+from riskloom.llm.words import Hashing
 
 SCHEMA = "doc_id long, text string, n_chars long, _id string, digest string, copy string, node string, bits string"
 
@@ -225,6 +226,30 @@ def test_substrings_of_random_repeats(spark):
     assert sorted(got) == sorted(passage_oracle(rows))
 
 
+def test_spans_are_compared_with_their_source(spark, monkeypatch):
+    """Hashes that tell words by their length only: a lone span that isn't what its source holds must be found out."""
+    def blunt(seed):
+        hashing = Hashing(seed)
+        if seed == substrings.SEEDS[0]:
+            hashing.values[:] = 1
+            hashing.powers[:] = 1
+        return hashing
+
+    rng = random.Random(21)
+    lengths = [rng.randint(1, 12) for _ in range(120)]
+    spelled = lambda letters, sizes: " ".join("".join(rng.choice(letters) for _ in range(n)) for n in sizes)
+    whole, other = spelled("abc", lengths), spelled("xyz", lengths[:60])
+    rows = [(1, whole), (2, other + " " + prose(rng, 50)), (3, prose(rng, 40) + " " + whole), (4, prose(rng, 80))]
+    monkeypatch.setattr(substrings, "Hashing", blunt)
+    tried = []
+    once = substrings._once
+    monkeypatch.setattr(substrings, "_once", lambda rows, steps, seed, *more: tried.append(seed) or once(rows, steps, seed, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # the first row is the source
+    got = [tuple(r) for r in substrings.removed_passages(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
+    assert sorted(got) == sorted(passage_oracle(rows))
+    assert tried == list(substrings.SEEDS[:2])
+
+
 def shingles(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
