@@ -14,6 +14,11 @@ inside a task: once for the best partner of each, and at last for all partners t
 verified where they meet, and only links that join two components leave the task. So a link between classes that share
 a band is missed only if the likelihood test, at a deviation beyond four standard errors, is wrong.
 
+Buckets that still fill several pairs of blocks after their hub's links are split first, without losing a link: of the
+sets of their members, two that are similar enough share one of the shingles that are rarest among all these members
+(of n shingles the first n - ceil(0.75 n) + 1). Classes that share such a shingle meet under it instead, unless all those
+meetings would cost more than the bucket's own. So texts that have a common frame and nothing else, however many, don't meet.
+
 Null and empty texts, and texts without words, have no set and are linked with nothing. Rows equal in id are not told
 apart in component_id and kept; drop_near_copies tells them apart. Ids may be null; they count as larger than all others. Only id and text are read.
 """
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import Steps, numbered, remembered, without
@@ -42,6 +47,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 PERCENT, DOUBT = 75, 9.0
 #: Members of a block: those outside a bucket's largest component, and those they meet.
 LEFT, RIGHT = 256, 1024
+#: Comparisons of sketches that cost as much as moving one.
+MOVED = 50
 #: Bytes of shingle sets that a task holds at once, besides the two it compares.
 SETS_BYTES = 64 << 20
 
@@ -252,6 +259,36 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(blobs, pa.binary())], names=["f1", "f2", "blob"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32 bits of each shingle of packed texts, the node, and how many of the set's rarest shingles exceed all of them.
+
+    Shingles that share their 32 bits count once, which makes the rarest ones no fewer than are needed.
+    """
+    remembered(None)
+    unpack = zstandard.ZstdDecompressor()
+
+    def batch_of(nodes: list[int], parts: list[np.ndarray], over: list[int]) -> pa.RecordBatch:
+        sizes = [len(p) for p in parts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(parts).view(np.int32)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(over, sizes).astype(np.int32))],
+            names=["shingle", "node", "over"],
+        )
+
+    for batch in batches:
+        nodes, parts, over, size = [], [], [], 0
+        for node, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            whole = _set_of_blob(unpack, blob)
+            parts.append(np.unique((whole >> np.uint64(32)).astype(np.uint32)))
+            nodes.append(node)
+            over.append(len(whole) + (-PERCENT * len(whole)) // 100 + 1 - len(parts[-1]))
+            size += len(parts[-1])
+            if size > 1 << 18:
+                yield batch_of(nodes, parts, over)
+                nodes, parts, over, size = [], [], [], 0
+        if nodes:
+            yield batch_of(nodes, parts, over)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those whose full sets are similar enough."""
     remembered(None)
@@ -291,6 +328,8 @@ class _Search:
             texts.mapInArrow(_texts, "f1 long, f2 long, blob binary").join(met.hint("merge"), ["f1", "f2"]).groupBy("node").agg(F.first("blob").alias("blob")),
             "texts",
         )
+        #: Key and node of those that are yet to meet; buckets of two are settled by their hub.
+        self.meets = self.buckets.where("size > 2").select("key", "node")
         self.tested = None
         self.labels = steps.keep(self.buckets.select("node").distinct().withColumn("comp", F.col("node")), "labels-0")
         self.turn = 0
@@ -305,22 +344,60 @@ class _Search:
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
         return joined.mapInArrow(_likely, "a long, b long")
 
-    def blocks(self) -> DataFrame:
-        """Members of buckets that hold several components, dealt to pairs of blocks; buckets of two were settled by their hub.
-
-        Members outside the largest component form the left blocks, all members the right ones; a task gets one of each.
-        """
-        rows = self.buckets.where("size > 2").join(self.labels, "node").select("key", "node", "comp")
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Buckets of rows (key, node, comp) that hold several components: the largest one, and blocks on either side."""
         sums = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
             F.count("*").alias("parts"), F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("main")
         ).where("parts > 1")
-        split = self.steps.keep(
-            sums.select(
-                "key", F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.c")) / LEFT).cast("int").alias("lefts"),
-                F.ceil(F.col("total") / RIGHT).cast("int").alias("rights"),
+        left = F.col("total") - F.col("main.c")
+        return sums.select(
+            "key", F.col("main.comp").alias("main"), "total", left.alias("left"), F.ceil(left / LEFT).cast("int").alias("lefts"),
+            F.ceil(F.col("total") / RIGHT).cast("int").alias("rights"),
+        )
+
+    def split(self) -> None:
+        """Members of large open buckets meet under their rarest shingles, where that costs less than the bucket does."""
+        keep = self.steps.keep
+        cost = lambda pairs, moved: pairs + MOVED * moved
+        large = keep(
+            self.open(self.meets.join(self.labels, "node")).where("lefts * rights > 1").select(
+                "key", cost(F.col("left") * F.col("total"), F.col("left") * F.col("rights") + F.col("total") * F.col("lefts")).alias("cost")
             ),
-            f"open-{self.turn}",
+            "large",
+        )
+        if large.isEmpty():
+            return
+        inside = keep(self.meets.join(large, "key").select("key", "node", "cost"), "inside")
+        degree = inside.groupBy("node").agg(F.count("*").alias("degree"))
+        shingles = keep(
+            self.texts.join(degree, "node").select("node", "blob").mapInArrow(_shingles, "shingle int, node long, over int"), "shingles"
         )
+        # Those that stand in one set alone are its rarest and lead nowhere: they are counted, not moved again.
+        shared = keep(shingles.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
+        own = Window.partitionBy("node")
+        rare = keep(
+            shingles.join(shared.hint("merge"), "shingle").select(
+                F.col("shingle").cast("long").alias("key"), "node",
+                (F.count("*").over(own) + F.col("over") - F.row_number().over(own.orderBy("c", "shingle"))).alias("rest"),
+            ).where("rest >= 0").select("key", "node"),
+            "rare",
+        )
+        self.steps.drop("shingles", "shared-shingles")
+        sizes = keep(rare.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "rare-sizes")
+        met = keep(rare.join(sizes.hint("merge"), "key"), "rare-met")
+        each = met.groupBy("node").agg(F.sum(cost(F.col("size"), F.lit(1))).alias("each"))
+        share = degree.join(each, "node", "left").select("node", (F.coalesce("each", F.lit(0)) / F.col("degree")).alias("share"))
+        done = keep(inside.join(share, "node").groupBy("key").agg(F.first("cost").alias("cost"), F.sum("share").alias("sum")).where("sum < cost").select("key"), "split")
+        nodes = inside.join(done, "key").select("node").distinct()
+        self.meets = keep(self.meets.join(done, "key", "left_anti").unionByName(met.join(nodes, "node").select("key", "node")), "meets")
+
+    def blocks(self) -> DataFrame:
+        """Members of buckets that hold several components, dealt to pairs of blocks.
+
+        Members outside the largest component form the left blocks, all members the right ones; a task gets one of each.
+        """
+        rows = self.meets.join(self.labels, "node").select("key", "node", "comp")
+        split = self.steps.keep(self.open(rows).select("key", "main", "lefts", "rights"), f"open-{self.turn}")
         rows = rows.join(split.hint("merge"), "key").join(self.classes.select("node", "n", "sketch"), "node")
         place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
         spans = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -361,6 +438,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept of every row."""
     search = _Search(docs, id_col, text_col)
     search.join(search.verified(search.hubs()))
+    search.split()
     search.join(search.verified(search.best_pairs()))
     search.join(search.last_links())
     placed = search.classes.select("f1", "f2", "node").join(search.labels, "node", "left").select(

@@ -300,6 +300,32 @@ def test_near_groups_of_many_edits(spark, monkeypatch):
     assert got == near_oracle(rows)
 
 
+def framed(rng, n, frame, own):
+    """Texts that share a frame of so many words and have so many of their own; every fiftieth has a near copy."""
+    shared = prose(rng, frame)
+    texts = [shared + " " + " ".join(f"{i}w{k}" for k in range(own)) for i in range(n)]
+    copies = [t.rsplit(" ", 3)[0] + f" end{i}" for i, t in enumerate(texts[::50])]
+    return list(enumerate(texts + copies))
+
+
+@pytest.mark.parametrize("frame, own, splits", [(85, 35, True), (100, 20, None)])
+def test_near_groups_in_buckets_of_one_frame(spark, monkeypatch, frame, own, splits):
+    """Texts of a frame are candidates of each other and not linked; their own words tell them apart, or are too few to."""
+    monkeypatch.setattr(near_dedup, "LEFT", 16)
+    monkeypatch.setattr(near_dedup, "RIGHT", 32)
+    rows = framed(random.Random(31), 300, frame, own)
+    docs = table(spark, rows)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(docs).collect())
+    assert got == near_oracle(rows)
+    if splits:
+        search = near_dedup._Search(docs, "doc_id", "text")
+        search.join(search.verified(search.hubs()))
+        largest = lambda: search.meets.groupBy("key").count().agg({"count": "max"}).first()[0]
+        before = largest()
+        search.split()
+        assert before > 40 and (largest() or 0) <= near_dedup.RIGHT
+
+
 def test_null_and_repeated_ids_of_near_copies(spark):
     rng = random.Random(6)
     a, b = prose(rng, 40), prose(rng, 40)
