@@ -16,11 +16,19 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 START = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a stream, whether it is one file or a folder of files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    reader = spark.readStream.schema(DOCUMENTS)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(f"{sf_dir}/documents.parquet")
+    return reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)  # a stream reads folders only
+
+
 def arrivals(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     """Files derived from streamed documents, one arriving per minute; optionally delivered again."""
     def once() -> DataFrame:
-        docs = spark.readStream.schema(DOCUMENTS).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-        docs = docs.select("doc_id", "source", "text", F.timestamp_seconds(F.lit(START) + F.col("doc_id") * 60).alias("arrived_at"))
+        docs = document_stream(spark, sf_dir).select("doc_id", "source", "text", F.timestamp_seconds(F.lit(START) + F.col("doc_id") * 60).alias("arrived_at"))
         return D.in_scope(D.with_file_columns(D.derive(docs)))
 
     stream = once()

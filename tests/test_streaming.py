@@ -5,6 +5,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from riskloom.plans import queries_streaming
 from riskloom.session import Steps
 from riskloom.sources.derived import with_file_columns
 from riskloom.streaming import live_scan as L
@@ -49,3 +50,15 @@ def test_batches_leave_their_findings_and_nothing_else(spark, tmp_path):
     (tmp_path / "out" / "_writing-4" / "part-0.parquet").write_bytes(b"half")
     assert {b for b, _, _ in run(spark, tmp_path)} == {"b0", "b1", "b2", "b3", "b9"}
     assert steps_of(spark) == before
+
+
+def test_documents_stream_from_a_file_and_from_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "sudo ls\n" * i, "en", "web", 8 * i) for i in range(6)], queries_streaming.DOCUMENTS)
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    shutil.copy(next((tmp_path / "one").glob("*.parquet")), tmp_path / "file" / "documents.parquet")
+    found = {name: sorted(map(str, queries_streaming.scan_stream(spark, str(tmp_path / name)).collect())) for name in ("folder", "file")}
+    assert found["folder"] == found["file"] and len(found["file"]) > 0
+    assert queries_streaming.without_redelivery(spark, str(tmp_path / "folder")).count() > 0
+    assert sum(r.n for r in queries_streaming.hours(spark, str(tmp_path / "folder")).collect()) == len(found["file"])
