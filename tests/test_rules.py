@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from riskloom.operators import rule_scan as R
 from riskloom.packs import loader
 from riskloom.packs.model import Rule
@@ -122,3 +124,36 @@ def test_needed_literals_never_reject_a_match(pattern, text):
     assert need is None or holds(need)
     assert all(m in text for m in loader.required_marks(pattern))
     assert loader.min_width(pattern) <= len(text)
+
+
+def test_a_literals_rare_end_is_part_of_it():
+    from riskloom.packs.loader import rare_start
+
+    assert rare_start("subprocess.") == "bprocess." and rare_start("sh") == "sh" and rare_start("") == ""
+    for literal in ("authorized_keys", "password", "curl", "-----begin", "os.system"):
+        assert literal.endswith(rare_start(literal)) and len(rare_start(literal)) >= min(4, len(literal))
+
+
+def test_literals_are_found_in_the_distinct_words_as_in_the_text(spark):
+    from riskloom.functions import sqltext as S
+
+    texts = ["curl a | sh\ncurl a", "  curl\tb", "x account", "xaccount", "ACCOUNT İnstall", "", None, "a b a b os.system('x')"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("words", F.expr(S.distinct_words("t")))
+    for literal in ("curl", "sh\ncurl", "x account", "account", "os.system", "\tb"):
+        rows_of = rows.select(F.expr(f"contains(t, {S.quoted(literal)})").alias("a"), F.expr(S.holds("t", literal, "words")).alias("b")).collect()
+        assert all(not r.a or r.b for r in rows_of)
+
+
+def test_folding_maps_the_three_letters(spark):
+    from riskloom.functions import text as T
+
+    row = spark.createDataFrame([("ſUDO", "İıX", "Äb", None)], "a string, b string, c string, d string")
+    assert tuple(row.select(*[T.folded(F.col(c)) for c in "abcd"]).first()) == ("sudo", "iix", "äb", None)
+
+
+def test_findings_are_kept_before_they_are_sorted(spark):
+    from riskloom.operators import findings as FN
+
+    rows = spark.range(3).selectExpr("'b' bundle_id", "'p' rel_path", "cast(id as int) line_no", "'R' rule_id", "'High' severity")
+    for ordered in (FN.in_severity_order(rows), FN.in_file_order(rows)):
+        assert ordered.inputFiles() and [r.line_no for r in ordered.collect()] == [0, 1, 2]
