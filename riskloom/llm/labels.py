@@ -15,6 +15,12 @@ def fold(id_col: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts, F.lit(0)).cast("int")
 
 
+def label_rows(labels: DataFrame, label_col: str, learn: Column) -> DataFrame:
+    """id and y of the labels to learn from: null labels and ids are left out, of several labels of one id the largest counts."""
+    rows = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    return rows.where(learn).groupBy("id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: int, id_col: str = "doc_id", text_col: str = "text",
     longest: int = LONGEST, room: int = BYTES,
@@ -27,8 +33,7 @@ def labelled_sample(
     ValueError. `learn` may use the column `id` only. Null labels and ids are left out; of several labels of one id the
     largest counts, of several rows of one id one is taken.
     """
-    rows = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    rows = rows.where(learn).groupBy("id").agg(F.max("y").alias("y"))
+    rows = label_rows(labels, label_col, learn)
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes")).join(rows, "id")
     sizes = sizes.groupBy("id", "y").agg(F.max("bytes").alias("bytes"))

@@ -384,3 +384,26 @@ def test_features_of_texts_do_not_depend_on_their_neighbours():
 def test_fold_is_crc32_of_the_id(spark):
     rows = spark.range(50).select(F.col("id"), labels.fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows of a class than any sample held, and texts of several MiB in all: all of them count for the cut."""
+    import pyarrow as pa
+
+    n = 5000
+    rows = [(i, ("Plain words that go on and on. " if i % 2 else "BUY NOW!!! $$$ ") * (1 + i % 7)) for i in range(n)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    steps = quality.Steps(spark, "test-quality")
+    held = quality.learned(docs, labels.label_rows(marks, "quality", F.lit(True)), steps, "doc_id", "text")
+    centre, scale, n_bad, n_good = quality.scaling(held, 0.5)
+    assert (n_bad, n_good) == (n // 2, n // 2) and np.allclose(centre, quality.features(pa.array([t for _, t in rows])).mean(axis=0))
+    assert quality.pairs_of(held, n_bad, n_good, centre, scale, steps).count() >= n
+    values = np.random.default_rng(1).normal(size=6001)
+    scored = spark.createDataFrame([(0, float(v)) for v in values], "y int, s double")
+    want = np.sort(values)
+    at = int(np.searchsorted(np.cumsum(np.full(6001, 1 / 6001)), 0.3 - 1e-9))
+    assert abs(quality.quantile(scored, (1 / 6001, 1.0), 0.3) - (want[at] + want[at + 1]) / 2) < 1e-12
+    score = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, quality.fit(docs, marks, F.lit(True))).collect()}
+    assert all((score[i] >= quality.THRESHOLD) == bool(i % 2) for i in range(n))
+    steps.end()
