@@ -157,3 +157,25 @@ def test_findings_are_kept_before_they_are_sorted(spark):
     rows = spark.range(3).selectExpr("'b' bundle_id", "'p' rel_path", "cast(id as int) line_no", "'R' rule_id", "'High' severity")
     for ordered in (FN.in_severity_order(rows), FN.in_file_order(rows)):
         assert ordered.inputFiles() and [r.line_no for r in ordered.collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("pattern,run", [
+    (r"[A-Za-z0-9+/]{200,}={0,2}", 200), (r"x\S{30,}?y", 30), (r"\w{5}", 5), (r"[^a]{50,}", 0), (r"[ -~]{50,}", 0), (r"(?:ab ){9,}", 0), (r".{40,}", 0), (r"a{0,9}", 0),
+])
+def test_runs_without_blanks(pattern, run):
+    assert loader.blank_free_run(pattern) == run
+
+
+def test_long_runs_are_looked_for_in_files_with_long_words_only(spark, files_of):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators import rule_scan
+
+    texts = {("b", "short.txt"): "word " * 400, ("b", "long.txt"): "x y " + "QUJD" * 60 + "==\nz", ("b", "tab.txt"): "x\t" + "+/aZ" * 50, ("b", "none.txt"): ""}
+    files = files_of(texts)
+    lengths = {r.rel_path: r.longest_word for r in rule_scan.prepare(files).collect()}
+    assert lengths["short.txt"] == 4 and lengths["none.txt"] == 0 and min(lengths["long.txt"], lengths["tab.txt"]) >= 200
+    rule = next(r for r in loader.builtin_rules() if r.rule_id == "OBFUSCATION_BASE64_LARGE")
+    tested = rule_scan.prepare(files).where(F.expr(rule_scan._line_guard_sql(rule)))
+    assert {r.rel_path for r in tested.collect()} == {"long.txt", "tab.txt"}
+    assert {r.rel_path for r in rule_scan.scan_lines(files).collect() if r.rule_id == rule.rule_id} == {"long.txt", "tab.txt"}

@@ -118,3 +118,20 @@ def test_findings_of_a_folder_do_not_depend_on_where_a_file_counts_as_long(spark
         ("a.sh", "FILE_SCANNED_BY_LINE"), ("b.py", "FILE_SCANNED_BY_LINE"), ("blob.txt", "UNREADABLE_LONG_FILE")}
     alone = long_scan.folder_findings(spark, root).collect()
     assert shown(r for r in alone if r.analyzer in (None, "taint")) == whole
+
+
+def test_rules_are_evaluated_once_a_segment(spark, files_of):
+    filters = []
+
+    class Watched(Steps):
+        def keep(self, df, name):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            filters.extend(line for line in plan.splitlines() if "Filter" in line and ("RLIKE" in line or "Contains" in line or len(line) > 5000))
+            return super().keep(df, name)
+
+    steps = Watched(spark, "segments")
+    files = files_of({("b", "a.sh"): "sudo ls\necho fine\n" * 3, ("b", "b.py"): "while True:\n    step()\n"})
+    hits = segments.rule_hits(segments.lines_of(files), steps, length=2)
+    assert sorted((r.rel_path, r.rule_id, r.line_no) for r in hits.collect() if r.rule_id == "SUDO") == [("a.sh", "SUDO", n) for n in (1, 3, 5)]
+    assert not filters
+    steps.end()
