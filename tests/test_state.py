@@ -228,3 +228,22 @@ def test_steps_leave_nothing_behind_a_rescan(spark, tmp_path, files_of):
     rescan.rescan(files_of(TEXTS), str(tmp_path / "results"))
     kept = [name for d in os.listdir(base) if d.startswith("rescan-") for name in os.listdir(os.path.join(base, d))]
     assert "facts" not in kept and "findings" not in kept
+
+
+def test_update_status_moves_commits_once(spark):
+    from riskloom.operators import inventory as I
+
+    sha = lambda n: f"{n:07d}" + "c" * 33
+    commits = spark.createDataFrame([("r", "p", 1, sha(1)), ("r", "p", 2, sha(2)), ("r", "q", 3, sha(3)), ("r", "q", 3, sha(3)), (None, "p", 9, sha(9)), ("s", None, 4, sha(4)), ("s", "p", None, None)],
+                                    "repo string, path string, seq long, sha string")
+    installs = spark.createDataFrame([
+        ("latest", "r", "p", sha(2)), ("older", "r", "p", sha(1)), ("other path", "r", "p", sha(3)[:7]), ("short", "r", "p", sha(2)[:6]), ("none", "r", "p", None), ("empty", "r", "p", ""),
+        ("twice", "r", "p", sha(1)), ("twice", "r", "p", sha(3)), (None, "r", "p", sha(3)), ("no repo", None, "p", sha(9)), ("no path", "s", None, sha(4)), ("unknown", "t", "p", sha(1)),
+    ], "id string, repo string, path string, installed_sha string")
+    status = I.update_status(installs, commits)
+    got = sorted((str(r.id), r.status, r.latest_sha) for r in status.collect())
+    assert got == sorted([
+        ("latest", "UpToDate", sha(2)), ("older", "UpdateAvailable", sha(2)), ("other path", "UpToDate", sha(2)), ("short", "UpdateAvailable", sha(2)), ("none", "Unknown", None), ("empty", "Unknown", None),
+        ("twice", "UpToDate", sha(2)), ("twice", "UpToDate", sha(2)), ("None", "UpdateAvailable", sha(2)), ("no repo", "Unknown", None), ("no path", "Unknown", None), ("unknown", "Unknown", None)])
+    plan = status._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan  # each of these would move the commits, whole, once more
