@@ -63,9 +63,12 @@ def frequent(digests: DataFrame, rows: int, slots: int = SLOTS) -> DataFrame:
     return summed.where(F.col("n") * (slots + 1) > rows).select("digest")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """A row for each row of docs: its id, keep_id, group_size, kept and the SHA-256 of the normalised text."""
-    steps = Steps(docs.sparkSession, "exact-dedup")
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, steps: Steps | None = None) -> DataFrame:
+    """A row for each row of docs: its id, keep_id, group_size, kept and the SHA-256 of the normalised text.
+
+    The result reads tables of `steps`; without any they stay as long as the session.
+    """
+    steps = steps or Steps(docs.sparkSession, "exact-dedup")
     text = F.col(text_col)
     rows = steps.keep(
         docs.select(
@@ -103,5 +106,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     steps = Steps(docs.sparkSession, "exact-stage")
     rows, row = numbered(docs, steps)
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    groups = exact_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", slots)
-    return without(rows, row, groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), steps)
+    search = Steps(docs.sparkSession, "exact-dedup")
+    groups = exact_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", slots, search)
+    left = without(rows, row, groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), steps)
+    search.end()
+    return left

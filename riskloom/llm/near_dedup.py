@@ -305,8 +305,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Search:
     """One run: tables of classes, buckets and texts, and the links found so far."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.steps = steps = Steps(docs.sparkSession, "near-dedup")
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, steps: Steps | None = None):
+        self.steps = steps = steps or Steps(docs.sparkSession, "near-dedup")
         texts = docs.select(F.col(text_col).cast("string").alias("text"))
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         kind = rows.schema["doc_id"].dataType.simpleString()
@@ -434,9 +434,12 @@ class _Search:
         self.labels = self.steps.keep(moved, f"labels-{self.turn}")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable over links), kept of every row."""
-    search = _Search(docs, id_col, text_col)
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: Steps | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable over links), kept of every row.
+
+    The result reads tables of `steps`; without any they stay as long as the session.
+    """
+    search = _Search(docs, id_col, text_col, steps)
     search.join(search.verified(search.hubs()))
     search.split()
     search.join(search.verified(search.best_pairs()))
@@ -466,5 +469,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     steps = Steps(docs.sparkSession, "near-stage")
     rows, row = numbered(docs, steps)
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    groups = near_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text")
-    return without(rows, row, groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), steps)
+    search = Steps(docs.sparkSession, "near-dedup")
+    groups = near_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", search)
+    left = without(rows, row, groups.where(~F.col("kept")).select(F.col("doc_id.row").alias(row)), steps)
+    search.end()
+    return left

@@ -184,7 +184,7 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
     # Anchors that stand once hold no repeated edge: three quarters of the runs of ordinary prose go here.
     again = steps.keep(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), at("anchors"))
     met = steps.keep(runs.join(again.hint("merge"), "anchor"), at("met"))
-    steps.drop(at("runs"))
+    steps.drop(at("runs"), at("anchors"))
     # The first place of each run, and whether its anchor has other runs.
     kinds = steps.keep(met.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("source")), at("kinds"))
     # Kept, so that the join below shuffles both sides for itself and AQE can split a common anchor's partition.
@@ -207,6 +207,7 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
         ).select("row", "start", "end", F.col("source.from_row").alias("from_row"), F.col("source.from_start").alias("from_start"), (F.col("end") - F.col("start")).alias("words")),
         at("paths"),
     )
+    steps.drop(at("met"))
     spans = paths.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from_row", "from_start", "words"))).alias("spans"))
     # What a text's copies have from it: each start and length once, however many copies there are.
     lent = paths.where("row != from_row or start != from_start").groupBy(F.col("from_row").alias("row")).agg(
@@ -223,6 +224,7 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
     singles = steps.keep(
         wanted.select("row", "blob", "runs").mapInArrow(_single_edges(hashing, window), "k1 long, k2 long, row long, start int, whole boolean"), at("singles")
     )
+    steps.drop(at("kinds"), at("branching"))
     # Of a repeated edge one run at most is not known to be repeated already, or it stands in several.
     twice = steps.keep(
         singles.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("whole").alias("known")).where("n > 1 and not known").select("k1", "k2"), at("twice")
@@ -242,17 +244,23 @@ def _once(rows: DataFrame, steps: Steps, seed: int, window: int, result) -> Data
         f"doc_id {kind}, n_words long, n_removed long, kept_text string, digests array<binary>, sources array<struct<row:bigint,start:int,words:int>>",
     )
     out = steps.keep(result(done), at("result"))
+    steps.drop(at("paths"), at("singles"), at("twice"))
     told = out.select(F.explode(F.arrays_zip("digests", "sources")).alias("c")).groupBy("c.sources").agg(
         F.min("c.digests").alias("lo"), F.max("c.digests").alias("hi")
     )
-    return out.drop("digests", "sources") if told.where("lo != hi").isEmpty() else None
+    if told.where("lo != hi").isEmpty():
+        return out.drop("digests", "sources")
+    steps.drop(at("result"))
+    return None
 
 
 def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, result=lambda done: done) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row. `result` may narrow the columns but for digests and sources."""
     steps = Steps(docs.sparkSession, "substring-dedup")
     rows, row = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), steps)
-    return _removed(rows.withColumnRenamed(row, "row"), steps, window, result)
+    out = _removed(rows.withColumnRenamed(row, "row"), steps, window, result)
+    steps.drop("numbered")
+    return out
 
 
 def _removed(rows: DataFrame, steps: Steps, window: int, result) -> DataFrame:

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import exact_dedup, lines, near_dedup, substrings
 from riskloom.llm.words import Hashing
+from riskloom.session import CLEAN_UP, Steps
 
 SCHEMA = "doc_id long, text string, n_chars long, _id string, digest string, copy string, node string, bits string"
 
@@ -336,6 +339,42 @@ def test_null_and_repeated_ids_of_near_copies(spark):
     )
 
 
+@pytest.mark.parametrize(
+    "drop, tables",
+    [
+        (exact_dedup.drop_copies, {"numbered", "gone"}),
+        (near_dedup.drop_near_copies, {"numbered", "gone"}),
+        (substrings.drop_passages, {"numbered", "100-result"}),
+        (substrings.removed_passages, {"100-result"}),
+    ],
+)
+def test_stages_leave_only_what_their_result_reads(spark, corpus, drop, tables):
+    """Tables that lie in the shared folder when a stage has returned count as disk until the session ends."""
+    folder = Path(Steps(spark, "probe").folder.removeprefix("file://")).parent
+    held = lambda: {p for p in folder.glob("*/*") if p.is_dir()}
+    docs, before = table(spark, corpus), held()
+    out = drop(docs)
+    assert {p.name for p in held() - before} == tables
+    assert out.count() > 0
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Files go when the step has ended, also if the driver collects no garbage; the setting is as it was before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {p.name for d in disk.localDirs() for p in Path(d.getPath()).glob("*/shuffle_*")}
+    setting = spark.conf.get(CLEAN_UP, "false")
+    ids = spark.range(20_000).select("id", (F.col("id") % 50).alias("k"))
+    steps, before = Steps(spark, "probe"), shuffled()
+    kept = steps.keep(ids.join(ids.groupBy("k").agg(F.count("*").alias("n")).hint("merge"), "k"), "joined")
+    end = time.time() + 20
+    while (left := shuffled() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(CLEAN_UP, "false") == setting
+    assert kept.where("n = 400").count() == 20_000
+    steps.end()
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
